@@ -66,7 +66,7 @@ def ci_contains(c, term: str) -> Column:
     it never escapes them); that path is case-blind only (gap G1).
     """
     if has_like_wildcards(term):
-        return F.collate(col_(c), LCASE).like(F.lit("%" + term + "%"))
+        return F.collate(col_(c), LCASE).like("%" + term + "%")
     return F.collate(col_(c), CI_AI).contains(F.lit(term))
 
 
