@@ -75,6 +75,19 @@ BINDINGS_SQL = {
              else substr(cast(o_orderdate as varchar), 1, 10) || 'T10:00' end as event_time,
         case when o_orderkey % 13 = 0 then -1.0e0 when o_orderkey % 19 = 0 then 0.001e0
              else o_totalprice end as budget from orders""",
+    "venue_rows": """select p_partkey as request_id, p_name as venue_name, p_brand as address,
+        cast(p_size - 25 as varchar) as capacity from part""",
+    "staff_rows": """select c_custkey as request_id, c_name as name, c_mktsegment as role,
+        case when c_acctbal < 0 then ' ' else '+880 ' || cast(c_nationkey as varchar) end as phone
+        from customer""",
+    "supplier_rows": """select s_suppkey as request_id, s_name as name,
+        case when s_acctbal < 0 then '  ' else '+880' || cast(s_suppkey as varchar) end as phone,
+        'Service' || chr(9) || '  ' || cast(s_nationkey as varchar) as service_type from supplier""",
+    "profile_updates": """select request_id, request_id as customer_id, name, phone, email, password
+        from signups""",
+    "event_deletes": f"""select o_orderkey as request_id, o_orderkey as event_id,
+        case when o_orderkey % 3 = 0 then o_custkey else o_custkey + 1 end as customer_id,
+        {AS_OF_SQL} as requested_at from orders""",
     "event_views": """select event_id as view_id, user_id as viewer_id,
         cast(floor(value * 4) as bigint) - 5 as event_id from events""",
 }
@@ -114,7 +127,8 @@ def oracle_sql() -> dict[str, str]:
 def _load_all() -> None:
     # Importing the modules runs their @register decorators.
     from seatplan import registry_reports  # noqa: F401
-    for mod in ("seatplan.registry_text", "seatplan.registry_changes",
+    for mod in ("seatplan.registry_text", "seatplan.registry_validate",
+                "seatplan.registry_changes",
                 "seatplan.registry_streams"):
         try:
             __import__(mod)

@@ -202,10 +202,10 @@ def q_booking_activity_report(spark, sf_dir):
 
 @register("owned_events", with_bindings("""
 SELECT e.* FROM events_t e
-WHERE EXISTS (SELECT 1 FROM booking_requests r
+WHERE EXISTS (SELECT 1 FROM event_deletes r
               WHERE r.event_id = e.event_id AND r.customer_id = e.customer_id)"""))
 def q_owned_events(spark, sf_dir):
-    claims = B.bind_booking_requests(spark, sf_dir)
+    claims = B.bind_event_deletes(spark, sf_dir)
     return R.owned_events(tables(spark, sf_dir), claims)
 
 

@@ -142,3 +142,46 @@ def bind_event_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _raw(spark, sf_dir, "events")
     return ev.select(F.col("event_id").alias("view_id"), F.col("user_id").alias("viewer_id"),
                      (F.floor(F.col("value") * 4).cast("bigint") - 5).alias("event_id"))
+
+
+def bind_venue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New-venue form rows (capacity may be zero or negative)."""
+    p = _raw(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("request_id"), F.col("p_name").alias("venue_name"),
+                    F.col("p_brand").alias("address"),
+                    (F.col("p_size") - 25).cast("string").alias("capacity"))
+
+
+def bind_staff_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _raw(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("request_id"), F.col("c_name").alias("name"),
+                    F.col("c_mktsegment").alias("role"),
+                    F.when(F.col("c_acctbal") < 0, F.lit(" "))
+                     .otherwise(F.concat(F.lit("+880 "), F.col("c_nationkey").cast("string")))
+                     .alias("phone"))
+
+
+def bind_supplier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _raw(spark, sf_dir, "supplier")
+    return s.select(F.col("s_suppkey").alias("request_id"), F.col("s_name").alias("name"),
+                    F.when(F.col("s_acctbal") < 0, F.lit("  "))
+                     .otherwise(F.concat(F.lit("+880"), F.col("s_suppkey").cast("string")))
+                     .alias("phone"),
+                    F.concat(F.lit("Service\t  "), F.col("s_nationkey").cast("string"))
+                     .alias("service_type"))
+
+
+def bind_profile_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signup rows re-read as profile edits by the customer with the same id."""
+    s = bind_signups(spark, sf_dir)
+    return s.select("request_id", F.col("request_id").alias("customer_id"), "name", "phone",
+                    "email", "password")
+
+
+def bind_event_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delete requests: a third from the owner, the rest from someone else."""
+    o = _raw(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    return o.select(k.alias("request_id"), k.alias("event_id"),
+                    F.when(k % 3 == 0, F.col("o_custkey")).otherwise(F.col("o_custkey") + 1)
+                     .alias("customer_id"), as_of_lit().alias("requested_at"))
