@@ -88,6 +88,14 @@ BINDINGS_SQL = {
     "event_deletes": f"""select o_orderkey as request_id, o_orderkey as event_id,
         case when o_orderkey % 3 = 0 then o_custkey else o_custkey + 1 end as customer_id,
         {AS_OF_SQL} as requested_at from orders""",
+    "event_edits": """select draft_id as event_id, * from event_drafts""",
+    "resource_deletes": """select cast(n_nationkey as bigint) + 1000000 as request_id, 'venue' as kind,
+        cast(n_nationkey as bigint) as id from nation
+        union all select cast(n_nationkey as bigint) + 2000000, 'staff', cast(n_nationkey as bigint) - 3
+        from nation
+        union all select s_suppkey + 3000000, 'supplier', s_suppkey from supplier
+        union all select cast(n_nationkey as bigint) + 4000000, 'room', cast(n_nationkey as bigint)
+        from nation""",
     "event_views": """select event_id as view_id, user_id as viewer_id,
         cast(floor(value * 4) as bigint) - 5 as event_id from events""",
 }

@@ -83,35 +83,22 @@ def _person_cte(src: str, extra_cols: str = "") -> str:
     coalesce({norm('email')}, '') AS email, coalesce(password, '') AS password FROM {src})"""
 
 
-@register("validate_signups", with_bindings(f"""
-SELECT request_id, role, reason, {status()} FROM (
-  SELECT request_id, role, CASE
+SIGNUP_CTES = _person_cte(
+    "signups", ", CASE WHEN role IN ('customer', 'organizer') THEN role ELSE 'customer' END AS role"
+) + f""",
+p AS (SELECT *, CASE WHEN name = '' OR phone = '' THEN 'NAME_PHONE'
+                     WHEN NOT {email_ok('email')} THEN 'BAD_EMAIL'
+                     WHEN strlen(password) < 6 THEN 'SHORT_PASSWORD' END AS pre,
+             lower(strip_accents(rtrim(email))) AS ek FROM p0),
+sv AS (SELECT request_id, role, CASE
     WHEN pre IS NOT NULL THEN pre
     WHEN EXISTS (SELECT 1 FROM customers c WHERE lower(strip_accents(rtrim(c.email))) = p.ek)
       THEN 'EMAIL_TAKEN'
     WHEN EXISTS (SELECT 1 FROM p p2 WHERE p2.pre IS NULL AND p2.ek = p.ek
                  AND p2.request_id < p.request_id) THEN 'EMAIL_TAKEN' END AS reason
-  FROM p) r""", extra=_person_cte(
-    "signups", ", CASE WHEN role IN ('customer', 'organizer') THEN role ELSE 'customer' END AS role")
-    + f""",
-p AS (SELECT *, CASE WHEN name = '' OR phone = '' THEN 'NAME_PHONE'
-                     WHEN NOT {email_ok('email')} THEN 'BAD_EMAIL'
-                     WHEN strlen(password) < 6 THEN 'SHORT_PASSWORD' END AS pre,
-             lower(strip_accents(rtrim(email))) AS ek FROM p0)"""))
-def q_validate_signups(spark, sf_dir):
-    v = V.validate_signups(tables(spark, sf_dir), B.bind_signups(spark, sf_dir))
-    return v.select("request_id", "role", "reason", "status")
-
+  FROM p)"""
 
-@register("validate_profile_updates", with_bindings(f"""
-SELECT request_id, customer_id, reason, {status()} FROM (
-  SELECT request_id, customer_id, CASE
-    WHEN pre IS NOT NULL THEN pre
-    WHEN other_holder THEN 'PROFILE_EMAIL_TAKEN'
-    WHEN (SELECT p2.customer_id FROM q p2 WHERE p2.pre IS NULL AND NOT p2.other_holder
-          AND p2.ek = q.ek ORDER BY p2.request_id LIMIT 1) <> q.customer_id
-      THEN 'PROFILE_EMAIL_TAKEN' END AS reason
-  FROM q) r""", extra=_person_cte("profile_updates", ", customer_id") + f""",
+PROFILE_CTES = _person_cte("profile_updates", ", customer_id") + f""",
 p AS (SELECT *, CASE WHEN name = '' OR phone = '' THEN 'PROFILE_NAME_PHONE'
                      WHEN NOT {email_ok('email')} THEN 'BAD_EMAIL'
                      WHEN password <> '' AND strlen(password) < 6 THEN 'PROFILE_SHORT_PASSWORD'
@@ -119,7 +106,25 @@ p AS (SELECT *, CASE WHEN name = '' OR phone = '' THEN 'PROFILE_NAME_PHONE'
              lower(strip_accents(rtrim(email))) AS ek FROM p0),
 q AS (SELECT p.*, EXISTS (SELECT 1 FROM customers c
                           WHERE lower(strip_accents(rtrim(c.email))) = p.ek
-                            AND c.customer_id <> p.customer_id) AS other_holder FROM p)"""))
+                            AND c.customer_id <> p.customer_id) AS other_holder FROM p),
+pv AS (SELECT request_id, customer_id, CASE
+    WHEN pre IS NOT NULL THEN pre
+    WHEN other_holder THEN 'PROFILE_EMAIL_TAKEN'
+    WHEN (SELECT p2.customer_id FROM q p2 WHERE p2.pre IS NULL AND NOT p2.other_holder
+          AND p2.ek = q.ek ORDER BY p2.request_id LIMIT 1) <> q.customer_id
+      THEN 'PROFILE_EMAIL_TAKEN' END AS reason
+  FROM q)"""
+
+
+@register("validate_signups", with_bindings(
+    f"SELECT request_id, role, reason, {status()} FROM sv", extra=SIGNUP_CTES))
+def q_validate_signups(spark, sf_dir):
+    v = V.validate_signups(tables(spark, sf_dir), B.bind_signups(spark, sf_dir))
+    return v.select("request_id", "role", "reason", "status")
+
+
+@register("validate_profile_updates", with_bindings(
+    f"SELECT request_id, customer_id, reason, {status()} FROM pv", extra=PROFILE_CTES))
 def q_validate_profile_updates(spark, sf_dir):
     v = V.validate_profile_updates(tables(spark, sf_dir), B.bind_profile_updates(spark, sf_dir))
     return v.select("request_id", "customer_id", "reason", "status")

@@ -185,3 +185,24 @@ def bind_event_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(k.alias("request_id"), k.alias("event_id"),
                     F.when(k % 3 == 0, F.col("o_custkey")).otherwise(F.col("o_custkey") + 1)
                      .alias("customer_id"), as_of_lit().alias("requested_at"))
+
+
+def bind_event_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draft rows re-read as edits of the event with the same id."""
+    d = bind_event_drafts(spark, sf_dir)
+    return d.select(F.col("draft_id").alias("event_id"), *d.columns)
+
+
+def bind_resource_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delete requests for every venue, every staff id shifted by 3, every
+    supplier, and an unknown kind."""
+    n = _raw(spark, sf_dir, "nation")
+    s = _raw(spark, sf_dir, "supplier")
+    k = F.col("n_nationkey").cast("bigint")
+    return (n.select((k + 1000000).alias("request_id"), F.lit("venue").alias("kind"), k.alias("id"))
+            .unionAll(n.select((k + 2000000).alias("request_id"), F.lit("staff").alias("kind"),
+                               (k - 3).alias("id")))
+            .unionAll(s.select((F.col("s_suppkey") + 3000000).alias("request_id"),
+                               F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id")))
+            .unionAll(n.select((k + 4000000).alias("request_id"), F.lit("room").alias("kind"),
+                               k.alias("id"))))
