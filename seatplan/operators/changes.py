@@ -121,8 +121,8 @@ def admit_bookings(t: Tables, requests: DataFrame, salt_buckets: int = 64,
                    check_role: bool = True) -> DataFrame:
     """Booking requests judged as if run one by one in ``request_id`` order.
 
-    Outcome per row, first match wins: INVALID_EVENT (id <= 0, page check),
-    NOT_ALLOWED (requester is not a customer), MISSING (no such event or
+    Outcome per row, first match wins: NOT_ALLOWED (requester is not a
+    customer), INVALID_EVENT (id <= 0, page check), MISSING (no such event or
     venue), PAST (event_time <= requested_at), DUPLICATE (pair already booked,
     or an earlier request of the pair was admitted), FULL, BOOKED.
 
@@ -137,8 +137,9 @@ def admit_bookings(t: Tables, requests: DataFrame, salt_buckets: int = 64,
     r = req.join(info, "event_id", "left")
     if check_role:
         r = _role_gate(r, t, "customer_id", "customer")
-        gate = F.when(F.col("event_id") <= 0, F.lit("INVALID_EVENT")).when(
-            ~F.coalesce(F.col("_role_ok"), F.lit(False)), F.lit("NOT_ALLOWED"))
+        # The page acts only for customers, then checks the id.
+        gate = F.when(~F.coalesce(F.col("_role_ok"), F.lit(False)), F.lit("NOT_ALLOWED")).when(
+            F.col("event_id") <= 0, F.lit("INVALID_EVENT"))
     else:
         gate = F.when(F.col("event_id") <= 0, F.lit("INVALID_EVENT"))
     held = t.bookings.select("event_id", "customer_id", F.lit(True).alias("held"))

@@ -25,8 +25,8 @@ r0 AS (SELECT q.request_id, q.event_id, q.customer_id, q.requested_at, i.event_t
        LEFT JOIN (SELECT e.event_id, e.event_time, v.capacity FROM events_t e
                   JOIN venues v ON e.venue_id = v.venue_id) i ON i.event_id = q.event_id
        LEFT JOIN customers cu ON cu.customer_id = q.customer_id),
-r1 AS (SELECT *, CASE WHEN event_id <= 0 THEN 'INVALID_EVENT'
-                      WHEN role IS DISTINCT FROM 'customer' THEN 'NOT_ALLOWED' END AS gate FROM r0),
+r1 AS (SELECT *, CASE WHEN role IS DISTINCT FROM 'customer' THEN 'NOT_ALLOWED'
+                      WHEN event_id <= 0 THEN 'INVALID_EVENT' END AS gate FROM r0),
 r2 AS (SELECT *, gate IS NULL AND event_time IS NOT NULL AND event_time > requested_at AS valid
        FROM r1),
 r3 AS (SELECT *, valid AND row_number() OVER (PARTITION BY event_id, customer_id, valid
@@ -316,3 +316,10 @@ def q_update_profiles_result(spark, sf_dir):
     """The customers table after the profile edits (password column left out)."""
     res = C.update_profiles(tables(spark, sf_dir), B.bind_profile_updates(spark, sf_dir))
     return res.tables.customers.drop("password")
+
+
+@register("replay_commands")
+def q_replay_commands(spark, sf_dir):
+    """Mixed creates and cancels folded per event in request order (no SQL form)."""
+    from seatplan.operators.replay import replay_commands
+    return replay_commands(tables(spark, sf_dir), B.bind_booking_commands(spark, sf_dir))

@@ -206,3 +206,14 @@ def bind_resource_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
                                F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id")))
             .unionAll(n.select((k + 4000000).alias("request_id"), F.lit("room").alias("kind"),
                                k.alias("id"))))
+
+
+def bind_booking_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Creates (even request ids) and cancels (odd ids) in one command table."""
+    cr = bind_booking_requests(spark, sf_dir).select(
+        (F.col("request_id") * 2).alias("request_id"), F.lit("create").alias("kind"),
+        "event_id", "customer_id", F.lit(None).cast("bigint").alias("booking_id"), "requested_at")
+    cc = bind_cancel_requests(spark, sf_dir).select(
+        (F.col("request_id") * 2 + 1).alias("request_id"), F.lit("cancel").alias("kind"),
+        F.lit(None).cast("bigint").alias("event_id"), "customer_id", "booking_id", "requested_at")
+    return cr.unionByName(cc)
