@@ -136,8 +136,8 @@ def _load_all() -> None:
     # Importing the modules runs their @register decorators.
     from seatplan import registry_reports  # noqa: F401
     for mod in ("seatplan.registry_text", "seatplan.registry_validate",
-                "seatplan.registry_changes",
-                "seatplan.registry_streams"):
+                "seatplan.registry_changes", "seatplan.registry_streams",
+):
         try:
             __import__(mod)
         except ModuleNotFoundError as exc:  # pragma: no cover - during build-up

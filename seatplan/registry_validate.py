@@ -28,7 +28,7 @@ FORMS = ["%Y-%m-%dT%H:%M", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %
 TS_SQL = "coalesce(" + ", ".join(f"try_strptime(trim(event_time), '{f}')" for f in FORMS) + ")"
 
 
-@register("validate_events", with_bindings(f"""
+_VALIDATE_EVENTS_SQL = with_bindings(f"""
 SELECT draft_id, reason, {status()} FROM (
   SELECT draft_id, CASE
     WHEN name_n = '' OR coalesce(event_time, '') = '' OR coalesce(venue_id, 0) = 0 THEN 'REQUIRED'
@@ -36,7 +36,10 @@ SELECT draft_id, reason, {status()} FROM (
     WHEN coalesce(budget, 0) <= 0 THEN 'BAD_BUDGET'
     WHEN CAST(budget AS DECIMAL(12,2)) <= 0 THEN 'BUDGET_NOT_POSITIVE'
     WHEN length(name_n) > 150 THEN 'TOO_LONG' END AS reason
-  FROM (SELECT *, {norm('event_name')} AS name_n, {TS_SQL} AS ts FROM event_drafts) d) r"""))
+  FROM (SELECT *, {norm('event_name')} AS name_n, {TS_SQL} AS ts FROM event_drafts) d) r""")
+
+
+@register("validate_events", _VALIDATE_EVENTS_SQL)
 def q_validate_events(spark, sf_dir):
     v = V.validate_events(B.bind_event_drafts(spark, sf_dir), B.AS_OF)
     return v.select("draft_id", "reason", "status")
