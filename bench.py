@@ -55,8 +55,10 @@ def main() -> None:
 
     root = scratch_path(spark, f"bench-{uuid.uuid4().hex}")
     bound = B.bind_tables(spark, sf_dir).as_dict()
+    # Stored as a deployment would: several files per table, so scans split
+    # across cores (a single small driver file is one row group, one task).
     for name, df in bound.items():
-        df.write.mode("overwrite").parquet(f"{root}/tables/{name}")
+        df.repartition(cpus).write.mode("overwrite").parquet(f"{root}/tables/{name}")
     cmds = {
         "requests": B.bind_booking_requests(spark, sf_dir),
         "cancels": B.bind_cancel_requests(spark, sf_dir),
@@ -67,14 +69,16 @@ def main() -> None:
         "deletes": B.bind_event_deletes(spark, sf_dir),
     }
     for name, df in cmds.items():
-        df.write.mode("overwrite").parquet(f"{root}/cmd/{name}")
+        df.repartition(cpus).write.mode("overwrite").parquet(f"{root}/cmd/{name}")
     t = load_tables(spark, f"{root}/tables")
     cmd = {n: spark.read.parquet(f"{root}/cmd/{n}") for n in cmds}
     for name, df in t.as_dict().items():
         df.createOrReplaceTempView(name)
     terms = spark.read.parquet(f"{sf_dir}/nation.parquet").select(
         F.lower("n_name").alias("term")).distinct()
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(cpus).write.mode(
+        "overwrite").parquet(f"{root}/documents")
+    docs = spark.read.parquet(f"{root}/documents")
 
     plan = {
         "event_catalogue": lambda: R.event_catalogue(t),

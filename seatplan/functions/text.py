@@ -58,6 +58,20 @@ def has_like_wildcards(term: str) -> bool:
     return any(ch in term for ch in "%_\\")
 
 
+# Printable ASCII: for such strings the accent/case-blind collation compares
+# exactly like lower-casing (no accents, no ignorable characters), so a plain
+# byte search on lower() gives the same answer far more cheaply.
+PRINTABLE_ASCII = "^[\\x20-\\x7E]*$"
+
+
+def is_printable_ascii(c) -> Column:
+    return F.coalesce(col_(c).rlike(PRINTABLE_ASCII), F.lit(False))
+
+
+def _term_is_ascii(term: str) -> bool:
+    return all(0x20 <= ord(ch) <= 0x7E for ch in term)
+
+
 def ci_contains(c, term: str) -> Column:
     """MySQL ``col LIKE '%term%'`` under the page's unescaped wrapping.
 
@@ -67,12 +81,19 @@ def ci_contains(c, term: str) -> Column:
     """
     if has_like_wildcards(term):
         return F.collate(col_(c), LCASE).like("%" + term + "%")
-    return F.collate(col_(c), CI_AI).contains(F.lit(term))
-
-
-def ci_contains_col(c, term_col) -> Column:
-    """Per-row term version of :func:`ci_contains` for plain terms."""
-    return F.collate(col_(c), CI_AI).contains(F.collate(col_(term_col), CI_AI))
+    slow = F.collate(col_(c), CI_AI).contains(F.lit(term))
+    if _term_is_ascii(term):
+        return F.when(is_printable_ascii(c), F.lower(col_(c)).contains(F.lit(term.lower()))) \
+            .otherwise(slow)
+    return slow
+
+
+def ci_contains_cols(text, text_lower, text_ascii, term, term_lower, term_ascii) -> Column:
+    """Per-row term form of :func:`ci_contains` for plain terms, with lower-cased
+    text and ASCII flags computed once per row beforehand (not once per pair)."""
+    fast = col_(text_ascii) & col_(term_ascii)
+    return F.when(fast, col_(text_lower).contains(col_(term_lower))).otherwise(
+        F.collate(col_(text), CI_AI).contains(F.collate(col_(term), CI_AI)))
 
 
 def ucfirst(c) -> Column:

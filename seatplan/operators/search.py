@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seatplan.functions.text import (CI_AI, LCASE, ci_contains, ci_key, php_trim)
+from seatplan.functions.text import (LCASE, ci_contains, ci_contains_cols, ci_key,
+                                     is_printable_ascii, php_trim)
 from seatplan.operators.reports import _ts, booking_counts
 from seatplan.plans.joins import broadcast_if_bounded, chunks_by_hash, row_count_at_most
 from seatplan.sources.tables import Tables
@@ -51,18 +52,37 @@ def _decorate(t: Tables, matched: DataFrame) -> DataFrame:
             .select(*SEARCH_COLUMNS))
 
 
-def _named_events(t: Tables) -> DataFrame:
-    return (t.events.select("event_id", "customer_id", "venue_id", "event_name")
-            .join(t.venues.select("venue_id", "venue_name"), "venue_id")
-            .join(t.customers.select("customer_id", F.col("name").alias("organizer_name")),
-                  "customer_id"))
+TEXT_COLS = ("event_name", "venue_name", "organizer_name")
+SEP = "\u0001"  # joins the three names; a trimmed search term never holds it
 
 
-def _term_match(text_col: str) -> F.Column:
-    plain = F.collate(F.col(text_col), CI_AI).contains(F.collate(F.col("term"), CI_AI))
-    wild = F.like(F.collate(F.col(text_col), LCASE),
-                  F.collate(F.concat(F.lit("%"), F.col("term"), F.lit("%")), LCASE))
-    return F.when(F.col("wild"), wild).otherwise(plain)
+def _named_events(t: Tables) -> DataFrame:
+    """Events with the three searchable names, plus their lower-cased join and a
+    printable-ASCII flag, computed once per row ahead of the per-pair tests."""
+    named = (t.events.select("event_id", "customer_id", "venue_id", "event_name")
+             .join(t.venues.select("venue_id", "venue_name"), "venue_id")
+             .join(t.customers.select("customer_id", F.col("name").alias("organizer_name")),
+                   "customer_id"))
+    return named.select(
+        "event_id", *TEXT_COLS,
+        F.concat_ws(SEP, *[F.lower(c) for c in TEXT_COLS]).alias("all_lc"),
+        F.coalesce(F.concat_ws(SEP, *TEXT_COLS).rlike("^[\\x20-\\x7E\\x01]*$"),
+                   F.lit(False)).alias("all_ascii"))
+
+
+def _pair_match() -> F.Column:
+    """One CASE per (event, term): wildcard LIKE, the ASCII fast path (a single
+    substring search over the joined names), or the collation path."""
+    wild = F.lit(False)
+    slow = F.lit(False)
+    for c in TEXT_COLS:
+        wild = wild | F.coalesce(F.like(F.collate(F.col(c), LCASE),
+                                        F.collate(F.col("pattern"), LCASE)), F.lit(False))
+        slow = slow | F.coalesce(ci_contains_cols(c, c, F.lit(False), "term", "term",
+                                                  F.lit(False)), F.lit(False))
+    return (F.when(F.col("wild"), wild)
+            .when(F.col("all_ascii") & F.col("term_ascii"), F.col("all_lc").contains(F.col("term_lc")))
+            .otherwise(slow))
 
 
 def search_terms_batch(t: Tables, terms: DataFrame, max_broadcast_terms: int = 10_000
@@ -76,13 +96,14 @@ def search_terms_batch(t: Tables, terms: DataFrame, max_broadcast_terms: int = 1
     """
     clean = (terms.select(php_trim(F.col(terms.columns[0])).alias("term"))
              .filter(F.col("term") != "").distinct()
-             .withColumn("wild", F.col("term").rlike("[%_\\\\]")))
+             .withColumn("wild", F.col("term").rlike("[%_\\\\]"))
+             .withColumn("term_lc", F.lower("term"))
+             .withColumn("term_ascii", is_printable_ascii("term"))
+             .withColumn("pattern", F.concat(F.lit("%"), F.col("term"), F.lit("%"))))
     named = _named_events(t)
 
     def probe(chunk: DataFrame) -> DataFrame:
-        cond = (_term_match("event_name") | _term_match("venue_name")
-                | _term_match("organizer_name"))
-        return named.join(F.broadcast(chunk), cond, "inner").select("term", "event_id")
+        return named.join(F.broadcast(chunk), _pair_match(), "inner").select("term", "event_id")
 
     if row_count_at_most(clean, max_broadcast_terms):
         return probe(clean)
