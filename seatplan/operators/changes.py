@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from seatplan.functions.text import parse_id_list
 from seatplan.operators import validate as V
 from seatplan.operators.reports import booking_counts
+from seatplan.plans.lineage import materialize
 from seatplan.plans.skew import first_n_per_key
 from seatplan.sources.tables import Tables
 
@@ -189,6 +190,9 @@ def admission_messages(outcomes: DataFrame) -> DataFrame:
 
 
 def apply_admissions(t: Tables, outcomes: DataFrame) -> ChangeResult:
+    """New bookings and their audit rows.  The outcomes are checkpointed once
+    (they feed the id scan, the bookings and the audit rows)."""
+    outcomes = materialize(outcomes)
     booked = outcomes.filter(F.col("outcome") == "BOOKED")
     new_rows = booked.select("booking_id", "booking_date", "event_id", "customer_id")
     audit = audit_trail(t, admitted=booked)
@@ -239,6 +243,7 @@ def cancellation_messages(outcomes: DataFrame) -> DataFrame:
 
 
 def apply_cancellations(t: Tables, outcomes: DataFrame) -> ChangeResult:
+    outcomes = materialize(outcomes)
     gone = outcomes.filter(F.col("outcome") == "CANCELLED")
     audit = audit_trail(t, cancelled=gone)
     bookings = t.bookings.join(gone.select("booking_id"), "booking_id", "left_anti")
@@ -313,6 +318,8 @@ def delete_events(t: Tables, deletes: DataFrame, check_role: bool = True) -> Cha
         .withColumn("user_message", F.when(F.col("outcome") == "NOT_FOUND",
                                            F.lit(DELETE_NOT_FOUND))
                     .when(F.col("outcome") == "DELETED", F.lit("Event deleted successfully.")))
+    # Feeds four anti joins, the audit id scan and the audit rows: compute once.
+    outcomes = materialize(outcomes)
     gone = outcomes.filter(F.col("outcome") == "DELETED").select("event_id", "requested_at")
     removed = t.bookings.join(gone, "event_id")
     audit = audit_trail(t, removed=removed)
@@ -361,8 +368,8 @@ def insert_events(t: Tables, drafts: DataFrame, as_of, check_role: bool = True)
     v = v.withColumn("reason", F.coalesce(F.col("reason"),
                                           F.when(F.col("_fk_bad"), F.lit("FK_ERROR"))))
     base = id_base(t.events, "event_id")
-    v = v.withColumn("new_event_id", F.when(F.col("reason").isNull(),
-                                            new_ids(drafts, "draft_id", base)))
+    v = materialize(v.withColumn("new_event_id", F.when(F.col("reason").isNull(),
+                                                        new_ids(drafts, "draft_id", base))))
     outcomes = v.select(
         "draft_id", "customer_id", "new_event_id",
         F.coalesce(F.col("reason"), F.lit("CREATED")).alias("outcome"),
@@ -399,8 +406,8 @@ def update_events(t: Tables, edits: DataFrame, as_of, check_role: bool = True) -
                      .when(F.col("_own").isNull(), F.lit("NOT_OWNER"))
                      .otherwise(F.col("reason")))
     v = v.join(_fk_failures(t, v.filter(F.col("reason").isNull()), "draft_id"), "draft_id", "left")
-    v = v.withColumn("reason", F.coalesce(F.col("reason"),
-                                          F.when(F.col("_fk_bad"), F.lit("FK_ERROR"))))
+    v = materialize(v.withColumn("reason", F.coalesce(F.col("reason"),
+                                                      F.when(F.col("_fk_bad"), F.lit("FK_ERROR")))))
     outcomes = v.select(
         "draft_id", "event_id", "customer_id",
         F.coalesce(F.col("reason"), F.lit("UPDATED")).alias("outcome"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seatplan.functions.text import (LCASE, ci_contains, ci_contains_cols, ci_key,
                                      is_printable_ascii, php_trim)
 from seatplan.operators.reports import _ts, booking_counts
-from seatplan.plans.joins import broadcast_if_bounded, chunks_by_hash, row_count_at_most
+from seatplan.plans.joins import bounded_chunks
 from seatplan.sources.tables import Tables
 
 SEARCH_COLUMNS = ["event_id", "customer_id", "event_name", "event_time", "budget",
@@ -85,14 +85,14 @@ def _pair_match() -> F.Column:
             .otherwise(slow))
 
 
-def search_terms_batch(t: Tables, terms: DataFrame, max_broadcast_terms: int = 10_000
-                       ) -> DataFrame:
+def search_terms_batch(t: Tables, terms: DataFrame, max_broadcast_terms: int = 10_000,
+                       max_broadcast_bytes: int = 8 << 20) -> DataFrame:
     """(term, event_id) for every term in ``terms`` and every event it finds.
 
     A term-vs-event substring test has no equi-key, so the term list is
-    broadcast and tested against each event (a nested-loop join, but over a
-    size-checked term list).  Over ``max_broadcast_terms`` terms the list is
-    split by hash into chunks of about that size, each broadcast on its own.
+    broadcast and tested against each event (a nested-loop join over a
+    size-checked term list: rows and bytes).  A larger list is split into
+    hash chunks, each proven within the bound and broadcast on its own.
     """
     clean = (terms.select(php_trim(F.col(terms.columns[0])).alias("term"))
              .filter(F.col("term") != "").distinct()
@@ -105,10 +105,13 @@ def search_terms_batch(t: Tables, terms: DataFrame, max_broadcast_terms: int = 1
     def probe(chunk: DataFrame) -> DataFrame:
         return named.join(F.broadcast(chunk), _pair_match(), "inner").select("term", "event_id")
 
-    if row_count_at_most(clean, max_broadcast_terms):
+    small = clean.agg(F.count(F.lit(1)).alias("n"),
+                      F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("b")).first()
+    if small["n"] <= max_broadcast_terms and 4 * small["b"] <= max_broadcast_bytes:
         return probe(clean)
-    n = 2 * (clean.count() // max_broadcast_terms + 1)
-    parts = [probe(c) for c in chunks_by_hash(clean, "term", n)]
+    # each term row carries about four copies of the term text
+    parts = [probe(c) for c in bounded_chunks(clean, "term", max_broadcast_terms,
+                                              max_broadcast_bytes // 4, "term")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)

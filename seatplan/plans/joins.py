@@ -26,3 +26,30 @@ def chunks_by_hash(df: DataFrame, key: str, n_chunks: int) -> list[DataFrame]:
     """Split ``df`` into ``n_chunks`` disjoint parts by a hash of ``key``."""
     h = F.pmod(F.xxhash64(F.col(key)), F.lit(n_chunks))
     return [df.filter(h == i) for i in range(n_chunks)]
+
+
+def bounded_chunks(df: DataFrame, key: str, max_rows: int, max_bytes: int,
+                   size_col: str) -> list[DataFrame]:
+    """Split ``df`` into hash chunks, each proven to hold at most ``max_rows``
+    rows and ``max_bytes`` bytes of ``size_col`` (re-split until they do)."""
+    stats = df.agg(F.count(F.lit(1)).alias("n"),
+                   F.coalesce(F.sum(F.octet_length(size_col)), F.lit(0)).alias("b")).first()
+    n_chunks = max(1, -(-stats["n"] // max_rows), -(-stats["b"] // max_bytes))
+    out, pending, salt = [], [(df, n_chunks)], 0
+    while pending:
+        part, k = pending.pop()
+        salt += 1
+        h = F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(k))
+        for i in range(k):
+            c = part.filter(h == i)
+            s = c.agg(F.count(F.lit(1)).alias("n"),
+                      F.coalesce(F.sum(F.octet_length(size_col)), F.lit(0)).alias("b")).first()
+            if s["n"] == 0:
+                continue
+            if s["n"] <= max_rows and s["b"] <= max_bytes:
+                out.append(c)
+            elif s["n"] == 1:
+                raise ValueError("a single row exceeds the broadcast byte bound")
+            else:
+                pending.append((c, 2))
+    return out

@@ -101,3 +101,15 @@ def test_owned_and_profile(spark, seed):
     claims = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "event_id long, customer_id long")
     assert sorted(r["event_id"] for r in R.owned_events(seed, claims).collect()) == [1, 3]
     assert "password" not in R.account_profile(seed).columns
+
+
+def test_term_batch_chunks(spark, seed):
+    terms = spark.createDataFrame([("rina",), ("hall",), ("  ",), ("pitch",), ("fair",),
+                                   ("culture",), ("P_tch",)], "term string")
+    one = {(r["term"], r["event_id"]) for r in S.search_terms_batch(seed, terms).collect()}
+    many = {(r["term"], r["event_id"]) for r in
+            S.search_terms_batch(seed, terms, max_broadcast_terms=2).collect()}
+    assert one == many == {("rina", 1), ("rina", 3), ("pitch", 2), ("P_tch", 2), ("fair", 1),
+                           ("culture", 3), ("hall", 1)}
+    hits = {r["term"]: r["hits"] for r in S.search_hit_counts(seed, terms).collect()}
+    assert hits["hall"] == 1 and hits["rina"] == 2 and "" not in hits
