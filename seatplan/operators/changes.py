@@ -144,10 +144,13 @@ def admit_bookings(t: Tables, requests: DataFrame, salt_buckets: int = 64,
     else:
         gate = F.when(F.col("event_id") <= 0, F.lit("INVALID_EVENT"))
     held = t.bookings.select("event_id", "customer_id", F.lit(True).alias("held"))
-    r = (r.withColumn("_gate", gate)
-         .withColumn("_valid", F.col("_gate").isNull() & F.col("event_time").isNotNull()
-                     & (F.col("event_time") > F.col("requested_at")))
-         .join(held, ["event_id", "customer_id"], "left"))
+    # Checkpointed once: three branches read it (pair minimum, candidates,
+    # final outcome).  It keeps its hash partitioning on (event_id,
+    # customer_id), so the per-pair minimum and its join-back shuffle nothing.
+    r = materialize(r.withColumn("_gate", gate)
+                    .withColumn("_valid", F.col("_gate").isNull() & F.col("event_time").isNotNull()
+                                & (F.col("event_time") > F.col("requested_at")))
+                    .join(held, ["event_id", "customer_id"], "left"))
     first = (r.filter("_valid").groupBy("event_id", "customer_id")
              .agg(F.min("request_id").alias("first_req")))
     r = r.join(first, ["event_id", "customer_id"], "left")
@@ -219,9 +222,9 @@ def cancel_bookings(t: Tables, cancels: DataFrame, check_role: bool = True) -> D
             .when(F.col("booking_id") <= 0, F.lit("MISSING"))
     else:
         gate = F.when(F.col("booking_id") <= 0, F.lit("MISSING"))
-    r = r.withColumn("_gate", gate).withColumn(
+    r = materialize(r.withColumn("_gate", gate).withColumn(
         "_ok", F.col("_gate").isNull() & F.col("event_time").isNotNull()
-        & (F.col("event_time") > F.col("requested_at")))
+        & (F.col("event_time") > F.col("requested_at"))))
     first = r.filter("_ok").groupBy("booking_id").agg(F.min("request_id").alias("first_ok"))
     r = r.join(first, "booking_id", "left")
     outcome = (F.when(F.col("_gate").isNotNull(), F.col("_gate"))
