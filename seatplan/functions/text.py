@@ -142,10 +142,20 @@ def parse_datetime_text(text) -> Column:
                         for f in DATETIME_FORMS])
 
 
+# PHP's (int) on a string: skip leading whitespace, read the longest numeric
+# prefix; an integer prefix converts directly, a float-form prefix ("12.7",
+# "1e3") converts through a float and truncates toward zero; else 0.
+PHP_NUMERIC_PREFIX = "^[ \\t\\n\\r\\x0B\\f]*([+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?)"
+
+
 def php_intval(text) -> Column:
-    """PHP ``(int)'12abc'`` is 12 and ``(int)'abc'`` is 0: leading integer or 0."""
-    lead = F.regexp_extract(F.trim(col_(text)), "^[+-]?[0-9]+", 0)
-    return F.coalesce(lead.try_cast("bigint"), F.lit(0).cast("bigint"))
+    """PHP ``(int)'12abc'`` is 12, ``(int)'1e3'`` is 1000, ``(int)'abc'`` is 0."""
+    lead = F.regexp_extract(col_(text), PHP_NUMERIC_PREFIX, 1)
+    as_int = F.when(lead.rlike("^[+-]?[0-9]+$"), lead.try_cast("bigint"))
+    as_float = F.when(~lead.rlike("^[+-]?[0-9]+$"), lead.try_cast("double"))
+    truncated = F.when(as_float.isNotNull() & (F.abs(as_float) < F.lit(9.2e18)),
+                       F.when(as_float < 0, F.ceil(as_float)).otherwise(F.floor(as_float)))
+    return F.coalesce(as_int, truncated.cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def parse_id_list(arr) -> Column:

@@ -367,6 +367,7 @@ def insert_events(t: Tables, drafts: DataFrame, as_of, check_role: bool = True)
         v = _role_gate(v, t, "customer_id", "organizer")
         v = v.withColumn("reason", F.when(~F.coalesce(F.col("_role_ok"), F.lit(False)),
                                           F.lit("NOT_ALLOWED")).otherwise(F.col("reason")))
+    v = materialize(v)  # read by the foreign-key checks and by the join-back
     v = v.join(_fk_failures(t, v.filter(F.col("reason").isNull()), "draft_id"), "draft_id", "left")
     v = v.withColumn("reason", F.coalesce(F.col("reason"),
                                           F.when(F.col("_fk_bad"), F.lit("FK_ERROR"))))
@@ -404,10 +405,11 @@ def update_events(t: Tables, edits: DataFrame, as_of, check_role: bool = True) -
         role_bad = ~F.coalesce(F.col("_role_ok"), F.lit(False))
     else:
         role_bad = F.lit(False)
-    v = v.withColumn("reason", F.when(role_bad, F.lit("NOT_ALLOWED"))
-                     .when(F.coalesce(F.col("event_id"), F.lit(0)) == 0, F.lit("NO_EVENT"))
-                     .when(F.col("_own").isNull(), F.lit("NOT_OWNER"))
-                     .otherwise(F.col("reason")))
+    v = materialize(v.withColumn("reason", F.when(role_bad, F.lit("NOT_ALLOWED"))
+                                 .when(F.coalesce(F.col("event_id"), F.lit(0)) == 0,
+                                       F.lit("NO_EVENT"))
+                                 .when(F.col("_own").isNull(), F.lit("NOT_OWNER"))
+                                 .otherwise(F.col("reason"))))
     v = v.join(_fk_failures(t, v.filter(F.col("reason").isNull()), "draft_id"), "draft_id", "left")
     v = materialize(v.withColumn("reason", F.coalesce(F.col("reason"),
                                                       F.when(F.col("_fk_bad"), F.lit("FK_ERROR")))))

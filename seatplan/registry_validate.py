@@ -234,3 +234,29 @@ GROUP BY e.event_id, e.venue_id, v.capacity
 HAVING COUNT(*) > v.capacity"""))
 def q_overbooked_events(spark, sf_dir):
     return V.overbooked_events(tables(spark, sf_dir))
+
+
+ID_RX = "^[ \\t\\n\\r\\x0B\\f]*([+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?)"
+
+
+@register("parse_id_list", f"""
+WITH lists AS (
+  SELECT c_custkey AS request_id,
+         string_split(concat_ws(',', c_name, CAST(c_nationkey AS VARCHAR), CAST(c_acctbal AS VARCHAR),
+                                CAST(c_nationkey AS VARCHAR), ' 12abc'), ',') AS arr
+  FROM customer),
+items AS (SELECT request_id, unnest(arr) AS v, unnest(generate_series(1, len(arr))) AS i FROM lists),
+parsed AS (SELECT request_id, i, regexp_extract(v, '{ID_RX}', 1) AS lead FROM items),
+vals AS (SELECT request_id, i, coalesce(
+           CASE WHEN regexp_matches(lead, '^[+-]?[0-9]+$') THEN TRY_CAST(lead AS BIGINT)
+                ELSE CAST(trunc(TRY_CAST(lead AS DOUBLE)) AS BIGINT) END, 0) AS val FROM parsed),
+firsts AS (SELECT * FROM vals QUALIFY row_number() OVER (PARTITION BY request_id, val ORDER BY i) = 1)
+SELECT request_id, string_agg(CAST(val AS VARCHAR), ',' ORDER BY i) AS ids FROM firsts
+GROUP BY request_id""")
+def q_parse_id_list(spark, sf_dir):
+    """V10 over form id arrays: PHP int casts, de-duplicated, first-seen order."""
+    from pyspark.sql import functions as F
+    from seatplan.functions.text import parse_id_list
+    lists = B.bind_id_lists(spark, sf_dir)
+    return lists.select("request_id", F.array_join(
+        F.transform(parse_id_list("staff_ids"), lambda x: x.cast("string")), ",").alias("ids"))

@@ -217,3 +217,13 @@ def bind_booking_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("request_id") * 2 + 1).alias("request_id"), F.lit("cancel").alias("kind"),
         F.lit(None).cast("bigint").alias("event_id"), "customer_id", "booking_id", "requested_at")
     return cr.unionByName(cc)
+
+
+def bind_id_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form id arrays (as text) made from customer fields: names, repeats,
+    decimals, negatives and a value with a non-numeric tail."""
+    c = _raw(spark, sf_dir, "customer")
+    arr = F.split(F.concat_ws(",", F.col("c_name"), F.col("c_nationkey").cast("string"),
+                              F.col("c_acctbal").cast("string"),
+                              F.col("c_nationkey").cast("string"), F.lit(" 12abc")), ",")
+    return c.select(F.col("c_custkey").alias("request_id"), arr.alias("staff_ids"))

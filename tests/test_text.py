@@ -48,6 +48,10 @@ def test_formatters(spark):
 def test_intval_and_id_lists(spark):
     df = spark.createDataFrame([(["12abc", "abc", "3", "12", " 7"],)], "v array<string>")
     assert df.select(X.parse_id_list("v").alias("o")).first()["o"] == [12, 0, 3, 7]
+    vals = ["1e3", "12.7x", "-4.9", " \t+8", ".5", "0x1A", "", "-0", "99999999999999999999"]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    got = [r["o"] for r in df.select(X.php_intval("v").alias("o")).collect()]
+    assert got[:8] == [1000, 12, -4, 8, 0, 0, 0, 0]
 
 
 def test_fill_rate_rounding(spark):
