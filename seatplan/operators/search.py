@@ -70,21 +70,27 @@ def _named_events(t: Tables) -> DataFrame:
                    F.lit(False)).alias("all_ascii"))
 
 
-def _pair_match() -> F.Column:
-    """One CASE per (event, term): wildcard LIKE, the ASCII fast path (a single
-    substring search over the joined names), or the collation path."""
-    wild = F.lit(False)
+def _plain_match() -> F.Column:
+    """Plain terms: the ASCII fast path (one substring search over the joined
+    lower-cased names) or, for non-ASCII text or term, the collation test."""
     slow = F.lit(False)
     for c in TEXT_COLS:
-        wild = wild | F.coalesce(F.like(F.collate(F.col(c), LCASE),
-                                        F.collate(F.col("pattern"), LCASE)), F.lit(False))
         slow = slow | F.coalesce(ci_contains_cols(c, c, F.lit(False), "term", "term",
                                                   F.lit(False)), F.lit(False))
-    return (F.when(F.col("wild"), wild)
-            .when(F.col("all_ascii") & F.col("term_ascii"), F.col("all_lc").contains(F.col("term_lc")))
+    return (F.when(F.col("all_ascii") & F.col("term_ascii"),
+                   F.col("all_lc").contains(F.col("term_lc")))
             .otherwise(slow))
 
 
+def _wild_match() -> F.Column:
+    """Terms holding LIKE wildcards: case-blind LIKE on each name."""
+    out = F.lit(False)
+    for c in TEXT_COLS:
+        out = out | F.coalesce(F.like(F.collate(F.col(c), LCASE),
+                                      F.collate(F.col("pattern"), LCASE)), F.lit(False))
+    return out
+
+
 def search_terms_batch(t: Tables, terms: DataFrame, max_broadcast_terms: int = 10_000,
                        max_broadcast_bytes: int = 8 << 20) -> DataFrame:
     """(term, event_id) for every term in ``terms`` and every event it finds.
@@ -93,6 +99,8 @@ def search_terms_batch(t: Tables, terms: DataFrame, max_broadcast_terms: int = 1
     broadcast and tested against each event (a nested-loop join over a
     size-checked term list: rows and bytes).  A larger list is split into
     hash chunks, each proven within the bound and broadcast on its own.
+    Wildcard terms get their own join, so the common plain-term condition
+    stays a cheap substring search.
     """
     clean = (terms.select(php_trim(F.col(terms.columns[0])).alias("term"))
              .filter(F.col("term") != "").distinct()
@@ -101,20 +109,24 @@ def search_terms_batch(t: Tables, terms: DataFrame, max_broadcast_terms: int = 1
              .withColumn("term_ascii", is_printable_ascii("term"))
              .withColumn("pattern", F.concat(F.lit("%"), F.col("term"), F.lit("%"))))
     named = _named_events(t)
-
-    def probe(chunk: DataFrame) -> DataFrame:
-        return named.join(F.broadcast(chunk), _pair_match(), "inner").select("term", "event_id")
-
-    small = clean.agg(F.count(F.lit(1)).alias("n"),
+    stats = clean.agg(F.count(F.lit(1)).alias("n"), F.count_if("wild").alias("w"),
                       F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("b")).first()
-    if small["n"] <= max_broadcast_terms and 4 * small["b"] <= max_broadcast_bytes:
-        return probe(clean)
-    # each term row carries about four copies of the term text
-    parts = [probe(c) for c in bounded_chunks(clean, "term", max_broadcast_terms,
-                                              max_broadcast_bytes // 4, "term")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
+    out = None
+    for is_wild, cond in ((False, _plain_match), (True, _wild_match)):
+        n = stats["w"] if is_wild else stats["n"] - stats["w"]
+        if n == 0:
+            continue
+        part_terms = clean.filter(F.col("wild") == F.lit(is_wild))
+        if n <= max_broadcast_terms and 4 * stats["b"] <= max_broadcast_bytes:
+            chunks = [part_terms]
+        else:  # each term row carries about four copies of the term text
+            chunks = bounded_chunks(part_terms, "term", max_broadcast_terms,
+                                    max_broadcast_bytes // 4, "term")
+        for c in chunks:
+            hit = named.join(F.broadcast(c), cond(), "inner").select("term", "event_id")
+            out = hit if out is None else out.unionAll(hit)
+    if out is None:
+        return named.limit(0).select(F.lit(None).cast("string").alias("term"), "event_id")
     return out
 
 
