@@ -221,9 +221,13 @@ def _dup_excess(df: DataFrame, keys: list, table: str, rule: str) -> DataFrame:
 
 def _orphans(child: DataFrame, key: str, parent: DataFrame, pkey: str, table: str,
              rule: str) -> DataFrame:
+    """Child rows whose key has no parent row.  Both sides are reduced to
+    distinct keys first (child keys with their row counts, map-side
+    combined), so the anti join moves keys, not child rows."""
     keys = parent.select(F.col(pkey).alias(key)).distinct()
-    return (child.select(key).join(keys, key, "left_anti")
-            .agg(F.count(F.lit(1)).cast("bigint").alias("violations"))
+    per_key = child.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return (per_key.join(keys, key, "left_anti")
+            .agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("violations"))
             .select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "violations"))
 
 
