@@ -44,11 +44,6 @@ def email_is_valid(c) -> Column:
             & (F.length(local) <= 64) & (F.length(e) <= 254))
 
 
-def ci_equal(a, b) -> Column:
-    """Equality under the accent/case-blind, trailing-space-blind collation."""
-    return F.collate(col_(a), CI_AI_RTRIM) == F.collate(col_(b), CI_AI_RTRIM)
-
-
 def ci_key(c) -> Column:
     """A collated column usable as a join or partition key (hash-partitionable)."""
     return F.collate(col_(c), CI_AI_RTRIM)

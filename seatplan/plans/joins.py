@@ -1,4 +1,4 @@
-"""Join helpers with an explicit size check before any broadcast."""
+"""Size-proven broadcast inputs for joins that have no equi-key."""
 
 from __future__ import annotations
 
@@ -6,28 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def row_count_at_most(df: DataFrame, bound: int) -> bool:
-    """True when ``df`` has at most ``bound`` rows.
-
-    Runs ``limit(bound + 1).count()``: every task stops after ``bound + 1``
-    rows, so the check costs little even on a large input.
-    """
-    return df.limit(bound + 1).count() <= bound
-
-
-def broadcast_if_bounded(df: DataFrame, bound: int) -> tuple[DataFrame, bool]:
-    """Hint a broadcast only when the row count is proven to be <= ``bound``."""
-    if row_count_at_most(df, bound):
-        return F.broadcast(df), True
-    return df, False
-
-
-def chunks_by_hash(df: DataFrame, key: str, n_chunks: int) -> list[DataFrame]:
-    """Split ``df`` into ``n_chunks`` disjoint parts by a hash of ``key``."""
-    h = F.pmod(F.xxhash64(F.col(key)), F.lit(n_chunks))
-    return [df.filter(h == i) for i in range(n_chunks)]
-
-
 def bounded_chunks(df: DataFrame, key: str, max_rows: int, max_bytes: int,
                    size_col: str) -> list[DataFrame]:
     """Split ``df`` into hash chunks, each proven to hold at most ``max_rows``

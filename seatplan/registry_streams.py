@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
 
 from seatplan.plans.lineage import scratch_path
 from seatplan.registry import register, tables

@@ -1,7 +1,6 @@
 import datetime as dt
 from decimal import Decimal
 
-from pyspark.sql import functions as F
 
 from seatplan.functions import text as X
 from seatplan.operators.reports import fill_rate_expr
