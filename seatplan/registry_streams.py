@@ -18,7 +18,7 @@ from seatplan.streaming.files import write_in_order
 
 def _run_admissions(spark, sf_dir):
     root = scratch_path(spark, f"stream-admissions-{uuid.uuid4().hex}")
-    write_in_order(B.bind_booking_commands(spark, sf_dir), f"{root}/in", "request_id", 4)
+    write_in_order(B.bind_booking_commands(spark, sf_dir), f"{root}/in", "request_id", 2)
     q = S.start_stream_admissions(spark, tables(spark, sf_dir), f"{root}/in", f"{root}/out",
                                   f"{root}/ckpt")
     q.awaitTermination()
