@@ -77,7 +77,7 @@ def validate_events(drafts: DataFrame, as_of) -> DataFrame:
     trigger rejects it.
     """
     now = _ts(as_of)
-    name = normalize_text("event_name")
+    name = F.coalesce(normalize_text("event_name"), F.lit(""))  # a missing field reads as ""
     ts = parse_datetime_text("event_time")
     budget = F.coalesce(F.col("budget").cast("double"), F.lit(0.0))
     stored = budget.try_cast("decimal(12,2)")
@@ -101,8 +101,8 @@ def validate_events(drafts: DataFrame, as_of) -> DataFrame:
 
 # ----------------------------------------------------------- V04-V06 resources
 def validate_venues(rows: DataFrame) -> DataFrame:
-    df = (rows.withColumn("venue_name", normalize_text("venue_name"))
-          .withColumn("address", normalize_text("address"))
+    df = (rows.withColumn("venue_name", F.coalesce(normalize_text("venue_name"), F.lit("")))
+          .withColumn("address", F.coalesce(normalize_text("address"), F.lit("")))
           .withColumn("capacity", php_intval(F.col("capacity").cast("string")).cast("int")))
     reason = first_failure(
         ((F.col("venue_name") == "") | (F.col("address") == "") | (F.col("capacity") <= 0),

@@ -201,7 +201,7 @@ SELECT *, CASE
     WHEN length(name_n) > 150 THEN 'TOO_LONG'
     WHEN NOT EXISTS (SELECT 1 FROM venues v WHERE v.venue_id = d.venue_id) THEN 'FK_ERROR'
   END AS reason
-FROM (SELECT x.*, {norm('x.event_name')} AS name_n, {TS_SQL.replace('event_time', 'x.event_time')}
+FROM (SELECT x.*, coalesce({norm('x.event_name')}, '') AS name_n, {TS_SQL.replace('event_time', 'x.event_time')}
              AS ts, cu.role
       FROM {src} x LEFT JOIN customers cu ON cu.customer_id = x.customer_id) d"""
 
@@ -268,7 +268,8 @@ SELECT request_id,
   coalesce(reason, 'CREATED') AS outcome
 FROM (SELECT *, CASE WHEN venue_name = '' OR address = '' OR capacity <= 0 THEN 'VENUE_FIELDS'
                  WHEN length(venue_name) > 120 OR length(address) > 255 THEN 'TOO_LONG' END AS reason
-  FROM (SELECT request_id, {norm('venue_name')} AS venue_name, {norm('address')} AS address,
+  FROM (SELECT request_id, coalesce({norm('venue_name')}, '') AS venue_name,
+               coalesce({norm('address')}, '') AS address,
                CAST(coalesce(TRY_CAST(regexp_extract(trim(capacity), '^[+-]?[0-9]+', 0) AS BIGINT), 0)
                     AS INT) AS capacity FROM venue_rows) d) r"""))
 def q_insert_resources(spark, sf_dir):

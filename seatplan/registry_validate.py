@@ -36,7 +36,7 @@ SELECT draft_id, reason, {status()} FROM (
     WHEN coalesce(budget, 0) <= 0 THEN 'BAD_BUDGET'
     WHEN CAST(budget AS DECIMAL(12,2)) <= 0 THEN 'BUDGET_NOT_POSITIVE'
     WHEN length(name_n) > 150 THEN 'TOO_LONG' END AS reason
-  FROM (SELECT *, {norm('event_name')} AS name_n, {TS_SQL} AS ts FROM event_drafts) d) r""")
+  FROM (SELECT *, coalesce({norm('event_name')}, '') AS name_n, {TS_SQL} AS ts FROM event_drafts) d) r""")
 
 
 @register("validate_events", _VALIDATE_EVENTS_SQL)
@@ -49,7 +49,8 @@ def q_validate_events(spark, sf_dir):
 SELECT request_id, venue_name, address, capacity, reason, {status()} FROM (
   SELECT *, CASE WHEN venue_name = '' OR address = '' OR capacity <= 0 THEN 'VENUE_FIELDS'
                  WHEN length(venue_name) > 120 OR length(address) > 255 THEN 'TOO_LONG' END AS reason
-  FROM (SELECT request_id, {norm('venue_name')} AS venue_name, {norm('address')} AS address,
+  FROM (SELECT request_id, coalesce({norm('venue_name')}, '') AS venue_name,
+               coalesce({norm('address')}, '') AS address,
                CAST(coalesce(TRY_CAST(regexp_extract(trim(capacity), '^[+-]?[0-9]+', 0) AS BIGINT), 0)
                     AS INT) AS capacity
         FROM venue_rows) d) r"""))

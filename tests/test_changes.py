@@ -147,3 +147,21 @@ def test_integrity_and_overbooked(spark, seed):
     ob = {r["event_id"]: r["excess"] for r in V.overbooked_events(bad).collect()}
     assert ob == {1: 1}
     assert make_tables  # fixture helper importable
+
+
+def test_null_fields_and_accented_login(spark, seed):
+    rows = [(20, 1, 1, None, "2026-05-01T10:00", 5.0, None, None),
+            (21, 1, 1, "ok", None, 5.0, None, None),
+            (22, 1, None, "ok", "2026-05-01T10:00", None, None, None)]
+    got = {r["draft_id"]: r["reason"] for r in
+           V.validate_events(drafts(spark, rows), SEED_AS_OF).collect()}
+    assert got == {20: "REQUIRED", 21: "REQUIRED", 22: "REQUIRED"}
+    v = spark.createDataFrame([(1, None, "a", "5"), (2, "n", None, "5")],
+                              "request_id long, venue_name string, address string, "
+                              "capacity string")
+    assert {r["reason"] for r in V.validate_venues(v).collect()} == {"VENUE_FIELDS"}
+    from seatplan.operators.search import account_by_email
+    emails = spark.createDataFrame([(1, "LÍA.Guest@Example.com  "), (2, "nobody@x.com")],
+                                   "request_id long, email string")
+    hits = [(r["request_id"], r["customer_id"]) for r in account_by_email(seed, emails).collect()]
+    assert hits == [(1, 3)]
