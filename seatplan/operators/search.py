@@ -64,7 +64,7 @@ def _named_events(t: Tables) -> DataFrame:
              .join(t.customers.select("customer_id", F.col("name").alias("organizer_name")),
                    "customer_id"))
     return named.select(
-        "event_id", *TEXT_COLS,
+        "event_id", *TEXT_COLS, *[F.lower(c).alias(f"{c}_lc") for c in TEXT_COLS],
         F.concat_ws(SEP, *[F.lower(c) for c in TEXT_COLS]).alias("all_lc"),
         F.coalesce(F.concat_ws(SEP, *TEXT_COLS).rlike("^[\\x20-\\x7E\\x01]*$"),
                    F.lit(False)).alias("all_ascii"))
@@ -91,16 +91,46 @@ def _wild_match() -> F.Column:
     return out
 
 
+def _wild_literal(named: DataFrame, wild_terms: DataFrame, per_pass: int = 64) -> DataFrame:
+    """Wildcard terms as literal LIKE patterns.  The term list is small (the
+    caller proved it), so it is read once and each term becomes one CASE in a
+    projection; ``per_pass`` terms share one scan of the events."""
+    terms = sorted(r["term"] for r in wild_terms.select("term").collect())
+    out = None
+    for i in range(0, len(terms), per_pass):
+        hits = []
+        for term in terms[i:i + per_pass]:
+            pat = "%" + term + "%"
+            slow = F.lit(False)
+            for c in TEXT_COLS:
+                slow = slow | F.coalesce(F.collate(F.col(c), LCASE).like(pat), F.lit(False))
+            if all(0x20 <= ord(ch) <= 0x7E for ch in term):
+                # printable ASCII on both sides: lower-case both, plain LIKE
+                fast = F.lit(False)
+                for c in TEXT_COLS:
+                    fast = fast | F.coalesce(F.col(f"{c}_lc").like(pat.lower()), F.lit(False))
+                m = F.when(F.col("all_ascii"), fast).otherwise(slow)
+            else:
+                m = slow
+            hits.append(F.when(m, F.lit(term)))
+        part = named.select("event_id", F.explode(F.array_compact(F.array(*hits))).alias("term"))
+        out = part if out is None else out.unionAll(part)
+    return out.select("term", "event_id")
+
+
 def search_terms_batch(t: Tables, terms: DataFrame, max_broadcast_terms: int = 10_000,
-                       max_broadcast_bytes: int = 8 << 20) -> DataFrame:
+                       max_broadcast_bytes: int = 8 << 20,
+                       max_literal_wild_terms: int = 512) -> DataFrame:
     """(term, event_id) for every term in ``terms`` and every event it finds.
 
     A term-vs-event substring test has no equi-key, so the term list is
     broadcast and tested against each event (a nested-loop join over a
     size-checked term list: rows and bytes).  A larger list is split into
     hash chunks, each proven within the bound and broadcast on its own.
-    Wildcard terms get their own join, so the common plain-term condition
-    stays a cheap substring search.
+    Wildcard terms are handled apart, so the common plain-term condition
+    stays a cheap substring search: up to ``max_literal_wild_terms`` of them
+    (a list proven that small) become literal LIKE patterns, compiled once per
+    task instead of once per (event, term) pair; more take the nested loop.
     """
     clean = (terms.select(php_trim(F.col(terms.columns[0])).alias("term"))
              .filter(F.col("term") != "").distinct()
@@ -117,6 +147,10 @@ def search_terms_batch(t: Tables, terms: DataFrame, max_broadcast_terms: int = 1
         if n == 0:
             continue
         part_terms = clean.filter(F.col("wild") == F.lit(is_wild))
+        if is_wild and n <= max_literal_wild_terms:
+            hit = _wild_literal(named, part_terms)
+            out = hit if out is None else out.unionAll(hit)
+            continue
         if n <= max_broadcast_terms and 4 * stats["b"] <= max_broadcast_bytes:
             chunks = [part_terms]
         else:  # each term row carries about four copies of the term text
