@@ -118,9 +118,14 @@ def main() -> None:
         times[name] = round(statistics.median(runs), 3)
         print(f"# {name}: {times[name]}s", file=sys.stderr, flush=True)
     headline = {k: v for k, v in times.items() if k != "event_catalogue_fanout_sql"}
-    print(json.dumps({"metric": "sum_of_median_query_seconds", "value": round(sum(headline.values()), 3),
-                      "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")),
-                      "cpus": cpus, "repeat": repeat}))
+    name = os.path.basename(sf_dir.rstrip("/"))
+    try:
+        sf = float(name[2:]) if name.startswith("sf") else name
+    except ValueError:
+        sf = name
+    print(json.dumps({"metric": "sum_of_median_query_seconds",
+                      "value": round(sum(headline.values()), 3), "unit": "sec",
+                      "queries": times, "sf": sf, "cpus": cpus, "repeat": repeat}))
 
 
 if __name__ == "__main__":
