@@ -24,11 +24,13 @@ from seatplan.sources.tables import Tables
 
 
 def _ts(as_of) -> Column:
+    """A timestamp_ntz clock value.  Built from ISO text, so no session or
+    process time zone takes part in the conversion."""
     if isinstance(as_of, Column):
         return as_of
     if isinstance(as_of, str):
         as_of = dt.datetime.fromisoformat(as_of)
-    return F.lit(as_of).cast("timestamp_ntz")
+    return F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def _filter_ids(df: DataFrame, col: str, ids) -> DataFrame:

@@ -18,7 +18,7 @@ AS_OF = dt.datetime(2000, 1, 1, 0, 0, 0)
 
 
 def as_of_lit(ts: dt.datetime = AS_OF):
-    return F.lit(ts).cast("timestamp_ntz")
+    return F.lit(ts.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def _raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -113,3 +113,14 @@ def test_term_batch_chunks(spark, seed):
                            ("culture", 3), ("hall", 1)}
     hits = {r["term"]: r["hits"] for r in S.search_hit_counts(seed, terms).collect()}
     assert hits["hall"] == 1 and hits["rina"] == 2 and "" not in hits
+
+
+def test_clock_is_zone_free(spark, seed):
+    at = dt.datetime(2026, 5, 22, 14, 0)
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Dhaka")
+        assert [r["event_id"] for r in R.upcoming_events(seed, at).collect()] == [2, 3]
+        assert {r["event_id"]: r["is_past"] for r in R.event_state(seed, at).collect()}[2]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
