@@ -213,8 +213,11 @@ def validate_profile_updates(t: Tables, updates: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------- V09 integrity report
 def _dup_excess(df: DataFrame, keys: list, table: str, rule: str) -> DataFrame:
-    """Rows beyond the first per key value (0 when the key is unique)."""
-    g = df.groupBy(*keys).count().filter(F.col("count") > 1)
+    """Rows beyond the first per non-NULL key value (0 when the key is unique)."""
+    nn = None
+    for k in keys:
+        nn = F.col(k).isNotNull() if nn is None else nn & F.col(k).isNotNull()
+    g = df.filter(nn).groupBy(*keys).count().filter(F.col("count") > 1)
     return g.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("violations")) \
         .select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "violations")
 
@@ -231,11 +234,23 @@ def _orphans(child: DataFrame, key: str, parent: DataFrame, pkey: str, table: st
             .select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "violations"))
 
 
-def _row_rules(df: DataFrame, table: str, rules: dict[str, Column]) -> DataFrame:
-    """Many row-level rules in one scan: count_if per rule, then unpivot."""
-    one = df.agg(*[F.count_if(F.coalesce(c, F.lit(False))).cast("bigint").alias(r)
-                   for r, c in rules.items()])
-    return (one.unpivot([], list(rules), "rule", "violations")
+def _row_rules(df: DataFrame, table: str, rules: dict[str, Column],
+               pk: list[str] | None = None) -> DataFrame:
+    """Many rules in one scan: count_if per row rule and, for the primary key,
+    count(key) - count(distinct key) (rows beyond the first per non-NULL key;
+    one shuffle on the key carries the partial counts), then unpivot."""
+    aggs = [F.count_if(F.coalesce(c, F.lit(False))).cast("bigint").alias(r)
+            for r, c in rules.items()]
+    names = list(rules)
+    if pk:
+        nn = None
+        for k in pk:
+            nn = F.col(k).isNotNull() if nn is None else nn & F.col(k).isNotNull()
+        aggs.append((F.count(F.when(nn, F.lit(1))) - F.count_distinct(*pk)).cast("bigint")
+                    .alias("primary_key"))
+        names.append("primary_key")
+    one = df.agg(*aggs)
+    return (one.unpivot([], names, "rule", "violations")
             .select(F.lit(table).alias("table_name"), "rule", "violations"))
 
 
@@ -257,44 +272,39 @@ def integrity_report(t: Tables) -> DataFrame:
     c, v, s, p = t.customers, t.venues, t.staff, t.suppliers
     e, b, a = t.events, t.bookings, t.booking_audit_log
     parts = [
-        _dup_excess(c, ["customer_id"], "customers", "primary_key"),
         _dup_excess(c.select(_email_key("email").alias("ek")).filter(F.col("ek").isNotNull()),
                     ["ek"], "customers", "unique:email"),
         _row_rules(c, "customers", {
             **_nn("customer_id", "name", "phone", "email", "password", "role"),
             "enum:role": ~F.col("role").isin("customer", "organizer"),
             "check:password_length": F.char_length("password") < 6,
-            **_len(name=100, phone=20, email=120, password=255)}),
-        _dup_excess(v, ["venue_id"], "venues", "primary_key"),
+            **_len(name=100, phone=20, email=120, password=255)}, pk=["customer_id"]),
         _row_rules(v, "venues", {**_nn("venue_id", "venue_name", "address", "capacity"),
-                                 **_len(venue_name=120, address=255)}),
-        _dup_excess(s, ["staff_id"], "staff", "primary_key"),
+                                 **_len(venue_name=120, address=255)}, pk=["venue_id"]),
         _row_rules(s, "staff", {**_nn("staff_id", "name", "role", "phone"),
-                                **_len(name=100, role=100, phone=20)}),
-        _dup_excess(p, ["supplier_id"], "suppliers", "primary_key"),
+                                **_len(name=100, role=100, phone=20)}, pk=["staff_id"]),
         _row_rules(p, "suppliers", {**_nn("supplier_id", "name", "phone", "service_type"),
-                                    **_len(name=100, phone=20, service_type=120)}),
-        _dup_excess(e, ["event_id"], "events", "primary_key"),
+                                    **_len(name=100, phone=20, service_type=120)},
+                   pk=["supplier_id"]),
         _row_rules(e, "events", {**_nn("event_id", "customer_id", "venue_id", "event_name",
-                                       "event_time", "budget"), **_len(event_name=150)}),
+                                       "event_time", "budget"), **_len(event_name=150)},
+                   pk=["event_id"]),
         _orphans(e, "customer_id", c, "customer_id", "events", "foreign_key:customer_id"),
         _orphans(e, "venue_id", v, "venue_id", "events", "foreign_key:venue_id"),
-        _dup_excess(b, ["booking_id"], "bookings", "primary_key"),
         _dup_excess(b, ["event_id", "customer_id"], "bookings", "unique:event_customer"),
-        _row_rules(b, "bookings", _nn("booking_id", "booking_date", "event_id", "customer_id")),
+        _row_rules(b, "bookings", _nn("booking_id", "booking_date", "event_id", "customer_id"),
+                   pk=["booking_id"]),
         _orphans(b, "event_id", e, "event_id", "bookings", "foreign_key:event_id"),
         _orphans(b, "customer_id", c, "customer_id", "bookings", "foreign_key:customer_id"),
-        _dup_excess(a, ["audit_id"], "booking_audit_log", "primary_key"),
         _row_rules(a, "booking_audit_log", {
             **_nn("audit_id", "event_id", "customer_id", "action_type", "action_note",
                   "action_time"),
             "enum:action_type": ~F.col("action_type").isin("BOOKED", "CANCELLED"),
-            **_len(action_note=255)}),
-        _dup_excess(t.event_staff, ["event_id", "staff_id"], "event_staff", "primary_key"),
+            **_len(action_note=255)}, pk=["audit_id"]),
+        _row_rules(t.event_staff, "event_staff", {}, pk=["event_id", "staff_id"]),
         _orphans(t.event_staff, "event_id", e, "event_id", "event_staff", "foreign_key:event_id"),
         _orphans(t.event_staff, "staff_id", s, "staff_id", "event_staff", "foreign_key:staff_id"),
-        _dup_excess(t.event_suppliers, ["event_id", "supplier_id"], "event_suppliers",
-                    "primary_key"),
+        _row_rules(t.event_suppliers, "event_suppliers", {}, pk=["event_id", "supplier_id"]),
         _orphans(t.event_suppliers, "event_id", e, "event_id", "event_suppliers",
                  "foreign_key:event_id"),
         _orphans(t.event_suppliers, "supplier_id", p, "supplier_id", "event_suppliers",

@@ -137,8 +137,10 @@ def q_validate_profile_updates(spark, sf_dir):
 # Oracle for V09, written rule by rule as plain SQL counts.
 def _dup(t, keys, rule):
     k = ", ".join(keys)
+    nn = " AND ".join(f"{x} IS NOT NULL" for x in keys)
     return (f"SELECT '{t}' AS table_name, '{rule}' AS rule, CAST(coalesce(sum(n - 1), 0) AS BIGINT) "
-            f"AS violations FROM (SELECT count(*) AS n FROM {{src}} GROUP BY {k} HAVING count(*) > 1)")
+            f"AS violations FROM (SELECT count(*) AS n FROM {{src}} WHERE {nn} GROUP BY {k} "
+            f"HAVING count(*) > 1)")
 
 
 def _cnt(t, rule, where):
