@@ -324,3 +324,27 @@ def q_replay_commands(spark, sf_dir):
     """Mixed creates and cancels folded per event in request order (no SQL form)."""
     from seatplan.operators.replay import replay_commands
     return replay_commands(tables(spark, sf_dir), B.bind_booking_commands(spark, sf_dir))
+
+
+@register("catalogue_after_admissions", with_bindings("""
+SELECT e.event_id, COUNT(DISTINCT b.booking_id) AS booking_total
+FROM events_t e
+JOIN customers c ON e.customer_id = c.customer_id
+JOIN venues v ON e.venue_id = v.venue_id
+LEFT JOIN (SELECT booking_id, event_id FROM bookings
+           UNION ALL SELECT booking_id, event_id FROM adm WHERE outcome = 'BOOKED') b
+  ON e.event_id = b.event_id
+GROUP BY e.event_id""", extra=ADMIT_CTES))
+def q_catalogue_after_admissions(spark, sf_dir):
+    """W08 applied, published as a new snapshot version, read back, catalogued."""
+    import uuid
+
+    from seatplan.plans.lineage import scratch_path
+    from seatplan.sources.snapshot import publish, read_snapshot, write_snapshot
+    t = tables(spark, sf_dir)
+    res = C.apply_admissions(t, C.admit_bookings(t, B.bind_booking_requests(spark, sf_dir)))
+    root = scratch_path(spark, f"snapshot-{uuid.uuid4().hex}")
+    write_snapshot(spark, t.as_dict(), root, 1)
+    publish(spark, res.tables, root, 2, changed=["bookings", "booking_audit_log"])
+    from seatplan.operators import reports as R
+    return R.event_catalogue(read_snapshot(spark, root)).select("event_id", "booking_total")
