@@ -165,3 +165,24 @@ def test_null_fields_and_accented_login(spark, seed):
                                    "request_id long, email string")
     hits = [(r["request_id"], r["customer_id"]) for r in account_by_email(seed, emails).collect()]
     assert hits == [(1, 3)]
+
+
+def test_cancel_outcomes_and_messages(spark, seed):
+    c = spark.createDataFrame([(1, 1, 3, T(2026, 4, 21)), (2, 1, 3, T(2026, 4, 21)),
+                               (3, 2, 3, T(2026, 4, 21)), (4, 3, 3, T(2026, 6, 6)),
+                               (5, 0, 4, T(2026, 4, 21)), (6, 2, 1, T(2026, 4, 21))],
+                              schemas.CANCEL_REQUESTS)
+    out = C.cancel_bookings(seed, c)
+    got = {r["request_id"]: r["outcome"] for r in out.collect()}
+    # second cancel of booking 1 finds nothing; booking 2 is not customer 3's;
+    # booking 3's event is past at request time; id 0 fails the page check;
+    # customer 1 is an organizer
+    assert got == {1: "CANCELLED", 2: "MISSING", 3: "MISSING", 4: "PAST", 5: "MISSING",
+                   6: "NOT_ALLOWED"}
+    msgs = {r["request_id"]: r["user_message"] for r in C.cancellation_messages(out).collect()}
+    assert msgs[1] == "Booking cancelled successfully."
+    assert msgs[2] == "That booking could not be found."
+    assert msgs[4] == "Past events can no longer be cancelled."
+    res = C.apply_cancellations(seed, out)
+    assert res.tables.bookings.count() == 2
+    assert [(a["booking_id"], a["action_type"]) for a in res.audit.collect()] == [(1, "CANCELLED")]

@@ -124,3 +124,10 @@ def test_clock_is_zone_free(spark, seed):
         assert {r["event_id"]: r["is_past"] for r in R.event_state(seed, at).collect()}[2]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_viewer_action_search_page_label(spark, seed):
+    views = spark.createDataFrame([(1, 1, 3), (2, 2, 3)], "view_id long, viewer_id long, event_id long")
+    got = {r["view_id"]: r["action"] for r in
+           S.viewer_action(seed, views, SEED_AS_OF, page="search").collect()}
+    assert got == {1: "Edit", 2: None}
