@@ -131,3 +131,8 @@ def test_viewer_action_search_page_label(spark, seed):
     got = {r["view_id"]: r["action"] for r in
            S.viewer_action(seed, views, SEED_AS_OF, page="search").collect()}
     assert got == {1: "Edit", 2: None}
+
+
+def test_assignment_flags_unknown_event(seed):
+    rows = R.assignment_flags(seed, 999).collect()
+    assert len(rows) == 9 and not any(r["checked"] for r in rows)
