@@ -2,29 +2,43 @@
 
 A job that feeds one intermediate result to several sinks (new table state,
 audit rows, messages) checkpoints it once, so a lost executor re-reads the
-checkpoint instead of recomputing the whole upstream plan.  The directory
-comes from the cluster's ``spark.checkpoint.dir``; only when that is unset
-(local tests) do we pick one ourselves.
+checkpoint instead of recomputing the whole upstream plan.  The directory is
+the context's checkpoint directory, else the session's ``spark.checkpoint.dir``.
+Only a local master may run without either: it gets one temporary folder per
+driver process.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="seatplan-ckpt-")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Point the SparkContext at ``spark.checkpoint.dir``; set one only if unset."""
+    """The shared folder for checkpoints: the context's, else the session
+    setting's; a local master without one gets a temporary folder, any other
+    master raises."""
+    sc = spark.sparkContext
+    in_context = sc.getCheckpointDir()
+    if in_context:
+        return in_context
     path = spark.conf.get("spark.checkpoint.dir", None) or \
-        spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        # Local runs only: a cluster names a shared folder in its config.
-        path = tempfile.mkdtemp(prefix="seatplan-ckpt-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = _local_dir()
+    sc.setCheckpointDir(path)
+    return sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -34,5 +48,18 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A folder under the shared checkpoint dir for written intermediate tables."""
-    return os.path.join(ensure_checkpoint_dir(spark), "tables", name)
+    """A folder under the shared checkpoint directory, deleted when the driver's JVM ends."""
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", name)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
+
+
+def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder and read again.
+
+    Like :func:`materialize`, but columnar and compressed: for wide rows.
+    """
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -134,15 +134,8 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all() -> None:
     # Importing the modules runs their @register decorators.
-    from seatplan import registry_reports  # noqa: F401
-    for mod in ("seatplan.registry_text", "seatplan.registry_validate",
-                "seatplan.registry_changes", "seatplan.registry_streams",
-):
-        try:
-            __import__(mod)
-        except ModuleNotFoundError as exc:  # pragma: no cover - during build-up
-            if exc.name != mod:
-                raise
+    from seatplan import (  # noqa: F401
+        registry_changes, registry_reports, registry_streams, registry_text, registry_validate)
 
 
 def tables(spark: SparkSession, sf_dir: str):
