@@ -102,6 +102,8 @@ def exact_groups(docs: DataFrame, min_chunk: int = MIN_CHUNK, max_chunk: int = M
     best = F.max(F.struct(F.col("_points"), (-F.col("doc_id")).alias("_neg"), (-F.col("_row")).alias("_neg_row")))
     groups = (verified.groupBy("_ids").agg(F.count(F.lit(1)).alias("group_size"), best.alias("_best"))
               .filter("group_size > 1"))
+    # Checkpointed, so that the join deals out both sides itself and can split a hot group.
+    groups = materialize(groups)
     return (verified.join(groups, "_ids", "left")
             .select("doc_id",
                     F.when(F.col("_best").isNull(), F.col("doc_id")).otherwise(-F.col("_best._neg")).alias("keep_id"),
