@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seatplan.llm import bpe, exact_dedup, language_id, mixing, simhash, topk
+from seatplan.llm import bpe, exact_dedup, language_id, mixing, simhash, token_counts, topk
+from seatplan.plans.lineage import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +49,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).drop("_row")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the corpus as flat token files (id 50256 ends a document) and counts by separator scan."""
+    files = token_counts.flat_files(_table(spark, sf_dir, "documents"), byte_vocabulary(), eod=50256)
+    return token_counts.count_tokens(written(files, "token-files"), eod=50256)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, weight = mixing.with_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     mixed = mixing.mix_sources(docs.select("doc_id", "text", "source", weight.alias("_quality")), F.col("_quality"))
@@ -61,15 +68,16 @@ _QUERIES: dict[str, Query] = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_language_id": op6_language_id,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
 }
 
 _ORACLE: dict[str, str] = {
     "op3_exact_topk": r"""
         WITH v AS (
-          SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS v FROM embeddings
+          SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-            AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+            AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
         s AS (
           SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
           FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),

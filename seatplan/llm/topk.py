@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,11 +45,14 @@ def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
     return vectors.filter(usable).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
 
 
+def _lengths(column: pa.ChunkedArray) -> np.ndarray:
+    return pc.list_value_length(column).to_numpy()
+
+
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     """Rows of a list column as an int64 matrix, padded by zeros."""
-    lists = column.combine_chunks()
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    lengths = np.diff(lists.offsets.to_numpy())
+    flat = pc.list_flatten(column).to_numpy()
+    lengths = _lengths(column)
     if len(lengths) and (lengths == width).all():
         return flat.reshape(-1, width)
     out = np.zeros((len(lengths), width), np.int64)
@@ -107,11 +111,11 @@ def _cell(k: int):
     def run(key: tuple, queries: pa.Table, candidates: pa.Table) -> pa.Table:
         found = [(np.empty(0, np.int64),) * 3]
         if queries.num_rows and candidates.num_rows:
-            width = max(int(np.diff(t["v"].combine_chunks().offsets.to_numpy()).max()) for t in (queries, candidates))
-            order, qid, qfirst = _unique_rows(queries["vec_id"].to_numpy())
-            q = _matrix(queries["v"], width)[order]
-            order, cid, cfirst = _unique_rows(candidates["vec_id"].to_numpy())
-            c = _matrix(candidates["v"], width)[order]
+            width = max(int(_lengths(queries["qv"]).max()), int(_lengths(candidates["cv"]).max()))
+            order, qid, qfirst = _unique_rows(queries["query"].to_numpy())
+            q = _matrix(queries["qv"], width)[order]
+            order, cid, cfirst = _unique_rows(candidates["candidate"].to_numpy())
+            c = _matrix(candidates["cv"], width)[order]
             qstop, cstop = np.append(qfirst[1:], len(q)), np.append(cfirst[1:], len(c))
             for a in range(0, len(qid), TILE_ROWS):
                 rows = slice(a, min(a + TILE_ROWS, len(qid)))
@@ -160,8 +164,11 @@ def exact_topk(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFr
     def every(n):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    q = queries.select("vec_id", "v", shard("vec_id", qs, 1).alias("q"), every(cs).alias("c"))
-    c = candidates.select("vec_id", "v", every(qs).alias("q"), shard("vec_id", cs, 2).alias("c"))
+    # Names of their own on either side: both may come from one table.
+    q = queries.select(F.col("vec_id").alias("query"), F.col("v").alias("qv"),
+                       shard("vec_id", qs, 1).alias("q"), every(cs).alias("c"))
+    c = candidates.select(F.col("vec_id").alias("candidate"), F.col("v").alias("cv"),
+                          every(qs).alias("q"), shard("vec_id", cs, 2).alias("c"))
     schema = "node int, query_id long, vec_id long, score long"
     level = q.groupBy("q", "c").cogroup(c.groupBy("q", "c")).applyInArrow(_cell(k), schema)
     # One list of a query per candidate shard; a level of the tree merges FAN_IN of them.
