@@ -18,7 +18,6 @@ meet at stage 2; an empty table passes through every stage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from seatplan.llm import bpe, exact_dedup, language_id, mixing, simhash
 from seatplan.plans.lineage import written
@@ -43,10 +42,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rows, weight = mixing.with_quality(docs, labels)
-    weighted = rows.withColumn("_weight", weight).drop("_label")
-    return mixing.mixed_rows(weighted, F.col("_weight")).select(*docs.columns)
+    return mixing.mixed_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,12 +9,14 @@ document floor(r) complete epochs, and only the fraction left is sampled.
 No source is sorted in one task: keys fall into ``buckets`` ranges of equal
 probability, sizes are summed per (source, range) with map-side combine, and
 only the range in which the budget ends is ranked.  What reaches the documents
-is one threshold row per source, so their texts are never shuffled.
+is one threshold row per source.  Texts are scanned once for their sizes; the
+sampling moves narrow rows.
 
 Defined results: a null text has size 0; a null source is a source of its own
-and the last; rows that repeat ``doc_id`` and size share one key and are taken
-or left together; null or non-positive weights count as 1; an empty table
-gives an empty result; a corpus without words has targets of 0.
+and the last; rows that repeat a ``doc_id`` share a key and come one after the
+other; null or non-positive weights count as 1; a source without words is taken
+once; an empty table gives an empty result; a corpus without words has targets
+of 0.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seatplan.plans.lineage import materialize
+
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 8192
 #: No document is taken more often than this.
@@ -30,18 +34,36 @@ MAX_EPOCHS = 3
 BROADCAST_SOURCES = 20_000
 
 
-def with_keys(docs: DataFrame, seed: str, weight, buckets: int) -> DataFrame:
-    """``docs`` with its size, sampling key and key range as columns of a struct ``_mix``."""
+def measured(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(row, doc_id, source, size, weight) of every document, checkpointed.
+
+    The one scan of the texts; all that follows moves these narrow rows.
+    ``labels`` (doc_id, quality) covers some documents: quality 1 weighs 2,
+    quality 0 weighs 0.5, no label 1; of several labels of an id the highest
+    counts.
+    """
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+                         "source", size.alias("size"))
+    if labels is None:
+        return materialize(narrow.withColumn("weight", F.lit(1.0)))
+    best = labels.groupBy(F.col("doc_id").alias("_labelled")).agg(F.max("quality").alias("_label"))
+    weight = F.when(F.col("_label") == 1, 2.0).when(F.col("_label") == 0, 0.5).otherwise(1.0)
+    return materialize(narrow.join(best, narrow["doc_id"] == best["_labelled"], "left")
+                       .withColumn("weight", weight).drop("_labelled", "_label"))
+
+
+def _keyed(rows: DataFrame, seed: str, buckets: int) -> DataFrame:
+    """``rows`` with its sampling key's range and its place in key order."""
     text_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     hexes = F.substring(F.md5(F.concat(F.lit(seed + ":"), text_id)), 1, 13)
     u = (F.conv(hexes, 16, 10).cast("double") + 0.5) / F.lit(float(2 ** 52))
-    w = F.coalesce(weight.cast("double"), F.lit(1.0))
+    w = F.coalesce(F.col("weight").cast("double"), F.lit(1.0))
     key = -F.log(u) / F.when(w > 0, w).otherwise(1.0)
     # 1 - exp(-key) grows with the key and is uniform at weight 1.
     bucket = F.least(F.lit(buckets - 1), F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * buckets)).cast("int")
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return (docs.withColumn("_size", size).withColumn("_key", key).withColumn("_bucket", bucket)
-            .withColumn("_order", F.struct("_key", F.coalesce("doc_id", F.lit(-2 ** 63)).alias("_id"), "_size")))
+    return (rows.withColumn("_key", key).withColumn("_bucket", bucket)
+            .withColumn("_order", F.struct("_key", F.coalesce("doc_id", F.lit(-2 ** 63)).alias("_id"), "size", "row")))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3),
@@ -78,17 +100,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3),
     return shared.select("source", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, weight=None, seed: str = "mix", buckets: int = BUCKETS,
+def mix_sources(rows: DataFrame, seed: str = "mix", buckets: int = BUCKETS,
                 weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """``docs`` with all its columns plus ``_size, _source_size, _target, _copies``.
+    """``rows`` of :func:`measured` plus ``source_size, target, copies``.
 
-    ``_copies`` is how often the mix takes the row (0 to ``MAX_EPOCHS``).
-    ``weight`` is a quality weight column expression over ``docs`` (default 1).
-    ``docs`` needs ``doc_id, text, source``.
+    ``copies`` is how often the mix takes the row (0 to ``MAX_EPOCHS``).
     """
-    keyed = with_keys(docs, seed, F.lit(1.0) if weight is None else weight, buckets)
-    narrow = keyed.select("source", "_size", "_bucket", "_order")
-    in_range = narrow.groupBy("source", "_bucket").agg(F.sum("_size").alias("_sum"))
+    keyed = _keyed(rows, seed, buckets)
+    in_range = keyed.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     totals = in_range.groupBy("source").agg(F.sum("_sum").alias("source_size"))
     targets = (source_targets(totals, weights)
                .withColumn("_epochs", F.when(F.col("source_size") > 0, F.least(F.lit(MAX_EPOCHS), F.floor(
@@ -98,55 +117,40 @@ def mix_sources(docs: DataFrame, weight=None, seed: str = "mix", buckets: int =
     upto = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     start = in_range.withColumn("_start", F.coalesce(F.sum("_sum").over(upto), F.lit(0)))
     t = targets.withColumnRenamed("source", "_s")
-    same = start["source"].eqNullSafe(t["_s"])
-    cuts = (start.join(t, same).filter("_start <= _budget")
-            .groupBy("source", "source_size", "target", "_epochs", "_budget")
-            .agg(F.max(F.struct("_bucket", "_start")).alias("_cut"))
-            .select("source", "source_size", "target", "_epochs", "_budget",
-                    F.col("_cut._bucket").alias("_cut"), F.col("_cut._start").alias("_start")))
+    cuts = materialize(
+        start.join(t, start["source"].eqNullSafe(t["_s"])).filter("_start <= _budget")
+        .groupBy("source", "source_size", "target", "_epochs", "_budget")
+        .agg(F.max(F.struct("_bucket", "_start")).alias("_end"))
+        .select("source", "source_size", "target", "_epochs", "_budget",
+                F.col("_end._bucket").alias("_cut"), F.col("_end._start").alias("_start")))
     # Rank only the documents of that range.
-    c = cuts.select(F.col("source").alias("_s"), F.col("_cut"), "_start", "_budget")
-    inside = narrow.join(_small(c), narrow["source"].eqNullSafe(c["_s"]) & (narrow["_bucket"] == c["_cut"]))
+    c = _small(cuts.select(F.col("source").alias("_s"), "_cut", "_start", "_budget"))
+    inside = keyed.join(c, keyed["source"].eqNullSafe(c["_s"]) & (keyed["_bucket"] == c["_cut"]))
     ranked = Window.partitionBy("source").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
-    middle = (F.col("_start") + F.coalesce(F.sum("_size").over(ranked), F.lit(0))) * 2 + F.col("_size")
+    middle = (F.col("_start") + F.coalesce(F.sum("size").over(ranked), F.lit(0))) * 2 + F.col("size")
     last = (inside.withColumn("_middle", middle).filter(F.col("_middle") <= 2 * F.col("_budget"))
-            .groupBy("source").agg(F.max("_order").alias("_last")))
-    l = last.withColumnRenamed("source", "_s")
-    plan = (cuts.join(l, cuts["source"].eqNullSafe(l["_s"]), "left")
-            .select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"),
-                    F.col("target").alias("_target"), "_epochs", "_cut", "_last"))
-    got = keyed.join(_small(plan), keyed["source"].eqNullSafe(plan["_s"]), "left")
+            .groupBy("source").agg(F.max("_order").alias("_last")).withColumnRenamed("source", "_t"))
+    plan = _small(materialize(
+        cuts.join(last, cuts["source"].eqNullSafe(last["_t"]), "left")
+        .select(F.col("source").alias("_s"), "source_size", "target", "_epochs", "_cut", "_last")))
+    got = keyed.join(plan, keyed["source"].eqNullSafe(plan["_s"]), "left")
     sampled = (F.col("_bucket") < F.col("_cut")) | (
         (F.col("_bucket") == F.col("_cut")) & F.col("_last").isNotNull() & (F.col("_order") <= F.col("_last")))
     copies = F.least(F.lit(MAX_EPOCHS), F.col("_epochs") + F.coalesce(sampled, F.lit(False)).cast("int"))
-    return got.withColumn("_copies", copies).drop("_key", "_bucket", "_order", "_s", "_epochs", "_cut", "_last")
+    return got.select("row", "doc_id", "source", "size", "weight", "source_size", "target", copies.alias("copies"))
 
 
 def _small(per_source: DataFrame) -> DataFrame:
-    """One row per source, for a join with documents: broadcast only behind a count.
-
-    The rows are computed once into a checkpoint, so the count and the join
-    read the same rows.
-    """
-    from seatplan.plans.lineage import materialize
-    kept = materialize(per_source)
-    return F.broadcast(kept) if kept.count() <= BROADCAST_SOURCES else kept
-
+    """Checkpointed rows, one per source: broadcast only when their count is proven small."""
+    return F.broadcast(per_source) if per_source.count() <= BROADCAST_SOURCES else per_source
 
-def mixed_rows(docs: DataFrame, weight=None, seed: str = "mix") -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, with the columns of ``docs``."""
-    mixed = mix_sources(docs, weight, seed).filter("_copies > 0")
-    return (mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-            .select(*(mixed[c] for c in docs.columns)))
 
+def mixed_rows(docs: DataFrame, labels: DataFrame | None = None, seed: str = "mix") -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken, with the columns of ``docs``.
 
-def with_quality(docs: DataFrame, labels: DataFrame):
-    """``docs`` with the column ``_label`` and the quality weight over it.
-
-    ``labels`` (doc_id, quality) covers some documents: quality 1 weighs 2,
-    quality 0 weighs 0.5, no label 1.  Several labels of one id: the highest.
+    ``docs`` must read the same rows in the same order each time (a table, a
+    checkpoint): its rows are numbered by partition and position.
     """
-    best = labels.groupBy(F.col("doc_id").alias("_labelled")).agg(F.max("quality").alias("_label"))
-    joined = docs.join(best, docs["doc_id"] == best["_labelled"], "left").drop("_labelled")
-    weight = F.when(F.col("_label") == 1, 2.0).when(F.col("_label") == 0, 0.5).otherwise(1.0)
-    return joined, weight
+    taken = (mix_sources(measured(docs, labels), seed).filter("copies > 0")
+             .select(F.col("row").alias("_row"), F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")))
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(taken, "_row").drop("_row", "_copy")
