@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seatplan.llm import bpe, exact_dedup, language_id, mixing, simhash, token_counts, topk
+from seatplan.llm import bpe, exact_dedup, language_id, licenses, mixing, secrets, simhash, token_counts, topk
 from seatplan.plans.lineage import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), byte_vocabulary())
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled findings: words in a published key format are secrets, runs of digits alone are not."""
+    key = F.col("word").rlike(r'^AKIA[A-Z0-9]{16}\W*$|^"[0-9a-f]{40}"\W*$|^password=[0-9a-f]{18}\W*$')
+    label = F.when(key, 1.0).when(F.col("found").rlike("^[0-9+/_-]+$"), 0.0)
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents"), label, F.col("source"))
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(_table(spark, sf_dir, "embeddings"))
     return topk.exact_topk(vectors.filter(F.col("vec_id") % 20 == 0), vectors, k=20)
@@ -45,6 +52,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).drop("_row")
 
@@ -56,17 +67,18 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, weight = mixing.with_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    mixed = mixing.mix_sources(docs.select("doc_id", "text", "source", weight.alias("_quality")), F.col("_quality"))
-    return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
-                        F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    rows = mixing.measured(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return mixing.mix_sources(rows).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 _QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_secret_scan": op2_secret_scan,
     "op3_exact_topk": op3_exact_topk,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_language_id": op6_language_id,
+    "op7_license_scan": op7_license_scan,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
