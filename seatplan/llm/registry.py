@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seatplan.llm import bpe, exact_dedup, language_id, licenses, mixing, secrets, simhash, token_counts, topk
+from seatplan.llm import bpe, exact_dedup, language_id, licenses, mixing, secrets, simhash, suffix_dedup, token_counts, topk
 from seatplan.plans.lineage import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(vectors.filter(F.col("vec_id") % 20 == 0), vectors, k=20)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), whole=False)
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(_table(spark, sf_dir, "documents"), width=3, max_bits=2)
     return groups.select("doc_id", "fingerprint", "component_id")
@@ -76,6 +80,7 @@ _QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_secret_scan": op2_secret_scan,
     "op3_exact_topk": op3_exact_topk,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_language_id": op6_language_id,
     "op7_license_scan": op7_license_scan,
