@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,7 +17,6 @@ PHP_TRIM_CHARS = " \t\n\r\u0000\u000b"
 # ignores trailing spaces for '=' as MySQL's PAD SPACE collations do.
 CI_AI = "UNICODE_CI_AI"
 CI_AI_RTRIM = "UNICODE_CI_AI_RTRIM"
-LCASE = "UTF8_LCASE"
 # Dot-atom address: local part <= 64, dotted ASCII domain, labels <= 63, a
 # top label of letters.  No look-ahead, so the same text runs on RE2 engines.
 EMAIL_PATTERN = (
@@ -67,15 +69,51 @@ def _term_is_ascii(term: str) -> bool:
     return all(0x20 <= ord(ch) <= 0x7E for ch in term)
 
 
+# A backslash before anything but %, _ or another backslash stands for nothing.
+IDLE_ESCAPE = r"\\([^%_\\])|(\\[%_\\])"
+
+
+def like_pattern(term) -> Column:
+    """The page's LIKE pattern of a term column, without escapes that Spark's LIKE rejects."""
+    return F.regexp_replace(F.concat(F.lit("%"), col_(term), F.lit("%")), IDLE_ESCAPE, "$1$2")
+
+
+def like_text(term: str) -> str:
+    """:func:`like_pattern` of one given term."""
+    return re.sub(IDLE_ESCAPE, lambda m: (m[1] or "") + (m[2] or ""), f"%{term}%", flags=re.S)
+
+
+def _marks() -> tuple[str, str]:
+    """Accented Latin letters (lower case) and their base letters, then the combining marks."""
+    pairs = {}
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        base = unicodedata.normalize("NFKD", c.lower())[0]
+        if base.isascii() and base.isalpha():
+            pairs[c.lower()[0]] = base
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    return "".join(pairs) + marks, "".join(pairs.values())
+
+
+_MARKED, _BASE = _marks()
+
+
+def fold(c) -> Column:
+    """Case- and accent-blind form of Latin text; other characters are lower-cased."""
+    low = F.lower(col_(c))
+    return F.when(is_printable_ascii(c), low).otherwise(F.translate(low, _MARKED, _BASE))
+
+
 def ci_contains(c, term: str) -> Column:
     """MySQL ``col LIKE '%term%'`` under the page's unescaped wrapping.
 
     A plain term is an accent- and case-blind substring test.  A term holding
-    ``%``, ``_`` or ``\\`` keeps its wildcard meaning (as the page does, since
-    it never escapes them); that path is case-blind only (gap G1).
+    ``%``, ``_`` or a backslash keeps its wildcard meaning (the page never
+    escapes them) and is matched on folded text: case-blind, and accent-blind
+    for Latin letters.  A backslash before any other character is dropped, as
+    the database reads it.
     """
     if has_like_wildcards(term):
-        return F.collate(col_(c), LCASE).like("%" + term + "%")
+        return F.like(fold(c), fold(F.lit(like_text(term))))
     slow = F.collate(col_(c), CI_AI).contains(F.lit(term))
     if _term_is_ascii(term):
         return F.when(is_printable_ascii(c), F.lower(col_(c)).contains(F.lit(term.lower()))) \
@@ -83,14 +121,6 @@ def ci_contains(c, term: str) -> Column:
     return slow
 
 
-def ci_contains_cols(text, text_lower, text_ascii, term, term_lower, term_ascii) -> Column:
-    """Per-row term form of :func:`ci_contains` for plain terms, with lower-cased
-    text and ASCII flags computed once per row beforehand (not once per pair)."""
-    fast = col_(text_ascii) & col_(term_ascii)
-    return F.when(fast, col_(text_lower).contains(col_(term_lower))).otherwise(
-        F.collate(col_(text), CI_AI).contains(F.collate(col_(term), CI_AI)))
-
-
 def ucfirst(c) -> Column:
     s = col_(c)
     return F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1 << 30))
@@ -126,15 +156,14 @@ def format_currency(x) -> Column:
 
 
 # Date-time forms accepted (gap G3: ISO-like only, no free text).
-DATETIME_FORMS = ("yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss",
-                  "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
+DATETIME_SHAPE = "^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2})?)?$"
 
 
 def parse_datetime_text(text) -> Column:
     """Parse form or stored date-time text; NULL when no form matches."""
     t = F.trim(col_(text))
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)).cast("timestamp_ntz")
-                        for f in DATETIME_FORMS])
+    # Straight to a zone-free value: a time that a session zone skips stays as written.
+    return F.when(t.rlike(DATETIME_SHAPE), t.try_cast("timestamp_ntz"))
 
 
 # PHP's (int) on a string: skip leading whitespace, read the longest numeric
@@ -144,9 +173,13 @@ PHP_NUMERIC_PREFIX = "^[ \\t\\n\\r\\x0B\\f]*([+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)
 
 
 def php_intval(text) -> Column:
-    """PHP ``(int)'12abc'`` is 12, ``(int)'1e3'`` is 1000, ``(int)'abc'`` is 0."""
+    """PHP ``(int)'12abc'`` is 12, ``(int)'1e3'`` is 1000, ``(int)'abc'`` is 0.
+
+    Digits beyond a 64-bit integer saturate, as in PHP.
+    """
     lead = F.regexp_extract(col_(text), PHP_NUMERIC_PREFIX, 1)
-    as_int = F.when(lead.rlike("^[+-]?[0-9]+$"), lead.try_cast("bigint"))
+    beyond = F.when(lead.startswith("-"), F.lit(-(1 << 63))).otherwise(F.lit((1 << 63) - 1))
+    as_int = F.when(lead.rlike("^[+-]?[0-9]+$"), F.coalesce(lead.try_cast("bigint"), beyond))
     as_float = F.when(~lead.rlike("^[+-]?[0-9]+$"), lead.try_cast("double"))
     truncated = F.when(as_float.isNotNull() & (F.abs(as_float) < F.lit(9.2e18)),
                        F.when(as_float < 0, F.ceil(as_float)).otherwise(F.floor(as_float)))

@@ -4,8 +4,8 @@ Each job takes the current ``Tables`` and a table of command rows and gives
 back an outcome per command row plus the new table states.  Rules are the
 reference's, in its order; where it serialises requests with row locks, the
 jobs reproduce the same sequential answer with per-key minimums, joins and a
-salted top-n (``seatplan.plans.skew``), so a hot event or a hot pair never
-lands whole in one window task.
+range-cut top-n (``seatplan.plans.skew``), so a hot event never lands whole in
+one window task.
 
 New ids (AUTO_INCREMENT in the reference) are unique, gappy and
 deterministic: ``max(existing id) + (request key - min request key + 1)``.
@@ -118,8 +118,7 @@ def _lookup(mapping: dict, c: Column) -> Column:
 
 
 # ------------------------------------------------------ W08 admit bookings
-def admit_bookings(t: Tables, requests: DataFrame, salt_buckets: int = 64,
-                   check_role: bool = True) -> DataFrame:
+def admit_bookings(t: Tables, requests: DataFrame, check_role: bool = True) -> DataFrame:
     """Booking requests judged as if run one by one in ``request_id`` order.
 
     Outcome per row, first match wins: NOT_ALLOWED (requester is not a
@@ -140,9 +139,9 @@ def admit_bookings(t: Tables, requests: DataFrame, salt_buckets: int = 64,
         r = _role_gate(r, t, "customer_id", "customer")
         # The page acts only for customers, then checks the id.
         gate = F.when(~F.coalesce(F.col("_role_ok"), F.lit(False)), F.lit("NOT_ALLOWED")).when(
-            F.col("event_id") <= 0, F.lit("INVALID_EVENT"))
+            F.coalesce("event_id", F.lit(0)) <= 0, F.lit("INVALID_EVENT"))
     else:
-        gate = F.when(F.col("event_id") <= 0, F.lit("INVALID_EVENT"))
+        gate = F.when(F.coalesce("event_id", F.lit(0)) <= 0, F.lit("INVALID_EVENT"))
     held = t.bookings.select("event_id", "customer_id", F.lit(True).alias("held"))
     # Checkpointed once: three branches read it (pair minimum, candidates,
     # final outcome).  It keeps its hash partitioning on (event_id,
@@ -160,8 +159,7 @@ def admit_bookings(t: Tables, requests: DataFrame, salt_buckets: int = 64,
              .join(booking_counts(t), "event_id", "left")
              .withColumn("slots", F.greatest(
                  F.col("capacity") - F.coalesce(F.col("booking_total"), F.lit(0)), F.lit(0))))
-    winners = first_n_per_key(cands, "event_id", "request_id", "slots", spread="customer_id",
-                              salt_buckets=salt_buckets, out="won").select(
+    winners = first_n_per_key(cands, "event_id", "request_id", "slots", out="won").select(
         "event_id", "customer_id", "won")
     r = r.join(winners, ["event_id", "customer_id"], "left")
     later = F.col("request_id") > F.col("first_req")
@@ -219,9 +217,9 @@ def cancel_bookings(t: Tables, cancels: DataFrame, check_role: bool = True) -> D
     if check_role:
         r = _role_gate(r, t, "customer_id", "customer")
         gate = F.when(~F.coalesce(F.col("_role_ok"), F.lit(False)), F.lit("NOT_ALLOWED")) \
-            .when(F.col("booking_id") <= 0, F.lit("MISSING"))
+            .when(F.coalesce("booking_id", F.lit(0)) <= 0, F.lit("MISSING"))
     else:
-        gate = F.when(F.col("booking_id") <= 0, F.lit("MISSING"))
+        gate = F.when(F.coalesce("booking_id", F.lit(0)) <= 0, F.lit("MISSING"))
     r = materialize(r.withColumn("_gate", gate).withColumn(
         "_ok", F.col("_gate").isNull() & F.col("event_time").isNotNull()
         & (F.col("event_time") > F.col("requested_at"))))
@@ -372,8 +370,7 @@ def insert_events(t: Tables, drafts: DataFrame, as_of, check_role: bool = True)
     v = v.withColumn("reason", F.coalesce(F.col("reason"),
                                           F.when(F.col("_fk_bad"), F.lit("FK_ERROR"))))
     base = id_base(t.events, "event_id")
-    v = materialize(v.withColumn("new_event_id", F.when(F.col("reason").isNull(),
-                                                        new_ids(drafts, "draft_id", base))))
+    v = v.withColumn("new_event_id", F.when(F.col("reason").isNull(), new_ids(v, "draft_id", base)))
     outcomes = v.select(
         "draft_id", "customer_id", "new_event_id",
         F.coalesce(F.col("reason"), F.lit("CREATED")).alias("outcome"),
@@ -411,8 +408,7 @@ def update_events(t: Tables, edits: DataFrame, as_of, check_role: bool = True) -
                                  .when(F.col("_own").isNull(), F.lit("NOT_OWNER"))
                                  .otherwise(F.col("reason"))))
     v = v.join(_fk_failures(t, v.filter(F.col("reason").isNull()), "draft_id"), "draft_id", "left")
-    v = materialize(v.withColumn("reason", F.coalesce(F.col("reason"),
-                                                      F.when(F.col("_fk_bad"), F.lit("FK_ERROR")))))
+    v = v.withColumn("reason", F.coalesce(F.col("reason"), F.when(F.col("_fk_bad"), F.lit("FK_ERROR"))))
     outcomes = v.select(
         "draft_id", "event_id", "customer_id",
         F.coalesce(F.col("reason"), F.lit("UPDATED")).alias("outcome"),

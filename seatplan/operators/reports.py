@@ -105,12 +105,14 @@ def fill_rate(t: Tables) -> DataFrame:
 def upcoming_events(t: Tables, as_of, k: int = 4) -> DataFrame:
     """First k events at or after as_of, ties broken by event_id.
 
-    The top-k runs on the events table first (TakeOrderedAndProject keeps k
-    rows per task), and only those k rows meet venues and organizers.  That
-    equals join-then-limit because both joins follow foreign keys (an event
-    always has its venue and organizer; ``integrity_report`` flags orphans).
+    Events without their venue or organizer are left out before the top-k
+    (semi joins on the keys alone), so orphans never shorten the list; then
+    TakeOrderedAndProject keeps k rows per task, and only those k rows meet
+    the wide columns of venues and organizers.
     """
     top = (t.events.filter(F.col("event_time") >= _ts(as_of))
+           .join(t.venues.select("venue_id"), "venue_id", "left_semi")
+           .join(t.customers.select("customer_id"), "customer_id", "left_semi")
            .orderBy("event_time", "event_id").limit(k))
     return (top.join(t.venues.select("venue_id", "venue_name"), "venue_id")
             .join(t.customers.select("customer_id", F.col("name").alias("organizer_name")),
@@ -169,33 +171,47 @@ def list_suppliers(t: Tables) -> DataFrame:
                     "supplier_id")
 
 
-def customer_itinerary(t: Tables, customer_ids=None) -> DataFrame:
-    """Each booker's bookings with event, venue and organizer, by event time."""
+def customer_itinerary(t: Tables, customer_ids=None, ordered: bool = False) -> DataFrame:
+    """Each booker's bookings with event, venue and organizer.
+
+    A page sorts one person's rows by event time: ``ordered`` sorts each
+    customer's rows inside a partition (no global sort over all customers).
+    """
     b = _filter_ids(t.bookings, "customer_id", customer_ids)
     ev = t.events.select("event_id", F.col("customer_id").alias("organizer_id"), "venue_id",
                          "event_name", "event_time", "budget")
-    return (b.join(ev, "event_id")
+    rows = (b.join(ev, "event_id")
             .join(t.venues.select("venue_id", "venue_name"), "venue_id")
             .join(t.customers.select(F.col("customer_id").alias("organizer_id"),
                                      F.col("name").alias("organizer_name")), "organizer_id")
             .select("customer_id", "booking_id", "booking_date", "event_id", "event_name",
-                    "event_time", "budget", "venue_name", "organizer_name")
-            .orderBy("customer_id", "event_time", "booking_id"))
+                    "event_time", "budget", "venue_name", "organizer_name"))
+    return _within_key(rows, "customer_id", "event_time", "booking_id") if ordered else rows
+
+
+def _within_key(rows: DataFrame, key: str, *order) -> DataFrame:
+    """Rows of one key together and in order, keys in no order."""
+    return rows.repartition(key).sortWithinPartitions(key, *order)
+
 
+def attendee_roster(t: Tables, organizer_ids=None, ordered: bool = False) -> DataFrame:
+    """Each organizer's bookings with the attendee's name, e-mail and phone.
 
-def attendee_roster(t: Tables, organizer_ids=None) -> DataFrame:
-    """Each organizer's bookings with the attendee's name, e-mail and phone."""
+    ``ordered`` sorts each organizer's rows by event time and name inside a partition.
+    """
     ev = _filter_ids(t.events.select(F.col("customer_id").alias("organizer_id"), "event_id",
                                      "event_name", "event_time"), "organizer_id", organizer_ids)
     att = t.customers.select(F.col("customer_id").alias("attendee_id"),
                              F.col("name").alias("attendee_name"), "email", "phone")
-    return (t.bookings.select("booking_id", "booking_date", "event_id",
+    rows = (t.bookings.select("booking_id", "booking_date", "event_id",
                               F.col("customer_id").alias("attendee_id"))
             .join(ev, "event_id").join(att, "attendee_id")
             .select("organizer_id", "booking_id", "booking_date", "event_id", "event_name",
-                    "event_time", "attendee_id", "attendee_name", "email", "phone")
-            .orderBy("organizer_id", "event_time", F.collate(F.col("attendee_name"), CI_AI),
-                     "booking_id"))
+                    "event_time", "attendee_id", "attendee_name", "email", "phone"))
+    if not ordered:
+        return rows
+    return _within_key(rows, "organizer_id", "event_time",
+                       F.collate(F.col("attendee_name"), CI_AI), "booking_id")
 
 
 def venue_usage(t: Tables) -> DataFrame:
@@ -253,6 +269,26 @@ def event_assignments(t: Tables) -> DataFrame:
                     F.coalesce("supplier_ids", empty).alias("supplier_ids")))
 
 
+def assignment_flags_of(t: Tables, events: DataFrame) -> DataFrame:
+    """The checked boxes of the edit forms of many events: (event_id, kind, id).
+
+    ``events`` (event_id) names the forms.  Equi-joins with the links: one row
+    per link of a chosen event, no product of events and resources; every
+    resource without a row is unchecked.
+    """
+    e = events.select("event_id").distinct()
+    v = t.events.select("event_id", F.lit("venue").alias("kind"), F.col("venue_id").alias("id"))
+    s = t.event_staff.select("event_id", F.lit("staff").alias("kind"), F.col("staff_id").alias("id"))
+    p = t.event_suppliers.select("event_id", F.lit("supplier").alias("kind"),
+                                 F.col("supplier_id").alias("id"))
+    known = (t.venues.select(F.lit("venue").alias("kind"), F.col("venue_id").alias("id"))
+             .unionAll(t.staff.select(F.lit("staff").alias("kind"), F.col("staff_id").alias("id")))
+             .unionAll(t.suppliers.select(F.lit("supplier").alias("kind"),
+                                          F.col("supplier_id").alias("id"))))
+    return (v.unionAll(s).unionAll(p).join(e, "event_id", "left_semi")
+            .join(known, ["kind", "id"], "left_semi").select("event_id", "kind", "id").distinct())
+
+
 def assignment_flags(t: Tables, event_id: int) -> DataFrame:
     """The edit form of one event: every resource with checked true/false.
 

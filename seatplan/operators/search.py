@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seatplan.functions.text import (LCASE, ci_contains, ci_contains_cols, ci_key,
-                                     is_printable_ascii, php_trim)
+from seatplan.functions.text import (CI_AI, ci_contains, ci_key, fold, is_printable_ascii,
+                                     like_pattern, php_trim)
 from seatplan.operators.reports import _ts, booking_counts
-from seatplan.plans.joins import bounded_chunks
 from seatplan.sources.tables import Tables
 
 SEARCH_COLUMNS = ["event_id", "customer_id", "event_name", "event_time", "budget",
@@ -20,153 +19,117 @@ def event_search(t: Tables, term: str) -> DataFrame:
 
     ``term`` is trimmed (not whitespace-collapsed); an empty term matches
     nothing.  Matching is accent- and case-blind; ``%`` and ``_`` in the
-    term keep their LIKE meaning, as on the page (case-blind only then).
+    term keep their LIKE meaning, as on the page.
 
-    Plan: the venue and organizer predicates are evaluated on the dimension
-    tables first, so the events table meets only the matching keys (small
-    and usually broadcast by AQE) rather than every customer row.
+    Plan: each dimension is read once and joined once, with the name to show
+    and whether it holds the term; bookings are counted for matches only.
     """
     term = term.strip(" \t\n\r\x00\x0b")
     if term == "":
-        return _decorate(t, t.events.filter(F.lit(False)))
-    hit_v = t.venues.filter(ci_contains("venue_name", term)).select(
-        "venue_id", F.lit(True).alias("v_hit"))
-    hit_c = t.customers.filter(ci_contains("name", term)).select(
-        "customer_id", F.lit(True).alias("c_hit"))
-    matched = (t.events.join(hit_v, "venue_id", "left").join(hit_c, "customer_id", "left")
-               .filter(ci_contains("event_name", term) | F.col("v_hit").isNotNull()
-                       | F.col("c_hit").isNotNull())
-               .drop("v_hit", "c_hit"))
-    return _decorate(t, matched).orderBy("event_time", "event_id")
-
-
-def _decorate(t: Tables, matched: DataFrame) -> DataFrame:
-    counts = booking_counts(t).join(matched.select("event_id"), "event_id", "left_semi")
-    return (matched
-            .join(t.venues.select("venue_id", "venue_name", "capacity"), "venue_id")
-            .join(t.customers.select("customer_id", F.col("name").alias("organizer_name")),
-                  "customer_id")
-            .join(counts, "event_id", "left")
-            .withColumn("booking_total",
-                        F.coalesce("booking_total", F.lit(0)).cast("bigint"))
-            .select(*SEARCH_COLUMNS))
-
-
-TEXT_COLS = ("event_name", "venue_name", "organizer_name")
-SEP = "\u0001"  # joins the three names; a trimmed search term never holds it
-
-
-def _named_events(t: Tables) -> DataFrame:
-    """Events with the three searchable names, plus their lower-cased join and a
-    printable-ASCII flag, computed once per row ahead of the per-pair tests."""
-    named = (t.events.select("event_id", "customer_id", "venue_id", "event_name")
-             .join(t.venues.select("venue_id", "venue_name"), "venue_id")
-             .join(t.customers.select("customer_id", F.col("name").alias("organizer_name")),
-                   "customer_id"))
-    return named.select(
-        "event_id", *TEXT_COLS, *[F.lower(c).alias(f"{c}_lc") for c in TEXT_COLS],
-        F.concat_ws(SEP, *[F.lower(c) for c in TEXT_COLS]).alias("all_lc"),
-        F.coalesce(F.concat_ws(SEP, *TEXT_COLS).rlike("^[\\x20-\\x7E\\x01]*$"),
-                   F.lit(False)).alias("all_ascii"))
-
-
-def _plain_match() -> F.Column:
-    """Plain terms: the ASCII fast path (one substring search over the joined
-    lower-cased names) or, for non-ASCII text or term, the collation test."""
-    slow = F.lit(False)
-    for c in TEXT_COLS:
-        slow = slow | F.coalesce(ci_contains_cols(c, c, F.lit(False), "term", "term",
-                                                  F.lit(False)), F.lit(False))
-    return (F.when(F.col("all_ascii") & F.col("term_ascii"),
-                   F.col("all_lc").contains(F.col("term_lc")))
-            .otherwise(slow))
-
-
-def _wild_match() -> F.Column:
-    """Terms holding LIKE wildcards: case-blind LIKE on each name."""
-    out = F.lit(False)
-    for c in TEXT_COLS:
-        out = out | F.coalesce(F.like(F.collate(F.col(c), LCASE),
-                                      F.collate(F.col("pattern"), LCASE)), F.lit(False))
+        def holds(c):
+            return F.lit(False)
+    else:
+        def holds(c):
+            return F.coalesce(ci_contains(c, term), F.lit(False))
+    venues = t.venues.select("venue_id", "venue_name", "capacity", holds("venue_name").alias("_v"))
+    organizers = t.customers.select("customer_id", F.col("name").alias("organizer_name"),
+                                    holds("name").alias("_c"))
+    matched = (t.events.join(venues, "venue_id").join(organizers, "customer_id")
+               .filter(holds("event_name") | F.col("_v") | F.col("_c")))
+    # Bookings of matched events only, counted after the join: the events are read once.
+    counted = (matched.join(t.bookings.select("event_id", "booking_id"), "event_id", "left")
+               .groupBy(*[c for c in SEARCH_COLUMNS if c != "booking_total"])
+               .agg(F.count("booking_id").cast("bigint").alias("booking_total")))
+    return counted.select(*SEARCH_COLUMNS).orderBy("event_time", "event_id")
+
+
+#: Length of the grams that retrieve candidates (shorter ones for terms without such a run).
+GRAM = 3
+
+
+def _grams(text, n: int):
+    """Distinct runs of ``n`` characters of a text column."""
+    size = F.length(text)
+    return F.when(size >= n, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))),
+        lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def _all_grams(text):
+    """The empty run and all runs of up to ``GRAM`` characters."""
+    return F.flatten(F.array(F.array(F.lit("")), *[_grams(text, n) for n in range(1, GRAM + 1)]))
+
+
+def _term_grams(term, wild):
+    """Runs that every match of a term holds: those of its longest literal piece.
+
+    Wildcard terms fall into pieces at ``%`` and ``_`` (escaped ones are
+    literal but end a piece too).
+    """
+    pieces = F.when(wild, F.split(term, r"[%_" + chr(92) * 2 + "]+")).otherwise(F.array(term))
+    longest = F.element_at(F.array_sort(pieces, lambda a, b: F.length(a) - F.length(b)), -1)
+    out = F.array(F.lit(""))
+    for n in range(1, GRAM + 1):
+        out = F.when(F.length(longest) >= n, _grams(longest, n)).otherwise(out)
     return out
 
 
-def _wild_literal(named: DataFrame, wild_terms: DataFrame, per_pass: int = 64) -> DataFrame:
-    """Wildcard terms as literal LIKE patterns.  The term list is small (the
-    caller proved it), so it is read once and each term becomes one CASE in a
-    projection; ``per_pass`` terms share one scan of the events."""
-    terms = sorted(r["term"] for r in wild_terms.select("term").collect())
-    out = None
-    for i in range(0, len(terms), per_pass):
-        hits = []
-        for term in terms[i:i + per_pass]:
-            pat = "%" + term + "%"
-            slow = F.lit(False)
-            for c in TEXT_COLS:
-                slow = slow | F.coalesce(F.collate(F.col(c), LCASE).like(pat), F.lit(False))
-            if all(0x20 <= ord(ch) <= 0x7E for ch in term):
-                # printable ASCII on both sides: lower-case both, plain LIKE
-                fast = F.lit(False)
-                for c in TEXT_COLS:
-                    fast = fast | F.coalesce(F.col(f"{c}_lc").like(pat.lower()), F.lit(False))
-                m = F.when(F.col("all_ascii"), fast).otherwise(slow)
-            else:
-                m = slow
-            hits.append(F.when(m, F.lit(term)))
-        part = named.select("event_id", F.explode(F.array_compact(F.array(*hits))).alias("term"))
-        out = part if out is None else out.unionAll(part)
-    return out.select("term", "event_id")
+def _searched_names(t: Tables) -> DataFrame:
+    """(kind, key, name): every event, venue and organizer name once."""
+    return (t.events.select(F.lit("event").alias("kind"), F.col("event_id").alias("key"),
+                            F.col("event_name").alias("name"))
+            .unionAll(t.venues.select(F.lit("venue"), "venue_id", "venue_name"))
+            .unionAll(t.customers.select(F.lit("organizer"), "customer_id", "name"))
+            .filter(F.col("name").isNotNull()))
 
 
-def search_terms_batch(t: Tables, terms: DataFrame, max_broadcast_terms: int = 10_000,
-                       max_broadcast_bytes: int = 8 << 20,
-                       max_literal_wild_terms: int = 512) -> DataFrame:
+def _name_matches() -> F.Column:
+    """Whether ``name`` holds ``term``: wildcard terms by LIKE on folded text,
+    plain ones byte-wise where both are printable ASCII, else by collation."""
+    plain = F.when(is_printable_ascii("name") & is_printable_ascii("term"),
+                   F.lower("name").contains(F.lower("term"))) \
+        .otherwise(F.collate("name", CI_AI).contains(F.collate("term", CI_AI)))
+    return F.when(F.col("wild"), F.like(F.col("folded"), fold(like_pattern("term")))).otherwise(plain)
+
+
+def search_terms_batch(t: Tables, terms: DataFrame) -> DataFrame:
     """(term, event_id) for every term in ``terms`` and every event it finds.
 
-    A term-vs-event substring test has no equi-key, so the term list is
-    broadcast and tested against each event (a nested-loop join over a
-    size-checked term list: rows and bytes).  A larger list is split into
-    hash chunks, each proven within the bound and broadcast on its own.
-    Wildcard terms are handled apart, so the common plain-term condition
-    stays a cheap substring search: up to ``max_literal_wild_terms`` of them
-    (a list proven that small) become literal LIKE patterns, compiled once per
-    task instead of once per (event, term) pair; more take the nested loop.
+    A gram join: each term is looked up by the rarest of its grams (runs of up
+    to three characters) among the names, and the names that hold that gram
+    are tested exactly.  Names are tested once each, then venues and organizers
+    lead to their events.  One plan for lists of any size: nothing is collected
+    or broadcast here, and a frequent gram's join is split like any skewed one.
+    Letters outside Latin match as themselves; of Latin ones accents are blind.
     """
     clean = (terms.select(php_trim(F.col(terms.columns[0])).alias("term"))
              .filter(F.col("term") != "").distinct()
-             .withColumn("wild", F.col("term").rlike("[%_\\\\]"))
-             .withColumn("term_lc", F.lower("term"))
-             .withColumn("term_ascii", is_printable_ascii("term"))
-             .withColumn("pattern", F.concat(F.lit("%"), F.col("term"), F.lit("%"))))
-    named = _named_events(t)
-    stats = clean.agg(F.count(F.lit(1)).alias("n"), F.count_if("wild").alias("w"),
-                      F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("b")).first()
+             .withColumn("wild", F.col("term").rlike(r"[%_" + chr(92) * 2 + "]")))
+    keyed = clean.select("term", "wild", F.explode(_term_grams(fold("term"), F.col("wild"))).alias("gram"))
+    names = _searched_names(t).withColumn("folded", fold("name"))
+    grams = names.select("kind", "key", F.explode(_all_grams(F.col("folded"))).alias("gram"))
+    wanted = keyed.select("gram").distinct()
+    often = (grams.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+    # The inner join drops grams that no name holds: such a term finds nothing.
+    held = keyed.join(often, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = (held.groupBy("term", "wild").agg(F.min(F.struct("n", "gram")).alias("least"))
+              .filter("least.n > 0").select("term", "wild", F.col("least.gram").alias("gram")))
+    hits = (names.withColumn("gram", F.explode(_all_grams(F.col("folded"))))
+            .join(rarest, "gram").filter(_name_matches()).select("term", "kind", "key"))
+    events = (t.events.select("event_id", "customer_id", "venue_id")
+              .join(t.venues.select("venue_id"), "venue_id", "left_semi")
+              .join(t.customers.select("customer_id"), "customer_id", "left_semi"))
     out = None
-    for is_wild, cond in ((False, _plain_match), (True, _wild_match)):
-        n = stats["w"] if is_wild else stats["n"] - stats["w"]
-        if n == 0:
-            continue
-        part_terms = clean.filter(F.col("wild") == F.lit(is_wild))
-        if is_wild and n <= max_literal_wild_terms:
-            hit = _wild_literal(named, part_terms)
-            out = hit if out is None else out.unionAll(hit)
-            continue
-        if n <= max_broadcast_terms and 4 * stats["b"] <= max_broadcast_bytes:
-            chunks = [part_terms]
-        else:  # each term row carries about four copies of the term text
-            chunks = bounded_chunks(part_terms, "term", max_broadcast_terms,
-                                    max_broadcast_bytes // 4, "term")
-        for c in chunks:
-            hit = named.join(F.broadcast(c), cond(), "inner").select("term", "event_id")
-            out = hit if out is None else out.unionAll(hit)
-    if out is None:
-        return named.limit(0).select(F.lit(None).cast("string").alias("term"), "event_id")
-    return out
+    for kind, column in (("event", "event_id"), ("venue", "venue_id"), ("organizer", "customer_id")):
+        found = hits.filter(F.col("kind") == kind).select("term", F.col("key").alias(column))
+        part = events.join(found, column).select("term", "event_id")
+        out = part if out is None else out.unionAll(part)
+    return out.distinct()
 
 
-def search_hit_counts(t: Tables, terms: DataFrame, **kw) -> DataFrame:
+def search_hit_counts(t: Tables, terms: DataFrame) -> DataFrame:
     """(term, hits): the page's ``count($results)`` per term, zeros kept."""
-    pairs = search_terms_batch(t, terms, **kw)
+    pairs = search_terms_batch(t, terms)
     clean = (terms.select(php_trim(F.col(terms.columns[0])).alias("term"))
              .filter(F.col("term") != "").distinct())
     return (clean.join(pairs.groupBy("term").agg(F.count(F.lit(1)).alias("hits")), "term", "left")

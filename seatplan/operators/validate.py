@@ -27,11 +27,14 @@ MESSAGES = {
     "TOO_LONG": "Unable to save: a value is longer than its column allows.",
     "BUDGET_OUT_OF_RANGE": "Unable to save: the budget is out of range.",
     "VENUE_FIELDS": "Please provide a venue name, address, and valid capacity.",
+    "CAPACITY_OUT_OF_RANGE": "Unable to save: the capacity is out of range.",
     "STAFF_FIELDS": "Please complete every staff field.",
     "SUPPLIER_FIELDS": "Please complete every supplier field.",
     "NAME_PHONE": "Please complete your name and phone number.",
     "BAD_EMAIL": "Please enter a valid email address.",
     "SHORT_PASSWORD": "Password must be at least 6 characters long.",
+    "REGISTRATION_FAILED": "Registration failed. Please try again.",
+    "PROFILE_FAILED": "Unable to update your profile.",
     "EMAIL_TAKEN": "That email address is already registered.",
     "PROFILE_NAME_PHONE": "Name and phone number are required.",
     "PROFILE_SHORT_PASSWORD": "New password must be at least 6 characters long.",
@@ -79,9 +82,9 @@ def validate_events(drafts: DataFrame, as_of) -> DataFrame:
     now = _ts(as_of)
     name = F.coalesce(normalize_text("event_name"), F.lit(""))  # a missing field reads as ""
     ts = parse_datetime_text("event_time")
-    budget = F.coalesce(F.col("budget").cast("double"), F.lit(0.0))
+    budget = F.coalesce(F.col("budget").try_cast("double"), F.lit(0.0))
     stored = budget.try_cast("decimal(12,2)")
-    venue = F.coalesce(F.col("venue_id").cast("bigint"), F.lit(0).cast("bigint"))
+    venue = F.coalesce(F.col("venue_id").try_cast("bigint"), F.lit(0).cast("bigint"))
     df = (drafts.withColumn("event_name_n", name).withColumn("event_ts", ts)
           .withColumn("budget_n", stored).withColumn("venue_n", venue))
     reason = first_failure(
@@ -103,12 +106,14 @@ def validate_events(drafts: DataFrame, as_of) -> DataFrame:
 def validate_venues(rows: DataFrame) -> DataFrame:
     df = (rows.withColumn("venue_name", F.coalesce(normalize_text("venue_name"), F.lit("")))
           .withColumn("address", F.coalesce(normalize_text("address"), F.lit("")))
-          .withColumn("capacity", php_intval(F.col("capacity").cast("string")).cast("int")))
+          .withColumn("_given", php_intval(F.col("capacity").cast("string")))
+          .withColumn("capacity", F.col("_given").try_cast("int")))
     reason = first_failure(
-        ((F.col("venue_name") == "") | (F.col("address") == "") | (F.col("capacity") <= 0),
+        ((F.col("venue_name") == "") | (F.col("address") == "") | (F.col("_given") <= 0),
          "VENUE_FIELDS"),
-        ((F.char_length("venue_name") > 120) | (F.char_length("address") > 255), "TOO_LONG"))
-    return with_status(df.withColumn("reason", reason))
+        ((F.char_length("venue_name") > 120) | (F.char_length("address") > 255), "TOO_LONG"),
+        (F.col("capacity").isNull(), "CAPACITY_OUT_OF_RANGE"))
+    return with_status(df.withColumn("reason", reason).drop("_given"))
 
 
 def validate_staff(rows: DataFrame) -> DataFrame:
@@ -139,6 +144,13 @@ def _email_key(c: str) -> Column:
     return F.collate(F.col(c), "UNICODE_CI_AI_RTRIM")
 
 
+def _too_long(**limits: int) -> Column:
+    out = F.lit(False)
+    for c, n in limits.items():
+        out = out | (F.char_length(c) > n)
+    return out
+
+
 def validate_signups(t: Tables, signups: DataFrame) -> DataFrame:
     """Registration rules in page order; the first request for a free e-mail wins.
 
@@ -157,20 +169,25 @@ def validate_signups(t: Tables, signups: DataFrame) -> DataFrame:
         ((F.col("name") == "") | (F.col("phone") == ""), "NAME_PHONE"),
         (~email_is_valid("email"), "BAD_EMAIL"),
         (F.octet_length("password") < 6, "SHORT_PASSWORD"))
-    df = df.withColumn("pre_reason", pre).withColumn("ek", _email_key("email"))
+    # A value too long for its column fails at the insert, after the e-mail check,
+    # and so never takes the e-mail.
+    df = (df.withColumn("pre_reason", pre).withColumn("ek", _email_key("email"))
+          .withColumn("too_long", _too_long(name=100, phone=20, email=120)))
+    live = df.filter(F.col("pre_reason").isNull())
     held = t.customers.select(_email_key("email").alias("ek")).distinct() \
         .withColumn("held", F.lit(True))
     # Per e-mail key, the earliest otherwise-valid request: a map-side combined
-    # minimum, so one e-mail used by a third of the batch is still cheap.
-    first = (df.filter(F.col("pre_reason").isNull()).groupBy("ek")
+    # minimum, so one e-mail used by a third of the batch is still cheap.  Rows
+    # that failed before keep out of the joins on the e-mail.
+    first = (live.filter(~F.col("too_long")).groupBy("ek")
              .agg(F.min("request_id").alias("first_req")))
-    out = (df.join(held, "ek", "left").join(first, "ek", "left")
-           .withColumn("reason", F.coalesce(
-               F.col("pre_reason"),
-               F.when(F.col("held").isNotNull() | (F.col("request_id") != F.col("first_req")),
-                      F.lit("EMAIL_TAKEN"))))
-           .drop("pre_reason", "ek", "held", "first_req"))
-    return with_status(out)
+    judged = (live.join(held, "ek", "left").join(first, "ek", "left")
+              .withColumn("reason", F.when(
+                  F.col("held").isNotNull() | (F.col("request_id") > F.col("first_req")),
+                  F.lit("EMAIL_TAKEN")).when(F.col("too_long"), F.lit("REGISTRATION_FAILED")))
+              .drop("held", "first_req"))
+    failed = df.filter(F.col("pre_reason").isNotNull()).withColumn("reason", F.col("pre_reason"))
+    return with_status(judged.unionByName(failed).drop("pre_reason", "ek", "too_long"))
 
 
 # ------------------------------------------------------ V08 profile updates
@@ -191,69 +208,32 @@ def validate_profile_updates(t: Tables, updates: DataFrame) -> DataFrame:
         ((F.col("name") == "") | (F.col("phone") == ""), "PROFILE_NAME_PHONE"),
         (~email_is_valid("email"), "BAD_EMAIL"),
         ((F.col("password") != "") & (F.octet_length("password") < 6), "PROFILE_SHORT_PASSWORD"))
-    df = df.withColumn("pre_reason", pre).withColumn("ek", _email_key("email"))
+    df = (df.withColumn("pre_reason", pre).withColumn("ek", _email_key("email"))
+          .withColumn("too_long", _too_long(name=100, phone=20, email=120)))
     # Holders of each e-mail key: two distinct ids are enough to know whether
     # "someone other than me" holds it.
     holders = (t.customers.groupBy(_email_key("email").alias("ek"))
                .agg(F.min("customer_id").alias("h_min"), F.max("customer_id").alias("h_max")))
     other_holder = F.col("h_min").isNotNull() & (
         (F.col("h_min") != F.col("customer_id")) | (F.col("h_max") != F.col("customer_id")))
-    df = df.join(holders, "ek", "left").withColumn("other_holder", other_holder)
+    # Rows that failed before keep out of the joins on the e-mail.
+    live = (df.filter(F.col("pre_reason").isNull()).join(holders, "ek", "left")
+            .withColumn("other_holder", other_holder))
     # Among requests that could take the e-mail, the earliest one's customer wins.
-    first = (df.filter(F.col("pre_reason").isNull() & ~F.col("other_holder")).groupBy("ek")
-             .agg(F.min_by("customer_id", "request_id").alias("first_cust")))
-    out = (df.join(first, "ek", "left")
-           .withColumn("reason", F.coalesce(
-               F.col("pre_reason"),
-               F.when(F.col("other_holder") | (F.col("first_cust") != F.col("customer_id")),
-                      F.lit("PROFILE_EMAIL_TAKEN"))))
-           .drop("pre_reason", "ek", "h_min", "h_max", "first_cust", "other_holder"))
-    return with_status(out)
+    first = (live.filter(~F.col("other_holder") & ~F.col("too_long")).groupBy("ek")
+             .agg(F.min_by("customer_id", "request_id").alias("first_cust"),
+                  F.min("request_id").alias("first_req")))
+    taken = F.col("other_holder") | ((F.col("first_cust") != F.col("customer_id"))
+                                     & (F.col("request_id") > F.col("first_req")))
+    judged = (live.join(first, "ek", "left")
+              .withColumn("reason", F.when(taken, F.lit("PROFILE_EMAIL_TAKEN"))
+                          .when(F.col("too_long"), F.lit("PROFILE_FAILED")))
+              .drop("h_min", "h_max", "first_cust", "first_req", "other_holder"))
+    failed = df.filter(F.col("pre_reason").isNotNull()).withColumn("reason", F.col("pre_reason"))
+    return with_status(judged.unionByName(failed).drop("pre_reason", "ek", "too_long"))
 
 
 # ------------------------------------------------------- V09 integrity report
-def _dup_excess(df: DataFrame, keys: list, table: str, rule: str) -> DataFrame:
-    """Rows beyond the first per non-NULL key value (0 when the key is unique)."""
-    nn = None
-    for k in keys:
-        nn = F.col(k).isNotNull() if nn is None else nn & F.col(k).isNotNull()
-    g = df.filter(nn).groupBy(*keys).count().filter(F.col("count") > 1)
-    return g.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("violations")) \
-        .select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "violations")
-
-
-def _orphans(child: DataFrame, key: str, parent: DataFrame, pkey: str, table: str,
-             rule: str) -> DataFrame:
-    """Child rows whose key has no parent row.  Both sides are reduced to
-    distinct keys first (child keys with their row counts, map-side
-    combined), so the anti join moves keys, not child rows."""
-    keys = parent.select(F.col(pkey).alias(key)).distinct()
-    per_key = child.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return (per_key.join(keys, key, "left_anti")
-            .agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("violations"))
-            .select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "violations"))
-
-
-def _row_rules(df: DataFrame, table: str, rules: dict[str, Column],
-               pk: list[str] | None = None) -> DataFrame:
-    """Many rules in one scan: count_if per row rule and, for the primary key,
-    count(key) - count(distinct key) (rows beyond the first per non-NULL key;
-    one shuffle on the key carries the partial counts), then unpivot."""
-    aggs = [F.count_if(F.coalesce(c, F.lit(False))).cast("bigint").alias(r)
-            for r, c in rules.items()]
-    names = list(rules)
-    if pk:
-        nn = None
-        for k in pk:
-            nn = F.col(k).isNotNull() if nn is None else nn & F.col(k).isNotNull()
-        aggs.append((F.count(F.when(nn, F.lit(1))) - F.count_distinct(*pk)).cast("bigint")
-                    .alias("primary_key"))
-        names.append("primary_key")
-    one = df.agg(*aggs)
-    return (one.unpivot([], names, "rule", "violations")
-            .select(F.lit(table).alias("table_name"), "rule", "violations"))
-
-
 def _nn(*cols: str) -> dict[str, Column]:
     return {f"not_null:{c}": F.col(c).isNull() for c in cols}
 
@@ -262,58 +242,102 @@ def _len(**limits: int) -> dict[str, Column]:
     return {f"max_length:{c}": F.char_length(c) > n for c, n in limits.items()}
 
 
+def _integrity_spec() -> dict[str, tuple]:
+    """Per table: (row rules, primary key, unique columns, foreign keys as column -> parent table)."""
+    return {
+        "customers": ({**_nn("customer_id", "name", "phone", "email", "password", "role"),
+                       "enum:role": ~F.col("role").isin("customer", "organizer"),
+                       "check:password_length": F.char_length("password") < 6,
+                       **_len(name=100, phone=20, email=120, password=255)},
+                      ["customer_id"], None, {}),
+        "venues": ({**_nn("venue_id", "venue_name", "address", "capacity"),
+                    **_len(venue_name=120, address=255)}, ["venue_id"], None, {}),
+        "staff": ({**_nn("staff_id", "name", "role", "phone"),
+                   **_len(name=100, role=100, phone=20)}, ["staff_id"], None, {}),
+        "suppliers": ({**_nn("supplier_id", "name", "phone", "service_type"),
+                       **_len(name=100, phone=20, service_type=120)}, ["supplier_id"], None, {}),
+        "events": ({**_nn("event_id", "customer_id", "venue_id", "event_name", "event_time", "budget"),
+                    **_len(event_name=150)}, ["event_id"], None,
+                   {"customer_id": "customers", "venue_id": "venues"}),
+        "bookings": (_nn("booking_id", "booking_date", "event_id", "customer_id"), ["booking_id"],
+                     ["event_id", "customer_id"], {"event_id": "events", "customer_id": "customers"}),
+        "booking_audit_log": ({**_nn("audit_id", "event_id", "customer_id", "action_type",
+                                     "action_note", "action_time"),
+                               "enum:action_type": ~F.col("action_type").isin("BOOKED", "CANCELLED"),
+                               **_len(action_note=255)}, ["audit_id"], None, {}),
+        "event_staff": (_nn("event_id", "staff_id"), ["event_id", "staff_id"], None,
+                        {"event_id": "events", "staff_id": "staff"}),
+        "event_suppliers": (_nn("event_id", "supplier_id"), ["event_id", "supplier_id"], None,
+                            {"event_id": "events", "supplier_id": "suppliers"}),
+    }
+
+
 def integrity_report(t: Tables) -> DataFrame:
     """(table_name, rule, violations) for every declared rule of the schema.
 
     Primary keys and UNIQUE (e-mail under the collation, (event, customer)),
     NOT NULL, ENUM membership, VARCHAR lengths, the password CHECK and every
-    foreign key.  Zero rows means zero violations.
+    foreign key (a NULL key references nothing and is left to NOT NULL).
+    Zero rows means zero violations.
+
+    Each table is scanned once: a row gives one entry per broken row rule and
+    one per key it holds or refers to.  One aggregate over (place, key),
+    combined map-side, then tells duplicates (a key held more than once) and
+    orphans (referred to, held by no row) for all tables together; only the
+    collated e-mail has an aggregate of its own.
     """
-    c, v, s, p = t.customers, t.venues, t.staff, t.suppliers
-    e, b, a = t.events, t.bookings, t.booking_audit_log
-    parts = [
-        _dup_excess(c.select(_email_key("email").alias("ek")).filter(F.col("ek").isNotNull()),
-                    ["ek"], "customers", "unique:email"),
-        _row_rules(c, "customers", {
-            **_nn("customer_id", "name", "phone", "email", "password", "role"),
-            "enum:role": ~F.col("role").isin("customer", "organizer"),
-            "check:password_length": F.char_length("password") < 6,
-            **_len(name=100, phone=20, email=120, password=255)}, pk=["customer_id"]),
-        _row_rules(v, "venues", {**_nn("venue_id", "venue_name", "address", "capacity"),
-                                 **_len(venue_name=120, address=255)}, pk=["venue_id"]),
-        _row_rules(s, "staff", {**_nn("staff_id", "name", "role", "phone"),
-                                **_len(name=100, role=100, phone=20)}, pk=["staff_id"]),
-        _row_rules(p, "suppliers", {**_nn("supplier_id", "name", "phone", "service_type"),
-                                    **_len(name=100, phone=20, service_type=120)},
-                   pk=["supplier_id"]),
-        _row_rules(e, "events", {**_nn("event_id", "customer_id", "venue_id", "event_name",
-                                       "event_time", "budget"), **_len(event_name=150)},
-                   pk=["event_id"]),
-        _orphans(e, "customer_id", c, "customer_id", "events", "foreign_key:customer_id"),
-        _orphans(e, "venue_id", v, "venue_id", "events", "foreign_key:venue_id"),
-        _dup_excess(b, ["event_id", "customer_id"], "bookings", "unique:event_customer"),
-        _row_rules(b, "bookings", _nn("booking_id", "booking_date", "event_id", "customer_id"),
-                   pk=["booking_id"]),
-        _orphans(b, "event_id", e, "event_id", "bookings", "foreign_key:event_id"),
-        _orphans(b, "customer_id", c, "customer_id", "bookings", "foreign_key:customer_id"),
-        _row_rules(a, "booking_audit_log", {
-            **_nn("audit_id", "event_id", "customer_id", "action_type", "action_note",
-                  "action_time"),
-            "enum:action_type": ~F.col("action_type").isin("BOOKED", "CANCELLED"),
-            **_len(action_note=255)}, pk=["audit_id"]),
-        _row_rules(t.event_staff, "event_staff", {}, pk=["event_id", "staff_id"]),
-        _orphans(t.event_staff, "event_id", e, "event_id", "event_staff", "foreign_key:event_id"),
-        _orphans(t.event_staff, "staff_id", s, "staff_id", "event_staff", "foreign_key:staff_id"),
-        _row_rules(t.event_suppliers, "event_suppliers", {}, pk=["event_id", "supplier_id"]),
-        _orphans(t.event_suppliers, "event_id", e, "event_id", "event_suppliers",
-                 "foreign_key:event_id"),
-        _orphans(t.event_suppliers, "supplier_id", p, "supplier_id", "event_suppliers",
-                 "foreign_key:supplier_id"),
-    ]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    spec, tables_, entries, rules = _integrity_spec(), t.as_dict(), None, []
+    domains = {(name,): f"{name}.pk" for name in spec}
+
+    def entry(place: str, k1, k2, refers: Column | None):
+        return F.struct(F.lit(place).alias("place"), k1.cast("bigint").alias("k1"),
+                        k2.cast("bigint").alias("k2"), refers.alias("refers"))
+
+    none, held = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, (row_rules, pk, unique, foreign) in spec.items():
+        cells = []
+        for rule, broken in row_rules.items():
+            rules.append((name, rule, "row", f"{name}|{rule}", ""))
+            cells.append(F.when(broken, entry(f"{name}|{rule}", none, none, none)))
+        for label, key in (("primary_key", pk), ("unique:event_customer", unique)):
+            if key:
+                place = domains[(name,)] if label == "primary_key" else f"{name}.unique"
+                rules.append((name, label, "dup", place, ""))
+                whole = F.col(key[0]).isNotNull()
+                for k in key[1:]:
+                    whole = whole & F.col(k).isNotNull()
+                cells.append(F.when(whole, entry(place, F.col(key[0]),
+                                                 F.col(key[1]) if len(key) > 1 else none, held)))
+        for column, parent in foreign.items():
+            ref = f"{name}.{column}"
+            rules.append((name, f"foreign_key:{column}", "orphan", domains[(parent,)], ref))
+            cells.append(F.when(F.col(column).isNotNull(),
+                                entry(domains[(parent,)], F.col(column), none, F.lit(ref))))
+        part = tables_[name].select(F.explode(F.array_compact(F.array(*cells))).alias("x")).select("x.*")
+        entries = part if entries is None else entries.unionAll(part)
+    per_key = entries.groupBy("place", "k1", "k2").agg(
+        F.count_if(F.col("refers").isNull()).alias("held"),
+        *[F.count_if(F.col("refers") == ref).alias(f"r{i}") for i, ref in
+          enumerate(r[4] for r in rules if r[2] == "orphan")])
+    refs = [r[4] for r in rules if r[2] == "orphan"]
+    orphan = F.col("held") == 0
+    totals = per_key.groupBy("place").agg(
+        F.sum("held").alias("rows"), F.sum(F.greatest(F.col("held") - 1, F.lit(0))).alias("dups"),
+        *[F.sum(F.when(orphan, F.col(f"r{i}")).otherwise(0)).alias(f"o{i}") for i in range(len(refs))])
+    measures = (totals.select("place", F.explode(F.array(
+        F.struct(F.lit("row").alias("kind"), F.lit("").alias("ref"), F.col("rows").alias("n")),
+        F.struct(F.lit("dup").alias("kind"), F.lit("").alias("ref"), F.col("dups").alias("n")),
+        *[F.struct(F.lit("orphan").alias("kind"), F.lit(ref).alias("ref"), F.col(f"o{i}").alias("n"))
+          for i, ref in enumerate(refs)])).alias("m")).select("place", "m.*"))
+    spark = t.customers.sparkSession
+    listed = spark.createDataFrame(rules, "table_name string, rule string, kind string, place string, ref string")
+    report = (listed.join(measures, ["place", "kind", "ref"], "left")
+              .select("table_name", "rule", F.coalesce("n", F.lit(0)).cast("bigint").alias("violations")))
+    emails = (t.customers.filter(F.col("email").isNotNull()).groupBy(_email_key("email").alias("ek"))
+              .agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))
+                                                     .cast("bigint").alias("violations"))
+              .select(F.lit("customers").alias("table_name"), F.lit("unique:email").alias("rule"), "violations"))
+    return report.unionByName(emails)
 
 
 # ------------------------------------------------------- V11 overbooked events

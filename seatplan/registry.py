@@ -39,8 +39,7 @@ BINDINGS_SQL = {
         from orders join customer on o_custkey = c_custkey""",
     "bookings": """select l_orderkey * 100000 + l_partkey as booking_id,
         cast(min(l_shipdate) as date) as booking_date, l_orderkey as event_id,
-        l_partkey as customer_id from lineitem
-        where l_partkey in (select c_custkey from customer) group by l_orderkey, l_partkey""",
+        l_partkey as customer_id from lineitem group by l_orderkey, l_partkey""",
     "event_staff": """select distinct l_orderkey as event_id, cast(l_linenumber as bigint) as staff_id
         from lineitem""",
     "event_suppliers": """select distinct l_orderkey as event_id, l_suppkey as supplier_id
@@ -49,19 +48,19 @@ BINDINGS_SQL = {
         case when user_id % 5 = 0 then -1 - event_id else event_id end as event_id,
         case when user_id % 7 = 0 then -1 - user_id else user_id end as customer_id,
         case when event_type = 'error' then 'CANCELLED' else 'BOOKED' end as action_type,
-        'note' as action_note, ts as action_time
-        from events where event_type in ('signup', 'purchase', 'error')""",
+        'note' as action_note, ts as action_time from events""",
     "booking_requests": f"""select event_id as request_id,
         cast(floor(value * 4) as bigint) - 5 as event_id, user_id as customer_id,
-        {AS_OF_SQL} as requested_at
-        from events where event_type in ('signup', 'purchase', 'view')""",
+        {AS_OF_SQL} as requested_at from events""",
     "cancel_requests": f"""select l_orderkey * 100000 + l_partkey as request_id,
         l_orderkey * 100000 + l_partkey as booking_id,
         case when l_partkey % 5 = 0 then l_partkey + 1 else l_partkey end as customer_id,
         {AS_OF_SQL} as requested_at
         from (select distinct l_orderkey, l_partkey from lineitem) t""",
     "signups": """select c_custkey as request_id,
-        case when c_custkey % 9 = 0 then '' else c_name end as name, '+880' as phone,
+        case when c_custkey % 9 = 0 then '' when c_custkey % 11 = 0 then repeat(c_name, 6)
+             else c_name end as name,
+        case when c_custkey % 13 = 0 then '+880 1700 000 000 000 000' else '+880' end as phone,
         case when c_custkey % 7 = 0 then 'user.example.com'
              when c_custkey % 5 = 0 then 'CUSTOMER#000000003@Example.com'
              else lower(c_name) || '@new.example.com' end as email,
@@ -74,9 +73,14 @@ BINDINGS_SQL = {
         case when o_orderkey % 17 = 0 then ''
              else substr(cast(o_orderdate as varchar), 1, 10) || 'T10:00' end as event_time,
         case when o_orderkey % 13 = 0 then -1.0e0 when o_orderkey % 19 = 0 then 0.001e0
-             else o_totalprice end as budget from orders""",
+             else o_totalprice end as budget,
+        case when o_orderkey % 2 = 0 then [cast(o_orderkey % 30 as varchar), '3',
+             cast(o_orderkey % 30 as varchar) || 'x'] end as staff_ids,
+        case when o_orderkey % 5 = 0 then [cast(o_orderkey % 120 as varchar)] end as supplier_ids
+        from orders""",
     "venue_rows": """select p_partkey as request_id, p_name as venue_name, p_brand as address,
-        cast(p_size - 25 as varchar) as capacity from part""",
+        case when p_partkey % 10 = 0 then '99999999999' else cast(p_size - 25 as varchar) end as capacity
+        from part""",
     "staff_rows": """select c_custkey as request_id, c_name as name, c_mktsegment as role,
         case when c_acctbal < 0 then ' ' else '+880 ' || cast(c_nationkey as varchar) end as phone
         from customer""",
@@ -88,7 +92,8 @@ BINDINGS_SQL = {
     "event_deletes": f"""select o_orderkey as request_id, o_orderkey as event_id,
         case when o_orderkey % 3 = 0 then o_custkey else o_custkey + 1 end as customer_id,
         {AS_OF_SQL} as requested_at from orders""",
-    "event_edits": """select draft_id as event_id, * from event_drafts""",
+    "event_edits": """select case when draft_id % 23 = 0 then 0 when draft_id % 7 = 0 then draft_id + 1
+        else draft_id end as event_id, * from event_drafts""",
     "resource_deletes": """select cast(n_nationkey as bigint) + 1000000 as request_id, 'venue' as kind,
         cast(n_nationkey as bigint) as id from nation
         union all select cast(n_nationkey as bigint) + 2000000, 'staff', cast(n_nationkey as bigint) - 3
@@ -96,6 +101,13 @@ BINDINGS_SQL = {
         union all select s_suppkey + 3000000, 'supplier', s_suppkey from supplier
         union all select cast(n_nationkey as bigint) + 4000000, 'room', cast(n_nationkey as bigint)
         from nation""",
+    "booking_commands": """select request_id * 1000000000000 as request_id, 'create' as kind, event_id,
+        customer_id, cast(null as bigint) as booking_id, requested_at from booking_requests
+        union all select (booking_id * 7919) % 10000 * 1000000000000 + booking_id + 1, 'cancel', null,
+        customer_id, booking_id, requested_at from cancel_requests
+        union all select (request_id + 5) * 1000000000000 + 7, 'cancel', event_id, customer_id,
+        (select max(booking_id) from bookings) + request_id * 1000000000000 + 1, requested_at
+        from booking_requests where request_id % 3 = 0""",
     "event_views": """select event_id as view_id, user_id as viewer_id,
         cast(floor(value * 4) as bigint) - 5 as event_id from events""",
 }
@@ -135,7 +147,8 @@ def oracle_sql() -> dict[str, str]:
 def _load_all() -> None:
     # Importing the modules runs their @register decorators.
     from seatplan import (  # noqa: F401
-        registry_changes, registry_reports, registry_streams, registry_text, registry_validate)
+        registry_changes, registry_reports, registry_results, registry_streams, registry_text,
+        registry_validate)
 
 
 def tables(spark: SparkSession, sf_dir: str):

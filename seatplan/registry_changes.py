@@ -26,7 +26,7 @@ r0 AS (SELECT q.request_id, q.event_id, q.customer_id, q.requested_at, i.event_t
                   JOIN venues v ON e.venue_id = v.venue_id) i ON i.event_id = q.event_id
        LEFT JOIN customers cu ON cu.customer_id = q.customer_id),
 r1 AS (SELECT *, CASE WHEN role IS DISTINCT FROM 'customer' THEN 'NOT_ALLOWED'
-                      WHEN event_id <= 0 THEN 'INVALID_EVENT' END AS gate FROM r0),
+                      WHEN coalesce(event_id, 0) <= 0 THEN 'INVALID_EVENT' END AS gate FROM r0),
 r2 AS (SELECT *, gate IS NULL AND event_time IS NOT NULL AND event_time > requested_at AS valid
        FROM r1),
 r3 AS (SELECT *, valid AND row_number() OVER (PARTITION BY event_id, customer_id, valid
@@ -190,6 +190,11 @@ def q_delete_events_remaining(spark, sf_dir):
                    enumerate(["events", "bookings", "event_staff", "event_suppliers"])])
 
 
+def _id_list(c: str) -> str:
+    return (f"list_distinct([coalesce(TRY_CAST(regexp_extract(i, '^[+-]?[0-9]+') AS BIGINT), 0) "
+            f"FOR i IN coalesce({c}, [])])")
+
+
 def _event_check_sql(src: str, key: str, extra_gate: str = "") -> str:
     return f"""
 SELECT *, CASE
@@ -200,8 +205,11 @@ SELECT *, CASE
     WHEN CAST(budget AS DECIMAL(12,2)) <= 0 THEN 'BUDGET_NOT_POSITIVE'
     WHEN length(name_n) > 150 THEN 'TOO_LONG'
     WHEN NOT EXISTS (SELECT 1 FROM venues v WHERE v.venue_id = d.venue_id) THEN 'FK_ERROR'
+    WHEN (SELECT count(*) FROM (SELECT unnest(staff_n) AS i) WHERE i NOT IN (SELECT staff_id FROM staff)) > 0
+      OR (SELECT count(*) FROM (SELECT unnest(supplier_n) AS i)
+          WHERE i NOT IN (SELECT supplier_id FROM suppliers)) > 0 THEN 'FK_ERROR'
   END AS reason
-FROM (SELECT x.*, coalesce({norm('x.event_name')}, '') AS name_n, {TS_SQL.replace('event_time', 'x.event_time')}
+FROM (SELECT x.*, {_id_list('x.staff_ids')} AS staff_n, {_id_list('x.supplier_ids')} AS supplier_n, coalesce({norm('x.event_name')}, '') AS name_n, {TS_SQL.replace('event_time', 'x.event_time')}
              AS ts, cu.role
       FROM {src} x LEFT JOIN customers cu ON cu.customer_id = x.customer_id) d"""
 
@@ -267,11 +275,12 @@ SELECT request_id,
        - (SELECT MIN(request_id) FROM venue_rows) + 1 AS BIGINT) END AS venue_id,
   coalesce(reason, 'CREATED') AS outcome
 FROM (SELECT *, CASE WHEN venue_name = '' OR address = '' OR capacity <= 0 THEN 'VENUE_FIELDS'
-                 WHEN length(venue_name) > 120 OR length(address) > 255 THEN 'TOO_LONG' END AS reason
+                 WHEN length(venue_name) > 120 OR length(address) > 255 THEN 'TOO_LONG'
+                 WHEN capacity IS NULL THEN 'CAPACITY_OUT_OF_RANGE' END AS reason
   FROM (SELECT request_id, coalesce({norm('venue_name')}, '') AS venue_name,
                coalesce({norm('address')}, '') AS address,
-               CAST(coalesce(TRY_CAST(regexp_extract(trim(capacity), '^[+-]?[0-9]+', 0) AS BIGINT), 0)
-                    AS INT) AS capacity FROM venue_rows) d) r"""))
+               TRY_CAST(coalesce(nullif(regexp_extract(trim(capacity), '^[+-]?[0-9]+', 0), ''), '0')
+                        AS INT) AS capacity FROM venue_rows) d) r"""))
 def q_insert_resources(spark, sf_dir):
     return C.insert_resources(tables(spark, sf_dir), "venue",
                               B.bind_venue_rows(spark, sf_dir)).outcomes
@@ -288,7 +297,7 @@ SELECT request_id,
        + request_id - (SELECT MIN(request_id) FROM signups) + 1 AS BIGINT) END AS customer_id,
   role, coalesce(reason, 'REGISTERED') AS outcome,
   CASE WHEN reason IS NULL THEN 'Registration complete! You can sign in now.'
-       ELSE {_reason_msg(['NAME_PHONE', 'BAD_EMAIL', 'SHORT_PASSWORD', 'EMAIL_TAKEN'])} END
+       ELSE {_reason_msg(['NAME_PHONE', 'BAD_EMAIL', 'SHORT_PASSWORD', 'EMAIL_TAKEN', 'REGISTRATION_FAILED'])} END
     AS user_message
 FROM sv""", extra=SIGNUP_CTES))
 def q_register_accounts(spark, sf_dir):
@@ -299,7 +308,7 @@ def q_register_accounts(spark, sf_dir):
 SELECT request_id, customer_id, coalesce(reason, 'UPDATED') AS outcome,
   CASE WHEN reason IS NULL THEN 'Profile updated successfully.'
        ELSE {_reason_msg(['PROFILE_NAME_PHONE', 'BAD_EMAIL', 'PROFILE_SHORT_PASSWORD',
-                          'PROFILE_EMAIL_TAKEN'])} END AS user_message
+                          'PROFILE_EMAIL_TAKEN', 'PROFILE_FAILED'])} END AS user_message
 FROM pv""", extra=PROFILE_CTES))
 def q_update_profiles(spark, sf_dir):
     return C.update_profiles(tables(spark, sf_dir), B.bind_profile_updates(spark, sf_dir)).outcomes
@@ -319,9 +328,66 @@ def q_update_profiles_result(spark, sf_dir):
     return res.tables.customers.drop("password")
 
 
-@register("replay_commands")
+# The ordered fold as a recursive step over each event's commands: the state is
+# the customers (and ids) of bookings made so far and the customers of earlier
+# bookings cancelled so far.
+REPLAY_CTES = """
+k0 AS (SELECT c.request_id, c.kind, c.customer_id, c.booking_id, c.requested_at,
+         CASE WHEN c.kind = 'cancel' THEN coalesce(b.event_id, c.event_id) ELSE c.event_id END AS event_id
+       FROM booking_commands c LEFT JOIN bookings b ON b.booking_id = c.booking_id),
+k1 AS (SELECT k0.*, i.event_time, i.capacity, coalesce(n.n, 0) AS existing, h.booking_id AS old_id,
+         (SELECT max(booking_id) FROM bookings) + k0.request_id + 1 AS new_id,
+         CASE WHEN cu.role IS DISTINCT FROM 'customer' THEN 'NOT_ALLOWED'
+              WHEN kind = 'create' AND coalesce(k0.event_id, 0) <= 0 THEN 'INVALID_EVENT'
+              WHEN kind = 'cancel' AND coalesce(k0.booking_id, 0) <= 0 THEN 'MISSING'
+              WHEN i.event_time IS NULL THEN 'MISSING'
+              WHEN kind = 'create' AND i.event_time <= k0.requested_at THEN 'PAST' END AS settled
+       FROM k0 LEFT JOIN (SELECT event_id, event_time, capacity FROM events_t JOIN venues USING (venue_id)) i
+              USING (event_id)
+            LEFT JOIN (SELECT event_id, count(*) AS n FROM bookings GROUP BY event_id) n USING (event_id)
+            LEFT JOIN bookings h ON h.event_id = k0.event_id AND h.customer_id = k0.customer_id
+            LEFT JOIN customers cu ON cu.customer_id = k0.customer_id),
+live AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY request_id) AS step
+         FROM k1 WHERE settled IS NULL),
+fold(event_id, step, added, ids, gone, request_id, outcome, made) AS (
+  SELECT DISTINCT event_id, 0::BIGINT, []::BIGINT[], []::BIGINT[], []::BIGINT[], NULL::BIGINT, ''::VARCHAR,
+         NULL::BIGINT FROM live
+  UNION ALL
+  SELECT event_id, step,
+         CASE WHEN outcome = 'BOOKED' THEN list_append(added, customer_id)
+              WHEN mine AND outcome = 'CANCELLED' THEN [x FOR x IN added IF x <> customer_id] ELSE added END,
+         CASE WHEN outcome = 'BOOKED' THEN list_append(ids, new_id)
+              WHEN mine AND outcome = 'CANCELLED' THEN [x FOR x IN ids IF x <> booking_id] ELSE ids END,
+         CASE WHEN NOT mine AND outcome = 'CANCELLED' THEN list_append(gone, customer_id) ELSE gone END,
+         request_id, outcome,
+         CASE outcome WHEN 'BOOKED' THEN new_id WHEN 'CANCELLED' THEN booking_id END
+  FROM (SELECT *, CASE
+          WHEN kind = 'create' AND ((old_id IS NOT NULL AND NOT list_contains(gone, customer_id))
+                                    OR list_contains(added, customer_id)) THEN 'DUPLICATE'
+          WHEN kind = 'create' AND (capacity IS NULL OR existing + len(added) - len(gone) >= capacity)
+            THEN 'FULL'
+          WHEN kind = 'create' THEN 'BOOKED'
+          WHEN NOT mine AND NOT coalesce(old_id = booking_id AND NOT list_contains(gone, customer_id), false)
+            THEN 'MISSING'
+          WHEN event_time <= requested_at THEN 'PAST' ELSE 'CANCELLED' END AS outcome
+        FROM (SELECT l.*, f.added, f.ids, f.gone,
+                coalesce(list_position(f.ids, l.booking_id) = list_position(f.added, l.customer_id), false) AS mine
+              FROM fold f JOIN live l ON l.event_id = f.event_id AND l.step = f.step + 1) a) b),
+replayed AS (
+  SELECT request_id, event_id, customer_id, kind, requested_at, settled AS outcome,
+         NULL::BIGINT AS booking_id FROM k1 WHERE settled IS NOT NULL
+  UNION ALL
+  SELECT l.request_id, l.event_id, l.customer_id, l.kind, l.requested_at, f.outcome, f.made
+  FROM live l JOIN fold f ON f.event_id = l.event_id AND f.request_id = l.request_id)"""
+
+
+def replay_sql(body: str) -> str:
+    return with_bindings(body, extra=REPLAY_CTES).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("replay_commands", replay_sql("SELECT * FROM replayed"))
 def q_replay_commands(spark, sf_dir):
-    """Mixed creates and cancels folded per event in request order (no SQL form)."""
+    """Mixed creates and cancels folded per event in request order."""
     from seatplan.operators.replay import replay_commands
     return replay_commands(tables(spark, sf_dir), B.bind_booking_commands(spark, sf_dir))
 

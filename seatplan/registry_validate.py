@@ -48,11 +48,12 @@ def q_validate_events(spark, sf_dir):
 @register("validate_venues", with_bindings(f"""
 SELECT request_id, venue_name, address, capacity, reason, {status()} FROM (
   SELECT *, CASE WHEN venue_name = '' OR address = '' OR capacity <= 0 THEN 'VENUE_FIELDS'
-                 WHEN length(venue_name) > 120 OR length(address) > 255 THEN 'TOO_LONG' END AS reason
+                 WHEN length(venue_name) > 120 OR length(address) > 255 THEN 'TOO_LONG'
+                 WHEN capacity IS NULL THEN 'CAPACITY_OUT_OF_RANGE' END AS reason
   FROM (SELECT request_id, coalesce({norm('venue_name')}, '') AS venue_name,
                coalesce({norm('address')}, '') AS address,
-               CAST(coalesce(TRY_CAST(regexp_extract(trim(capacity), '^[+-]?[0-9]+', 0) AS BIGINT), 0)
-                    AS INT) AS capacity
+               TRY_CAST(coalesce(nullif(regexp_extract(trim(capacity), '^[+-]?[0-9]+', 0), ''), '0')
+                        AS INT) AS capacity
         FROM venue_rows) d) r"""))
 def q_validate_venues(spark, sf_dir):
     return V.validate_venues(B.bind_venue_rows(spark, sf_dir))
@@ -93,13 +94,15 @@ SIGNUP_CTES = _person_cte(
 p AS (SELECT *, CASE WHEN name = '' OR phone = '' THEN 'NAME_PHONE'
                      WHEN NOT {email_ok('email')} THEN 'BAD_EMAIL'
                      WHEN strlen(password) < 6 THEN 'SHORT_PASSWORD' END AS pre,
+             length(name) > 100 OR length(phone) > 20 OR length(email) > 120 AS long,
              lower(strip_accents(rtrim(email))) AS ek FROM p0),
 sv AS (SELECT request_id, role, CASE
     WHEN pre IS NOT NULL THEN pre
     WHEN EXISTS (SELECT 1 FROM customers c WHERE lower(strip_accents(rtrim(c.email))) = p.ek)
       THEN 'EMAIL_TAKEN'
-    WHEN EXISTS (SELECT 1 FROM p p2 WHERE p2.pre IS NULL AND p2.ek = p.ek
-                 AND p2.request_id < p.request_id) THEN 'EMAIL_TAKEN' END AS reason
+    WHEN EXISTS (SELECT 1 FROM p p2 WHERE p2.pre IS NULL AND p2.ek = p.ek AND NOT p2.long
+                 AND p2.request_id < p.request_id) THEN 'EMAIL_TAKEN'
+    WHEN long THEN 'REGISTRATION_FAILED' END AS reason
   FROM p)"""
 
 PROFILE_CTES = _person_cte("profile_updates", ", customer_id") + f""",
@@ -107,6 +110,7 @@ p AS (SELECT *, CASE WHEN name = '' OR phone = '' THEN 'PROFILE_NAME_PHONE'
                      WHEN NOT {email_ok('email')} THEN 'BAD_EMAIL'
                      WHEN password <> '' AND strlen(password) < 6 THEN 'PROFILE_SHORT_PASSWORD'
                 END AS pre,
+             length(name) > 100 OR length(phone) > 20 OR length(email) > 120 AS long,
              lower(strip_accents(rtrim(email))) AS ek FROM p0),
 q AS (SELECT p.*, EXISTS (SELECT 1 FROM customers c
                           WHERE lower(strip_accents(rtrim(c.email))) = p.ek
@@ -114,9 +118,12 @@ q AS (SELECT p.*, EXISTS (SELECT 1 FROM customers c
 pv AS (SELECT request_id, customer_id, CASE
     WHEN pre IS NOT NULL THEN pre
     WHEN other_holder THEN 'PROFILE_EMAIL_TAKEN'
-    WHEN (SELECT p2.customer_id FROM q p2 WHERE p2.pre IS NULL AND NOT p2.other_holder
-          AND p2.ek = q.ek ORDER BY p2.request_id LIMIT 1) <> q.customer_id
-      THEN 'PROFILE_EMAIL_TAKEN' END AS reason
+    WHEN EXISTS (SELECT 1 FROM q p2 WHERE p2.pre IS NULL AND NOT p2.other_holder AND NOT p2.long
+                 AND p2.ek = q.ek AND p2.customer_id <> q.customer_id AND p2.request_id < q.request_id
+                 AND NOT EXISTS (SELECT 1 FROM q p3 WHERE p3.pre IS NULL AND NOT p3.other_holder
+                                 AND NOT p3.long AND p3.ek = q.ek AND p3.request_id < p2.request_id))
+      THEN 'PROFILE_EMAIL_TAKEN'
+    WHEN long THEN 'PROFILE_FAILED' END AS reason
   FROM q)"""
 
 
@@ -150,7 +157,8 @@ def _cnt(t, rule, where):
 
 def _orph(t, key, parent, pkey, rule):
     return (f"SELECT '{t}' AS table_name, '{rule}' AS rule, CAST(count(*) AS BIGINT) AS violations "
-            f"FROM {{src}} x WHERE NOT EXISTS (SELECT 1 FROM {parent} y WHERE y.{pkey} = x.{key})")
+            f"FROM {{src}} x WHERE x.{key} IS NOT NULL "
+            f"AND NOT EXISTS (SELECT 1 FROM {parent} y WHERE y.{pkey} = x.{key})")
 
 
 def _integrity_sql() -> str:
@@ -211,10 +219,13 @@ def _integrity_sql() -> str:
             _cnt("booking_audit_log", "max_length:action_note", "length(action_note) > 255")],
         ("event_staff", "event_staff"): [
             _dup("event_staff", ["event_id", "staff_id"], "primary_key"),
+            *[_cnt("event_staff", f"not_null:{c}", f"{c} IS NULL") for c in ("event_id", "staff_id")],
             _orph("event_staff", "event_id", "events_t", "event_id", "foreign_key:event_id"),
             _orph("event_staff", "staff_id", "staff", "staff_id", "foreign_key:staff_id")],
         ("event_suppliers", "event_suppliers"): [
             _dup("event_suppliers", ["event_id", "supplier_id"], "primary_key"),
+            *[_cnt("event_suppliers", f"not_null:{c}", f"{c} IS NULL")
+              for c in ("event_id", "supplier_id")],
             _orph("event_suppliers", "event_id", "events_t", "event_id", "foreign_key:event_id"),
             _orph("event_suppliers", "supplier_id", "suppliers", "supplier_id",
                   "foreign_key:supplier_id")],

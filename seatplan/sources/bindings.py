@@ -56,9 +56,7 @@ def bind_tables(spark: SparkSession, sf_dir: str) -> Tables:
          .alias("event_name"),
         F.col("o_orderdate").cast("timestamp_ntz").alias("event_time"),
         F.col("o_totalprice").cast("decimal(12,2)").alias("budget"))
-    bookings = (lineitem.join(customer.select(F.col("c_custkey").alias("l_partkey")),
-                              "l_partkey", "left_semi")
-                .groupBy("l_orderkey", "l_partkey")
+    bookings = (lineitem.groupBy("l_orderkey", "l_partkey")
                 .agg(F.min("l_shipdate").cast("date").alias("booking_date"))
                 .select((F.col("l_orderkey") * 100000 + F.col("l_partkey")).alias("booking_id"),
                         "booking_date", F.col("l_orderkey").alias("event_id"),
@@ -67,7 +65,7 @@ def bind_tables(spark: SparkSession, sf_dir: str) -> Tables:
                                   F.col("l_linenumber").cast("bigint").alias("staff_id")).distinct()
     event_suppliers = lineitem.select(F.col("l_orderkey").alias("event_id"),
                                       F.col("l_suppkey").alias("supplier_id")).distinct()
-    audit = ev.filter(F.col("event_type").isin("signup", "purchase", "error")).select(
+    audit = ev.select(
         F.col("event_id").alias("audit_id"), F.col("event_id").alias("booking_id"),
         F.when(F.col("user_id") % 5 == 0, -1 - F.col("event_id")).otherwise(F.col("event_id"))
          .alias("event_id"),
@@ -90,7 +88,7 @@ def bind_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
 def bind_booking_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _raw(spark, sf_dir, "events")
-    return ev.filter(F.col("event_type").isin("signup", "purchase", "view")).select(
+    return ev.select(
         F.col("event_id").alias("request_id"),
         (F.floor(F.col("value") * 4).cast("bigint") - 5).alias("event_id"),
         F.col("user_id").alias("customer_id"), as_of_lit().alias("requested_at"))
@@ -110,8 +108,9 @@ def bind_signups(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     return c.select(
         k.alias("request_id"),
-        F.when(k % 9 == 0, F.lit("")).otherwise(F.col("c_name")).alias("name"),
-        F.lit("+880").alias("phone"),
+        F.when(k % 9 == 0, F.lit("")).when(k % 11 == 0, F.repeat("c_name", F.lit(6)))
+         .otherwise(F.col("c_name")).alias("name"),
+        F.when(k % 13 == 0, F.lit("+880 1700 000 000 000 000")).otherwise(F.lit("+880")).alias("phone"),
         F.when(k % 7 == 0, F.lit("user.example.com"))
          .when(k % 5 == 0, F.lit("CUSTOMER#000000003@Example.com"))
          .otherwise(F.concat(F.lower("c_name"), F.lit("@new.example.com"))).alias("email"),
@@ -133,8 +132,10 @@ def bind_event_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
          .alias("event_time"),
         F.when(k % 13 == 0, F.lit(-1.0)).when(k % 19 == 0, F.lit(0.001))
          .otherwise(F.col("o_totalprice")).alias("budget"),
-        F.lit(None).cast("array<string>").alias("staff_ids"),
-        F.lit(None).cast("array<string>").alias("supplier_ids"))
+        # Form ids: repeats, a tail that is no number, and ids that no table holds.
+        F.when(k % 2 == 0, F.array((k % 30).cast("string"), F.lit("3"), F.concat((k % 30).cast("string"), F.lit("x"))))
+         .alias("staff_ids"),
+        F.when(k % 5 == 0, F.array((k % 120).cast("string"))).alias("supplier_ids"))
 
 
 def bind_event_views(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +150,8 @@ def bind_venue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _raw(spark, sf_dir, "part")
     return p.select(F.col("p_partkey").alias("request_id"), F.col("p_name").alias("venue_name"),
                     F.col("p_brand").alias("address"),
-                    (F.col("p_size") - 25).cast("string").alias("capacity"))
+                    F.when(F.col("p_partkey") % 10 == 0, F.lit("99999999999"))
+                     .otherwise((F.col("p_size") - 25).cast("string")).alias("capacity"))
 
 
 def bind_staff_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,9 +190,12 @@ def bind_event_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bind_event_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Draft rows re-read as edits of the event with the same id."""
+    """Draft rows re-read as edits of the event with the same id; every seventh
+    is of the next customer's event and every 23rd names no event."""
     d = bind_event_drafts(spark, sf_dir)
-    return d.select(F.col("draft_id").alias("event_id"), *d.columns)
+    k = F.col("draft_id")
+    event = F.when(k % 23 == 0, F.lit(0)).when(k % 7 == 0, k + 1).otherwise(k).cast("bigint")
+    return d.select(event.alias("event_id"), *d.columns)
 
 
 def bind_resource_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,14 +214,28 @@ def bind_resource_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bind_booking_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Creates (even request ids) and cancels (odd ids) in one command table."""
-    cr = bind_booking_requests(spark, sf_dir).select(
-        (F.col("request_id") * 2).alias("request_id"), F.lit("create").alias("kind"),
+    """Creates and cancels in one command table, mixed in request order.
+
+    A request id is ``place * 10^12 + tail``: creates take the places of the
+    click stream, cancels of old bookings are strewn among them, and every
+    third create is followed by a cancel that names the booking it would make.
+    """
+    step = 10 ** 12
+    req = bind_booking_requests(spark, sf_dir)
+    cr = req.select(
+        (F.col("request_id") * step).alias("request_id"), F.lit("create").alias("kind"),
         "event_id", "customer_id", F.lit(None).cast("bigint").alias("booking_id"), "requested_at")
+    old = F.col("booking_id")
     cc = bind_cancel_requests(spark, sf_dir).select(
-        (F.col("request_id") * 2 + 1).alias("request_id"), F.lit("cancel").alias("kind"),
+        ((old * 7919) % 10000 * step + old + 1).alias("request_id"), F.lit("cancel").alias("kind"),
         F.lit(None).cast("bigint").alias("event_id"), "customer_id", "booking_id", "requested_at")
-    return cr.unionByName(cc)
+    top = _raw(spark, sf_dir, "lineitem").agg(
+        F.max(F.col("l_orderkey") * 100000 + F.col("l_partkey"))).first()[0] or 0
+    own = req.filter(F.col("request_id") % 3 == 0).select(
+        ((F.col("request_id") + 5) * step + 7).alias("request_id"), F.lit("cancel").alias("kind"),
+        "event_id", "customer_id",
+        (F.lit(top) + F.col("request_id") * step + 1).alias("booking_id"), "requested_at")
+    return cr.unionByName(cc).unionByName(own)
 
 
 def bind_id_lists(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,10 @@ import os
 
 import pytest
 
-import __spark_entry__ as E
+from seatplan import registry as E
 
 SF = "/root/testdata/sf0.001"
-NESTED_LOOP_OK = {"search_terms_batch", "search_hit_counts"}
+NESTED_LOOP_OK: set[str] = set()
 
 
 def plan_of(df) -> str:
