@@ -279,7 +279,8 @@ def near_groups(docs: DataFrame, width: int, max_bits: int, segments: int = SEGM
     placed = (rows.join(roots, rows["fp"] == roots["node"], "left")
               .select("row", "doc_id", "fp", F.coalesce("root", "fp").alias("root")))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
-    groups = placed.groupBy("root").agg(best)
+    # Checkpointed, so that the join deals out both sides itself and can split a hot group.
+    groups = materialize(placed.groupBy("root").agg(best))
     return (placed.join(groups, "root")
             .select("row", "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                     F.col("best.doc_id").alias("component_id"),

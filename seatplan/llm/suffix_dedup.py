@@ -261,7 +261,9 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     cells = written(docs.select(raw, row).mapInArrow(_cells_of(length), f"row long, {lists}"), "cells")
     each = (cells.select("row", F.explode(F.arrays_zip("core", "cell", "p", "s", "e")).alias("c"))
             .select("row", "c.*"))
-    repeated = each.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
+    # Checkpointed, so that the join deals out both sides itself and can split a hot core.
+    repeated = materialize(each.groupBy("core").agg(F.count(F.lit(1)).alias("n"))
+                           .filter("n > 1").select("core"))
     alike = written(each.join(repeated, "core"), "cells-alike")
     classes = materialize(alike.groupBy("core", "cell").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "p", "s", "e")).alias("one")))
