@@ -162,10 +162,14 @@ def sorted_ranges(strings: DataFrame, read: Callable[[Iterator[tuple[int, Item]]
     before (0 for the first), then the next range's first item (None at the
     end) and whether the range is the first; it yields rows of ``schema``.
     """
-    size = strings.agg(F.coalesce(F.sum(F.length("key") + F.length("rest")), F.lit(0)).alias("n")).first()["n"]
+    size, n = strings.agg(F.coalesce(F.sum(F.length("key") + F.length("rest")), F.lit(0)),
+                          F.count(F.lit(1))).first()
     ranges = min(MOST_RANGES, max(LEAST_RANGES, -(-size // RANGE_BYTES)))
-    sample = sorted((bytes(r["key"]), r["row"], r["at"]) for r in strings.select("key", "row", "at")
-                    .orderBy(F.xxhash64("row", "at")).limit(ranges * PER_RANGE).collect())
+    # A hash sample of about PER_RANGE strings a range, whatever the number of strings.
+    share = int(min(1.0, ranges * PER_RANGE / max(1, n)) * (1 << 40))
+    drawn = strings.select("key", "row", "at").filter(
+        F.pmod(F.xxhash64("row", "at"), F.lit(1 << 40)) < F.lit(share))
+    sample = sorted((bytes(r["key"]), r["row"], r["at"]) for r in drawn.collect())
     splitters = [sample[i] for i in sorted({len(sample) * i // ranges for i in range(1, ranges)})] if sample else []
     del sample
     pieces = strings.select("key", "row", "at", "rest").mapInArrow(_runs(splitters), "range int, blob binary")
