@@ -47,17 +47,26 @@ def event_search(t: Tables, term: str) -> DataFrame:
 GRAM = 3
 
 
-def _grams(text, n: int):
-    """Distinct runs of ``n`` characters of a text column."""
-    size = F.length(text)
-    return F.when(size >= n, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))),
-        lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+#: A term is looked up by grams of its first so many characters; all of it is tested.
+LOOKED_UP = 64
+
+
+def _grams(chars, n: int):
+    """Distinct runs of ``n`` of an array of characters."""
+    last = F.size(chars) - n
+    return F.when(last >= 0, F.array_distinct(F.transform(
+        F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+        lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))
+    )).otherwise(F.array().cast("array<string>"))
+
+
+def _chars(text):
+    return F.filter(F.split(text, ""), lambda c: c != "")
 
 
 def _all_grams(text):
     """The empty run and all runs of up to ``GRAM`` characters."""
-    return F.flatten(F.array(F.array(F.lit("")), *[_grams(text, n) for n in range(1, GRAM + 1)]))
+    return F.flatten(F.array(F.array(F.lit("")), *[_grams(_chars(text), n) for n in range(1, GRAM + 1)]))
 
 
 def _term_grams(term, wild):
@@ -68,9 +77,10 @@ def _term_grams(term, wild):
     """
     pieces = F.when(wild, F.split(term, r"[%_" + chr(92) * 2 + "]+")).otherwise(F.array(term))
     longest = F.element_at(F.array_sort(pieces, lambda a, b: F.length(a) - F.length(b)), -1)
+    chars = _chars(F.substring(longest, 1, LOOKED_UP))
     out = F.array(F.lit(""))
     for n in range(1, GRAM + 1):
-        out = F.when(F.length(longest) >= n, _grams(longest, n)).otherwise(out)
+        out = F.when(F.size(chars) >= n, _grams(chars, n)).otherwise(out)
     return out
 
 

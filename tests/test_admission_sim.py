@@ -54,7 +54,7 @@ def test_admit_bookings_matches_row_by_row(spark, seed):
                                "request_id long, event_id long, customer_id long, "
                                "requested_at timestamp_ntz")
     got = {r["request_id"]: r["outcome"] for r in
-           C.admit_bookings(t, df, salt_buckets=3).collect()}
+           C.admit_bookings(t, df).collect()}
     want = simulate(events, bookings, roles, reqs, lambda rid: 10_000 + rid)
     assert got == want
 

@@ -186,3 +186,29 @@ def test_cancel_outcomes_and_messages(spark, seed):
     res = C.apply_cancellations(seed, out)
     assert res.tables.bookings.count() == 2
     assert [(a["booking_id"], a["action_type"]) for a in res.audit.collect()] == [(1, "CANCELLED")]
+
+
+def test_bindings_reach_every_outcome(spark):
+    """The registered checks see each outcome at least once, and bookings that follow a cancel."""
+    import os
+
+    import pytest
+    from pyspark.sql import Window
+
+    from seatplan.operators.replay import replay_commands
+    from seatplan.registry import tables
+    from seatplan.sources import bindings as B
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("driver tables not present")
+    t = tables(spark, sf)
+    edits = C.update_events(t, B.bind_event_edits(spark, sf), B.AS_OF).outcomes
+    assert {"UPDATED", "NOT_OWNER", "NO_EVENT", "FK_ERROR", "NOT_ALLOWED"} <= {
+        r["outcome"] for r in edits.select("outcome").distinct().collect()}
+    out = replay_commands(t, B.bind_booking_commands(spark, sf))
+    assert {"BOOKED", "CANCELLED", "FULL", "DUPLICATE", "MISSING", "NOT_ALLOWED"} <= {
+        r["outcome"] for r in out.select("outcome").distinct().collect()}
+    w = Window.partitionBy("event_id").orderBy("request_id").rowsBetween(Window.unboundedPreceding, -1)
+    freed = (out.withColumn("before", F.max(F.when(F.col("outcome") == "CANCELLED", 1)).over(w))
+             .filter((F.col("outcome") == "BOOKED") & (F.col("before") == 1)))
+    assert freed.count() >= 1

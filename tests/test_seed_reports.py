@@ -4,6 +4,8 @@ import datetime as dt
 
 from conftest import SEED_AS_OF
 
+from pyspark.sql import functions as F
+
 from seatplan.operators import reports as R
 from seatplan.operators import search as S
 
@@ -103,16 +105,40 @@ def test_owned_and_profile(spark, seed):
     assert "password" not in R.account_profile(seed).columns
 
 
-def test_term_batch_chunks(spark, seed):
+def test_term_batch(spark, seed):
     terms = spark.createDataFrame([("rina",), ("hall",), ("  ",), ("pitch",), ("fair",),
-                                   ("culture",), ("P_tch",)], "term string")
-    one = {(r["term"], r["event_id"]) for r in S.search_terms_batch(seed, terms).collect()}
-    many = {(r["term"], r["event_id"]) for r in
-            S.search_terms_batch(seed, terms, max_broadcast_terms=2).collect()}
-    assert one == many == {("rina", 1), ("rina", 3), ("pitch", 2), ("P_tch", 2), ("fair", 1),
-                           ("culture", 3), ("hall", 1)}
+                                   ("culture",), ("P_tch",), ("RÍNA",), ("R_ná",), ("pi\\tch",),
+                                   ("nowhere",), ("x" * 3_000_000,)], "term string")
+    got = {(r["term"], r["event_id"]) for r in S.search_terms_batch(seed, terms).collect()}
+    assert got == {("rina", 1), ("rina", 3), ("pitch", 2), ("P_tch", 2), ("fair", 1), ("culture", 3),
+                   ("hall", 1), ("RÍNA", 1), ("RÍNA", 3), ("R_ná", 1), ("R_ná", 3), ("pi\\tch", 2)}
     hits = {r["term"]: r["hits"] for r in S.search_hit_counts(seed, terms).collect()}
-    assert hits["hall"] == 1 and hits["rina"] == 2 and "" not in hits
+    assert hits["hall"] == 1 and hits["rina"] == 2 and hits["nowhere"] == 0 and "" not in hits
+    everything = spark.createDataFrame([("%",), ("_",)], "term string")
+    assert S.search_terms_batch(seed, everything).count() == 2 * seed.events.count()
+    # One search, term by term, says the same.
+    for term in ("rina", "P_tch", "pi\\tch", "R_ná"):
+        one = {r["event_id"] for r in S.event_search(seed, term).collect()}
+        assert one == {e for t, e in got if t == term}
+
+
+def test_upcoming_leaves_orphans_out(spark, seed):
+    at = dt.datetime(2020, 1, 1)
+    whole = [r["event_id"] for r in R.upcoming_events(seed, at, k=2).collect()]
+    first = seed.events.filter(F.col("event_id") == whole[0]).first()["venue_id"]
+    cut = seed.with_(venues=seed.venues.filter(F.col("venue_id") != first))
+    left = [r["event_id"] for r in R.upcoming_events(cut, at, k=2).collect()]
+    kept = [e for e in [r["event_id"] for r in R.upcoming_events(seed, at, k=99).collect()]
+            if seed.events.filter(F.col("event_id") == e).first()["venue_id"] != first]
+    assert left == kept[:2]
+
+
+def test_assignment_flags_of_many_events(spark, seed):
+    events = seed.events.select("event_id")
+    got = {(r["event_id"], r["kind"], r["id"]) for r in R.assignment_flags_of(seed, events).collect()}
+    want = {(e["event_id"], r["kind"], r["id"]) for e in events.collect()
+            for r in R.assignment_flags(seed, e["event_id"]).collect() if r["checked"]}
+    assert got == want and got
 
 
 def test_clock_is_zone_free(spark, seed):
