@@ -1,0 +1,259 @@
+"""Top-k, language ID, licences, secrets, token counts and mixing on small tables."""
+
+import random
+import re
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from seatplan.llm import bpe, language_id, licenses, mixing, secrets, token_counts, topk
+
+
+# ---------------------------------------------------------------- top-k
+def brute_topk(rows, k, queries):
+    usable = [(i, [int(np.floor(np.float64(x) * 64)) for x in v]) for i, v in rows
+              if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = {}
+    for q in {i for i, _ in usable if queries(i)}:
+        best = {}
+        for i, v in usable:
+            if i != q:
+                s = max(sum(a * b for a, b in zip(u, v)) for j, u in usable if j == q)
+                best[i] = max(best.get(i, -2 ** 63), min(max(s, -2 ** 63 + 1), 2 ** 63 - 1))
+        out[q] = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
+    return out
+
+
+def check_topk(table, rows, k=3):
+    t = table(rows, "vec_id long, embedding array<double>")
+    v = topk.quantised(t)
+    got = {}
+    for r in sorted(topk.exact_topk(v.filter("vec_id % 4 = 0"), v, k).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert r.rank == len(got[r.query_id])
+    want = brute_topk(rows, k, lambda i: i % 4 == 0)
+    assert got == {q: x for q, x in want.items() if x}
+
+
+def test_topk_ties_nulls_and_lengths(table, monkeypatch):
+    monkeypatch.setattr(topk, "TILE_COLUMNS", 7)
+    monkeypatch.setattr(topk, "QUERY_SHARD", 5)
+    rnd = random.Random(1)
+    rows = [(i, [rnd.choice([-.5, 0., .25, 1 / 3]) for _ in range(4)]) for i in range(60)]
+    rows += [(i, [.5] * 4) for i in range(60, 90)]
+    rows += [(100, None), (104, [None, 1.]), (108, [float("nan")]), (112, [float("inf"), 0.]), (None, [1.] * 4),
+             (116, []), (120, [1.] * 6), (121, [.1]), (64, [.75] * 4), (3, [.5] * 4)]
+    check_topk(table, rows)
+
+
+def test_topk_of_huge_components_is_exact(table):
+    rows = [(i, [float(3 ** (i % 30)) * 1e5, -float(2 ** (i % 50))]) for i in range(24)] + [(24, [1e300, -1e300])]
+    check_topk(table, rows, 4)
+
+
+def test_topk_of_little(table):
+    check_topk(table, [(0, [1.0])])
+    check_topk(table, [(0, [1.0]), (1, [2.0])])
+    v = topk.quantised(table([(0, [1.0])], "vec_id long, embedding array<double>").limit(0))
+    assert topk.exact_topk(v, v).count() == 0
+
+
+# ---------------------------------------------------------------- languages
+def test_language_id(docs):
+    rnd = random.Random(2)
+    words = {"aa": ["the", "thing", "ation", "ing"], "bb": ["über", "schön", "keit", "ung"]}
+    texts, lang = [], {}
+    for i in range(120):
+        lang[i] = "ab"[i % 2] * 2
+        texts.append(" ".join(rnd.choice(words[lang[i]]) for _ in range(rnd.randrange(1, 60))))
+    texts += [None, "", "123 !!", "THE THING", "中文"]
+    got = {r.doc_id: r for r in language_id.predict_documents(docs(texts, lang=lang)).collect()}
+    assert all(got[i].lang_pred == lang[i] for i in lang) and all(0 <= r.score <= 1 for r in got.values())
+    assert [got[i].lang_pred for i in (120, 121, 122, 123)] == ["und", "und", "und", "aa"]
+    import zlib
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
+    kept = {r.doc_id for r in language_id.keep_known(docs(texts, lang=lang)).collect()}
+    assert set(lang) <= kept and not kept & {120, 121, 122}
+
+
+def brute_ngrams(text):
+    import unicodedata
+    inside = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower())
+    out = {}
+    for w in inside.split():
+        padded = [None, *w, None]
+        for n in (1, 2, 3):
+            for i in range(len(padded) - n + 1):
+                g = tuple(padded[i:i + n])
+                if not all(c is None for c in g):
+                    out[g] = out.get(g, 0) + 1
+    return out
+
+
+def test_profiles_are_exact_counts(spark, table):
+    texts = ["The thin man, the end", "Então é não", "the"]
+    t = table([("x", x) for x in texts] + [("x", None)], "lang string, text string")
+    code = lambda g: sum((language_id.EDGE if c is None else ord(c)) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    want = {}
+    for x in texts:
+        for g, n in brute_ngrams(x).items():
+            want[code(g)] = want.get(code(g), 0) + n
+    ranked = sorted(want, key=lambda c: (-want[c], c))
+    got = {r.gram: r["rank"] for r in language_id.learn_profiles(t, 1000).collect()}
+    assert got == {c: i for i, c in enumerate(ranked)}
+
+
+def test_language_id_without_training_rows(docs):
+    t = docs(["hello there", None])
+    assert [r.lang_pred for r in language_id.predict_documents(t).collect()] == ["und", "und"]
+    assert language_id.predict_documents(t.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- licences
+def test_license_scan_against_containment_of_every_window(docs):
+    rnd = random.Random(3)
+    templates = licenses.TEMPLATES | {"Long": " ".join("clause%d" % i for i in range(40))}
+    texts = [None, "", "short"]
+    for _ in range(60):
+        body = [rnd.choice(["lorem", "ipsum", "dolor", "under", "license"]) for _ in range(rnd.randrange(0, 150))]
+        name = rnd.choice(list(templates))
+        words = templates[name].split()
+        if rnd.random() < .3 and len(words) > 20:
+            words[rnd.randrange(len(words))] = "changed"
+        at = rnd.randrange(len(body) + 1)
+        texts.append(" ".join(body[:at] + words + body[at:]))
+    got = {(r.doc_id, r.license): r.containment for r in licenses.scan_licenses(docs(texts), templates).collect()}
+
+    def shingles(text):
+        w = re.findall(rb"[0-9a-z\x80-\xff]+", text.lower().encode())
+        return [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
+    for i, text in enumerate(texts):
+        for name, template in templates.items():
+            s, t = shingles(text or ""), set(shingles(template))
+            share = max([len(t & set(s[k:k + len(t)])) / len(t) for k in range(len(s))], default=0)
+            if share >= licenses.CONTAINMENT:
+                assert (i, name) in got, (i, name)
+            if (i, name) in got:
+                assert got[i, name] <= len(t & set(s)) / len(t) and got[i, name] >= licenses.CONTAINMENT
+
+
+def test_bands_keep_the_promised_chance():
+    assert 1 - (1 - .2) ** licenses.bands_for(.2, 1e-4) >= 1 - 1e-4
+    assert (1 - licenses._least_similarity()) ** licenses.BANDS <= licenses.MISS
+
+
+# ---------------------------------------------------------------- secrets
+def test_secret_scan_drops_false_positives(docs):
+    rnd = random.Random(4)
+    hexes = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    texts, secret = [], set()
+    for i in range(160):
+        words = ["plain", "words", "internationalisation", "and", "more"] * 3
+        if i % 3 == 0:
+            words.insert(7, "password=" + hexes(18))
+            secret.add(i)
+        else:
+            words.insert(7, rnd.choice(["4012888888881881", "internationalisation2024", "2024-01-02-03-04"]))
+        texts.append(" ".join(words))
+    texts += [None, "", "no candidate here"]
+    # Labelled findings of the first half only.
+    label = F.when(F.col("doc_id") < 80, (F.col("doc_id") % 3 == 0).cast("int"))
+    got = secrets.scan_secrets(docs(texts, source={0: "src/main"}), label, F.col("source")).collect()
+    assert len(got) == 160
+    held = [r for r in got if r.doc_id >= 80]
+    assert sum(r.kept == (r.doc_id in secret) for r in held) / len(held) >= .98
+
+
+def test_secret_scan_without_labels_keeps_every_candidate(docs):
+    got = secrets.scan_secrets(docs(["token = \"a1b2c3d4e5f6a7b8\""]), F.lit(None), F.col("source")).collect()
+    assert [(r.kept, r.probability) for r in got] == [(True, None)]
+    assert secrets.scan_secrets(docs(["x"]).limit(0), F.lit(None), F.col("source")).count() == 0
+
+
+# ---------------------------------------------------------------- token files
+def test_separator_scan(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "SPAN", 5)
+    rnd = random.Random(5)
+    rows, want = [], set()
+    for f, share in enumerate((.01, .3, 0, .002, 1)):
+        ids = [7 if rnd.random() < share else rnd.randrange(8, 99) for _ in range(1500)]
+        b = i = 0
+        while i < len(ids):
+            n = rnd.choice([0, 1, 2, 5, 9])
+            rows.append((f, b, np.array(ids[i:i + n], "<u2").tobytes()))
+            i, b = i + n, b + 1
+        rows.append((f, b, None))
+        doc = size = 0
+        for x in ids:
+            if x == 7:
+                want.add((f, doc, size, True))
+                doc, size = doc + 1, 0
+            else:
+                size += 1
+        if size:
+            want.add((f, doc, size, False))
+    t = spark.createDataFrame(rows, "file long, block long, tokens binary")
+    assert {tuple(r) for r in token_counts.count_tokens(t, 7).collect()} == want
+    assert token_counts.count_tokens(t.limit(0), 7).count() == 0
+
+
+def test_token_files_hold_every_document(docs):
+    import public_tokenizers as P
+    vocabulary = bpe.Vocabulary(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    t = docs(["one two three", None, "", "x" * 500, "one two three"])
+    files = token_counts.flat_files(t, vocabulary, 50256, block_tokens=3)
+    got = sorted(r.n_tokens for r in token_counts.count_tokens(files, 50256).collect())
+    assert got == sorted(r.n_tokens for r in bpe.round_trip(t, vocabulary).collect())
+
+
+# ---------------------------------------------------------------- mixing
+def brute_targets(sizes):
+    names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    w = {s: 1 + i % 3 for i, s in enumerate(names)}
+    total, capped = sum(sizes.values()), set()
+    while True:
+        left = total - sum(3 * sizes[s] for s in capped)
+        ws = sum(w[s] for s in names if s not in capped)
+        t = {s: 3 * sizes[s] if s in capped else left * w[s] / ws for s in names}
+        over = {s for s in names if s not in capped and t[s] > 3 * sizes[s]}
+        if not over:
+            return t
+        capped |= over
+
+
+def test_mixing_targets_and_takes(table):
+    rnd = random.Random(6)
+    rows, i = [], 0
+    for source, n in (("a", 400), ("b", 3), ("é", 60), (None, 25), ("", 1), ("z", 90)):
+        for _ in range(n):
+            rows.append((i, " ".join("w" * rnd.randrange(1, 4) for _ in range(rnd.randrange(0, 30))), source, 9))
+            i += 1
+    rows += [(i, None, "a", 9), (5, rows[5][1], "a", 9), (None, "one two", "b", 9)]
+    t = table(rows, "doc_id long, text string, source string, copies int")
+    labels = table([(k, k % 2, 0) for k in range(0, 300, 3)], "doc_id long, quality int, toxic int")
+    got = mixing.mix_sources(mixing.measured(t, labels), buckets=16).collect()
+    assert len(got) == len(rows)
+    sizes, taken = {}, {}
+    for r in got:
+        sizes[r.source] = sizes.get(r.source, 0) + r.size
+        taken[r.source] = taken.get(r.source, 0) + r.size * r.copies
+        assert 0 <= r.copies <= 3
+    want = brute_targets(sizes)
+    for r in got:
+        assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= max(r.size for r in got if r.source == s) / 2 + 1e-6
+    again = mixing.mix_sources(mixing.measured(t, labels), buckets=4096).collect()
+    assert sorted((str(r.doc_id), r.size, r.copies) for r in again) == sorted((str(r.doc_id), r.size, r.copies) for r in got)
+    mixed = mixing.mixed_rows(t, labels)
+    assert mixed.columns == t.columns and mixed.count() == sum(r.copies for r in got)
+    assert mixing.mix_sources(mixing.measured(t.limit(0))).count() == 0
+
+
+def test_heavier_documents_are_taken_more_often(table):
+    t = table([(i, "w " * 10, "s") for i in range(2000)] + [(9999, "w " * 40000, "big")],
+              "doc_id long, text string, source string")
+    labels = table([(i, i % 2) for i in range(2000)], "doc_id long, quality int")
+    rows = mixing.mix_sources(mixing.measured(t, labels)).filter("source = 's'").collect()
+    low, high = (sum(r.copies for r in rows if r.doc_id % 2 == k) for k in (0, 1))
+    assert high >= low
