@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from seatplan.operators import reports as R
+from seatplan.session import importable_on_workers
 from seatplan.sources import bindings as B
 
 AS_OF_SQL = "TIMESTAMP '2000-01-01 00:00:00'"
@@ -136,7 +137,7 @@ def register(name: str, sql: str | None = None):
 
 def queries() -> dict[str, Query]:
     _load_all()
-    return dict(_QUERIES)
+    return {name: importable_on_workers(fn) for name, fn in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,7 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import functools
+import os
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def importable_on_workers(query: Callable[[SparkSession, str], DataFrame]):
+    """``query`` with this package's folder on the Python workers' path.
+
+    For runs from a checkout on one machine; on a cluster install the package
+    (``pyproject.toml``) or pass it with ``--py-files``.
+    """
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        env = spark.sparkContext.environment
+        paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if ROOT not in paths:
+            env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+        return query(spark, sf_dir)
+    return run
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
