@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from seatplan.llm import bpe, exact_dedup, language_id, licenses, mixing, secrets, simhash, suffix_dedup, token_counts, topk
 from seatplan.plans.lineage import written
+from seatplan.session import importable_on_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -153,7 +154,8 @@ _ORACLE: dict[str, str] = {
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES) | {"pipeline": corpus_pipeline.run}
+    every = _QUERIES | {"pipeline": corpus_pipeline.run}
+    return {name: importable_on_workers(fn) for name, fn in every.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -100,15 +100,15 @@ def _cells(flat: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
     return a[first], windows[first], windows[last] + 1
 
 
-def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
+def _pieces(texts: list[bytes], length: int, segment: int) -> Iterator[list[tuple[int, int, bytes]]]:
     """Lists of (text number, offset in the text, bytes) of bounded size; pieces of a long text overlap."""
     group, size = [], 0
     for i, t in enumerate(texts):
-        for at in range(0, max(1, len(t) - length + 1), _SEGMENT):
-            piece = t[at:at + _SEGMENT + length - 1]
+        for at in range(0, max(1, len(t) - length + 1), segment):
+            piece = t[at:at + segment + length - 1]
             group.append((i, at, piece))
             size += len(piece)
-            if size >= _SEGMENT:
+            if size >= segment:
                 yield group
                 group, size = [], 0
     if group:
@@ -117,13 +117,14 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, by
 
 def _cells_of(length: int):
     core, _, _ = _shape(length)
+    segment = _SEGMENT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hash64 = xxhash.xxh3_64_intdigest
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column(0)]
             found: list[list[list]] = [[[] for _ in texts] for _ in range(5)]
-            for group in _pieces(texts, length):
+            for group in _pieces(texts, length, segment):
                 raw = b"".join([p for _, _, p in group])
                 sizes = np.array([len(p) for _, _, p in group])
                 stops = np.cumsum(sizes)
