@@ -108,11 +108,10 @@ def main() -> None:
             print(f"| {name} | " + " | ".join(str(s[k]) for k in keys) + " |")
         print()
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    print("`nested_loop` appears only in the term batch search (no equi-key; its term list "
-          "is size-checked before the broadcast).  `windows` appear in admissions (the salted "
-          "first-n: two windows) and nowhere a key could put all rows in one window task "
-          "unsalted.  `python` is the ordered fold of the replay.  No operator has a "
-          "cartesian product.")
+    print("No operator has a nested loop or a cartesian product.  `windows` appear in admissions and "
+          "the replay: one over range counts (at most 1024 rows a key) and one that ranks the single "
+          "range in which a key's last seat lies.  `python` is the ordered fold of the replay, for "
+          "events that mix live creates and cancels.")
     _ = F
 
 
