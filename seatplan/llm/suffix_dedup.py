@@ -51,6 +51,8 @@ from seatplan.llm.suffix_merge import Item, Splitter, common_prefix, sorted_rang
 from seatplan.plans.lineage import materialize, written
 
 LENGTH = 400
+#: Parts of a class of equal cells in the join that marks them.
+SALTS = 16
 _SEGMENT = 1 << 20  # bytes handled at once
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -268,7 +270,11 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     alike = written(each.join(repeated, "core"), "cells-alike")
     classes = materialize(alike.groupBy("core", "cell").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "p", "s", "e")).alias("one")))
-    whole = (alike.join(classes.filter("n > 1").select("core", "cell"), ["core", "cell"])
+    # One class may hold a large part of all cells: its rows are salted, its one class row repeated.
+    salted = alike.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    repeats = classes.filter("n > 1").select(
+        "core", "cell", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    whole = (salted.join(repeats, ["core", "cell", "salt"])
              .select("row", F.col("s").alias("a"), (F.col("e") - 1 + length).alias("b")))
     mixed = classes.groupBy("core").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("core")
     wanted = (classes.join(mixed, "core").select("core", "one.*").groupBy("row")
