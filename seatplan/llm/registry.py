@@ -34,8 +34,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled findings: words in a published key format are secrets, runs of digits alone are not."""
-    key = F.col("word").rlike(r'^AKIA[A-Z0-9]{16}\W*$|^"[0-9a-f]{40}"\W*$|^password=[0-9a-f]{18}\W*$')
-    label = F.when(key, 1.0).when(F.col("found").rlike("^[0-9+/_-]+$"), 0.0)
+    found, before = F.col("found"), F.col("before")
+    key = (found.rlike("^AKIA[A-Z0-9]{16}$") | found.rlike("^[0-9a-f]{40}$") & before.endswith('"') & (F.col("after") == '"')
+           | found.rlike("^[0-9a-f]{18}$") & before.endswith("password="))
+    label = F.when(key, 1.0).when(found.rlike("^[0-9+/_-]+$"), 0.0)
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"), label, F.col("source"))
 
 

@@ -1,12 +1,15 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-DataFrame functions and Spark's own (JVM) random forest only.  A candidate is
-a word that ends in a run of twelve or more key characters with a digit among
-them.  Its features: length, character transitions (how often neighbouring
-characters change class, and the share of digits, capitals and distinct
-characters), dictionary coverage (the share of its characters in letter runs
-that are words of the corpus), its path (a column of the caller), and its
-neighbouring words (a credential word before it, an assignment, quotes).
+DataFrame functions and Spark's own (JVM) random forest only.  A word falls
+into runs of key characters, wherever in the word they stand (JSON, URLs, lists,
+markup, text without spaces).  A candidate is a run of twelve or more with a
+digit among them, or any run of ``SHORT`` or more that directly follows a
+credential word or an assignment sign.  Its features: length, character
+transitions (how often neighbouring characters change class, and the share of
+digits, capitals and distinct characters), dictionary coverage (the share of its
+characters in letter runs that are words of the corpus), its path (a column of
+the caller), and what stands around it (a credential word before it, an
+assignment, quotes).  A value with other punctuation inside gives its runs.
 
 The forest is trained from labelled findings, at most ``train_rows`` of each
 label by hash order; everything else covers all documents.
@@ -27,9 +30,17 @@ from pyspark.sql import functions as F
 
 from seatplan.plans.lineage import materialize
 
-RUN = r"[A-Za-z0-9+/_\-]{12,}"
-CANDIDATE = rf"({RUN})[^A-Za-z0-9+/_\-]{{0,4}}$"
+KEY = r"A-Za-z0-9+/_\-"
+RUN = rf"[{KEY}]{{12,}}"
+#: Pieces of a word: what stands before a run, and the run.
+PIECE = rf"[^{KEY}]*[{KEY}]*"
 CREDENTIAL = r"(?i)(passw|pwd|secret|token|api.?key|access.?key|auth|credential|private)"
+#: Text that ends where a credential's value starts: a credential word or an assignment.
+LEAD = rf"{CREDENTIAL}[{KEY}.]*[^{KEY}]*((is|was)[^{KEY}]+)?$|[=:][^{KEY}]*$"
+#: Least length of a run behind such a text.
+SHORT = 4
+#: So many characters before a candidate are looked at.
+NEAR = 100
 HARMLESS_PATH = r"(?i)(test|example|sample|doc|fixture|mock)"
 #: A word of the dictionary occurs this often in the corpus.
 DICTIONARY_COUNT = 3
@@ -39,22 +50,51 @@ FEATURES = ["length", "transitions", "digits", "capitals", "distinct", "coverage
 
 
 def candidates(docs: DataFrame, path) -> DataFrame:
-    """(doc_id, word_no, word, found, before, path): every candidate with the two words before it."""
+    """(doc_id, path, word_no, run_no, found, before, after): every candidate.
+
+    ``run_no`` is its place among the runs of its word; ``before`` ends where it
+    starts (runs of the word before it, else the two words before), ``after`` is
+    the character behind it.  Rows are cut from arrays of words and of pieces,
+    so that none carries more of its text than that.
+    """
     words = F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")
-    w = F.col("_w")
+    w, p = F.col("_w"), F.col("_p")
+
+    def near(i):
+        return F.concat_ws(" ", F.get(w, i - 2), F.get(w, i - 1), F.lit(""))
 
     def likely(i):
         word = F.get(w, i)
-        return (F.length(word) >= 12) & word.rlike("[0-9]") & word.rlike(CANDIDATE)
+        return ((F.length(word) >= 12) & word.rlike("[0-9]") & word.rlike(RUN)
+                | (F.length(word) >= SHORT) & (word.rlike("[=:]") | word.rlike(CREDENTIAL) | near(i).rlike(LEAD)))
+
+    def run(i):
+        piece = F.get(p, i)
+        found = F.regexp_extract(piece, rf"[{KEY}]+$", 0)
+        gap = F.substring(piece, F.lit(1), F.length(piece) - F.length(found))
+        before = F.concat(F.when(i < 3, F.col("_near")).otherwise(F.lit("")),
+                          *[F.coalesce(F.get(p, i - k), F.lit("")) for k in (3, 2, 1)], gap)
+        return F.struct(i.alias("run_no"), found.alias("found"), F.right(before, F.lit(NEAR)).alias("before"),
+                        F.substring(F.coalesce(F.get(p, i + 1), F.lit("")), 1, 1).alias("after"))
+
+    def numbers(of):
+        return F.sequence(F.lit(0), F.size(of) - 1)
+
+    def credible(r):
+        long = (F.length(r["found"]) >= 12) & r["found"].rlike("[0-9]")
+        return long | (F.length(r["found"]) >= SHORT) & r["before"].rlike(LEAD)
 
-    places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), likely)
     found = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(path, F.lit("")).alias("path"),
                          words.alias("_w"))
-             .select("doc_id", "path", "_w", F.explode(places).alias("word_no")))
-    near = F.concat_ws(" ", F.get(w, F.col("word_no") - 2), F.get(w, F.col("word_no") - 1))
-    return (found.select("doc_id", "path", "word_no", F.get(w, F.col("word_no")).alias("word"), near.alias("before"))
-            .withColumn("found", F.regexp_extract("word", CANDIDATE, 1))
-            .filter(F.col("found").rlike("[0-9]")))
+             .select("doc_id", "path", F.explode(F.transform(
+                 F.filter(numbers(w), likely),
+                 lambda i: F.struct(i.alias("word_no"), F.get(w, i).alias("_word"),
+                                    F.right(near(i), F.lit(NEAR)).alias("_near")))).alias("_at"))
+             .select("doc_id", "path", "_at.word_no", "_at._near",
+                     F.regexp_extract_all("_at._word", F.lit(PIECE), F.lit(0)).alias("_p")))
+    return (found.select("doc_id", "path", "word_no",
+                         F.explode(F.filter(F.transform(numbers(p), run), credible)).alias("_r"))
+            .select("doc_id", "path", "word_no", "_r.*"))
 
 
 def _dictionary(docs: DataFrame) -> DataFrame:
@@ -81,20 +121,19 @@ def features(found: DataFrame, docs: DataFrame) -> DataFrame:
         return F.regexp_count(x, F.lit(pattern)) / n
 
     change = r"[a-z](?=[A-Z0-9])|[A-Z](?=[a-z0-9])|[0-9](?=[A-Za-z])"
-    key = F.regexp_replace(F.col("word"), F.concat(F.lit(r"\Q"), x, F.lit(r"\E.*$")), F.lit(""))
     return (_coverage(found, docs)
             .withColumn("length", n).withColumn("transitions", share(change))
             .withColumn("digits", share("[0-9]")).withColumn("capitals", share("[A-Z]"))
             .withColumn("distinct", F.size(F.array_distinct(F.split(x, ""))) / n)
             .withColumn("harmless_path", F.col("path").rlike(HARMLESS_PATH).cast("double"))
-            .withColumn("credential_word", F.concat_ws(" ", "before", key).rlike(CREDENTIAL).cast("double"))
-            .withColumn("assigned", F.concat_ws(" ", "before", key).rlike(r"[=:]\s*[\"']?$").cast("double"))
-            .withColumn("quoted", F.col("word").rlike("[\"']").cast("double")))
+            .withColumn("credential_word", F.col("before").rlike(CREDENTIAL).cast("double"))
+            .withColumn("assigned", (F.col("before").rlike(r"[=:]>?\s*[\"']?$") & ~x.startswith("//")).cast("double"))
+            .withColumn("quoted", (F.col("before").rlike("[\"']$") | F.col("after").rlike("[\"']")).cast("double")))
 
 
 def scan_secrets(docs: DataFrame, labelled, path, train_rows: int = TRAIN_ROWS,
                  trees: int = 20, depth: int = 6, seed: int = 7) -> DataFrame:
-    """(doc_id, word_no, found_sha256, length, probability, kept) of every candidate.
+    """(doc_id, word_no, run_no, found_sha256, length, probability, kept) of every candidate.
 
     ``labelled`` is a column over the candidates: 1 for a confirmed secret, 0
     for a confirmed false positive, null for a finding nobody has labelled.
@@ -107,7 +146,7 @@ def scan_secrets(docs: DataFrame, labelled, path, train_rows: int = TRAIN_ROWS,
     slices = Window.partitionBy("label", F.pmod("_h", F.lit(64))).orderBy("_h", "found")
     train = (labels.withColumn("_n", F.row_number().over(slices)).filter(F.col("_n") <= train_rows)
              .withColumn("_n", F.row_number().over(by_hash)).filter(F.col("_n") <= train_rows))
-    out = ["doc_id", "word_no", F.sha2("found", 256).alias("found_sha256"), F.col("length").cast("int").alias("length")]
+    out = ["doc_id", "word_no", "run_no", F.sha2("found", 256).alias("found_sha256"), F.col("length").cast("int").alias("length")]
     train = materialize(train.select("label", *FEATURES))
     if train.select("label").distinct().count() < 2:
         return rated.select(*out, F.lit(None).cast("double").alias("probability"), F.lit(True).alias("kept"))
