@@ -11,9 +11,15 @@ stretch holding 0.8 of a template's shingles has a known least Jaccard
 similarity with its window; :func:`bands_for` takes as many bands (of one row)
 as bring the chance that none is equal under ``MISS``.  A band can only be
 equal if the window holds a shingle of the template, so windows without any
-template shingle are passed over before their MinHashes are taken.  Retrieved
+template shingle are passed over before their MinHashes are taken, and so are
+those with fewer than ``CONTAINMENT`` of the class's smallest template.  Retrieved
 pairs are verified on the words themselves: at least ``CONTAINMENT`` of the
-template's distinct shingles must be in the window.
+template's distinct shingles must be in the window.  Templates of fewer than five
+words (an SPDX tag, a name with its version) must occur word for word.
+
+The query's own templates (:func:`known_templates`) are, per licence, notices, file
+headers and full texts.  Texts that hardly differ (GPL headers of two versions, BSD
+with two and three clauses) match together; the containment tells them apart.
 
 Defined results: null, empty and short texts match nothing; of several windows
 of a document the one with the highest containment counts, then the first;
@@ -23,6 +29,7 @@ result; texts are read whole; other columns are ignored.
 
 from __future__ import annotations
 
+import importlib.resources
 import math
 from collections.abc import Iterator
 
@@ -52,6 +59,40 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+_GNU = {"GPL-2.0": ("General", "2"), "GPL-3.0": ("General", "3"), "LGPL-2.1": ("Lesser General", "2.1"),
+        "LGPL-3.0": ("Lesser General", "3"), "AGPL-3.0": ("Affero General", "3")}
+#: Other wordings of the notices, by licence.
+NOTICES: dict[str, list[str]] = {
+    "Apache-2.0": ["Apache License 2.0", "Apache License, Version 2.0", "Apache License v2.0", "Apache 2.0 License"],
+    "MIT": ["under the MIT License", "The MIT License (MIT)", "under MIT License", "under the terms of the MIT License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-clause BSD license"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-clause BSD license"],
+    "ISC": ["under the ISC License"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0"],
+    "Unlicense": ["For more information, please refer to <https://unlicense.org>"],
+    "CC0-1.0": ["CC0 1.0 Universal"],
+    **{f"CC-{k}-4.0": [f"CC {k} 4.0", f"Creative Commons {name} 4.0 International"] for k, name in
+       (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"))},
+    **{k: [f"GNU {name} Public License{sign} {v}" for v in dict.fromkeys((v, v if "." in v else v + ".0"))
+           for sign in (" version", " v", "")] + [f"GNU {name} Public License v{v}"]
+       for k, (name, v) in _GNU.items()},
+}
+
+
+def known_templates() -> dict[str, list[str]]:
+    """Every licence's notices, SPDX tag, file headers and full texts (``license_texts``: name[.variant].txt)."""
+    out = {k: [v, *NOTICES.get(k, [])] for k, v in TEMPLATES.items()} | {
+        k: list(v) for k, v in NOTICES.items() if k not in TEMPLATES}
+    for file in sorted(importlib.resources.files("seatplan.llm").joinpath("license_texts").iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            name = file.name.removesuffix(".txt").removesuffix(".header").removesuffix(".regents")
+            text = file.read_text("utf-8")
+            paragraphs = text.split("\n\n") if ".header." in file.name else [text]
+            # Headers are often cut short: each run of paragraphs from the first is a variant.
+            out.setdefault(name, []).extend("\n\n".join(paragraphs[:n + 1]) for n in range(len(paragraphs)))
+    return {k: [*v, f"SPDX-License-Identifier: {k}"] for k, v in out.items()}
+
+
 _KIND = np.zeros(256, bool)
 _KIND[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -100,12 +141,12 @@ def _words(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, stop, h * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _shingles(h: np.ndarray) -> np.ndarray:
-    n = len(h) - WIDTH + 1
+def _shingles(h: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    n = len(h) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     out = np.zeros(n, np.uint64)
-    for j in range(WIDTH):
+    for j in range(width):
         out = (out ^ (out >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) + h[j:n + j]
     return out ^ (out >> np.uint64(32))
 
@@ -120,54 +161,89 @@ def _minhash(shingles: np.ndarray) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(33))).min(1)
 
 
-class Library:
-    """Templates with their shingles, MinHash bands and size classes."""
+_SIEVE = 20  # bits of a shingle that the first look reads
+
+
+def _filter(known: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << _SIEVE, bool)
+    out[(known & np.uint64((1 << _SIEVE) - 1)).astype(np.int64)] = True
+    return out
+
 
-    def __init__(self, templates: dict[str, str]):
-        self.names, self.sets, self.bands = list(templates), [], {}
-        known, self.classes = [], set()
-        for i, text in enumerate(templates.values()):
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is in the sorted, not empty ``known`` (np.isin sorts ``known`` again in every call)."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+class Library:
+    """Templates with their shingles, MinHash bands and size classes; short ones as phrases."""
+
+    def __init__(self, templates: dict[str, str | list[str]]):
+        self.names, self.sets, self.bands = [], [], {}
+        self.need: dict[int, int] = {}  # shingles that a match in the class holds at least
+        self.phrases: dict[int, dict[int, list[int]]] = {}  # words -> hash -> templates
+        known: dict[int, list[np.ndarray]] = {}
+        every = [(name, t) for name, texts in templates.items() for t in ([texts] if isinstance(texts, str) else texts)]
+        for i, (name, text) in enumerate(every):
             flat = _LOWER[np.frombuffer(text.encode(), np.uint8)]
             start, stop, h = _words(flat)
-            if len(start) < WIDTH:
-                raise ValueError(f"template {self.names[i]} has fewer than {WIDTH} words")
-            shingles = np.unique(_shingles(h))
-            self.sets.append(_word_shingles(flat.tobytes(), start, stop))
-            known.append(shingles)
+            self.names.append(name)
+            if not len(start):
+                raise ValueError(f"template {name} has no words")
+            width = min(WIDTH, len(start))
+            self.sets.append(_word_shingles(flat.tobytes(), start, stop, width))
+            shingles = np.unique(_shingles(h, width))
+            if width < WIDTH:
+                self.phrases.setdefault(width, {}).setdefault(int(shingles[0]), []).append(i)
+                continue
             c = _class_of(len(shingles))
-            self.classes.add(c)
+            known.setdefault(c, []).append(shingles)
+            need = math.ceil(CONTAINMENT * len(self.sets[i]) - 1e-9)
+            self.need[c] = min(self.need.get(c, need), need)
             for band, value in enumerate(_minhash(shingles).tolist()):
                 self.bands.setdefault((c, band, value), []).append(i)
-        self.known = np.unique(np.concatenate(known)) if known else np.empty(0, np.uint64)
-        self.filter = np.zeros(1 << 16, bool)
-        self.filter[(self.known & np.uint64(0xFFFF)).astype(np.int64)] = True
+        self.classes = {c: np.unique(np.concatenate(x)) for c, x in sorted(known.items())}
+        self.known = np.unique(np.concatenate(list(self.classes.values()))) if known else np.empty(0, np.uint64)
+        self.filter = _filter(self.known)
+        self.phrase_keys = {}
+        for width, at in self.phrases.items():
+            keys = np.array(sorted(at), np.uint64)
+            self.phrase_keys[width] = keys, _filter(keys)
+
 
+def _held(shingles: np.ndarray, known: np.ndarray, filt: np.ndarray) -> np.ndarray:
+    """Places of known shingles."""
+    at = np.flatnonzero(filt[(shingles & np.uint64((1 << _SIEVE) - 1)).astype(np.int64)])
+    return at[_among(shingles[at], known)] if len(known) else at[:0]
 
-def _word_shingles(flat: bytes, start: np.ndarray, stop: np.ndarray) -> set[tuple[bytes, ...]]:
+
+def _word_shingles(flat: bytes, start: np.ndarray, stop: np.ndarray, width: int = WIDTH) -> set[tuple[bytes, ...]]:
     words = [flat[a:b] for a, b in zip(start.tolist(), stop.tolist())]
-    return {tuple(words[i:i + WIDTH]) for i in range(len(words) - WIDTH + 1)}
+    return {tuple(words[i:i + width]) for i in range(len(words) - width + 1)}
 
 
 def _scan_text(library: Library, flat: np.ndarray, start, stop, shingles: np.ndarray) -> Iterator[tuple]:
     """(template, containment, first word, words) of every verified window of one document."""
-    at = np.flatnonzero(library.filter[(shingles & np.uint64(0xFFFF)).astype(np.int64)])
-    at = at[np.isin(shingles[at], library.known)]
+    at = _held(shingles, library.known, library.filter)
     if not len(at):
         return
-    raw = None
-    for c in sorted(library.classes):
+    raw, held = None, shingles[at]
+    for c, known in library.classes.items():
+        own_at = at[_among(held, known)]
+        if len(own_at) < library.need[c]:
+            continue
         step, size = 2 << c, 4 << c
-        last = at // step
-        for w in np.unique(np.concatenate((last, np.maximum(last - 1, 0)))).tolist():
-            window = shingles[w * step:w * step + size]
-            if not len(window):
-                continue
+        last = own_at // step
+        starts = np.unique(np.concatenate((last, np.maximum(last - 1, 0)))) * step
+        enough = np.searchsorted(own_at, starts + size) - np.searchsorted(own_at, starts) >= library.need[c]
+        for first in starts[enough].tolist():
+            window = shingles[first:first + size]
             mins = _minhash(window).tolist()
             hits = {t for band, value in enumerate(mins) for t in library.bands.get((c, band, value), ())}
             if not hits:
                 continue
             raw = raw or flat.tobytes()
-            first, end = w * step, min(w * step + size + WIDTH - 1, len(start))
+            end = min(first + size + WIDTH - 1, len(start))
             own = _word_shingles(raw, start[first:end], stop[first:end])
             for t in hits:
                 share = len(own & library.sets[t]) / len(library.sets[t])
@@ -175,13 +251,24 @@ def _scan_text(library: Library, flat: np.ndarray, start, stop, shingles: np.nda
                     yield t, share, first, end - first
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """(doc_id, license, containment, first_word, n_words) of the best window per document and template.
+def _find_phrases(library: Library, flat: np.ndarray, start, stop, h: np.ndarray) -> Iterator[tuple]:
+    """(template, 1.0, first word, words) of every short template that occurs."""
+    for width, (keys, filt) in library.phrase_keys.items():
+        shingles = _shingles(h, width)
+        for first in _held(shingles, keys, filt).tolist():
+            words = tuple(flat[a:b].tobytes() for a, b in zip(start[first:first + width], stop[first:first + width]))
+            for t in library.phrases[width][int(shingles[first])]:
+                if words in library.sets[t]:
+                    yield t, 1.0, first, width
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, str | list[str]] | None = None) -> DataFrame:
+    """(doc_id, license, containment, first_word, n_words) of the best window per document and license.
 
-    ``templates`` maps a name to a text of five words or more; the library is
-    built once and sent to the tasks (it is the caller's own, bounded list).
+    ``templates`` maps a name to its text or texts; without it the
+    :func:`known_templates` are searched.  The library is built once and sent to the tasks (it is the caller's own, bounded list).
     """
-    library = Library(TEMPLATES if templates is None else templates)
+    library = Library(known_templates() if templates is None else templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,11 +279,14 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
                     continue
                 flat = _LOWER[np.frombuffer(raw, np.uint8)]
                 start, stop, h = _words(flat)
-                best: dict[int, tuple] = {}
-                for t, share, first, n in _scan_text(library, flat, start, stop, _shingles(h)):
-                    best[t] = max(best.get(t, (0,)), (share, -first, n))
-                for t, (share, first, n) in best.items():
-                    for column, v in zip(out, (doc, library.names[t], share, -first, n)):
+                best: dict[str, tuple] = {}
+                for found in (_scan_text(library, flat, start, stop, _shingles(h)),
+                              _find_phrases(library, flat, start, stop, h)):
+                    for t, share, first, n in found:
+                        name = library.names[t]
+                        best[name] = max(best.get(name, (0,)), (share, -first, n))
+                for name, (share, first, n) in best.items():
+                    for column, v in zip(out, (doc, name, share, -first, n)):
                         column.append(v)
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())
             names = ("doc_id", "license", "containment", "first_word", "n_words")

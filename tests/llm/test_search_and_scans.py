@@ -142,6 +142,29 @@ def test_bands_keep_the_promised_chance():
     assert (1 - licenses._least_similarity()) ** licenses.BANDS <= licenses.MISS
 
 
+def test_registered_library_finds_texts_headers_and_notices(docs):
+    texts = {k: v for k, v in licenses.known_templates().items()}
+    want = [("MIT", "Permission is hereby granted, free of charge" + next(
+                t for t in texts["MIT"] if len(t) > 500).split("free of charge")[1]),
+            *[(k, max(texts[k], key=len)) for k in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "BSD-3-Clause", "MPL-2.0")],
+            ("GPL-3.0", "# This program is free software: you can redistribute it and/or modify # it under the terms of the "
+             "GNU General Public License as published by # the Free Software Foundation, either version 3 of the License, "
+             "or # (at your option) any later version. # # This program is distributed in the hope that it will be useful, "
+             "# but WITHOUT ANY WARRANTY; without even the implied warranty of # MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+             "PURPOSE. See the # GNU General Public License for more details."),
+            ("MIT", "Licensed under the MIT License"), ("Apache-2.0", "Apache License 2.0"), ("MIT", "// SPDX-License-Identifier: MIT"),
+            ("GPL-3.0", "This program is licensed under the GNU General Public License, version 3"),
+            *[(k, v) for k, v in licenses.TEMPLATES.items()]]
+    rows = [f"lorem ipsum dolor {t} sit amet" for _, t in want] + ["the license of the apache nation, version two of the mit"]
+    got = {}
+    for r in licenses.scan_licenses(docs(rows)).collect():
+        assert (r.doc_id, r.license) not in got
+        got[r.doc_id, r.license] = r.containment
+    for i, (name, _) in enumerate(want):
+        assert (i, name) in got, want[i]
+    assert not [k for k in got if k[0] == len(want)]
+
+
 # ---------------------------------------------------------------- secrets
 def test_secret_scan_drops_false_positives(docs):
     rnd = random.Random(4)
