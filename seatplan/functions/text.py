@@ -103,6 +103,35 @@ def fold(c) -> Column:
     return F.when(is_printable_ascii(c), low).otherwise(F.translate(low, _MARKED, _BASE))
 
 
+def _blind_letters() -> tuple[str, str]:
+    """Lower-case letters made of a Latin, Greek or Cyrillic base letter and accents, and their base letters."""
+    bases = {*map(chr, [*range(0x61, 0x7B), *range(0x3B1, 0x3CA), *range(0x430, 0x450)])}
+    pairs = {"\u03c2": "\u03c3"}  # final sigma
+    for c in map(chr, range(0xC0, 0x2000)):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if (marks and base in bases and c.lower() == c
+                and all(0x300 <= ord(m) <= 0x333 or m == "\u0342" for m in marks)):
+            pairs[c] = base
+    return "".join(pairs), "".join(pairs.values())
+
+
+_LETTERS, _LETTER_BASE = _blind_letters()
+#: Lower-cased text of which :func:`blind_key` is known to be as blind as the collation.
+_PROVEN = f"^[\\x20-\\x7E\u03b1-\u03c9\u0430-\u044f{_LETTERS}]*$"
+
+
+def blind_key(c) -> Column:
+    """:func:`fold`, further folded: texts of known letters that are equal under
+    the collation have equal keys (й and и too, which the collation keeps apart)."""
+    return F.translate(fold(c), _LETTERS, _LETTER_BASE)
+
+
+def has_blind_key(c) -> Column:
+    """Whether the text holds only characters for which :func:`blind_key` is at
+    least as blind as the collation (no ligatures, lone marks, other scripts)."""
+    return is_printable_ascii(c) | F.coalesce(F.lower(col_(c)).rlike(_PROVEN), F.lit(False))
+
+
 def ci_contains(c, term: str) -> Column:
     """MySQL ``col LIKE '%term%'`` under the page's unescaped wrapping.
 

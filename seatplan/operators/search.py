@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seatplan.functions.text import (CI_AI, ci_contains, ci_key, fold, is_printable_ascii,
-                                     like_pattern, php_trim)
+from seatplan.functions.text import (CI_AI, blind_key, ci_contains, ci_key, fold, has_blind_key,
+                                     is_printable_ascii, like_pattern, php_trim)
 from seatplan.operators.reports import _ts, booking_counts
 from seatplan.sources.tables import Tables
 
@@ -51,6 +51,10 @@ GRAM = 3
 LOOKED_UP = 64
 
 
+#: Stands for a gram of the names that every term is tested on (no name or term holds it as a gram).
+EVERY_TERM = "*" * (GRAM + 1)
+
+
 def _grams(chars, n: int):
     """Distinct runs of ``n`` of an array of characters."""
     last = F.size(chars) - n
@@ -69,6 +73,12 @@ def _all_grams(text):
     return F.flatten(F.array(F.array(F.lit("")), *[_grams(_chars(text), n) for n in range(1, GRAM + 1)]))
 
 
+def _name_grams(name):
+    """What a name is retrieved by: its grams, or every term where its key may be less blind than the collation."""
+    return F.when(has_blind_key(name), _all_grams(blind_key(name))) \
+        .otherwise(F.array(F.lit(""), F.lit(EVERY_TERM)))
+
+
 def _term_grams(term, wild):
     """Runs that every match of a term holds: those of its longest literal piece.
 
@@ -107,25 +117,32 @@ def search_terms_batch(t: Tables, terms: DataFrame) -> DataFrame:
 
     A gram join: each term is looked up by the rarest of its grams (runs of up
     to three characters) among the names, and the names that hold that gram
-    are tested exactly.  Names are tested once each, then venues and organizers
-    lead to their events.  One plan for lists of any size: nothing is collected
-    or broadcast here, and a frequent gram's join is split like any skewed one.
-    Letters outside Latin match as themselves; of Latin ones accents are blind.
+    are tested exactly.  Grams are those of :func:`blind_key`, which is as blind
+    as the collation for Latin, Greek and Cyrillic letters.  Names with other
+    characters are tested on every term, and plain terms with such on every name.
+    Names are tested once each, then venues and organizers lead to their events.
+    One plan for lists of any size: nothing is collected or broadcast here, and a
+    frequent gram's join is split like any skewed one.
     """
     clean = (terms.select(php_trim(F.col(terms.columns[0])).alias("term"))
              .filter(F.col("term") != "").distinct()
              .withColumn("wild", F.col("term").rlike(r"[%_" + chr(92) * 2 + "]")))
-    keyed = clean.select("term", "wild", F.explode(_term_grams(fold("term"), F.col("wild"))).alias("gram"))
+    grams_of = F.when(F.col("wild") | has_blind_key("term"), _term_grams(blind_key("term"), F.col("wild"))) \
+        .otherwise(F.array(F.lit("")))
+    keyed = clean.select("term", "wild", F.explode(grams_of).alias("gram"))
     names = _searched_names(t).withColumn("folded", fold("name"))
-    grams = names.select("kind", "key", F.explode(_all_grams(F.col("folded"))).alias("gram"))
+    grams = names.select("kind", "key", F.explode(_name_grams("name")).alias("gram"))
     wanted = keyed.select("gram").distinct()
     often = (grams.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
-    # The inner join drops grams that no name holds: such a term finds nothing.
+    # A term with a gram that no name holds is found at most in names that take every term.
     held = keyed.join(often, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = (held.groupBy("term", "wild").agg(F.min(F.struct("n", "gram")).alias("least"))
               .filter("least.n > 0").select("term", "wild", F.col("least.gram").alias("gram")))
-    hits = (names.withColumn("gram", F.explode(_all_grams(F.col("folded"))))
-            .join(rarest, "gram").filter(_name_matches()).select("term", "kind", "key"))
+    # The empty gram meets every name already.
+    rest = clean.join(rarest.filter("gram = ''").select("term"), "term", "left_anti")
+    looked_up = rarest.unionAll(rest.select("term", "wild", F.lit(EVERY_TERM)))
+    hits = (names.withColumn("gram", F.explode(_name_grams("name")))
+            .join(looked_up, "gram").filter(_name_matches()).select("term", "kind", "key"))
     events = (t.events.select("event_id", "customer_id", "venue_id")
               .join(t.venues.select("venue_id"), "venue_id", "left_semi")
               .join(t.customers.select("customer_id"), "customer_id", "left_semi"))

@@ -7,7 +7,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from seatplan.functions.text import CI_AI, ci_contains
+from conftest import SEED_AS_OF, make_tables
+from seatplan.functions.text import CI_AI, blind_key, ci_contains, has_blind_key
+from seatplan.operators import search as S
 
 ascii_text = st.text(alphabet=string.printable[:95], min_size=0, max_size=12)
 small = st.text(alphabet="aAbB-_ %.#1", min_size=1, max_size=3)
@@ -27,3 +29,24 @@ def test_non_ascii_rows(spark):
     df = spark.createDataFrame([("Café Ñandú",), ("CAFE NANDU",), ("caf",)], "v string")
     assert [r["v"] for r in df.filter(ci_contains("v", "cafe nandu")).collect()] == \
         ["Café Ñandú", "CAFE NANDU"]
+
+
+def test_blind_key_is_as_blind_as_the_collation(spark):
+    chars = [(chr(c),) for c in range(0x20, 0x3000)]
+    df = (spark.createDataFrame(chars, "c string").filter(has_blind_key("c"))
+          .groupBy(F.collate("c", CI_AI).alias("k")).agg(F.collect_set(blind_key("c")).alias("keys")))
+    assert df.filter(F.size("keys") > 1).collect() == []
+
+
+def test_batch_finds_what_the_page_finds_in_every_script(spark):
+    names = ["Αθήνα Live", "ΑΘΗΝΑ", "Φεστιβάλ Θεσσαλονίκης", "Київ і Ёлка", "Елка", "Straße", "Smørrebrød", "Cafe\u0301 Noir",
+             "Café", "東京ナイト", "plain hall", "Ægir", "Майский", "zero\u200bwidth", "ﬁne art", "ǅungla"]
+    terms = ["Αθηνα", "αθήνα", "θεσσαλονικησ", "елка", "ЁЛКА", "strasse", "straße", "smorre", "cafe", "café", "東京", "plain",
+             "aegir", "æ", "майскии", "zerowidth", "fine", "džungla", "a", "none such", "ς", "%Αθ%"]
+    t = make_tables(spark, customers=[(1, "Org", "1", "o@example.com", "x" * 60, "organizer")], venues=[(1, "V", "V", 5)],
+                    events=[(i, 1, 1, n, SEED_AS_OF, None) for i, n in enumerate(names)])
+    got = {(r.term, r.event_id) for r in
+           S.search_terms_batch(t, spark.createDataFrame([(x,) for x in terms], "term string")).collect()}
+    row = t.events.select("event_id", *[ci_contains("event_name", x).alias(f"_{i}") for i, x in enumerate(terms)]).collect()
+    want = {(x, r[0]) for r in row for i, x in enumerate(terms) if r[i + 1]}
+    assert got == want and {("Αθηνα", 0), ("Αθηνα", 1), ("θεσσαλονικησ", 2), ("елка", 3)} <= got
