@@ -32,13 +32,24 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), byte_vocabulary())
 
 
-def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled findings: words in a published key format are secrets, runs of digits alone are not."""
+def finding_labels():
+    """Labels of candidates by published forms: 1 for key formats, 0 for runs of
+    digits, documentation examples, UUIDs, named hashes and versioned or dated
+    names (the latter three not behind a credential word), else null."""
     found, before = F.col("found"), F.col("before")
     key = (found.rlike("^AKIA[A-Z0-9]{16}$") | found.rlike("^[0-9a-f]{40}$") & before.endswith('"') & (F.col("after") == '"')
            | found.rlike("^[0-9a-f]{18}$") & before.endswith("password="))
-    label = F.when(key, 1.0).when(found.rlike("^[0-9+/_-]+$"), 0.0)
-    return secrets.scan_secrets(_table(spark, sf_dir, "documents"), label, F.col("source"))
+    hashed = found.rlike("^([0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64})$") & before.rlike(
+        r"(?i)(commit|revision|checksum|digest|etag|md5|sha-?[0-9]+)[^A-Za-z0-9]*$")
+    name = found.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$") | found.rlike(
+        "^[A-Za-z]{2,}([-_/][A-Za-z]{2,})*[-_/]?v?[0-9]{1,4}([-_][0-9]{1,4})*$")
+    return (F.when(found.rlike("^[0-9+/_-]+$") | found.rlike("(?i)EXAMPLE(KEY)?$"), 0.0)
+            .when((hashed | name) & ~before.rlike(secrets.CREDENTIAL), 0.0).when(key, 1.0))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings are labelled by :func:`finding_labels`; ``documents`` has no path, so path words come from the text."""
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents"), finding_labels(), F.col("source"), near_path=True)
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

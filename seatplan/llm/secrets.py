@@ -132,13 +132,17 @@ def features(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, labelled, path, train_rows: int = TRAIN_ROWS,
-                 trees: int = 20, depth: int = 6, seed: int = 7) -> DataFrame:
+                 trees: int = 20, depth: int = 6, seed: int = 7, near_path: bool = False) -> DataFrame:
     """(doc_id, word_no, run_no, found_sha256, length, probability, kept) of every candidate.
 
     ``labelled`` is a column over the candidates: 1 for a confirmed secret, 0
     for a confirmed false positive, null for a finding nobody has labelled.
+    With ``near_path`` path words count in the text before a candidate too.
     """
-    rated = materialize(features(candidates(docs, path), docs).withColumn("label", labelled.cast("double")))
+    found = candidates(docs, path)
+    if near_path:
+        found = found.withColumn("path", F.concat_ws(" ", "path", "before"))
+    rated = materialize(features(found, docs).withColumn("label", labelled.cast("double")))
     by_hash = Window.partitionBy("label").orderBy("_h", "found")
     labels = (rated.filter("label is not null").select("label", "found", *FEATURES).distinct()
               .withColumn("_h", F.xxhash64("found", "label")))
