@@ -5,7 +5,8 @@ the pipeline (:func:`run`) writes it as Parquet in the shared folder and reads
 it again as the next stage's ``docs``.  All stages but the last return the
 columns of ``documents``.
 
-1. language ID: documents without a known language go;
+1. language ID: documents without a known language go (where ``lang`` gives
+   nothing to learn from, those without a letter);
 2. exact dedup: one document of each group of equal texts stays;
 3. SimHash near-dedup: one document of each component stays;
 4. mixing: documents are taken as often as their source's target asks;

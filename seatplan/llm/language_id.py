@@ -206,9 +206,17 @@ def identify(texts: DataFrame, labelled: DataFrame, size: int = PROFILE) -> Data
     ``labelled`` holds (lang, text) to learn from; languages are few
     (``MAX_LANGUAGES`` at most), so their profiles go to every task.
     """
+    return _identify(texts, _collected(labelled, size), size)
+
+
+def _collected(labelled: DataFrame, size: int) -> list:
     profiles = learn_profiles(labelled, size).limit(MAX_LANGUAGES * size + 1).collect()
     if len(profiles) > MAX_LANGUAGES * size:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    return profiles
+
+
+def _identify(texts: DataFrame, profiles: list, size: int) -> DataFrame:
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[1:])
     schema = (kept + ", " if kept else "") + "lang_pred string, score double"
     return texts.mapInArrow(_predictor([tuple(p) for p in profiles], size), schema)
@@ -235,7 +243,11 @@ MIN_SCORE = 0.1
 
 def keep_known(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is known: not ``und``
-    and scored ``MIN_SCORE`` or more."""
+    and scored ``MIN_SCORE`` or more.  Where no language can be learned, every
+    text with a letter stays."""
+    profiles = _collected(training_rows(docs), size)
+    if not profiles:
+        return docs.filter(F.col("text").cast("string").rlike(r"\p{L}"))
     rows = docs.select(F.col("text").cast("string"), F.struct("*").alias("_doc"))
-    return (identify(rows, training_rows(docs), size)
+    return (_identify(rows, profiles, size)
             .filter((F.col("lang_pred") != UND) & (F.col("score") >= MIN_SCORE)).select("_doc.*"))

@@ -110,6 +110,12 @@ def test_language_id_without_training_rows(docs):
 
 
 # ---------------------------------------------------------------- licences
+def test_language_stage_keeps_texts_where_nothing_can_be_learned(spark, docs):
+    t = docs(["some text", None, "", "123 !!", "中文"]).withColumn("lang", F.lit(None).cast("string"))
+    kept = language_id.keep_known(t)
+    assert kept.columns == t.columns and {r.doc_id for r in kept.collect()} == {0, 4}
+
+
 def test_license_scan_against_containment_of_every_window(docs):
     rnd = random.Random(3)
     templates = licenses.TEMPLATES | {"Long": " ".join("clause%d" % i for i in range(40))}
