@@ -1,18 +1,15 @@
-import datetime as dt
 import os
 import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+for folder in (HERE, os.path.dirname(HERE)):
+    if folder not in sys.path:
+        sys.path.insert(0, folder)
 
 from seatplan.session import get_session  # noqa: E402
-from seatplan.sources import schemas  # noqa: E402
-from seatplan.sources.tables import Tables  # noqa: E402
-
-T = dt.datetime
-D = dt.date
-SEED_AS_OF = T(2026, 4, 20, 0, 0, 0)
+from support import D, T, make_tables  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -22,18 +19,6 @@ def spark():
     yield s
 
 
-def make_tables(spark, customers=(), venues=(), staff=(), suppliers=(), events=(), bookings=(),
-                audit=(), event_staff=(), event_suppliers=()) -> Tables:
-    def df(rows, schema):
-        return spark.createDataFrame(list(rows), schema)
-    return Tables(
-        customers=df(customers, schemas.CUSTOMERS), venues=df(venues, schemas.VENUES),
-        staff=df(staff, schemas.STAFF), suppliers=df(suppliers, schemas.SUPPLIERS),
-        events=df(events, schemas.EVENTS), bookings=df(bookings, schemas.BOOKINGS),
-        booking_audit_log=df(audit, schemas.AUDIT), event_staff=df(event_staff, schemas.EVENT_STAFF),
-        event_suppliers=df(event_suppliers, schemas.EVENT_SUPPLIERS))
-
-
 @pytest.fixture(scope="session")
 def seed(spark):
     """The reference's seed rows with made-up names, phones and e-mails."""

@@ -5,7 +5,7 @@ import random
 from decimal import Decimal
 
 import pytest
-from conftest import make_tables
+from support import make_tables
 
 from seatplan.operators import changes as C
 from seatplan.operators.replay import replay_commands

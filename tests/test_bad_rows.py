@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from conftest import T, SEED_AS_OF
+from support import T, SEED_AS_OF
 
 from pyspark.sql import functions as F
 

@@ -1,6 +1,6 @@
 import datetime as dt
 
-from conftest import SEED_AS_OF, T
+from support import SEED_AS_OF, T
 
 from pyspark.sql import functions as F
 
@@ -134,7 +134,7 @@ def test_accounts(spark, seed):
 
 
 def test_integrity_and_overbooked(spark, seed):
-    from conftest import make_tables
+    from support import make_tables
     bad = seed.with_(
         bookings=seed.bookings.unionByName(spark.createDataFrame(
             [(1, dt.date(2026, 4, 1), 1, 4), (9, dt.date(2026, 4, 1), 77, 3)], schemas.BOOKINGS)),

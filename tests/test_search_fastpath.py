@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import SEED_AS_OF, make_tables
+from support import SEED_AS_OF, make_tables
 from seatplan.functions.text import CI_AI, blind_key, ci_contains, has_blind_key
 from seatplan.operators import search as S
 

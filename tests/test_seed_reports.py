@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from conftest import SEED_AS_OF
+from support import SEED_AS_OF
 
 from pyspark.sql import functions as F
 
@@ -67,7 +67,7 @@ def test_dashboard_and_activity(seed):
 
 
 def test_activity_report_archived_names(spark, seed):
-    from conftest import T
+    from support import T
     extra = spark.createDataFrame([(9, None, 99, 77, "CANCELLED", "gone", T(2026, 4, 13, 0, 0))],
                                   seed.booking_audit_log.schema)
     t = seed.with_(booking_audit_log=seed.booking_audit_log.unionByName(extra))

@@ -5,7 +5,7 @@ import random
 import tempfile
 import time
 
-from conftest import SEED_AS_OF
+from support import SEED_AS_OF
 
 from seatplan.operators import validate as V
 from seatplan.operators.replay import replay_commands
