@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from seatplan.llm import registry
-from test_dedup import brute_components, brute_groups, brute_print
+from brute import brute_components, brute_groups, brute_print
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
