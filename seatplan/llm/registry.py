@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seatplan.llm import bpe, exact_dedup, language_id, licenses, mixing, secrets, simhash, suffix_dedup, token_counts, topk
+from seatplan.llm import bpe, conversation_trie, exact_dedup, language_id, licenses, mixing, secrets, simhash, suffix_dedup, token_counts, topk
 from seatplan.plans.lineage import written
 from seatplan.session import importable_on_workers
 
@@ -90,6 +90,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations"), conversation_trie.opening_turns(), 100)
+
+
 _QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_secret_scan": op2_secret_scan,
@@ -101,6 +105,7 @@ _QUERIES: dict[str, Query] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 _ORACLE: dict[str, str] = {
@@ -163,6 +168,46 @@ _ORACLE: dict[str, str] = {
         SELECT doc_id, size, source_size, target,
                CAST(size * least(3, epochs + CASE WHEN middle <= 2 * budget THEN 1 ELSE 0 END) AS BIGINT) AS taken
         FROM p""",
+    "op13_conversation_trie": r"""
+        WITH t AS (
+          SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i
+          FROM conversations WHERE conv_id IS NOT NULL),
+        -- crc32 bit by bit: list items hold a character's code times 8 plus the number of its bit
+        s AS (
+          SELECT conv_id, flatten([[ascii(x) * 8 + b FOR b IN range(8)] FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]) AS bits
+          FROM (SELECT DISTINCT conv_id FROM t)),
+        c AS (
+          SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, bits), lambda a, e:
+              xor(xor(a, CASE WHEN e % 8 = 0 THEN e // 8 ELSE 0 END) >> 1,
+                  3988292384 * (xor(a, CASE WHEN e % 8 = 0 THEN e // 8 ELSE 0 END) & 1))), 4294967295::BIGINT) % 6 AS h
+          FROM s),
+        r AS (
+          SELECT c.conv_id, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND t.i < c.h
+          UNION ALL
+          SELECT c.conv_id, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.i >= c.h),
+        p AS (
+          SELECT conv_id, row_number() OVER w AS d, text, list({'role': role, 'text': text}) OVER w AS turns FROM r
+          WINDOW w AS (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+          UNION ALL
+          SELECT conv_id, 0, '', [] FROM c),
+        m AS (  -- the node of each conversation at each of its depths
+          SELECT conv_id, d, text, min(conv_id) OVER (PARTITION BY d, turns) AS node,
+                 d = max(d) OVER (PARTITION BY conv_id) AS is_end
+          FROM p),
+        n AS (
+          SELECT node, d, count(*) AS n_convs, (count(*) - 1) * length(any_value(text)) AS saved,
+                 sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256
+          FROM m GROUP BY node, d),
+        q AS (SELECT n.*, m.node AS above FROM n LEFT JOIN m ON m.conv_id = n.node AND m.d = n.d - 1),
+        k AS (SELECT above AS node, d - 1 AS d, count(*) AS n_children FROM q WHERE d > 0 GROUP BY ALL),
+        f AS (SELECT q.*, coalesce(k.n_children, 0) AS n_children FROM q LEFT JOIN k USING (node, d)),
+        u AS (  -- every node adds to the nodes of its first member at no greater depth
+          SELECT m.node, m.d, sum(f.saved) AS saved_tokens, count(*) FILTER (f.n_children = 0) AS n_leaves
+          FROM f JOIN m ON m.conv_id = f.node AND m.d <= f.d GROUP BY m.node, m.d)
+        SELECT f.node AS conv_id, f.d AS depth, f.above AS parent_conv_id, f.n_convs, f.n_children,
+               u.n_leaves, CAST(u.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+        FROM f JOIN u USING (node, d)""",
 }
 
 
