@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seatplan.llm import bpe, conversation_trie, exact_dedup, language_id, licenses, mixing, secrets, simhash, suffix_dedup, token_counts, topk
+from seatplan.llm import (bpe, conversation_trie, exact_dedup, language_id, lexical, licenses, mixing, secrets, simhash,
+                          suffix_dedup, token_counts, topk)
 from seatplan.plans.lineage import written
 from seatplan.session import importable_on_workers
 
@@ -90,6 +91,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations"), conversation_trie.opening_turns(), 100)
 
@@ -105,6 +110,7 @@ _QUERIES: dict[str, Query] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
+    "op12_lexical_search": op12_lexical_search,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
@@ -168,6 +174,30 @@ _ORACLE: dict[str, str] = {
         SELECT doc_id, size, source_size, target,
                CAST(size * least(3, epochs + CASE WHEN middle <= 2 * budget THEN 1 ELSE 0 END) AS BIGINT) AS taken
         FROM p""",
+    "op12_lexical_search": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+          FROM documents WHERE text IS NOT NULL),
+        z AS (SELECT count(*) AS n_all, CAST(sum(len(terms)) AS BIGINT) AS l_all FROM d WHERE len(terms) > 0),
+        p AS (
+          SELECT r, doc_id, n, term, count(*) AS tf
+          FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY ALL),
+        w AS (
+          SELECT term, CAST(floor(1000 * ln((2 * n_all + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w
+          FROM (SELECT term, count(*) AS df FROM p GROUP BY term), z),
+        q AS (
+          SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        s AS (
+          SELECT item_id, r, doc_id,
+                 CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_all) // l_all)))) AS BIGINT) AS score
+          FROM q JOIN w USING (term) JOIN p USING (term), z GROUP BY ALL),
+        o AS (
+          SELECT item_id, doc_id, score, CAST(row_number() OVER (
+                   PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+          FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50""",
     "op13_conversation_trie": r"""
         WITH t AS (
           SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
