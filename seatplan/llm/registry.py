@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seatplan.llm import (bpe, conversation_trie, exact_dedup, language_id, lexical, licenses, mixing, secrets, simhash,
-                          suffix_dedup, token_counts, topk)
+from seatplan.llm import (bpe, conversation_trie, exact_dedup, language_id, lexical, licenses, markov, mixing, secrets,
+                          simhash, suffix_dedup, token_counts, topk)
 from seatplan.plans.lineage import written
 from seatplan.session import importable_on_workers
 
@@ -91,6 +91,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markov.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
 
@@ -110,6 +114,7 @@ _QUERIES: dict[str, Query] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
+    "op11_lm_scoring": op11_lm_scoring,
     "op12_lexical_search": op12_lexical_search,
     "op13_conversation_trie": op13_conversation_trie,
 }
