@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from seatplan.functions.text import (CI_AI, blind_key, ci_contains, ci_key, fold, has_blind_key,
                                      is_printable_ascii, like_pattern, php_trim)
 from seatplan.operators.reports import _ts, booking_counts
+from seatplan.plans.lineage import materialize, written
+from seatplan.plans.sides import counted_side
 from seatplan.sources.tables import Tables
 
 SEARCH_COLUMNS = ["event_id", "customer_id", "event_name", "event_time", "budget",
@@ -55,28 +57,21 @@ LOOKED_UP = 64
 EVERY_TERM = "*" * (GRAM + 1)
 
 
-def _grams(chars, n: int):
-    """Distinct runs of ``n`` of an array of characters."""
-    last = F.size(chars) - n
-    return F.when(last >= 0, F.array_distinct(F.transform(
-        F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-        lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))
-    )).otherwise(F.array().cast("array<string>"))
+def _grams(text, n: int):
+    """Distinct runs of ``n`` characters of a text."""
+    last = F.length(text) - n + 1
+    return F.when(last >= 1, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+    ).otherwise(F.array().cast("array<string>"))
 
 
-def _chars(text):
-    return F.filter(F.split(text, ""), lambda c: c != "")
-
-
-def _all_grams(text):
-    """The empty run and all runs of up to ``GRAM`` characters."""
-    return F.flatten(F.array(F.array(F.lit("")), *[_grams(_chars(text), n) for n in range(1, GRAM + 1)]))
-
-
-def _name_grams(name):
-    """What a name is retrieved by: its grams, or every term where its key may be less blind than the collation."""
-    return F.when(has_blind_key(name), _all_grams(blind_key(name))) \
-        .otherwise(F.array(F.lit(""), F.lit(EVERY_TERM)))
+def _name_grams(key, proven, lengths: list[int]):
+    """What a name is retrieved by: its grams of those lengths, or every term
+    where its key may be less blind than the collation."""
+    runs = [_grams(key, n) for n in lengths if n] + [F.array(F.lit(""))] * (0 in lengths)
+    held = F.flatten(F.array(*runs)) if runs else F.array().cast("array<string>")
+    every = F.array(*map(F.lit, [EVERY_TERM] + [""] * (0 in lengths)))
+    return F.when(proven, held).otherwise(every)
 
 
 def _term_grams(term, wild):
@@ -87,10 +82,10 @@ def _term_grams(term, wild):
     """
     pieces = F.when(wild, F.split(term, r"[%_" + chr(92) * 2 + "]+")).otherwise(F.array(term))
     longest = F.element_at(F.array_sort(pieces, lambda a, b: F.length(a) - F.length(b)), -1)
-    chars = _chars(F.substring(longest, 1, LOOKED_UP))
+    head = F.substring(longest, 1, LOOKED_UP)
     out = F.array(F.lit(""))
     for n in range(1, GRAM + 1):
-        out = F.when(F.size(chars) >= n, _grams(chars, n)).otherwise(out)
+        out = F.when(F.length(head) >= n, _grams(head, n)).otherwise(out)
     return out
 
 
@@ -112,6 +107,30 @@ def _name_matches() -> F.Column:
     return F.when(F.col("wild"), F.like(F.col("folded"), fold(like_pattern("term")))).otherwise(plain)
 
 
+def _keyed_terms(terms: DataFrame) -> DataFrame:
+    """(term, wild, gram) of distinct, trimmed, non-empty terms: the runs that each may be looked up by."""
+    clean = (terms.select(php_trim(F.col(terms.columns[0])).alias("term"))
+             .filter(F.col("term") != "").distinct()
+             .withColumn("wild", F.col("term").rlike(r"[%_" + chr(92) * 2 + "]")))
+    grams_of = F.when(F.col("wild") | has_blind_key("term"), _term_grams(blind_key("term"), F.col("wild"))) \
+        .otherwise(F.array(F.lit("")))
+    return clean.select("term", "wild", F.explode(grams_of).alias("gram"))
+
+
+def gram_postings(t: Tables, keyed: DataFrame) -> DataFrame:
+    """(gram, kind, key), written: the names that hold each gram of ``keyed``, and
+    under :data:`EVERY_TERM` those that every term is tested on.
+
+    Names are read and cut once, into grams of the lengths asked for; only
+    grams that some term asks for are stored, without the names.
+    """
+    lengths = sorted(r[0] for r in keyed.select(F.length("gram")).distinct().collect())  # of 0 to GRAM
+    wanted = keyed.select("gram").union(keyed.sparkSession.createDataFrame([(EVERY_TERM,)], "gram string")).distinct()
+    names = _searched_names(t).select("kind", "key", blind_key("name").alias("folded"), has_blind_key("name").alias("proven"))
+    grams = names.select("kind", "key", F.explode(_name_grams(F.col("folded"), F.col("proven"), lengths)).alias("gram"))
+    return written(grams.join(counted_side(wanted), "gram"), "gram-postings")
+
+
 def search_terms_batch(t: Tables, terms: DataFrame) -> DataFrame:
     """(term, event_id) for every term in ``terms`` and every event it finds.
 
@@ -121,37 +140,33 @@ def search_terms_batch(t: Tables, terms: DataFrame) -> DataFrame:
     as the collation for Latin, Greek and Cyrillic letters.  Names with other
     characters are tested on every term, and plain terms with such on every name.
     Names are tested once each, then venues and organizers lead to their events.
-    One plan for lists of any size: nothing is collected or broadcast here, and a
-    frequent gram's join is split like any skewed one.
+
+    Plan: the postings of the terms' grams are written once and hold keys only;
+    what a join broadcasts is the term's side, what it found, or nothing,
+    decided on counted rows (:func:`counted_side`), never the postings or names.
     """
-    clean = (terms.select(php_trim(F.col(terms.columns[0])).alias("term"))
-             .filter(F.col("term") != "").distinct()
-             .withColumn("wild", F.col("term").rlike(r"[%_" + chr(92) * 2 + "]")))
-    grams_of = F.when(F.col("wild") | has_blind_key("term"), _term_grams(blind_key("term"), F.col("wild"))) \
-        .otherwise(F.array(F.lit("")))
-    keyed = clean.select("term", "wild", F.explode(grams_of).alias("gram"))
-    names = _searched_names(t).withColumn("folded", fold("name"))
-    grams = names.select("kind", "key", F.explode(_name_grams("name")).alias("gram"))
-    wanted = keyed.select("gram").distinct()
-    often = (grams.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+    keyed = materialize(_keyed_terms(terms))
+    postings = gram_postings(t, keyed)
+    often = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # A term with a gram that no name holds is found at most in names that take every term.
     held = keyed.join(often, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = (held.groupBy("term", "wild").agg(F.min(F.struct("n", "gram")).alias("least"))
-              .filter("least.n > 0").select("term", "wild", F.col("least.gram").alias("gram")))
+              .select("term", "wild", F.col("least.n").alias("n"), F.col("least.gram").alias("gram")))
     # The empty gram meets every name already.
-    rest = clean.join(rarest.filter("gram = ''").select("term"), "term", "left_anti")
-    looked_up = rarest.unionAll(rest.select("term", "wild", F.lit(EVERY_TERM)))
-    hits = (names.withColumn("gram", F.explode(_name_grams("name")))
-            .join(looked_up, "gram").filter(_name_matches()).select("term", "kind", "key"))
+    by = F.when(F.col("n") == 0, F.array(F.lit(EVERY_TERM))).when(F.col("gram") == "", F.array("gram")) \
+        .otherwise(F.array(F.col("gram"), F.lit(EVERY_TERM)))
+    looked_up = counted_side(rarest.select("term", "wild", F.explode(by).alias("gram")))
+    met = counted_side(postings.join(looked_up, "gram").select("term", "wild", "kind", "key"))
+    names = _searched_names(t).withColumn("folded", fold("name"))
+    hits = counted_side(names.join(met, ["kind", "key"]).filter(_name_matches()).select("term", "kind", "key"))
     events = (t.events.select("event_id", "customer_id", "venue_id")
               .join(t.venues.select("venue_id"), "venue_id", "left_semi")
               .join(t.customers.select("customer_id"), "customer_id", "left_semi"))
-    out = None
-    for kind, column in (("event", "event_id"), ("venue", "venue_id"), ("organizer", "customer_id")):
-        found = hits.filter(F.col("kind") == kind).select("term", F.col("key").alias(column))
-        part = events.join(found, column).select("term", "event_id")
-        out = part if out is None else out.unionAll(part)
-    return out.distinct()
+    # Events once: each with its own key and those of its venue and organizer.
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("key")) for k, c in (
+        ("event", "event_id"), ("venue", "venue_id"), ("organizer", "customer_id"))])).alias("k")
+    return (events.select("event_id", keys).select("event_id", "k.kind", "k.key")
+            .join(hits, ["kind", "key"]).select("term", "event_id").distinct())
 
 
 def search_hit_counts(t: Tables, terms: DataFrame) -> DataFrame:

@@ -34,18 +34,26 @@ def row_numbers(df: DataFrame, order: list[str], out: str, keys: list[str] | Non
     keys = keys or []
     sort = [*keys, *order]
     ranged = (df.repartitionByRange(*sort).sortWithinPartitions(*sort)
-              .withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+              .withColumns({"__range": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
     if keep is not None:
-        ranged = ranged.select(*keys, *keep, "_range", "_at")
+        ranged = ranged.select(*keys, *keep, "__range", "__at")
     ranged = materialize(ranged)
     # One row per key and range; without keys one per range.
-    counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_range", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    counts = ranged.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "__range", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     # Rows of a key lie side by side in a range, so their places there have no gap.
-    placed = ranged.join(offsets, [*keys, "_range"])
-    return (placed.withColumn(out, F.col("_before") + F.col("_at") - F.col("_first") + 1)
-            .drop("_range", "_at", "_n", "_first", "_before"))
+    placed = ranged.join(offsets, [*keys, "__range"])
+    return (placed.withColumn(out, F.col("__before") + F.col("__at") - F.col("__first") + 1)
+            .drop("__range", "__at", "__n", "__first", "__before"))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores where ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def _reads_one_parquet_scan(df: DataFrame) -> bool:
