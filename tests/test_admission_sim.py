@@ -117,3 +117,52 @@ def test_replay_commands_matches_row_by_row(spark, seed):
     want = simulate(events, bookings, roles, cmds, lambda rid: base + rid + 1)
     assert got == want
     assert "CANCELLED" in want.values() and "BOOKED" in want.values()
+
+
+@pytest.mark.parametrize("seed", [7, 11, 12])
+def test_parallel_fold_matches_row_by_row(spark, seed, monkeypatch):
+    """Every mixed event goes the way of a hot one, in stretches of a few commands."""
+    from seatplan.operators import hot_replay
+    monkeypatch.setattr(hot_replay, "STRETCH", 5)
+    rnd = random.Random(seed)
+    t, events, bookings, roles = world(spark, rnd)
+    base = max(bookings) if bookings else 0
+    cmds = mixed_commands(rnd, bookings, base)
+    got = {r["request_id"]: r["outcome"] for r in replay_commands(t, cmd_df(spark, cmds), hot_commands=0).collect()}
+    assert got == simulate(events, bookings, roles, cmds, lambda rid: base + rid + 1)
+
+
+def test_hot_event_is_split_over_tasks(spark, monkeypatch):
+    """A third of all commands on one event: no sequential fold, several tasks, the same outcomes."""
+    from seatplan.operators import hot_replay, replay
+    monkeypatch.setattr(hot_replay, "STRETCH", 64)
+    monkeypatch.setattr(replay, "_fold_bucket", None)  # the sequential fold is not called
+    rnd = random.Random(3)
+    roles = {c: "customer" for c in range(1, 401)}
+    events = {1: (NOW + dt.timedelta(days=2), 60)}
+    bookings = {c: (1, c) for c in range(1, 71)}  # more than there are seats
+    t = make_tables(spark, customers=[(c, f"C{c}", "p", f"c{c}@x.com", "secret", "customer") for c in roles],
+                    venues=[(1, "V", "a", 60)], events=[(1, 1, 1, "E", events[1][0], Decimal("1.00"))],
+                    bookings=[(b, dt.date(2025, 1, 1), 1, c) for b, (_, c) in bookings.items()])
+    base, cmds, made = max(bookings), [], list(bookings.items())
+    for rid in range(1, 1500):
+        if rnd.random() < .6:
+            c = rnd.randint(1, 400)
+            cmds.append(dict(request_id=rid, kind="create", event_id=1, customer_id=c, booking_id=None, requested_at=NOW))
+            made.append((base + rid + 1, (1, c)))
+        else:
+            b, (_, c) = rnd.choice(made)
+            cmds.append(dict(request_id=rid, kind="cancel", event_id=1, customer_id=c, booking_id=b, requested_at=NOW))
+    settled, rest = hot_replay.parallel_replay(live_rows(spark, t, cmds))
+    assert rest.isEmpty() and settled.select("_stretch").distinct().count() > 10
+    want = simulate(events, bookings, roles, cmds, lambda rid: base + rid + 1)
+    assert {r["request_id"]: r["outcome"] for r in settled.collect()} == want
+    assert {"BOOKED", "FULL", "DUPLICATE", "CANCELLED", "MISSING"} <= set(want.values())
+
+
+def live_rows(spark, t, cmds):
+    from seatplan.operators.changes import id_base
+    from seatplan.operators.replay import prepare_commands, settled_outcome
+    from pyspark.sql import functions as F
+    new_bid = (F.lit(id_base(t.bookings, "booking_id")) + F.col("request_id") + F.lit(1)).cast("bigint")
+    return prepare_commands(t, cmd_df(spark, cmds), new_bid).filter(settled_outcome().isNull())
