@@ -8,6 +8,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from seatplan.functions.dates import strtotime
+
 # Fixed values the results depend on.
 # ASCII whitespace that PHP's PCRE ``\s`` matches (RE2's ``\s`` lacks \x0B).
 WHITESPACE_CLASS = "[ \\t\\n\\x0B\\f\\r]+"
@@ -17,12 +19,15 @@ PHP_TRIM_CHARS = " \t\n\r\u0000\u000b"
 # ignores trailing spaces for '=' as MySQL's PAD SPACE collations do.
 CI_AI = "UNICODE_CI_AI"
 CI_AI_RTRIM = "UNICODE_CI_AI_RTRIM"
-# Dot-atom address: local part <= 64, dotted ASCII domain, labels <= 63, a
-# top label of letters.  No look-ahead, so the same text runs on RE2 engines.
-EMAIL_PATTERN = (
-    "^[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+(\\.[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+)*"
-    "@([A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?\\.)+[A-Za-z]{2,63}$"
-)
+# Parts of an address.  No look-ahead, so the same text runs on RE2 engines; what
+# look-aheads would say (lengths, groups of an IPv6 address) is checked apart.
+EMAIL_ATOM = "[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+"
+EMAIL_QUOTED = "\"([\\x20-\\x21\\x23-\\x5B\\x5D-\\x7E]|\\\\[\\x20-\\x7E])*\""
+EMAIL_LOCAL = f"^({EMAIL_ATOM}|{EMAIL_QUOTED})(\\.({EMAIL_ATOM}|{EMAIL_QUOTED}))*$"
+EMAIL_LABEL = "[A-Za-z0-9]+(-+[A-Za-z0-9]+)*"
+EMAIL_DOMAIN = f"^({EMAIL_LABEL}\\.)+[A-Za-z][A-Za-z0-9]*(-+[A-Za-z0-9]+)*$"
+IPV4 = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}"
+HEX4 = "[0-9A-Fa-f]{1,4}"
 
 
 def col_(c) -> Column:
@@ -38,12 +43,32 @@ def php_trim(c) -> Column:
     return F.trim(col_(c), F.lit(PHP_TRIM_CHARS))
 
 
+def _units(c) -> Column:
+    """Length of a part of an address: an escaped character counts once, quotes do not."""
+    return F.length(F.regexp_replace(F.regexp_replace(c, "\\\\\\\\.", "x"), "\"", ""))
+
+
+def _address_literal(domain) -> Column:
+    """``[192.0.2.1]`` or ``[IPv6:...]``: eight groups, or fewer around one ``::``; the last two may be an IPv4 address."""
+    inner = F.regexp_extract(domain, "^\\[(.*)\\]$", 1)
+    six = F.when(F.lower(F.substring(inner, 1, 5)) == "ipv6:", F.substring(inner, 6, 1000))
+    groups = F.size(F.filter(F.split(six, ":"), lambda g: g != ""))
+    tail = six.contains(".")
+    full = F.when(tail, six.rlike(f"^{HEX4}(:{HEX4}){{5}}:{IPV4}$")).otherwise(six.rlike(f"^{HEX4}(:{HEX4}){{7}}$"))
+    short = F.when(tail, six.rlike(f"^({HEX4}(:{HEX4})*)?::({HEX4}:)*{IPV4}$") & (groups <= 5)) \
+        .otherwise(six.rlike(f"^({HEX4}(:{HEX4})*)?::({HEX4}(:{HEX4})*)?$") & (groups <= 6))
+    return inner.rlike(f"^{IPV4}$") | F.coalesce(full | short, F.lit(False))
+
+
 def email_is_valid(c) -> Column:
-    """Well-formed address (gap G2 in the README: dot-atom form only)."""
+    """Well-formed address: atoms and quoted strings before the last ``@``,
+    a domain of two labels or more or an address literal after it."""
     e = col_(c)
-    local = F.substring_index(e, "@", 1)
-    return (F.coalesce(e.rlike(EMAIL_PATTERN), F.lit(False))
-            & (F.length(local) <= 64) & (F.length(e) <= 254))
+    domain = F.substring_index(e, "@", -1)
+    local = F.substring(e, F.lit(1), F.greatest(F.length(e) - F.length(domain) - 1, F.lit(0)))
+    named = domain.rlike(EMAIL_DOMAIN) & ~domain.rlike("[^.]{64}")
+    return F.coalesce(local.rlike(EMAIL_LOCAL) & F.when(domain.startswith("["), _address_literal(domain)).otherwise(named)
+                      & (_units(local) <= 64) & (_units(e) <= 254) & (F.octet_length(e) <= 320), F.lit(False))
 
 
 def ci_key(c) -> Column:
@@ -168,9 +193,11 @@ def format_datetime(ts) -> Column:
     return F.date_format(col_(ts), "MMM dd, yyyy hh:mm a")
 
 
-def format_datetime_text(text) -> Column:
-    """Same, from text; text that does not parse is returned as is."""
-    parsed = parse_datetime_text(text)
+def format_datetime_text(text, as_of=None) -> Column:
+    """Same, from text as :func:`seatplan.functions.dates.strtotime` reads it;
+    text that names no moment is returned as is."""
+    stored = parse_datetime_text(text)
+    parsed = F.when(stored.isNotNull(), stored).otherwise(strtotime(col_(text), as_of))
     return F.coalesce(format_datetime(parsed), col_(text))
 
 
@@ -184,12 +211,12 @@ def format_currency(x) -> Column:
     return F.concat(F.lit("BDT "), F.format_number(F.round(col_(x).cast("decimal(38,4)"), 2), 2))
 
 
-# Date-time forms accepted (gap G3: ISO-like only, no free text).
+# Date-time forms that the table takes.
 DATETIME_SHAPE = "^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2})?)?$"
 
 
 def parse_datetime_text(text) -> Column:
-    """Parse form or stored date-time text; NULL when no form matches."""
+    """Date-time text as the table stores it; NULL when it takes no such text."""
     t = F.trim(col_(text))
     # Straight to a zone-free value: a time that a session zone skips stays as written.
     return F.when(t.rlike(DATETIME_SHAPE), t.try_cast("timestamp_ntz"))

@@ -23,6 +23,7 @@ from seatplan.functions.text import parse_id_list
 from seatplan.operators import validate as V
 from seatplan.operators.reports import booking_counts
 from seatplan.plans.lineage import materialize
+from seatplan.plans.numbering import row_numbers
 from seatplan.plans.skew import first_n_per_key
 from seatplan.sources.tables import Tables
 
@@ -86,10 +87,17 @@ def id_base(existing: DataFrame, id_col: str) -> int:
     return int(_scalar(existing, F.max(id_col), 0))
 
 
-def new_ids(commands: DataFrame, key: str, base: int, low: int | None = None) -> Column:
-    """``base + key - min(key) + 1``: unique, gappy, deterministic new ids."""
-    lo = int(_scalar(commands, F.min(key), 0)) if low is None else low
-    return (F.lit(base) + F.col(key) - F.lit(lo) + F.lit(1)).cast("bigint")
+def with_new_ids(df: DataFrame, accepted: Column, key: str, existing: DataFrame, id_col: str,
+                 out: str | None = None) -> DataFrame:
+    """``df`` (checkpointed) plus ``out``: accepted rows get the ids after the
+    largest one, in ``key`` order and without a gap, as AUTO_INCREMENT gives
+    them; other rows get none.  Numbered by ranges, not in one task."""
+    out = out or id_col
+    kept = materialize(df.withColumn("_take", F.coalesce(accepted, F.lit(False))))
+    base = id_base(existing, id_col)
+    took = row_numbers(kept.filter("_take"), [key], "_n")
+    return (took.withColumn(out, F.lit(base) + F.col("_n")).drop("_n")
+            .unionByName(kept.filter("NOT _take").withColumn(out, F.lit(None).cast("bigint"))).drop("_take"))
 
 
 def _role_gate(df: DataFrame, t: Tables, who: str, role: str) -> DataFrame:
@@ -173,10 +181,8 @@ def admit_bookings(t: Tables, requests: DataFrame, check_role: bool = True) -> D
                .otherwise("FULL"))
     out = r.select("request_id", "event_id", "customer_id", "requested_at",
                    outcome.alias("outcome"))
-    base = id_base(t.bookings, "booking_id")
-    bid = new_ids(req, "request_id", base)
-    return (out.withColumn("booking_id", F.when(F.col("outcome") == "BOOKED", bid))
-            .withColumn("booking_date", F.when(F.col("outcome") == "BOOKED",
+    out = with_new_ids(out, F.col("outcome") == "BOOKED", "request_id", t.bookings, "booking_id")
+    return (out.withColumn("booking_date", F.when(F.col("outcome") == "BOOKED",
                                                F.to_date("requested_at")))
             .withColumn("db_message", _lookup(CREATE_SIGNALS, F.col("outcome"))))
 
@@ -272,17 +278,17 @@ def audit_trail(t: Tables, admitted: DataFrame | None = None,
     base = id_base(t.booking_audit_log, "audit_id")
     out = None
     for df, key, action, note in parts:
-        lo, hi = df.agg(F.min(key), F.max(key)).first()
-        if lo is None:
-            lo = hi = 0
-        rows = df.select(
-            (F.lit(base) + F.col(key) - F.lit(lo) + F.lit(1)).cast("bigint").alias("audit_id"),
+        # One id after the other, in request order within a block.
+        numbered = row_numbers(df.select(key, "event_id", "customer_id", "requested_at",
+                                         *([] if key == "booking_id" else ["booking_id"])), [key], "_n")
+        rows = numbered.select(
+            (F.lit(base) + F.col("_n")).cast("bigint").alias("audit_id"),
             F.col("booking_id").cast("bigint"), F.col("event_id").cast("bigint"),
             F.col("customer_id").cast("bigint"), F.lit(action).alias("action_type"),
             F.lit(note).alias("action_note"),
             F.col("requested_at").cast("timestamp_ntz").alias("action_time"))
+        base += int(_scalar(numbered, F.max("_n"), 0))
         out = rows if out is None else out.unionByName(rows)
-        base += int(hi) - int(lo) + 1
     if out is None:
         return t.booking_audit_log.limit(0)
     return out
@@ -369,8 +375,7 @@ def insert_events(t: Tables, drafts: DataFrame, as_of, check_role: bool = True)
     v = v.join(_fk_failures(t, v.filter(F.col("reason").isNull()), "draft_id"), "draft_id", "left")
     v = v.withColumn("reason", F.coalesce(F.col("reason"),
                                           F.when(F.col("_fk_bad"), F.lit("FK_ERROR"))))
-    base = id_base(t.events, "event_id")
-    v = v.withColumn("new_event_id", F.when(F.col("reason").isNull(), new_ids(v, "draft_id", base)))
+    v = with_new_ids(v, F.col("reason").isNull(), "draft_id", t.events, "event_id", out="new_event_id")
     outcomes = v.select(
         "draft_id", "customer_id", "new_event_id",
         F.coalesce(F.col("reason"), F.lit("CREATED")).alias("outcome"),
@@ -453,8 +458,7 @@ def insert_resources(t: Tables, kind: str, rows: DataFrame) -> ChangeResult:
     """Validate (V04-V06) and append with new ids."""
     table, key, check, cols = _KINDS[kind]
     v = check(rows)
-    base = id_base(getattr(t, table), key)
-    v = v.withColumn(key, F.when(F.col("reason").isNull(), new_ids(rows, "request_id", base)))
+    v = with_new_ids(v, F.col("reason").isNull(), "request_id", getattr(t, table), key)
     outcomes = v.select("request_id", key, F.coalesce("reason", F.lit("CREATED")).alias("outcome"))
     cur = getattr(t, table)
     new_rows = v.filter(F.col("reason").isNull()).select(key, *cols)
@@ -498,9 +502,7 @@ def delete_resources(t: Tables, deletes: DataFrame) -> ChangeResult:
 def register_accounts(t: Tables, signups: DataFrame) -> ChangeResult:
     """V07, then append accepted accounts (password arrives hashed)."""
     v = V.validate_signups(t, signups)
-    base = id_base(t.customers, "customer_id")
-    v = v.withColumn("customer_id", F.when(F.col("reason").isNull(),
-                                           new_ids(signups, "request_id", base)))
+    v = with_new_ids(v, F.col("reason").isNull(), "request_id", t.customers, "customer_id")
     outcomes = v.select("request_id", "customer_id", "role",
                         F.coalesce("reason", F.lit("REGISTERED")).alias("outcome"),
                         F.when(F.col("reason").isNull(),

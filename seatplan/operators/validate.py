@@ -11,9 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seatplan.functions.dates import strtotime
 from seatplan.functions.text import (email_is_valid, normalize_text, parse_datetime_text,
                                      php_intval)
+from seatplan.operators.releases import settle_claims
 from seatplan.operators.reports import _ts, booking_counts
+from seatplan.plans.numbering import row_numbers
 from seatplan.sources.tables import Tables
 
 # Reason codes and the messages the app shows for them.
@@ -21,6 +24,7 @@ MESSAGES = {
     "REQUIRED": "Please fill in all required fields.",
     "NOT_FUTURE": "Please choose a future date and time for the event.",
     "BAD_BUDGET": "Please enter a valid event budget.",
+    "TIME_REFUSED": "Unable to save: the event time is not written as a date.",
     "NAME_BLANK": "Event name is required.",
     "PAST_AT_SAVE": "Event date must be in the future.",
     "BUDGET_NOT_POSITIVE": "Event budget must be greater than zero.",
@@ -77,7 +81,8 @@ def validate_events(drafts: DataFrame, as_of) -> DataFrame:
     ``budget_n`` (decimal(12,2), rounded as the column stores it),
     ``venue_n`` (int id), ``reason``, ``message`` and ``status``.
     A budget of 0.001 passes the page (> 0) but is 0.00 once stored, so the
-    trigger rejects it.
+    trigger rejects it.  The page reads free-form times ("next friday"), the
+    table takes none of them.
     """
     now = _ts(as_of)
     name = F.coalesce(normalize_text("event_name"), F.lit(""))  # a missing field reads as ""
@@ -85,20 +90,22 @@ def validate_events(drafts: DataFrame, as_of) -> DataFrame:
     budget = F.coalesce(F.col("budget").try_cast("double"), F.lit(0.0))
     stored = budget.try_cast("decimal(12,2)")
     venue = F.coalesce(F.col("venue_id").try_cast("bigint"), F.lit(0).cast("bigint"))
-    df = (drafts.withColumn("event_name_n", name).withColumn("event_ts", ts)
+    moment = F.when(ts.isNotNull(), ts).otherwise(strtotime(F.col("event_time"), now))
+    df = (drafts.withColumn("event_name_n", name).withColumn("event_ts", ts).withColumn("_moment", moment)
           .withColumn("budget_n", stored).withColumn("venue_n", venue))
     reason = first_failure(
         ((F.col("event_name_n") == "") | (F.coalesce(F.col("event_time"), F.lit("")) == "")
          | (F.col("venue_n") == 0), "REQUIRED"),
-        (F.col("event_ts").isNull() | ~(F.col("event_ts") > now), "NOT_FUTURE"),
+        (F.col("_moment").isNull() | ~(F.col("_moment") > now), "NOT_FUTURE"),
         (budget <= 0, "BAD_BUDGET"),
+        (F.col("event_ts").isNull(), "TIME_REFUSED"),
         (F.trim(F.col("event_name_n")) == "", "NAME_BLANK"),
         (F.col("event_ts") <= now, "PAST_AT_SAVE"),
         (F.col("budget_n").isNull(), "BUDGET_OUT_OF_RANGE"),
         (F.col("budget_n") <= 0, "BUDGET_NOT_POSITIVE"),
         (F.char_length("event_name_n") > 150, "TOO_LONG"),
     )
-    return with_status(df.withColumn("reason", reason).withColumn("message", message_of(
+    return with_status(df.withColumn("reason", reason).drop("_moment").withColumn("message", message_of(
         F.col("reason"))))
 
 
@@ -192,12 +199,12 @@ def validate_signups(t: Tables, signups: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------ V08 profile updates
 def validate_profile_updates(t: Tables, updates: DataFrame) -> DataFrame:
-    """Profile edit rules; the e-mail must not be held by *another* account.
+    """Profile edit rules in request order; the e-mail must not be held by *another* account.
 
-    Judged against the accounts as they stand before the batch, plus, inside
-    the batch, the earliest otherwise-valid request per e-mail wins among
-    different customers.  An e-mail that an earlier update in the same batch
-    gives up only becomes free for the next batch.
+    As on the page, one request after the other: a granted one gives up the
+    e-mail its account held before, which a later request may then take
+    (:func:`seatplan.operators.releases.settle_claims`).  A value too long for
+    its column, or an account that does not exist, takes no e-mail.
     """
     df = (updates
           .withColumn("name", F.coalesce(normalize_text("name"), F.lit("")))
@@ -210,25 +217,18 @@ def validate_profile_updates(t: Tables, updates: DataFrame) -> DataFrame:
         ((F.col("password") != "") & (F.octet_length("password") < 6), "PROFILE_SHORT_PASSWORD"))
     df = (df.withColumn("pre_reason", pre).withColumn("ek", _email_key("email"))
           .withColumn("too_long", _too_long(name=100, phone=20, email=120)))
-    # Holders of each e-mail key: two distinct ids are enough to know whether
-    # "someone other than me" holds it.
-    holders = (t.customers.groupBy(_email_key("email").alias("ek"))
-               .agg(F.min("customer_id").alias("h_min"), F.max("customer_id").alias("h_max")))
-    other_holder = F.col("h_min").isNotNull() & (
-        (F.col("h_min") != F.col("customer_id")) | (F.col("h_max") != F.col("customer_id")))
-    # Rows that failed before keep out of the joins on the e-mail.
-    live = (df.filter(F.col("pre_reason").isNull()).join(holders, "ek", "left")
-            .withColumn("other_holder", other_holder))
-    # Among requests that could take the e-mail, the earliest one's customer wins.
-    first = (live.filter(~F.col("other_holder") & ~F.col("too_long")).groupBy("ek")
-             .agg(F.min_by("customer_id", "request_id").alias("first_cust"),
-                  F.min("request_id").alias("first_req")))
-    taken = F.col("other_holder") | ((F.col("first_cust") != F.col("customer_id"))
-                                     & (F.col("request_id") > F.col("first_req")))
-    judged = (live.join(first, "ek", "left")
-              .withColumn("reason", F.when(taken, F.lit("PROFILE_EMAIL_TAKEN"))
+    accounts = t.customers.select("customer_id", _email_key("email").alias("ek"))
+    # Rows that failed before keep out; so does a null account, which no account differs from.
+    live = df.filter(F.col("pre_reason").isNull())
+    numbered = row_numbers(live, ["request_id"], "at")
+    claims = (numbered.filter("customer_id IS NOT NULL")
+              .join(accounts.select("customer_id", F.lit(True).alias("exists")).distinct(), "customer_id", "left")
+              .select("at", "customer_id", "ek", (F.col("exists").isNotNull() & ~F.col("too_long")).alias("effect")))
+    granted = settle_claims(claims, accounts.filter("ek IS NOT NULL"))
+    judged = (numbered.join(granted, "at", "left")
+              .withColumn("reason", F.when(~F.col("granted"), F.lit("PROFILE_EMAIL_TAKEN"))
                           .when(F.col("too_long"), F.lit("PROFILE_FAILED")))
-              .drop("h_min", "h_max", "first_cust", "first_req", "other_holder"))
+              .drop("at", "granted"))
     failed = df.filter(F.col("pre_reason").isNotNull()).withColumn("reason", F.col("pre_reason"))
     return with_status(judged.unionByName(failed).drop("pre_reason", "ek", "too_long"))
 

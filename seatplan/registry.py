@@ -90,6 +90,12 @@ BINDINGS_SQL = {
         'Service' || chr(9) || '  ' || cast(s_nationkey as varchar) as service_type from supplier""",
     "profile_updates": """select request_id, request_id as customer_id, name, phone, email, password
         from signups""",
+    "profile_moves": """select (c_custkey * 7919) % 1000003 as request_id, c_custkey as customer_id,
+        c_name as name, '+880' as phone, case c_custkey % 5 when 0 then 'free' || cast(c_custkey as varchar)
+          when 1 then c_name else 'customer#' || lpad(cast(c_custkey + 1 as varchar), 9, '0') end || '@example.com' as email,
+        '' as password from customer
+        union all select 2000000 + (c_custkey * 104729) % 1000003, c_custkey, c_name, '+880',
+        'customer#' || lpad(cast(c_custkey + 2 as varchar), 9, '0') || '@EXAMPLE.com', '' from customer where c_custkey % 3 = 0""",
     "event_deletes": f"""select o_orderkey as request_id, o_orderkey as event_id,
         case when o_orderkey % 3 = 0 then o_custkey else o_custkey + 1 end as customer_id,
         {AS_OF_SQL} as requested_at from orders""",
@@ -121,6 +127,10 @@ def with_bindings(body: str, extra: str = "") -> str:
     return f"WITH {ctes}\n{body}"
 
 
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLE: dict[str, str] = {}
@@ -156,4 +166,4 @@ def tables(spark: SparkSession, sf_dir: str):
     return B.bind_tables(spark, sf_dir)
 
 
-__all__ = ["register", "queries", "oracle_sql", "with_bindings", "tables", "R", "B"]
+__all__ = ["register", "queries", "oracle_sql", "recursive", "with_bindings", "tables", "R", "B"]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seatplan.operators import changes as C
-from seatplan.registry import AS_OF_SQL, register, tables, with_bindings
-from seatplan.registry_validate import PROFILE_CTES, SIGNUP_CTES, TS_SQL, norm
+from seatplan.registry import AS_OF_SQL, recursive, register, tables, with_bindings
+from seatplan.registry_validate import PROFILE_CTES, SIGNUP_CTES, TS_SQL, norm, profile_ctes
 from seatplan.sources import bindings as B
 
 
@@ -45,8 +45,8 @@ adm0 AS (SELECT request_id, event_id, customer_id, requested_at,
               WHEN won_before THEN 'DUPLICATE' WHEN win THEN 'BOOKED' ELSE 'FULL' END AS outcome
          FROM r6),
 adm AS (SELECT *,
-        CASE WHEN outcome = 'BOOKED' THEN CAST((SELECT coalesce(MAX(booking_id), 0) FROM bookings)
-             + request_id - (SELECT MIN(request_id) FROM booking_requests) + 1 AS BIGINT) END
+        CASE WHEN outcome = 'BOOKED' THEN (SELECT coalesce(MAX(booking_id), 0) FROM bookings)
+             + row_number() OVER (PARTITION BY outcome = 'BOOKED' ORDER BY request_id) END
           AS booking_id,
         CASE WHEN outcome = 'BOOKED' THEN CAST(requested_at AS DATE) END AS booking_date,
         {_case_map('outcome', C.CREATE_SIGNALS)} AS db_message
@@ -109,20 +109,15 @@ def q_cancel_messages(spark, sf_dir):
 
 
 AUDIT_SQL = f"""
-SELECT CAST(base + request_id - lo + 1 AS BIGINT) AS audit_id, booking_id, event_id, customer_id,
-       'BOOKED' AS action_type, '{C.NOTE_BOOKED}' AS action_note, requested_at AS action_time
-FROM (SELECT * FROM adm WHERE outcome = 'BOOKED') a, ab
-UNION ALL
-SELECT CAST(base + coalesce(a_hi - a_lo + 1, 1) + request_id - lo + 1 AS BIGINT), booking_id,
-       event_id, customer_id, 'CANCELLED', '{C.NOTE_CANCELLED}', requested_at
-FROM (SELECT * FROM can WHERE outcome = 'CANCELLED') c, cb"""
-AUDIT_CTES = ADMIT_CTES + "," + CANCEL_CTES + """,
-ab AS (SELECT (SELECT coalesce(MAX(audit_id), 0) FROM booking_audit_log) AS base,
-              coalesce(MIN(request_id), 0) AS lo FROM adm WHERE outcome = 'BOOKED'),
-cb AS (SELECT (SELECT coalesce(MAX(audit_id), 0) FROM booking_audit_log) AS base,
-              (SELECT MIN(request_id) FROM adm WHERE outcome = 'BOOKED') AS a_lo,
-              (SELECT MAX(request_id) FROM adm WHERE outcome = 'BOOKED') AS a_hi,
-              coalesce(MIN(request_id), 0) AS lo FROM can WHERE outcome = 'CANCELLED')"""
+SELECT (SELECT coalesce(MAX(audit_id), 0) FROM booking_audit_log)
+         + row_number() OVER (ORDER BY cancelled, request_id) AS audit_id, booking_id, event_id, customer_id,
+       CASE WHEN cancelled THEN 'CANCELLED' ELSE 'BOOKED' END AS action_type,
+       CASE WHEN cancelled THEN '{C.NOTE_CANCELLED}' ELSE '{C.NOTE_BOOKED}' END AS action_note,
+       requested_at AS action_time
+FROM (SELECT request_id, booking_id, event_id, customer_id, requested_at, false AS cancelled FROM adm WHERE outcome = 'BOOKED'
+      UNION ALL
+      SELECT request_id, booking_id, event_id, customer_id, requested_at, true FROM can WHERE outcome = 'CANCELLED') x"""
+AUDIT_CTES = ADMIT_CTES + "," + CANCEL_CTES
 
 
 @register("audit_trail", with_bindings(AUDIT_SQL, extra=AUDIT_CTES))
@@ -157,10 +152,7 @@ def q_delete_events(spark, sf_dir):
 
 
 @register("delete_events_audit", with_bindings(f"""
-SELECT CAST((SELECT coalesce(MAX(audit_id), 0) FROM booking_audit_log) + b.booking_id
-            - (SELECT MIN(b2.booking_id) FROM bookings b2
-               WHERE b2.event_id IN (SELECT event_id FROM del WHERE outcome = 'DELETED')) + 1
-            AS BIGINT) AS audit_id,
+SELECT (SELECT coalesce(MAX(audit_id), 0) FROM booking_audit_log) + row_number() OVER (ORDER BY b.booking_id) AS audit_id,
        b.booking_id, b.event_id, b.customer_id, 'CANCELLED' AS action_type,
        '{C.NOTE_CANCELLED}' AS action_note, d.requested_at AS action_time
 FROM bookings b JOIN (SELECT * FROM del WHERE outcome = 'DELETED') d ON b.event_id = d.event_id""",
@@ -224,8 +216,8 @@ def _user_msg(ok_text: str, failed: str, extra: str = "") -> str:
 
 @register("insert_events", with_bindings(f"""
 SELECT draft_id, customer_id,
-  CASE WHEN reason IS NULL THEN CAST((SELECT coalesce(MAX(event_id), 0) FROM events_t) + draft_id
-       - (SELECT MIN(draft_id) FROM event_drafts) + 1 AS BIGINT) END AS new_event_id,
+  CASE WHEN reason IS NULL THEN (SELECT coalesce(MAX(event_id), 0) FROM events_t)
+       + row_number() OVER (PARTITION BY reason IS NULL ORDER BY draft_id) END AS new_event_id,
   coalesce(reason, 'CREATED') AS outcome,
   {_user_msg('Event created successfully.', C.EVENT_SAVE_FAILED)} AS user_message
 FROM chk""", extra=f"chk AS ({_event_check_sql('event_drafts', 'draft_id')})"))
@@ -271,8 +263,8 @@ def q_delete_resources(spark, sf_dir):
 
 @register("insert_resources", with_bindings(f"""
 SELECT request_id,
-  CASE WHEN reason IS NULL THEN CAST((SELECT coalesce(MAX(venue_id), 0) FROM venues) + request_id
-       - (SELECT MIN(request_id) FROM venue_rows) + 1 AS BIGINT) END AS venue_id,
+  CASE WHEN reason IS NULL THEN (SELECT coalesce(MAX(venue_id), 0) FROM venues)
+       + row_number() OVER (PARTITION BY reason IS NULL ORDER BY request_id) END AS venue_id,
   coalesce(reason, 'CREATED') AS outcome
 FROM (SELECT *, CASE WHEN venue_name = '' OR address = '' OR capacity <= 0 THEN 'VENUE_FIELDS'
                  WHEN length(venue_name) > 120 OR length(address) > 255 THEN 'TOO_LONG'
@@ -293,8 +285,8 @@ def _reason_msg(mapping_keys):
 
 @register("register_accounts", with_bindings(f"""
 SELECT request_id,
-  CASE WHEN reason IS NULL THEN CAST((SELECT coalesce(MAX(customer_id), 0) FROM customers)
-       + request_id - (SELECT MIN(request_id) FROM signups) + 1 AS BIGINT) END AS customer_id,
+  CASE WHEN reason IS NULL THEN (SELECT coalesce(MAX(customer_id), 0) FROM customers)
+       + row_number() OVER (PARTITION BY reason IS NULL ORDER BY request_id) END AS customer_id,
   role, coalesce(reason, 'REGISTERED') AS outcome,
   CASE WHEN reason IS NULL THEN 'Registration complete! You can sign in now.'
        ELSE {_reason_msg(['NAME_PHONE', 'BAD_EMAIL', 'SHORT_PASSWORD', 'EMAIL_TAKEN', 'REGISTRATION_FAILED'])} END
@@ -304,30 +296,50 @@ def q_register_accounts(spark, sf_dir):
     return C.register_accounts(tables(spark, sf_dir), B.bind_signups(spark, sf_dir)).outcomes
 
 
-@register("update_profiles", with_bindings(f"""
+def _profile_outcomes_sql(ctes: str) -> str:
+    return recursive(with_bindings(f"""
 SELECT request_id, customer_id, coalesce(reason, 'UPDATED') AS outcome,
   CASE WHEN reason IS NULL THEN 'Profile updated successfully.'
        ELSE {_reason_msg(['PROFILE_NAME_PHONE', 'BAD_EMAIL', 'PROFILE_SHORT_PASSWORD',
                           'PROFILE_EMAIL_TAKEN', 'PROFILE_FAILED'])} END AS user_message
-FROM pv""", extra=PROFILE_CTES))
-def q_update_profiles(spark, sf_dir):
-    return C.update_profiles(tables(spark, sf_dir), B.bind_profile_updates(spark, sf_dir)).outcomes
+FROM pv""", extra=ctes))
 
 
-@register("update_profiles_result", with_bindings("""
+def _profile_result_sql(ctes: str) -> str:
+    return recursive(with_bindings("""
 SELECT c.customer_id, coalesce(u.name, c.name) AS name, coalesce(u.phone, c.phone) AS phone,
        coalesce(u.email, c.email) AS email, c.role
 FROM customers c LEFT JOIN (
   SELECT p0.customer_id, p0.name, p0.phone, p0.email FROM p0 JOIN pv USING (request_id)
   WHERE pv.reason IS NULL
   QUALIFY row_number() OVER (PARTITION BY p0.customer_id ORDER BY p0.request_id DESC) = 1) u
-ON u.customer_id = c.customer_id""", extra=PROFILE_CTES))
+ON u.customer_id = c.customer_id""", extra=ctes))
+
+
+@register("update_profiles", _profile_outcomes_sql(PROFILE_CTES))
+def q_update_profiles(spark, sf_dir):
+    return C.update_profiles(tables(spark, sf_dir), B.bind_profile_updates(spark, sf_dir)).outcomes
+
+
+@register("update_profiles_result", _profile_result_sql(PROFILE_CTES))
 def q_update_profiles_result(spark, sf_dir):
     """The customers table after the profile edits (password column left out)."""
     res = C.update_profiles(tables(spark, sf_dir), B.bind_profile_updates(spark, sf_dir))
     return res.tables.customers.drop("password")
 
 
+@register("update_profiles_released", _profile_outcomes_sql(profile_ctes("profile_moves")))
+def q_update_profiles_released(spark, sf_dir):
+    """Edits of which many wait for the e-mail that another one gives up."""
+    return C.update_profiles(tables(spark, sf_dir), B.bind_profile_moves(spark, sf_dir)).outcomes
+
+
+@register("update_profiles_released_result", _profile_result_sql(profile_ctes("profile_moves")))
+def q_update_profiles_released_result(spark, sf_dir):
+    res = C.update_profiles(tables(spark, sf_dir), B.bind_profile_moves(spark, sf_dir))
+    return res.tables.customers.drop("password")
+
+
 # The ordered fold as a recursive step over each event's commands: the state is
 # the customers (and ids) of bookings made so far and the customers of earlier
 # bookings cancelled so far.
@@ -382,7 +394,7 @@ replayed AS (
 
 
 def replay_sql(body: str) -> str:
-    return with_bindings(body, extra=REPLAY_CTES).replace("WITH ", "WITH RECURSIVE ", 1)
+    return recursive(with_bindings(body, extra=REPLAY_CTES))
 
 
 @register("replay_commands", replay_sql("SELECT * FROM replayed"))

@@ -16,8 +16,7 @@ from seatplan.sources.tables import load_tables
 
 INSERT_CTES = f"""
 chk AS ({_event_check_sql('event_drafts', 'draft_id')}),
-made AS (SELECT *, CAST((SELECT max(event_id) FROM events_t) + draft_id
-                        - (SELECT min(draft_id) FROM event_drafts) + 1 AS BIGINT) AS new_id
+made AS (SELECT *, (SELECT max(event_id) FROM events_t) + row_number() OVER (ORDER BY draft_id) AS new_id
          FROM chk WHERE reason IS NULL)"""
 UPDATE_CTES = "chk AS (" + _event_check_sql(
     "event_edits", "draft_id",
@@ -78,8 +77,8 @@ def q_update_events_links(spark, sf_dir):
 
 
 _RESOURCE_SQL = """
-SELECT request_id, CASE WHEN reason IS NULL THEN CAST((SELECT max({key}) FROM {table}) + request_id
-         - (SELECT min(request_id) FROM {src}) + 1 AS BIGINT) END AS {key},
+SELECT request_id, CASE WHEN reason IS NULL THEN (SELECT max({key}) FROM {table})
+         + row_number() OVER (PARTITION BY reason IS NULL ORDER BY request_id) END AS {key},
        coalesce(reason, 'CREATED') AS outcome
 FROM (SELECT request_id, CASE WHEN {blank} THEN '{code}' WHEN {long} THEN 'TOO_LONG' END AS reason
       FROM (SELECT request_id, {cols} FROM {src}))"""
@@ -109,7 +108,7 @@ def q_insert_resources_supplier(spark, sf_dir):
 
 @register("insert_resources_table", with_bindings(f"""
 SELECT * FROM staff UNION ALL
-SELECT (SELECT max(staff_id) FROM staff) + request_id - (SELECT min(request_id) FROM staff_rows) + 1,
+SELECT (SELECT max(staff_id) FROM staff) + row_number() OVER (ORDER BY request_id),
        {norm('name')}, {norm('role')}, {norm('phone')}
 FROM staff_rows WHERE {norm('name')} <> '' AND {norm('role')} <> '' AND {norm('phone')} <> ''
   AND length({norm('phone')}) <= 20"""))
@@ -136,8 +135,7 @@ def q_delete_resources_remaining(spark, sf_dir):
 
 @register("register_accounts_customers", with_bindings("""
 SELECT customer_id, name, phone, email, role FROM customers UNION ALL
-SELECT CAST((SELECT max(customer_id) FROM customers) + request_id
-            - (SELECT min(request_id) FROM signups) + 1 AS BIGINT), p0.name, p0.phone, p0.email, sv.role
+SELECT (SELECT max(customer_id) FROM customers) + row_number() OVER (ORDER BY request_id), p0.name, p0.phone, p0.email, sv.role
 FROM sv JOIN p0 USING (request_id) WHERE sv.reason IS NULL""", extra=SIGNUP_CTES))
 def q_register_accounts_customers(spark, sf_dir):
     res = C.register_accounts(tables(spark, sf_dir), B.bind_signups(spark, sf_dir))

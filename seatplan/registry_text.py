@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seatplan.functions import text as X
+from seatplan.functions.dates import strtotime
 from seatplan.operators import reports as R
 from seatplan.operators import search as S
 from seatplan.registry import AS_OF_SQL, register, tables, with_bindings
+from seatplan.registry_validate import email_ok
 from seatplan.sources import bindings as B
 
 
@@ -153,19 +155,81 @@ def q_normalize_text(spark, sf_dir):
     return docs.select("doc_id", X.normalize_text("text").alias("text"))
 
 
-EMAIL_SQL = X.EMAIL_PATTERN.replace("'", "''")
-
-
 @register("email_validity", with_bindings(f"""
-SELECT request_id, email,
-  coalesce(regexp_matches(email, '{EMAIL_SQL}'), false)
-  AND length(split_part(email, '@', 1)) <= 64 AND length(email) <= 254 AS is_valid
+SELECT request_id, email, {email_ok('email')} AS is_valid
 FROM signups"""))
 def q_email_validity(spark, sf_dir):
     s = B.bind_signups(spark, sf_dir)
     return s.select("request_id", "email", X.email_is_valid("email").alias("is_valid"))
 
 
+#: Address forms of one customer; {k} is its key, {n} its name.  As text of SQL that both engines run.
+EMAIL_FORMS = [
+    "'a.' || {k} || '@mail.example.org'", "'.a' || {k} || '@example.com'", "'a..' || {k} || '@example.com'",
+    """'"a b ' || {k} || '"@example.com'""", """'"quoted@at' || {k} || '".x@example.com'""", """'"un' || {k} || '@example.com'""",
+    "'a@[192.0.2.' || {k} || ']'", "'a@[IPv6:2001:db8::' || {k} || ']'", "'a@[ipv6:1:2:3:4:5:6:7:' || {k} || ']'",
+    "'a@[IPv6:1:2:3:4:5:6:7]'", "'a@[IPv6:::ffff:192.0.2.' || {k} || ']'", "'a@[IPv6:1::2::' || {k} || ']'", "'a@[IPv6:12345::1]'",
+    "'a@x-' || {k} || '-.com'", "'a@x--' || {k} || '.co'", "'a@' || repeat('l', CAST({k} AS INT) % 80) || '.com'", "'a@localhost'",
+    "repeat('u', CAST({k} AS INT) % 90) || '@example.com'", "'a@example.' || {k}", "'a@example.c' || {k}", "{n} || '@example.com'",
+    "'a@b@c' || {k} || '.com'", "'a@[300.0.0.' || {k} || ']'", "'é' || {k} || '@example.com'"]
+
+
+def _form(k: str, n: str) -> str:
+    cases = " ".join(f"WHEN {i} THEN " + f.replace("{k}", f"CAST({k} AS STRING)").replace("{n}", n)
+                     for i, f in enumerate(EMAIL_FORMS))
+    return f"CASE CAST({k} AS INT) % {len(EMAIL_FORMS)} {cases} END"
+
+
+@register("email_forms", f"""
+SELECT c_custkey, email, {email_ok('email')} AS is_valid
+FROM (SELECT c_custkey, {_form('c_custkey', 'c_name')} AS email FROM customer) c""")
+def q_email_forms(spark, sf_dir):
+    """Quoted local parts, address literals, labels and lengths at and beyond their limits."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return (c.select("c_custkey", F.expr(_form("c_custkey", "c_name")).alias("email"))
+            .withColumn("is_valid", X.email_is_valid("email")))
+
+
+# Moments written in many ways: what each text means is known from the date it was made of.
+_MOMENT = "(o_orderdate + (o_orderkey % 86400) * INTERVAL 1 SECOND)"
+
+
+@register("strtotime", f"""
+SELECT o_orderkey, text, CASE o_orderkey % 12
+    WHEN 0 THEN date_trunc('minute', d) WHEN 1 THEN date_trunc('day', d) WHEN 2 THEN date_trunc('minute', d)
+    WHEN 3 THEN d WHEN 4 THEN date_trunc('day', d)
+    WHEN 5 THEN now_ + (o_orderkey % 400) * INTERVAL 1 DAY WHEN 6 THEN now_ - (o_orderkey % 50) * INTERVAL 7 DAY
+    WHEN 7 THEN now_ + ((isodow(d) - isodow(now_) + 6) % 7 + 1) * INTERVAL 1 DAY
+    WHEN 8 THEN date_trunc('month', d) + INTERVAL 1 MONTH + (day(d) - 1) * INTERVAL 1 DAY
+    WHEN 9 THEN now_ + INTERVAL 1 DAY + hour(d) * INTERVAL 1 HOUR WHEN 10 THEN d END AS moment
+FROM (SELECT *, CASE o_orderkey % 12
+    WHEN 0 THEN strftime(d, '%Y-%m-%dT%H:%M') WHEN 1 THEN strftime(d, '%d %B %Y') WHEN 2 THEN strftime(d, '%b %d, %Y %I:%M %p')
+    WHEN 3 THEN strftime(d, '%m/%d/%Y %H:%M:%S') WHEN 4 THEN strftime(d, '%-d.%-m.%Y')
+    WHEN 5 THEN '+' || CAST(o_orderkey % 400 AS VARCHAR) || ' days' WHEN 6 THEN CAST(o_orderkey % 50 AS VARCHAR) || ' weeks ago'
+    WHEN 7 THEN 'next ' || strftime(d, '%A') WHEN 8 THEN strftime(d, '%Y-%m-%d') || ' +1 month'
+    WHEN 9 THEN 'tomorrow ' || strftime(d, '%I %p') WHEN 10 THEN '@' || CAST(CAST(epoch(d) AS BIGINT) AS VARCHAR)
+    ELSE 'around ' || strftime(d, '%Y-%m-%d') END AS text
+  FROM (SELECT o_orderkey, {_MOMENT} AS d, {AS_OF_SQL} AS now_ FROM orders) o) t""")
+def q_strtotime(spark, sf_dir):
+    """Free-form date and time texts, read from a fixed moment on."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    k = F.col("o_orderkey")
+    d = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(secs=(k % 86400).cast("decimal(18,6)"))
+    forms = ["yyyy-MM-dd'T'HH:mm", "dd MMMM yyyy", "MMM dd, yyyy hh:mm a", "MM/dd/yyyy HH:mm:ss", "d.M.yyyy"]
+    text = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        text = F.when(k % 12 == i, F.date_format(d, form)).otherwise(text)
+    text = (F.when(k % 12 == 5, F.concat(F.lit("+"), (k % 400).cast("string"), F.lit(" days")))
+            .when(k % 12 == 6, F.concat((k % 50).cast("string"), F.lit(" weeks ago")))
+            .when(k % 12 == 7, F.concat(F.lit("next "), F.date_format(d, "EEEE")))
+            .when(k % 12 == 8, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit(" +1 month")))
+            .when(k % 12 == 9, F.concat(F.lit("tomorrow "), F.date_format(d, "hh a")))
+            .when(k % 12 == 10, F.concat(F.lit("@"), F.unix_timestamp(d).cast("string")))
+            .when(k % 12 == 11, F.concat(F.lit("around "), F.date_format(d, "yyyy-MM-dd"))).otherwise(text))
+    return (o.select("o_orderkey", text.alias("text"))
+            .withColumn("moment", strtotime(F.col("text"), F.lit(B.AS_OF).cast("timestamp_ntz"))))
+
+
 @register("event_cards", with_bindings("""
 SELECT event_id, strftime(event_time, '%b %d, %Y %I:%M %p') AS when_text,
   'BDT ' || format('{:,.2f}', budget::DOUBLE) AS budget_text,

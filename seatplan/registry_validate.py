@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from seatplan.functions.text import EMAIL_PATTERN
+from seatplan.functions import text as X
 from seatplan.operators import validate as V
-from seatplan.registry import AS_OF_SQL, register, tables, with_bindings
+from seatplan.registry import AS_OF_SQL, recursive, register, tables, with_bindings
 from seatplan.sources import bindings as B
 
 WS = "'[ \\t\\n\\x0B\\f\\r]+'"
-EMAIL_SQL = EMAIL_PATTERN.replace("'", "''")
 
 
 def norm(c: str) -> str:
@@ -16,8 +15,30 @@ def norm(c: str) -> str:
 
 
 def email_ok(c: str) -> str:
-    return (f"(coalesce(regexp_matches({c}, '{EMAIL_SQL}'), false) "
-            f"AND length(split_part({c}, '@', 1)) <= 64 AND length({c}) <= 254)")
+    """Addresses are cut at the last @, domains into labels, address literals into groups."""
+    def q(pattern):
+        return pattern.replace("'", "''")
+    domain = f"split_part({c}, '@', -1)"
+    local = f"left({c}, greatest(length({c}) - length({domain}) - 1, 0))"
+    inner = f"substr({domain}, 2, length({domain}) - 2)"
+    six = f"string_split(substr({inner}, 6), ':')"
+    hexes = f"list_filter({six}, lambda g: regexp_full_match(g, '{X.HEX4}'))"
+    gaps = f"(length(substr({inner}, 6)) - length(replace(substr({inner}, 6), '::', ''))) // 2"
+    v4_tail = f"CASE WHEN regexp_full_match({six}[-1], '{X.IPV4}') THEN 1 ELSE 0 END"
+    # groups that are neither empty, nor hexadecimal, nor a last IPv4 address; a lone colon at either end
+    odd = (f"len(list_filter({six}, lambda g: g <> '')) - len({hexes}) - {v4_tail} > 0 OR "
+           f"contains(substr({inner}, 6), ':::') OR (regexp_matches(substr({inner}, 6), '^:[^:]') OR regexp_matches({inner}, '[^:]:$'))")
+    literal = f"""(regexp_full_match({inner}, '{X.IPV4}') OR lower(left({inner}, 5)) = 'ipv6:' AND NOT ({odd}) AND
+      CASE {gaps} WHEN 0 THEN len({hexes}) + 2 * {v4_tail} = 8 WHEN 1 THEN len({hexes}) + 2 * {v4_tail} <= 6 ELSE false END)"""
+    labels = f"string_split({domain}, '.')"
+    named = f"""(len({labels}) >= 2 AND regexp_matches({labels}[-1], '^[A-Za-z]')
+      AND len(list_filter({labels}, lambda l: length(l) <= 63 AND regexp_full_match(l, '{X.EMAIL_LABEL}'))) = len({labels}))"""
+
+    def units(x):
+        return f"length(replace(regexp_replace({x}, '\\\\.', 'x', 'g'), '\"', ''))"
+    return f"""coalesce(regexp_matches({local}, '{q(X.EMAIL_LOCAL)}')
+    AND CASE WHEN left({domain}, 1) = '[' THEN right({domain}, 1) = ']' AND {literal} ELSE {named} END
+    AND {units(local)} <= 64 AND {units(c)} <= 254 AND strlen({c}) <= 320, false)"""
 
 
 def status(reason: str = "reason") -> str:
@@ -105,26 +126,37 @@ sv AS (SELECT request_id, role, CASE
     WHEN long THEN 'REGISTRATION_FAILED' END AS reason
   FROM p)"""
 
-PROFILE_CTES = _person_cte("profile_updates", ", customer_id") + f""",
+def profile_ctes(src: str) -> str:
+    """Profile edits one after the other: a recursive step per request, whose
+    state is the e-mail key of every account that has changed its own."""
+    return _person_cte(src, ", customer_id") + f""",
 p AS (SELECT *, CASE WHEN name = '' OR phone = '' THEN 'PROFILE_NAME_PHONE'
                      WHEN NOT {email_ok('email')} THEN 'BAD_EMAIL'
                      WHEN password <> '' AND strlen(password) < 6 THEN 'PROFILE_SHORT_PASSWORD'
                 END AS pre,
              length(name) > 100 OR length(phone) > 20 OR length(email) > 120 AS long,
              lower(strip_accents(rtrim(email))) AS ek FROM p0),
-q AS (SELECT p.*, EXISTS (SELECT 1 FROM customers c
-                          WHERE lower(strip_accents(rtrim(c.email))) = p.ek
-                            AND c.customer_id <> p.customer_id) AS other_holder FROM p),
-pv AS (SELECT request_id, customer_id, CASE
+h AS (SELECT customer_id, lower(strip_accents(rtrim(email))) AS ek FROM customers),
+q AS MATERIALIZED (SELECT p.*, row_number() OVER (ORDER BY request_id) AS n, coalesce(f.ids, []) AS at_first,
+             p.customer_id IN (SELECT customer_id FROM h) AS known
+      FROM p LEFT JOIN (SELECT ek, list(customer_id) AS ids FROM h GROUP BY ek) f USING (ek) WHERE pre IS NULL),
+step AS (
+  SELECT CAST(0 AS BIGINT) AS n, MAP(CAST([] AS BIGINT[]), CAST([] AS VARCHAR[])) AS moved,
+         CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS BOOLEAN) AS granted
+  UNION ALL
+  SELECT n, CASE WHEN ok AND known AND NOT long THEN map_concat(moved, MAP([customer_id], [ek])) ELSE moved END, request_id, ok
+  FROM (SELECT q.*, s.moved,
+               len(list_filter(at_first, lambda c: c <> q.customer_id AND coalesce(s.moved[c], q.ek) = q.ek)) = 0
+               AND len(list_filter(map_entries(s.moved), lambda x: x.value = q.ek AND x.key <> q.customer_id)) = 0 AS ok
+        FROM step s JOIN q ON q.n = s.n + 1) x),
+pv AS (SELECT p.request_id, p.customer_id, CASE
     WHEN pre IS NOT NULL THEN pre
-    WHEN other_holder THEN 'PROFILE_EMAIL_TAKEN'
-    WHEN EXISTS (SELECT 1 FROM q p2 WHERE p2.pre IS NULL AND NOT p2.other_holder AND NOT p2.long
-                 AND p2.ek = q.ek AND p2.customer_id <> q.customer_id AND p2.request_id < q.request_id
-                 AND NOT EXISTS (SELECT 1 FROM q p3 WHERE p3.pre IS NULL AND NOT p3.other_holder
-                                 AND NOT p3.long AND p3.ek = q.ek AND p3.request_id < p2.request_id))
-      THEN 'PROFILE_EMAIL_TAKEN'
+    WHEN NOT granted THEN 'PROFILE_EMAIL_TAKEN'
     WHEN long THEN 'PROFILE_FAILED' END AS reason
-  FROM q)"""
+  FROM p LEFT JOIN step ON step.request_id = p.request_id)"""
+
+
+PROFILE_CTES = profile_ctes("profile_updates")
 
 
 @register("validate_signups", with_bindings(
@@ -134,8 +166,8 @@ def q_validate_signups(spark, sf_dir):
     return v.select("request_id", "role", "reason", "status")
 
 
-@register("validate_profile_updates", with_bindings(
-    f"SELECT request_id, customer_id, reason, {status()} FROM pv", extra=PROFILE_CTES))
+@register("validate_profile_updates", recursive(with_bindings(
+    f"SELECT request_id, customer_id, reason, {status()} FROM pv", extra=PROFILE_CTES)))
 def q_validate_profile_updates(spark, sf_dir):
     v = V.validate_profile_updates(tables(spark, sf_dir), B.bind_profile_updates(spark, sf_dir))
     return v.select("request_id", "customer_id", "reason", "status")

@@ -180,6 +180,23 @@ def bind_profile_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "email", "password")
 
 
+def bind_profile_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profile edits by which e-mails change hands: most accounts ask for that
+    of the next one, every fifth for a new one; a third ask once more."""
+    c = _raw(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+
+    def of(n):
+        return F.concat(F.lit("customer#"), F.lpad(n.cast("string"), 9, "0"))
+    email = F.when(k % 5 == 0, F.concat(F.lit("free"), k.cast("string"))).when(k % 5 == 1, F.col("c_name")).otherwise(of(k + 1))
+    person = [k.alias("customer_id"), F.col("c_name").alias("name"), F.lit("+880").alias("phone")]
+    first = c.select(((k * 7919) % 1000003).alias("request_id"), *person,
+                     F.concat(email, F.lit("@example.com")).alias("email"), F.lit("").alias("password"))
+    again = c.filter(k % 3 == 0).select((F.lit(2000000) + (k * 104729) % 1000003).alias("request_id"), *person,
+                                        F.concat(of(k + 2), F.lit("@EXAMPLE.com")).alias("email"), F.lit("").alias("password"))
+    return first.unionAll(again)
+
+
 def bind_event_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delete requests: a third from the owner, the rest from someone else."""
     o = _raw(spark, sf_dir, "orders")

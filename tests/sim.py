@@ -37,3 +37,17 @@ def simulate(events, bookings, roles, commands, new_id):
                 del bookings[bid]
                 out[rid] = "CANCELLED"
     return out
+
+
+def simulate_profiles(held, requests):
+    """held: {customer: e-mail key}; requests: (request_id, customer, key, fits) in order.
+
+    Returns {request_id: granted}; a request that does not fit its column, or of
+    an unknown customer, changes nothing.
+    """
+    held, out = dict(held), {}
+    for rid, cust, key, fits in requests:
+        out[rid] = not any(k == key and c != cust for c, k in held.items())
+        if out[rid] and fits and cust in held:
+            held[cust] = key
+    return out
