@@ -4,7 +4,8 @@ A conversation is an ordered list of turns (role, text).  Each distinct
 sequence of first ``d`` turns is a node of depth ``d``; the root has no turn.
 A node is known by 192 bits: the XOR of hashes of its turns and their places.
 As the XOR of a prefix is a prefix scan, a conversation of any length is
-hashed in blocks, and the node is named (smallest member, depth) from then on.
+hashed in blocks; nodes are then numbered, and known by (smallest member,
+depth) outside.
 
 Subtree totals come from parallel tree contraction.  A round *rakes* all
 leaves (each adds what it has gathered to its parent) and *compresses* unary
@@ -68,13 +69,13 @@ def spliced_turns(turns: DataFrame, first: Column, group: int) -> tuple[DataFram
     most = ids.agg(F.max("_h")).first()[0] or 0
     # At most ``most`` rows of a group's first conversation, each for at most ``group`` conversations.
     openings = turns.filter((F.col("conv_id") % group == 0) & (F.col("place") < most)).withColumnRenamed("conv_id", "_base")
-    shared = (ids.withColumn("_base", base).join(openings, "_base").filter("place < _h")
+    shared = (ids.withColumn("_base", base).join(openings.hint("merge"), "_base").filter("place < _h")
               .select("conv_id", "place", "points", *LANES))
     taken = shared.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_taken"))
     # One row per conversation, checkpointed, so that the join can split a conversation of very many turns.
-    moved = materialize(ids.join(taken, "conv_id", "left")
+    moved = materialize(ids.join(taken.hint("merge"), "conv_id", "left")
                         .select("conv_id", "_h", (F.coalesce("_taken", F.lit(0)) - F.col("_h")).alias("_move")))
-    own = (turns.join(moved, "conv_id").filter("place >= _h")
+    own = (turns.join(moved.hint("merge"), "conv_id").filter("place >= _h")
            .select("conv_id", (F.col("place") + F.col("_move")).alias("place"), "points", *LANES))
     return ids.select("conv_id"), shared.unionByName(own)
 
@@ -94,7 +95,7 @@ def prefixes(turns: DataFrame) -> DataFrame:
                                                  for h in LANES])
     scanned = rows.select("conv_id", "place", "points", "_block", *[h for h in LANES],
                           *[F.bit_xor(h).over(upto).alias(f"s_{h}") for h in LANES])
-    joined = scanned.join(carried, ["conv_id", "_block"], "left")
+    joined = scanned.join(carried.hint("merge"), ["conv_id", "_block"], "left")
     whole = {h: F.col(f"s_{h}").bitwiseXOR(F.coalesce(f"_{h}", F.lit(0))) for h in LANES}
     return joined.select("conv_id", (F.col("place") + 1).alias("depth"), "points",
                          *[whole[h].alias(h) for h in LANES],
@@ -143,15 +144,15 @@ def _ends(ends: DataFrame) -> DataFrame:
 
 
 def trie_nodes(ids: DataFrame, turns: DataFrame) -> DataFrame:
-    """(conv_id, depth, parent_conv_id, n_convs, points, ends_sha256) of every node.
+    """(id, parent, conv_id, depth, parent_conv_id, n_convs, points, ends_sha256) of every node.
 
     ``ids`` are all conversations, ``turns`` their rows (conv_id, place, points, hashes).
     """
     rows = materialize(prefixes(turns))
     lengths = rows.groupBy("conv_id").agg(F.max("depth").alias("depth"))
-    last = rows.join(lengths, ["conv_id", "depth"]).select("conv_id", *LANES, "depth")
+    last = rows.join(lengths.hint("merge"), ["conv_id", "depth"]).select("conv_id", *LANES, "depth")
     zero = [F.lit(0).cast("long").alias(h) for h in LANES]
-    turnless = ids.join(lengths, "conv_id", "left_anti").select(
+    turnless = ids.join(lengths.hint("merge"), "conv_id", "left_anti").select(
         "conv_id", *zero, F.lit(0).cast("long").alias("depth"))
     ends = _ends(last.unionByName(turnless))
     parents = [f"p{i + 1}" for i in range(len(LANES))]
@@ -161,80 +162,76 @@ def trie_nodes(ids: DataFrame, turns: DataFrame) -> DataFrame:
     root = (ids.agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")).filter("n_convs > 0")
             .select(*zero, F.lit(0).cast("long").alias("depth"), "conv_id", "n_convs", F.lit(0).cast("long").alias("points"),
                     *[F.lit(None).cast("long").alias(p) for p in parents]))
-    nodes = materialize(nodes.unionByName(root).withColumn("salt", F.pmod(F.xxhash64("conv_id"), F.lit(SALTS))))
+    salted = nodes.unionByName(root).withColumn("salt", F.pmod(F.xxhash64("conv_id"), F.lit(SALTS)))
+    nodes = materialize(row_numbers(salted, ["depth", "conv_id"], "id"))
     # A node may have very many children, so they look up their parent in up to SALTS parts:
     # the parts that occur go to the parent first, then the answers go to the parts.
     asked = nodes.filter("depth > 0").groupBy(*parents, "depth", "salt").agg(F.count(F.lit(1)).alias("_n"))
     names = nodes.select(*[F.col(h).alias(p) for h, p in zip(LANES, parents)], (F.col("depth") + 1).alias("depth"),
-                         F.col("conv_id").alias("parent_conv_id"))
-    answers = asked.join(names, [*parents, "depth"]).select(*parents, "depth", "salt", "parent_conv_id")
-    return (nodes.join(answers, [*parents, "depth", "salt"], "left")
-            .join(ends, [*LANES, "depth"], "left")
-            .select("conv_id", "depth", "parent_conv_id", "n_convs", "points",
+                         F.col("id").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
+    answers = asked.join(names.hint("merge"), [*parents, "depth"]).select(
+        *parents, "depth", "salt", "parent", "parent_conv_id")
+    return (nodes.join(answers.hint("merge"), [*parents, "depth", "salt"], "left")
+            .join(ends.hint("merge"), [*LANES, "depth"], "left")
+            .select("id", "parent", "conv_id", "depth", "parent_conv_id", "n_convs", "points",
                     F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256")))
 
 
 def subtree_totals(tree: DataFrame, values: list[str]) -> DataFrame:
     """(id, n_children, n_leaves, and of each value the sum over the node's subtree) by rake and compress.
 
-    ``tree`` has ``id``, ``parent`` (null at the root; both of one type that
-    can be compared) and long columns ``values``; it must not change between reads.
+    ``tree`` has long columns ``id``, ``parent`` (null at the root) and
+    ``values``; it must not change between reads.  Joins are merge joins on
+    unique keys: no side is small at scale, so none is broadcast.
     """
     sums = ["n_leaves", *values]
     acc = [f"a_{v}" for v in sums]      # gathered at the node so far
     edge = [f"e_{v}" for v in sums]     # added to the node's total on the way to its parent
+    note = [f"t_{v}" for v in sums]     # of the spliced node: its total less its child's
     children = tree.groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("n_children"))
-    counts = materialize(tree.select("id").join(children, "id", "left")
-                         .select("id", F.coalesce("n_children", F.lit(0)).alias("n_children")))
     zero = F.lit(0).cast("long")
-    live = tree.join(counts, "id").select(
-        "id", "parent", (F.col("n_children") == 0).cast("long").alias(acc[0]),
-        *[F.col(v).alias(a) for v, a in zip(values, acc[1:])], *[zero.alias(e) for e in edge], "n_children")
+    first = materialize(tree.join(children.hint("merge"), "id", "left").select(
+        "id", "parent", F.col("n_children").isNull().cast("long").alias(acc[0]),
+        *[F.col(v).alias(a) for v, a in zip(values, acc[1:])], *[zero.alias(e) for e in edge],
+        F.coalesce("n_children", zero).alias("n_children")))
+    live = first
     rounds: list[tuple[DataFrame, DataFrame]] = []
-    while True:
-        live = materialize(live)
-        if live.isEmpty():
-            break
+    while not live.isEmpty():
         leaf = F.col("n_children") == 0
-        raked = live.filter(leaf).select("id", *acc)
         # One grouping: what leaves give to their parent, and which other children it has left.
         given = live.groupBy(F.col("parent").alias("id")).agg(
             *[F.sum(F.when(leaf, F.col(a) + F.col(e))).alias(f"g{a}") for a, e in zip(acc, edge)],
             F.count(F.when(~leaf, 1)).alias("_left"), F.min(F.when(~leaf, F.col("id"))).alias("_child"))
-        inner = live.filter(~leaf).join(given, "id").select(
-            "id", "parent", *[(F.col(a) + F.coalesce(f"g{a}", F.lit(0))).alias(a) for a in acc], *edge,
-            F.col("_left").alias("n_children"), "_child")
         coin = F.pmod(F.xxhash64("id", F.lit(len(rounds))), F.lit(2)) == 1
-        inner = materialize(inner.withColumn(
-            "_heads", (F.col("n_children") == 1) & F.col("parent").isNotNull() & coin))
+        inner = materialize(live.filter(~leaf).join(given.hint("merge"), "id").select(
+            "id", "parent", *[(F.col(a) + F.coalesce(f"g{a}", zero)).alias(a) for a in acc], *edge,
+            F.col("_left").alias("n_children"), "_child",
+            ((F.col("_left") == 1) & F.col("parent").isNotNull() & coin).alias("_heads")))
         heads = inner.filter("_heads")
         # A node whose parent is picked too waits: the parent knows its only child.
-        picked = heads.join(heads.select(F.col("_child").alias("id")), "id", "left_anti").select(
-            F.col("id").alias("_gone"), F.col("_child").alias("id"), F.col("parent").alias("_above"),
-            *[F.col(c).alias(f"u{c}") for c in (*acc, *edge)])
-        picked = materialize(picked)
-        rest = inner.join(picked.select(F.col("_gone").alias("id")), "id", "left_anti").join(picked, "id", "left")
+        picked = heads.join(heads.select(F.col("_child").alias("id")).hint("merge"), "id", "left_anti")
+        # Word to the picked node itself (it goes) and to its child (it takes over).
+        word = picked.select(
+            F.explode(F.array(F.col("id"), F.col("_child"))).alias("id"), F.col("id").alias("_gone"),
+            F.col("parent").alias("_above"), *[F.col(c).alias(f"u{c}") for c in (*acc, *edge)])
         over = F.col("_gone").isNotNull()
-        live = rest.select(
+        after = materialize(inner.join(word.hint("merge"), "id", "left").filter(~over | (F.col("_gone") != F.col("id"))).select(
             "id", F.when(over, F.col("_above")).otherwise(F.col("parent")).alias("parent"), *acc,
             *[F.when(over, F.col(e) + F.col(f"u{a}") + F.col(f"u{e}")).otherwise(F.col(e)).alias(e)
-              for a, e in zip(acc, edge)], "n_children")
-        # Total of a spliced node: its child's, what the child's edge held, and its own.
-        noted = picked.join(inner.select("id", *edge), "id").select(
-            F.col("_gone"), "id", *[(F.col(e) + F.col(f"u{a}")).alias(a) for a, e in zip(acc, edge)])
-        rounds.append((raked, materialize(noted)))
-    totals = None
-    for raked, noted in reversed(rounds):
-        if totals is None:
+              for a, e in zip(acc, edge)], "n_children", "_gone",
+            *[(F.col(e) + F.col(f"u{a}")).alias(t) for a, e, t in zip(acc, edge, note)]))
+        rounds.append((live.filter(leaf).select("id", *acc), after.filter(over).select("_gone", "id", *note)))
+        live = after.drop("_gone", *note)
+    totals = first.select("id", *acc)  # of an empty tree
+    for i, (raked, noted) in enumerate(reversed(rounds)):
+        if i == 0:  # the root alone
             totals = raked
             continue
-        known = totals.select("id", *[F.col(a).alias(f"t{a}") for a in acc])
-        undone = noted.join(known, "id").select(
-            F.col("_gone").alias("id"), *[(F.col(a) + F.col(f"t{a}")).alias(a) for a in acc])
+        undone = noted.join(totals.hint("merge"), "id").select(
+            F.col("_gone").alias("id"), *[(F.col(a) + F.col(t)).alias(a) for a, t in zip(acc, note)])
         totals = materialize(totals.unionByName(undone).unionByName(raked))
-    if totals is None:  # an empty tree
-        totals = live.select("id", *acc)
-    return totals.join(counts, "id").select("id", "n_children", *[F.col(a).alias(v) for a, v in zip(acc, sums)])
+    return (totals.join(first.select("id", "n_children").hint("merge"), "id")
+            .select("id", "n_children", *[F.col(a).alias(v) for a, v in zip(acc, sums)]))
 
 
 def prefix_trie(conversations: DataFrame, first: Column | None = None, group: int = 100) -> DataFrame:
@@ -251,13 +248,9 @@ def prefix_trie(conversations: DataFrame, first: Column | None = None, group: in
     else:
         ids, turns = spliced_turns(turns, first, group)
     nodes = materialize(trie_nodes(ids, turns))
-    name = F.struct("conv_id", "depth")
-    above = F.when(F.col("depth") > 0, F.struct(F.col("parent_conv_id").alias("conv_id"),
-                                                (F.col("depth") - 1).alias("depth")))
-    tree = materialize(nodes.select(name.alias("id"), above.alias("parent"),
-                                    ((F.col("n_convs") - 1) * F.col("points")).alias("saved_tokens")))
+    tree = nodes.select("id", "parent", ((F.col("n_convs") - 1) * F.col("points")).alias("saved_tokens"))
     totals = subtree_totals(tree, ["saved_tokens"])
-    return (nodes.withColumn("id", name).join(totals, "id")
+    return (nodes.join(totals.hint("merge"), "id")
             .select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
                     "ends_sha256"))
 
