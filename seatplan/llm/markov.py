@@ -36,6 +36,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -154,29 +155,26 @@ def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
                       class_counts, class_words, n, v)
 
 
-class _Numbers(dict):
-    """Numbers of frequent words; any other word has that of its class."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(word) > LONG_WORD and (k := _key(word)) in self:
-            return self[k]
-        return len(self) + _class(word)
-
-
 def _encode(words: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = _Numbers({w: i for i, w in enumerate(words)})
+        numbers = {w: i for i, w in enumerate(words)}
         n = len(numbers)
         for batch in batches:
             ids, sizes, rare, times = [], [], [], []
             for text in batch.column(0):
                 tokens = (text.as_py() or b"").lower().split()
-                seq = np.fromiter(map(numbers.__getitem__, tokens), np.uint16, len(tokens))
-                found = Counter(tokens[i] for i in np.flatnonzero(seq >= n).tolist())
+                seq = np.fromiter(map(numbers.get, tokens, repeat(n)), np.uint16, len(tokens))
+                at = np.flatnonzero(seq == n)
+                others = [tokens[i] for i in at.tolist()]
+                found = Counter(others)
+                # A long word may be frequent under its digest.
+                number = {w: numbers.get(_key(w), n + _class(w)) if len(w) > LONG_WORD else n + _class(w) for w in found}
+                seq[at] = np.fromiter(map(number.__getitem__, others), np.uint16, len(others))
                 ids.append(np.append(seq, np.uint16(0)).astype("<u2").tobytes())
-                sizes.append(len(found))
-                rare.extend(map(_key, found))
-                times.extend(found.values())
+                kept = [w for w in found if number[w] >= n]
+                sizes.append(len(kept))
+                rare.extend(_key(w) if len(w) > LONG_WORD else w for w in kept)
+                times.extend(map(found.__getitem__, kept))
             ends = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
             yield pa.record_batch({
                 "doc_id": batch.column(1), "held_out": batch.column(2), "ids": pa.array(ids, pa.binary()),
