@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seatplan.plans.lineage import materialize, written
+from seatplan.plans.numbering import fresh_name, keyed_rows
 
 WHITE = r"[\x20\x09-\x0D]+"
 #: Chunk sizes in characters; a chunk ends at the first sentence mark past the minimum.
@@ -40,10 +41,10 @@ def chunks_of(norm, min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK):
     return F.regexp_extract_all(norm, F.lit(cut), F.lit(0))
 
 
-def _recipes(docs: DataFrame, min_chunk: int, max_chunk: int) -> DataFrame:
+def _recipes(keyed: DataFrame, min_chunk: int, max_chunk: int) -> DataFrame:
     """One written row per document: keys, digest, chunks and unverified identifiers."""
-    norm = docs.select(
-        F.monotonically_increasing_id().alias("_row"),
+    norm = keyed.select(
+        "_row",
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.length("text"), F.lit(0)).alias("_points"),
         normalised(F.col("text")).alias("_norm"))
@@ -89,7 +90,14 @@ def exact_groups(docs: DataFrame, min_chunk: int = MIN_CHUNK, max_chunk: int = M
     Of equal texts the row with the most code points in the original text
     stays, then the smallest ``doc_id``; ``keep_id`` is that row's id.
     """
-    recipes = _recipes(docs, min_chunk, max_chunk)
+    # One read of the table, whose result is written with its numbers.
+    number = F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("at"))
+    return _groups(docs.select("doc_id", "text", number.alias("_row")), min_chunk, max_chunk).drop("_row")
+
+
+def _groups(keyed: DataFrame, min_chunk: int, max_chunk: int) -> DataFrame:
+    """:func:`exact_groups` of rows with a key ``_row``, which is returned too."""
+    recipes = _recipes(keyed, min_chunk, max_chunk)
     collided = materialize(_collided_ids(recipes))
     rows = recipes.select("_row", "doc_id", "_points", "text_sha256", "_recipe")
     if collided.isEmpty():
@@ -99,25 +107,22 @@ def exact_groups(docs: DataFrame, min_chunk: int = MIN_CHUNK, max_chunk: int = M
         verified = rows.join(_fixes(recipes, collided), "_row", "left").select(
             "_row", "doc_id", "_points", "text_sha256",
             F.when(F.col("_fix").isNull(), F.array("_recipe")).otherwise(F.array(F.col("_recipe"), flat)).alias("_ids"))
-    best = F.max(F.struct(F.col("_points"), (-F.col("doc_id")).alias("_neg"), (-F.col("_row")).alias("_neg_row")))
+    best = F.min(F.struct((-F.col("_points")).alias("_few"), F.col("doc_id").isNull().alias("_none"), "doc_id", "_row"))
     groups = (verified.groupBy("_ids").agg(F.count(F.lit(1)).alias("group_size"), best.alias("_best"))
               .filter("group_size > 1"))
     # Checkpointed, so that the join deals out both sides itself and can split a hot group.
     groups = materialize(groups)
     return (verified.join(groups, "_ids", "left")
             .select("doc_id",
-                    F.when(F.col("_best").isNull(), F.col("doc_id")).otherwise(-F.col("_best._neg")).alias("keep_id"),
+                    F.when(F.col("_best").isNull(), F.col("doc_id")).otherwise(F.col("_best.doc_id")).alias("keep_id"),
                     F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-                    (F.col("_best").isNull() | (F.col("_row") == -F.col("_best._neg_row"))).alias("kept"),
+                    (F.col("_best").isNull() | (F.col("_row") == F.col("_best._row"))).alias("kept"),
                     "text_sha256", "_row"))
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns, in any order.
-
-    ``docs`` must read the same rows in the same order each time (a table, a
-    checkpoint): its rows are numbered by partition and position.
-    """
-    stay = exact_groups(docs).filter("kept").select("_row")
-    return (docs.withColumn("_row", F.monotonically_increasing_id())
-            .join(stay, "_row", "left_semi").drop("_row"))
+    """The rows of ``docs`` that stay, with all their columns, in any order."""
+    key = fresh_name(docs, "_row")
+    keyed = keyed_rows(docs, key)
+    stay = _groups(keyed.select("doc_id", "text", F.col(key).alias("_row")), MIN_CHUNK, MAX_CHUNK).filter("kept")
+    return keyed.join(stay.select(F.col("_row").alias(key)), key, "left_semi").drop(key)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seatplan.plans.lineage import materialize
+from seatplan.plans.numbering import fresh_name, keyed_rows
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 8192
@@ -42,9 +43,14 @@ def measured(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     quality 0 weighs 0.5, no label 1; of several labels of an id the highest
     counts.
     """
+    # One read of the table, checkpointed with its numbers.
+    number = F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("at"))
+    return _measured(docs.select("doc_id", "text", "source", number.alias("_row")), labels)
+
+
+def _measured(keyed: DataFrame, labels: DataFrame | None) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-                         "source", size.alias("size"))
+    narrow = keyed.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"))
     if labels is None:
         return materialize(narrow.withColumn("weight", F.lit(1.0)))
     best = labels.groupBy(F.col("doc_id").alias("_labelled")).agg(F.max("quality").alias("_label"))
@@ -146,11 +152,10 @@ def _small(per_source: DataFrame) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, labels: DataFrame | None = None, seed: str = "mix") -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, with the columns of ``docs``.
-
-    ``docs`` must read the same rows in the same order each time (a table, a
-    checkpoint): its rows are numbered by partition and position.
-    """
-    taken = (mix_sources(measured(docs, labels), seed).filter("copies > 0")
-             .select(F.col("row").alias("_row"), F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(taken, "_row").drop("_row", "_copy")
+    """The mix itself: every row of ``docs`` as often as it is taken, with the columns of ``docs``."""
+    key, copy = fresh_name(docs, "_row"), fresh_name(docs, "_copy")
+    keyed = keyed_rows(docs, key)
+    rows = _measured(keyed.select("doc_id", "text", "source", F.col(key).alias("_row")), labels)
+    taken = (mix_sources(rows, seed).filter("copies > 0")
+             .select(F.col("row").alias(key), F.explode(F.sequence(F.lit(1), "copies")).alias(copy)))
+    return keyed.join(taken, key).drop(key, copy)

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatplan.plans.lineage import materialize
+from seatplan.plans.numbering import fresh_name, keyed_rows
 
 SEED = 42
 SEGMENTS = 8
@@ -75,12 +76,11 @@ def _fingerprints(width: int):
     return run
 
 
-def row_fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """(row, doc_id, fp) of every row of ``docs``: its number by partition and
-    position, its id, its fingerprint as a signed long."""
-    rows = docs.select(F.col("text").cast("string").cast("binary").alias("text"),
-                       F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.mapInArrow(_fingerprints(width), "row long, doc_id long, fp long")
+def row_fingerprints(keyed: DataFrame, width: int) -> DataFrame:
+    """(row, doc_id, fp) of every row: its key ``_row``, its id, its fingerprint as a signed long."""
+    rows = keyed.select(F.col("text").cast("string").cast("binary").alias("text"),
+                        F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    return rows.mapInArrow(_fingerprints(width), "row struct<file string, at long>, doc_id long, fp long")
 
 
 def _ring(segments: int, t: int) -> tuple[list[int], list[list[tuple[int, int]]]]:
@@ -273,7 +273,13 @@ def near_groups(docs: DataFrame, width: int, max_bits: int, segments: int = SEGM
     ``component_id`` is the smallest doc_id that links reach, itself included;
     ``stays`` marks one row of each component, of the smallest doc_id.
     """
-    rows = materialize(row_fingerprints(docs, width))
+    # One read of the table, checkpointed with its numbers.
+    number = F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("at"))
+    return _groups(docs.select("doc_id", "text", number.alias("_row")), width, max_bits, segments, bucket_rows)
+
+
+def _groups(keyed: DataFrame, width: int, max_bits: int, segments: int, bucket_rows: int) -> DataFrame:
+    rows = materialize(row_fingerprints(keyed, width))
     edges = links(rows.select("fp").distinct(), max_bits, segments, bucket_rows)
     roots = components(edges)
     placed = (rows.join(roots, rows["fp"] == roots["node"], "left")
@@ -288,11 +294,9 @@ def near_groups(docs: DataFrame, width: int, max_bits: int, segments: int = SEGM
 
 
 def keep_one_each(docs: DataFrame, width: int, max_bits: int) -> DataFrame:
-    """The rows of ``docs``, all columns, of which one stays for each component.
-
-    ``docs`` must read the same rows in the same order each time (a table, a
-    checkpoint): its rows are numbered by partition and position.
-    """
-    stay = near_groups(docs, width, max_bits).filter("stays").select(F.col("row").alias("_row"))
-    return (docs.withColumn("_row", F.monotonically_increasing_id())
-            .join(stay, "_row", "left_semi").drop("_row"))
+    """The rows of ``docs``, all columns, of which one stays for each component."""
+    key = fresh_name(docs, "_row")
+    keyed = keyed_rows(docs, key)
+    groups = _groups(keyed.select("doc_id", "text", F.col(key).alias("_row")), width, max_bits, SEGMENTS, BUCKET_ROWS)
+    stay = groups.filter("stays").select(F.col("row").alias(key))
+    return keyed.join(stay, key, "left_semi").drop(key)
