@@ -24,7 +24,7 @@ alone: where a group of one core goes on beyond it, all places that its
 neighbours there could add are taken as starts, which costs suffixes but no
 exactness.  Matches never cross documents; both occurrences may be in one.
 
-Equality of cells is by a 64-bit hash within equal 64-bit cores; all other
+Equality of cells is by a 128-bit hash within equal 64-bit cores; all other
 decisions compare the bytes.
 
 Defined results: a null text is empty (0 bytes, nothing removed); texts below
@@ -54,6 +54,8 @@ LENGTH = 400
 #: Parts of a class of equal cells in the join that marks them.
 SALTS = 16
 _SEGMENT = 1 << 20  # bytes handled at once
+#: A cell: hashes of its core and of the whole (two halves), anchor, first window, past the last window.
+_CELL = ("core", "cell", "half", "p", "s", "e")
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -122,10 +124,10 @@ def _cells_of(length: int):
     segment = _SEGMENT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash64 = xxhash.xxh3_64_intdigest
+        hash64, hash128 = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_intdigest
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column(0)]
-            found: list[list[list]] = [[[] for _ in texts] for _ in range(5)]
+            found: list[list[list]] = [[[] for _ in texts] for _ in range(6)]
             for group in _pieces(texts, length, segment):
                 raw = b"".join([p for _, _, p in group])
                 sizes = np.array([len(p) for _, _, p in group])
@@ -136,17 +138,17 @@ def _cells_of(length: int):
                 which = owner[cells[1]] if len(cells[1]) else owner[:0]
                 for g, p, s, e in zip(which.tolist(), *(c.tolist() for c in cells)):
                     i, move = group[g][0], int(shift[g])
+                    cell = hash128(raw[s:e - 1 + length], seed=p - s)
                     for column, v in zip(found, (
-                            hash64(raw[p:p + core]), hash64(raw[s:e - 1 + length], seed=p - s),
-                            p + move, s + move, e + move)):
+                            hash64(raw[p:p + core]), cell >> 64, cell & (1 << 64) - 1, p + move, s + move, e + move)):
                         column[i].append(v)
             n = np.array([len(x) for x in found[0]])
             offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
             lists = []
             for j, column in enumerate(found):
-                flat = np.array([v for x in column for v in x], np.uint64 if j < 2 else np.int64).view(np.int64)
+                flat = np.array([v for x in column for v in x], np.uint64 if j < 3 else np.int64).view(np.int64)
                 lists.append(pa.ListArray.from_arrays(offsets, pa.array(flat)))
-            yield pa.record_batch({"row": batch.column(1), **dict(zip(("core", "cell", "p", "s", "e"), lists))})
+            yield pa.record_batch({"row": batch.column(1), **dict(zip(_CELL, lists))})
 
     return run
 
@@ -255,72 +257,69 @@ def _covered(length: int):
     return read
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(row, a, b): stretches of the texts' UTF-8 bytes that a repeated string
+def numbered_texts(docs: DataFrame) -> DataFrame:
+    """(text, row, doc_id), written: UTF-8 bytes of every text (null: empty) and a number of its row."""
+    return written(docs.select(
+        F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"),
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id")), "numbered-texts")
+
+
+def repeated_bytes(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(row, a, b) of :func:`numbered_texts`: stretches of the bytes that a repeated string
     of ``length`` bytes covers; stretches may overlap, their union is all."""
-    row = F.monotonically_increasing_id().alias("row")
-    raw = F.col("text").cast("string").cast("binary").alias("text")
-    lists = ", ".join(f"{c} array<long>" for c in ("core", "cell", "p", "s", "e"))
-    cells = written(docs.select(raw, row).mapInArrow(_cells_of(length), f"row long, {lists}"), "cells")
-    each = (cells.select("row", F.explode(F.arrays_zip("core", "cell", "p", "s", "e")).alias("c"))
-            .select("row", "c.*"))
+    lists = ", ".join(f"{c} array<long>" for c in _CELL)
+    cells = written(texts.select("text", "row").mapInArrow(_cells_of(length), f"row long, {lists}"), "cells")
+    each = cells.select("row", F.explode(F.arrays_zip(*_CELL)).alias("c")).select("row", "c.*")
     # Checkpointed, so that the join deals out both sides itself and can split a hot core.
     repeated = materialize(each.groupBy("core").agg(F.count(F.lit(1)).alias("n"))
                            .filter("n > 1").select("core"))
     alike = written(each.join(repeated, "core"), "cells-alike")
-    classes = materialize(alike.groupBy("core", "cell").agg(
+    classes = materialize(alike.groupBy("core", "cell", "half").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "p", "s", "e")).alias("one")))
     # One class may hold a large part of all cells: its rows are salted, its one class row repeated.
     salted = alike.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
     repeats = classes.filter("n > 1").select(
-        "core", "cell", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    whole = (salted.join(repeats, ["core", "cell", "salt"])
+        "core", "cell", "half", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    whole = (salted.join(repeats, ["core", "cell", "half", "salt"])
              .select("row", F.col("s").alias("a"), (F.col("e") - 1 + length).alias("b")))
     mixed = classes.groupBy("core").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("core")
     wanted = (classes.join(mixed, "core").select("core", "one.*").groupBy("row")
               .agg(F.collect_list(F.struct("core", "p", "s", "e")).alias("cells")))
-    texts = docs.select(raw, row).mapInArrow(_packed, "text binary, row long")
-    strings = written(texts.join(wanted, "row").select("text", "row", "cells").mapInArrow(
+    packed = texts.select("text", "row").mapInArrow(_packed, "text binary, row long")
+    strings = written(packed.join(wanted, "row").select("text", "row", "cells").mapInArrow(
         _cell_strings(length), "key binary, row long, at long, rest binary"), "cell-strings")
     suffixes = written(sorted_ranges(strings, _starts, _STRING), "suffixes")
     covered = sorted_ranges(suffixes, _covered(length), _COVER)
     return whole.union(covered)
 
 
-def _cut(whole: bool):
-    """(text, doc_id, [(a, b)]) to the figures of each text, with what is left of it if ``whole``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for text, spans in zip(_unpack(batch.column(0)), batch.column(2).to_pylist()):
-                kept, removed, n, at, stop = [], 0, 0, 0, -1
-                for x in sorted(spans or [], key=lambda x: x["a"]):
-                    if x["a"] > stop:  # a new run: bytes up to it stay
-                        kept.append(text[at:x["a"]])
-                        n, stop = n + 1, x["a"]
-                    if x["b"] > stop:
-                        removed, stop = removed + x["b"] - stop, x["b"]
-                    at = stop
-                kept.append(text[at:])
-                left = b"".join(kept)
-                for column, v in zip(out, (len(text), removed, n, hashlib.sha256(left).hexdigest(), left)):
-                    column.append(v)
-            columns = {"doc_id": batch.column(1)} | {k: pa.array(v, t) for k, v, t in zip(
-                ("n_bytes", "n_removed", "n_spans", "kept_sha256"), out,
-                (pa.int64(), pa.int64(), pa.int64(), pa.string()))}
-            yield pa.record_batch(columns | ({"kept": pa.array(out[4], pa.binary())} if whole else {}))
-    return run
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, whole: bool = True) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256
-    and, if ``whole``, kept (the remaining bytes)."""
-    spans = (repeated_bytes(docs, length).groupBy("row")
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, doc_id, [(a, b)]) to the figures of each text and what is left of it."""
+    for batch in batches:
+        out: list[list] = [[], [], [], [], []]
+        for text, spans in zip(_unpack(batch.column(0)), batch.column(2).to_pylist()):
+            kept, removed, n, at, stop = [], 0, 0, 0, -1
+            for x in sorted(spans or [], key=lambda x: x["a"]):
+                if x["a"] > stop:  # a new run: bytes up to it stay
+                    kept.append(text[at:x["a"]])
+                    n, stop = n + 1, x["a"]
+                if x["b"] > stop:
+                    removed, stop = removed + x["b"] - stop, x["b"]
+                at = stop
+            kept.append(text[at:])
+            left = b"".join(kept)
+            for column, v in zip(out, (len(text), removed, n, hashlib.sha256(left).hexdigest(), left)):
+                column.append(v)
+        yield pa.record_batch({"doc_id": batch.column(1)} | {k: pa.array(v, t) for k, v, t in zip(
+            ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"), out,
+            (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))})
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes)."""
+    texts = numbered_texts(docs)
+    spans = (repeated_bytes(texts, length).groupBy("row")
              .agg(F.collect_list(F.struct("a", "b")).alias("spans")))
-    texts = docs.select(
-        F.col("text").cast("string").cast("binary").alias("text"),
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id")
-    ).mapInArrow(_packed, "text binary, row long, doc_id long")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return (texts.join(spans, "row", "left").select("text", "doc_id", "spans")
-            .mapInArrow(_cut(whole), schema + (", kept binary" if whole else "")))
+    packed = texts.mapInArrow(_packed, "text binary, row long, doc_id long")
+    return (packed.join(spans, "row", "left").select("text", "doc_id", "spans")
+            .mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
