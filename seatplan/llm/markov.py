@@ -45,7 +45,9 @@ from pyspark.sql import functions as F
 
 from seatplan.plans.lineage import written
 
-STATES, ROUNDS = 12, 5
+STATES, ROUNDS = 12, 8
+#: Training ends when a round has raised the log likelihood per token (natural) by less.
+LEAST_GAIN = 0.01
 FREQUENT, CLASSES = 32_000, 1024
 #: Added to every count, as in the base score.
 ADDED = 0.1
@@ -295,7 +297,8 @@ def _baum_welch(model: Model):
 
 
 def trained(texts: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
-    """Baum-Welch over the training rows of :func:`encoded`; also the log likelihood per token before each round."""
+    """Baum-Welch over the training rows of :func:`encoded`, up to ``rounds`` rounds
+    or until they gain little; also the log likelihood per token before each round."""
     learning = texts.filter(~F.col("held_out"))
     # About four times as many by hash, so that no task has to order a share of the table.
     one_in = max(1, int(vocab.counts[0]) // (4 * START_TEXTS))
@@ -322,6 +325,8 @@ def trained(texts: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: i
             else:
                 seen.append(float(values[i][0] / values[i][1]))
         model = Model(started / started.sum(), moved / moved.sum(1, keepdims=True), emitted / emitted.sum(0))
+        if len(seen) > 1 and seen[-1] - seen[-2] < LEAST_GAIN:
+            break
     return model, seen
 
 

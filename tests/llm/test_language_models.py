@@ -103,7 +103,7 @@ def test_scores(docs, monkeypatch):
     vocab = markov.vocabulary(counts, 50)
     assert len(vocab.words) <= 51 and vocab.words[0] == b"" and (vocab.n, vocab.v) == (n, v)
     numbers = markov.encoded(rows, vocab)
-    model, seen = markov.trained(numbers, vocab, 3, 5)
+    model, seen = markov.trained(numbers, vocab, 3, markov.ROUNDS)
     assert all(b >= a - 1e-6 for a, b in zip(seen, seen[1:]))
     assert np.allclose(model.emit.sum(0), 1) and np.allclose(model.move.sum(1), 1)
     often = {w: i for i, w in enumerate(vocab.words)}
