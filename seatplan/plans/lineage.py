@@ -42,9 +42,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (never a local one): survives executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Reliable checkpoint (never a local one): survives executor loss.
+
+    A checkpoint keeps the size that Spark estimated for its plan.  A join's is
+    the product of its sides', so over the rounds of a loop it becomes a number
+    of millions of digits, and planning takes longer than running.  An estimate
+    beyond 64 bits is dropped (with the partitioning, which such a checkpoint forgets).
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    kept = df.checkpoint(eager=True)
+    plan = kept._jdf.queryExecution()
+    if int(plan.optimizedPlan().stats().sizeInBytes()).bit_length() <= 64:
+        return kept
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), kept._jdf.schema(), False), spark)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
