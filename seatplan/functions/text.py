@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from seatplan.functions.collation import blind_fold, collation_fold, letterwise
 from seatplan.functions.dates import strtotime
 
 # Fixed values the results depend on.
@@ -108,53 +108,21 @@ def like_text(term: str) -> str:
     return re.sub(IDLE_ESCAPE, lambda m: (m[1] or "") + (m[2] or ""), f"%{term}%", flags=re.S)
 
 
-def _marks() -> tuple[str, str]:
-    """Accented Latin letters (lower case) and their base letters, then the combining marks."""
-    pairs = {}
-    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
-        base = unicodedata.normalize("NFKD", c.lower())[0]
-        if base.isascii() and base.isalpha():
-            pairs[c.lower()[0]] = base
-    marks = "".join(map(chr, range(0x300, 0x370)))
-    return "".join(pairs) + marks, "".join(pairs.values())
-
-
-_MARKED, _BASE = _marks()
-
-
 def fold(c) -> Column:
-    """Case- and accent-blind form of Latin text; other characters are lower-cased."""
-    low = F.lower(col_(c))
-    return F.when(is_printable_ascii(c), low).otherwise(F.translate(low, _MARKED, _BASE))
-
-
-def _blind_letters() -> tuple[str, str]:
-    """Lower-case letters made of a Latin, Greek or Cyrillic base letter and accents, and their base letters."""
-    bases = {*map(chr, [*range(0x61, 0x7B), *range(0x3B1, 0x3CA), *range(0x430, 0x450)])}
-    pairs = {"\u03c2": "\u03c3"}  # final sigma
-    for c in map(chr, range(0xC0, 0x2000)):
-        base, *marks = unicodedata.normalize("NFD", c)
-        if (marks and base in bases and c.lower() == c
-                and all(0x300 <= ord(m) <= 0x333 or m == "\u0342" for m in marks)):
-            pairs[c] = base
-    return "".join(pairs), "".join(pairs.values())
-
-
-_LETTERS, _LETTER_BASE = _blind_letters()
-#: Lower-cased text of which :func:`blind_key` is known to be as blind as the collation.
-_PROVEN = f"^[\\x20-\\x7E\u03b1-\u03c9\u0430-\u044f{_LETTERS}]*$"
+    """Case- and accent-blind form of a text (:func:`collation_fold`)."""
+    return F.when(is_printable_ascii(c), F.lower(col_(c))).otherwise(collation_fold(col_(c)))
 
 
 def blind_key(c) -> Column:
-    """:func:`fold`, further folded: texts of known letters that are equal under
-    the collation have equal keys (й and и too, which the collation keeps apart)."""
-    return F.translate(fold(c), _LETTERS, _LETTER_BASE)
+    """:func:`fold`, further folded: texts that are equal under the collation, or
+    one of which holds the other, have keys that are and do."""
+    return F.when(is_printable_ascii(c), F.lower(col_(c))).otherwise(blind_fold(col_(c)))
 
 
 def has_blind_key(c) -> Column:
-    """Whether the text holds only characters for which :func:`blind_key` is at
-    least as blind as the collation (no ligatures, lone marks, other scripts)."""
-    return is_printable_ascii(c) | F.coalesce(F.lower(col_(c)).rlike(_PROVEN), F.lit(False))
+    """Whether :func:`blind_key` is known to be as blind as the collation: not for
+    scripts whose letters the collation reorders or contracts."""
+    return is_printable_ascii(c) | letterwise(col_(c))
 
 
 def ci_contains(c, term: str) -> Column:
@@ -162,9 +130,9 @@ def ci_contains(c, term: str) -> Column:
 
     A plain term is an accent- and case-blind substring test.  A term holding
     ``%``, ``_`` or a backslash keeps its wildcard meaning (the page never
-    escapes them) and is matched on folded text: case-blind, and accent-blind
-    for Latin letters.  A backslash before any other character is dropped, as
-    the database reads it.
+    escapes them) and is matched on folded text (:func:`fold`), where ``_`` is any
+    one letter with its marks.  A backslash before any other character is
+    dropped, as the database reads it.
     """
     if has_like_wildcards(term):
         return F.like(fold(c), fold(F.lit(like_text(term))))

@@ -137,8 +137,8 @@ def search_terms_batch(t: Tables, terms: DataFrame) -> DataFrame:
     A gram join: each term is looked up by the rarest of its grams (runs of up
     to three characters) among the names, and the names that hold that gram
     are tested exactly.  Grams are those of :func:`blind_key`, which is as blind
-    as the collation for Latin, Greek and Cyrillic letters.  Names with other
-    characters are tested on every term, and plain terms with such on every name.
+    as the collation for all scripts that it compares letter by letter.  Names of
+    other scripts (Thai, Indic ones) are tested on every term, and plain terms on every name.
     Names are tested once each, then venues and organizers lead to their events.
 
     Plan: the postings of the terms' grams are written once and hold keys only;

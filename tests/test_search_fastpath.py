@@ -1,14 +1,17 @@
 """The lower-case fast path agrees with the accent/case-blind collation on
 printable ASCII, and non-ASCII rows still take the collation path."""
 
+import random
 import string
+import unicodedata
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from support import SEED_AS_OF, make_tables
-from seatplan.functions.text import CI_AI, blind_key, ci_contains, has_blind_key
+from seatplan.functions import collation as K
+from seatplan.functions.text import CI_AI, blind_key, ci_contains, fold, has_blind_key
 from seatplan.operators import search as S
 
 ascii_text = st.text(alphabet=string.printable[:95], min_size=0, max_size=12)
@@ -41,7 +44,8 @@ def test_blind_key_is_as_blind_as_the_collation(spark):
 def test_batch_finds_what_the_page_finds_in_every_script(spark):
     names = ["Αθήνα Live", "ΑΘΗΝΑ", "Φεστιβάλ Θεσσαλονίκης", "Київ і Ёлка", "Елка", "Straße", "Smørrebrød", "Cafe\u0301 Noir",
              "Café", "東京ナイト", "plain hall", "Ægir", "Майский", "zero\u200bwidth", "ﬁne art", "ǅungla"]
-    terms = ["Αθηνα", "αθήνα", "θεσσαλονικησ", "елка", "ЁЛКА", "strasse", "straße", "smorre", "cafe", "café", "東京", "plain",
+    names += ["ฉันรักไทย", "مُؤتمر القاهرة", "ソウルの夜", "서울의 밤", "ʻOkina\u0301", "ﬂute & ﬁfe", "50%_off\\now"]
+    terms = ["القاهرة", "そうる", "서울", "รัก", "%Ωδ%", "αθ_να", "СТР%", "ё_ка", "ﬁ_e", "caf_ n", "%straße", "東_", "50\\%", "Αθηνα", "αθήνα", "θεσσαλονικησ", "елка", "ЁЛКА", "strasse", "straße", "smorre", "cafe", "café", "東京", "plain",
              "aegir", "æ", "майскии", "zerowidth", "fine", "džungla", "a", "none such", "ς", "%Αθ%"]
     t = make_tables(spark, customers=[(1, "Org", "1", "o@example.com", "x" * 60, "organizer")], venues=[(1, "V", "V", 5)],
                     events=[(i, 1, 1, n, SEED_AS_OF, None) for i, n in enumerate(names)])
@@ -50,3 +54,55 @@ def test_batch_finds_what_the_page_finds_in_every_script(spark):
     row = t.events.select("event_id", *[ci_contains("event_name", x).alias(f"_{i}") for i, x in enumerate(terms)]).collect()
     want = {(x, r[0]) for r in row for i, x in enumerate(terms) if r[i + 1]}
     assert got == want and {("Αθηνα", 0), ("Αθηνα", 1), ("θεσσαλονικησ", 2), ("елка", 3)} <= got
+
+
+def scripted_pairs(n):
+    """Texts of all scripts that are compared letter by letter, with terms made of parts of them."""
+    rnd = random.Random(3)
+    rare = ["é", "й", "и\u0306", "ﬁ", "ß", "ss", "ά", "α\u0301", "東", "が", "か", "ガ", "أ", "ا", "Ǽ", "æ", "한"]
+    pool = K._chars([b for b in K.BLOCKS if b not in K.PLAIN]) + rare * 60
+    strip = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c))
+    ways = [str.upper, str.lower, strip, str.casefold, lambda t: unicodedata.normalize("NFD", t), lambda t: unicodedata.normalize("NFKD", t)]
+    for _ in range(n):
+        text = "".join(rnd.choice(pool) for _ in range(rnd.randrange(1, 5)))
+        other = rnd.choice(ways)(text) if rnd.random() < .7 else "".join(rnd.choice(pool) for _ in range(2))
+        at = rnd.randrange(len(other) or 1)
+        yield text, other[at:at + rnd.randrange(1, 4)] or "a"
+
+
+def test_folds_agree_with_the_collation(spark):
+    df = spark.createDataFrame(list(scripted_pairs(6000)), "a string, b string").filter(has_blind_key("a") & has_blind_key("b"))
+    one, two = F.collate("a", CI_AI), F.collate("b", CI_AI)
+    rows = df.select((one == two).alias("equal"), one.contains(two).alias("holds"), (fold("a") == fold("b")).alias("folds"),
+                     blind_key("a").contains(blind_key("b")).alias("key_holds")).collect()
+    assert sum(r.equal for r in rows) > 500 and sum(r.holds for r in rows) > 1500
+    assert all(r.equal == r.folds for r in rows)
+    assert all(r.key_holds for r in rows if r.holds)
+
+
+def test_wildcards_in_every_script(spark):
+    names = ["Ωδείο Ηρώδου", "ΩΔΕΙΟ", "Ёлка и стул", "елка", "Майский бал", "Маискии бал", "ﬁne art", "FINE ART", "Straße 5", "STRASSE 5",
+             "cafe\u0301 noir", "Café Noir", "東京ナイト", "東京ﾅｲﾄ", "Ægir", "ΰψος"]
+    cases = {"Ωδ%ου": {0}, "ωδ__ο": {0, 1}, "ё_ка": {2, 3}, "ЕЛК_ %стул": {2}, "ма_с": {4, 5}, "майски_": {4}, "fi_e": {6, 7}, "ﬁ%A_T": {6, 7},
+             "stra__e": {8, 9}, "stra_e": set(), "caf_ n": {10, 11}, "CAFÉ%r": {10, 11}, "東_ナ": {12, 13}, "_gir": {14}, "ae_i%": {14}, "υ_ος": {15}}
+    df = spark.createDataFrame(list(enumerate(names)), "i int, v string")
+    row = df.select("i", *[ci_contains("v", t).alias(f"c{k}") for k, t in enumerate(cases)]).collect()
+    for k, (term, want) in enumerate(cases.items()):
+        assert {r.i for r in row if r[f"c{k}"]} == want, term
+
+
+def test_no_side_that_grows_is_broadcast(spark, monkeypatch):
+    """With more matches than the bound, no join broadcasts anything, however small Spark's estimate of it is."""
+    from seatplan.plans import sides
+    t = make_tables(spark, customers=[(1, "Org", "1", "o@example.com", "x" * 60, "organizer")], venues=[(1, "V", "V", 5)],
+                    events=[(i, 1, 1, f"Open day {i}", SEED_AS_OF, None) for i in range(300)])
+    terms = spark.createDataFrame([("open",), ("day 1",), ("y_2",)], "term string")
+    want = {(r.term, r.event_id) for r in S.search_terms_batch(t, terms).collect()}
+    assert len(want) == 300 + 111 + 111
+    monkeypatch.setattr(sides, "ROWS", 0)
+    hinted = []
+    monkeypatch.setattr(S, "counted_side", lambda df, real=S.counted_side: hinted.append(real(df)) or hinted[-1])
+    got = S.search_terms_batch(t, terms)
+    assert {(r.term, r.event_id) for r in got.collect()} == want
+    hints = [h._jdf.queryExecution().analyzed().toString() for h in hinted]
+    assert hints and not any("broadcast" in h.lower() for h in hints)

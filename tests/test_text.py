@@ -1,9 +1,13 @@
 import datetime as dt
 from decimal import Decimal
 
+from pyspark.sql import functions as F
 
 from seatplan.functions import text as X
+from seatplan.functions.dates import strtotime
+from seatplan.operators import validate as V
 from seatplan.operators.reports import fill_rate_expr
+from seatplan.sources import schemas
 
 
 def one(spark, expr, value, schema="v string"):
@@ -66,3 +70,49 @@ def test_parse_datetime(spark):
                                 ("",)], "v string")
     got = [r["o"] for r in df.select(X.parse_datetime_text("v").alias("o")).collect()]
     assert got[:2] == [dt.datetime(2026, 5, 10, 10, 0)] * 2 and got[2:] == [None, None]
+
+
+NOW = dt.datetime(2026, 4, 22, 13, 30, 15)  # a Wednesday
+MOMENTS = {
+    "2026-05-10": (2026, 5, 10), "2026-05-10T10:00": (2026, 5, 10, 10), "2026-05-10 10:00:30": (2026, 5, 10, 10, 0, 30),
+    "2026/5/9 2:05 pm": (2026, 5, 9, 14, 5), "20260510": (2026, 5, 10), "5/10/2026": (2026, 5, 10), "10-5-2026": (2026, 5, 10),
+    "10.05.2026 23:59": (2026, 5, 10, 23, 59), "10 May 2026": (2026, 5, 10), "May 10, 2026": (2026, 5, 10),
+    "May 10th, 2026 2pm": (2026, 5, 10, 14), "2pm May 10 2026": (2026, 5, 10, 14), "10-May-2026": (2026, 5, 10), "10 may": (2026, 5, 10),
+    "may 2026": (2026, 5, 1), "sept 3 2026": (2026, 9, 3), "30 april 2026 10:00 pm": (2026, 4, 30, 22), "today": (2026, 4, 22),
+    "tomorrow noon": (2026, 4, 23, 12), "yesterday 10:00": (2026, 4, 21, 10), "now": (2026, 4, 22, 13, 30, 15), "midnight": (2026, 4, 22),
+    "+1 week 2 days": (2026, 5, 1, 13, 30, 15), "3 weeks ago": (2026, 4, 1, 13, 30, 15), "next month": (2026, 5, 22, 13, 30, 15),
+    "last year": (2025, 4, 22, 13, 30, 15), "+90 minutes": (2026, 4, 22, 15, 0, 15), "tomorrow +2 hours": (2026, 4, 23, 2),
+    "next friday": (2026, 4, 24), "wednesday": (2026, 4, 22), "next wednesday": (2026, 4, 29), "last wednesday": (2026, 4, 15),
+    "next monday 9am": (2026, 4, 27, 9), "last mon": (2026, 4, 20), "2026-01-31 +1 month": (2026, 3, 3), "2026-02-30": (2026, 3, 2),
+    "12am": (2026, 4, 22), "12pm": (2026, 4, 22, 12), "@86400": (1970, 1, 2), "10th of May": None, "maybe 3 2026": None,
+    "2026-13-01": None, "2026-05-32": None, "25:00": None, "13pm": None, "not a date": None, "": None, "   ": None,
+    "2026-05-10 banana": None, "next next": None}
+
+
+def test_strtotime(spark):
+    df = spark.createDataFrame([(k,) for k in [*MOMENTS, None]], "v string")
+    got = {r.v: r.o for r in df.select("v", strtotime(F.col("v"), F.lit(NOW)).alias("o")).collect()}
+    assert got == {k: v and dt.datetime(*v) for k, v in MOMENTS.items()} | {None: None}
+    # Without a moment to count from, only full dates are known.
+    bare = {r.v: r.o for r in df.select("v", strtotime(F.col("v")).alias("o")).collect()}
+    assert bare["next friday"] is None and bare["10 may"] is None and bare["May 10, 2026"] == dt.datetime(2026, 5, 10)
+    assert one(spark, X.format_datetime_text("v"), "10 May 2026 2pm") == "May 10, 2026 02:00 PM"
+
+
+def test_free_form_times_pass_the_page_and_not_the_table(spark):
+    rows = [(1, "next friday"), (2, "last friday"), (3, "2026-05-01 10:00"), (4, "when it suits")]
+    drafts = spark.createDataFrame([(i, 1, 1, "Event", t, 5.0, None, None) for i, t in rows], schemas.EVENT_DRAFTS)
+    got = {r.draft_id: r.reason for r in V.validate_events(drafts, NOW).collect()}
+    assert got == {1: "TIME_REFUSED", 2: "NOT_FUTURE", 3: None, 4: "NOT_FUTURE"}
+
+
+def test_email_forms(spark):
+    ok = ['"a b"@example.com', '"q@x".y@example.com', 'a."b\\"c"@example.org', "a@[192.0.2.1]", "a@[IPv6:2001:db8::1]",
+          "a@[IPv6:1:2:3:4:5:6:7:8]", "a@[IPv6:::ffff:192.0.2.1]", "u" * 64 + "@example.com", "a@" + "l" * 63 + ".com", "a@x--y.com",
+          '"' + "u" * 64 + '"@example.com', "a@b.c"]
+    bad = ['"a@example.com', 'a"b"@example.com', '"a\\"@example.com', "a@[192.0.2.256]", "a@[192.0.2]", "a@[IPv6:1:2:3:4:5:6:7]",
+           "a@[IPv6:1::2::3]", "a@[IPv6:12345::1]", "u" * 65 + "@example.com", "a@" + "l" * 64 + ".com", "a@x-.com", "a@-x.com", "a@b.1",
+           "a@b@c.com", "é@example.com", "a@[192.0.2.1", "@example.com", "a@", "a@" + ".".join(["l" * 60] * 5) + ".com", None]
+    df = spark.createDataFrame([(e,) for e in ok + bad], "v string")
+    got = {r["v"]: r["o"] for r in df.select("v", X.email_is_valid("v").alias("o")).collect()}
+    assert [e for e in ok if not got[e]] == [] and [e for e in bad if got[e]] == []
