@@ -8,12 +8,20 @@ row merge in the same round where the order cannot matter (no pair that the
 new token can form ranks before it).  Rows without a pair left are taken out,
 and the matrix is compacted to the rows and columns still in use.
 
+A piece of more than ``LONG`` bytes is cut into overlapping blocks, which are rows
+like any others, so its time grows with its length.  Two blocks are joined
+at a token that both have at the same bytes of their overlap.  That is exact:
+a sequence of tokens is the encoding of its bytes if each two neighbours are
+that of theirs (the first merge over a border of the sequence would be made in
+these two tokens alone as well), and all neighbours stand side by side in one
+block.  Blocks without a common token are encoded as one, in doubling sizes.
+
 Results equal those of the tiktoken library without special tokens: the
 pieces are those of the Unicode tables of the tiktoken library, and ranks are
 looked up by the bytes of a pair.
 
 Defined results: null and empty texts have no tokens; texts of any length are
-encoded whole (a long piece is one long row); repeated rows give repeated
+encoded whole; repeated rows give repeated
 results; an empty table gives an empty result.
 """
 
@@ -34,6 +42,8 @@ from pyspark.sql import functions as F
 CACHE_PIECES = 300_000
 #: Characters handled at once, and cells of one matrix.
 CHUNK, CELLS = 1_000_000, 2_000_000
+#: Bytes of a piece that is cut, of a block's own part, of its overlap with the next (at most the own part).
+LONG, BLOCK, OVERLAP = 512, 128, 64
 _NONE = np.int64(1) << 40  # a rank above all
 
 
@@ -83,6 +93,7 @@ class Encoder:
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, r in ranks.items():
             self.tokens[r] = token
+        self.sizes = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
         self.names = [str(i) for i in range(len(self.tokens))]
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         pairs = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t))
@@ -98,7 +109,46 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
 
     def merge(self, rows: list[bytes]) -> list[np.ndarray]:
-        """Token ids of each piece; pieces of like length share a padded matrix."""
+        """Token ids of each piece; long pieces as blocks that are joined afterwards."""
+        cuts = [[(at, min(len(r), at + BLOCK + OVERLAP)) for at in range(0, len(r) - OVERLAP, BLOCK)]
+                if len(r) > LONG else [(0, len(r))] for r in rows]
+        blocks = iter(self._merge_rows([r[a:b] for r, c in zip(rows, cuts) for a, b in c]))
+        found = [[next(blocks) for _ in c] for c in cuts]
+        return [ids[0] if len(c) == 1 else self._joined(r, c, ids) for r, c, ids in zip(rows, cuts, found)]
+
+    def _places(self, ids: np.ndarray, start: int) -> np.ndarray:
+        """Where each token starts, and after the last one where it ends."""
+        return start + np.concatenate(([0], np.cumsum(self.sizes[ids])))
+
+    def _joined(self, row: bytes, cuts: list[tuple[int, int]], found: list[np.ndarray]) -> np.ndarray:
+        """One encoding from those of overlapping blocks (start, stop)."""
+        done: list[tuple[int, int, np.ndarray, int]] = []  # start, stop, ids, the first token that counts
+        ends: list[int] = []                               # of all but the last: the token that is the next block's
+        ahead = list(zip(cuts, found))[::-1]
+        while ahead:
+            (start, stop), ids = ahead.pop()
+            if not done:
+                done.append((start, stop, ids, 0))
+                continue
+            left_start, left_stop, left, _ = done[-1]
+            a, b = self._places(left, left_start), self._places(ids, start)
+            # A token is known by its place and its length.
+            at, i, j = np.intersect1d(a[:-1] << 8 | np.diff(a), b[:-1] << 8 | np.diff(b), assume_unique=True, return_indices=True)
+            if len(at):
+                ends.append(int(i[0]))
+                done.append((start, stop, ids, int(j[0])))
+                continue
+            # As one, with as many of the blocks that follow as double its size.
+            done.pop()
+            if ends:
+                ends.pop()
+            while ahead and stop - left_start < 2 * (left_stop - left_start):
+                stop = ahead.pop()[0][1]
+            ahead.append(((left_start, stop), self._merge_rows([row[left_start:stop]])[0]))
+        return np.concatenate([ids[first:end] for (_, _, ids, first), end in zip(done, [*ends, None])])
+
+    def _merge_rows(self, rows: list[bytes]) -> list[np.ndarray]:
+        """Token ids of each row; rows of like length share a padded matrix."""
         out: list[np.ndarray] = [np.empty(0, np.int32)] * len(rows)
         lengths = np.fromiter(map(len, rows), np.int64, len(rows))
         order = np.argsort(lengths, kind="stable")

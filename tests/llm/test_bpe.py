@@ -43,6 +43,45 @@ def test_ids_equal_the_library(vocabulary, theirs):
         assert encoder.decode(ids) == text.encode()
 
 
+def long_pieces():
+    """Pieces without a break, of which some repeat for long and some hardly do."""
+    rnd = random.Random(9)
+    letters = lambda a, n: "".join(rnd.choice(a) for _ in range(n))
+    out = [letters("abcdefghijklmnopqrstuvwxyz", 20000), letters("ABCDEFabcdef", 9000), "a" * 30000, "abc" * 7000,
+           letters("the", 6000), letters("中文字漢語", 5000), "é" * 4000]
+    return out + [letters("etaoin", 3000) + "z" * 7000 + letters("etaoin", 3000) + "xyzzy" * 900]
+
+
+def test_long_pieces_equal_the_library(vocabulary, theirs):
+    encoder = vocabulary.encoder()
+    for text, ids in zip(long_pieces(), encoder.encode_all(long_pieces())):
+        assert ids.tolist() == theirs.encode_ordinary(text), text[:20]
+
+
+def test_blocks_are_joined_exactly(theirs, monkeypatch):
+    """Tiny blocks, so that tokens often differ at their ends."""
+    encoder = bpe.Encoder(open(PATH, "rb").read(), public_tokenizers.PATTERN)
+    for long, block, overlap in ((10, 8, 8), (30, 20, 5), (60, 40, 30)):
+        for name, v in (("LONG", long), ("BLOCK", block), ("OVERLAP", overlap)):
+            monkeypatch.setattr(bpe, name, v)
+        encoder.pieces.clear()
+        for text, ids in zip(texts(), encoder.encode_all(texts())):
+            assert ids.tolist() == theirs.encode_ordinary(text), (long, text[:50])
+
+
+def test_time_follows_the_length_of_a_piece(vocabulary):
+    """Ten times the letters take about ten times as long, not a hundred times."""
+    import time
+    rnd = random.Random(10)
+    text = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400_000))
+    encoder, took = vocabulary.encoder(), []
+    for n in (4_000, 40_000, 400_000):
+        start = time.perf_counter()
+        encoder.merge([text[:n].encode()])
+        took.append(time.perf_counter() - start)
+    assert took[2] < 40 * max(took[1], 0.05)
+
+
 def test_forgetting_pieces_changes_nothing(theirs, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_PIECES", 5)
     monkeypatch.setattr(bpe, "CHUNK", 50)
