@@ -24,9 +24,11 @@ from seatplan.plans.lineage import materialize, written
 from seatplan.plans.numbering import fresh_name, keyed_rows
 
 WHITE = r"[\x20\x09-\x0D]+"
-#: Chunk sizes in characters; a chunk ends at the first sentence mark past the minimum.
+#: Chunk sizes in characters; a chunk ends at the first sentence mark past the minimum,
+#: where there is none at the first of BREAKS (a fixed share of all characters), else at the maximum.
 MIN_CHUNK, MAX_CHUNK = 256, 2048
 SENTENCE_MARKS = "[.!?;:。！？।]"
+BREAKS = "[" + "".join(chr(c) for c in range(0x30, 0xD7A0, 37) if chr(c).isalnum()) + "]"
 #: Colliding identifiers are broadcast only up to this many rows; beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 10_000
 
@@ -37,7 +39,8 @@ def normalised(text):
 
 def chunks_of(norm, min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK):
     """Content-defined chunks of a column; their concatenation is the column."""
-    cut = f"(?s).{{{min_chunk},{max_chunk - 1}}}?{SENTENCE_MARKS}|.{{1,{max_chunk}}}"
+    some = f".{{{min_chunk},{max_chunk - 1}}}?"
+    cut = f"(?s){some}{SENTENCE_MARKS}|{some}{BREAKS}|.{{1,{max_chunk}}}"
     return F.regexp_extract_all(norm, F.lit(cut), F.lit(0))
 
 

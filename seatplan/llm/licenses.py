@@ -11,15 +11,19 @@ stretch holding 0.8 of a template's shingles has a known least Jaccard
 similarity with its window; :func:`bands_for` takes as many bands (of one row)
 as bring the chance that none is equal under ``MISS``.  A band can only be
 equal if the window holds a shingle of the template, so windows without any
-template shingle are passed over before their MinHashes are taken, and so are
-those with fewer than ``CONTAINMENT`` of the class's smallest template.  Retrieved
+template shingle are passed over before their MinHashes are taken.  Retrieved
 pairs are verified on the words themselves: at least ``CONTAINMENT`` of the
 template's distinct shingles must be in the window.  Templates of fewer than five
-words (an SPDX tag, a name with its version) must occur word for word.
+words (an SPDX tag, a name with its version) have no shingle; they go by phrase and
+must occur word for word.
+
+A match reaches from its first to its last shared shingle.  One that lies inside
+a match of another licence that shares more shingles is part of that text (a
+licence names others, and versions repeat each other) and is left out; the same
+licence beside or outside of it is found on its own.
 
 The query's own templates (:func:`known_templates`) are, per licence, notices, file
-headers and full texts.  Texts that hardly differ (GPL headers of two versions, BSD
-with two and three clauses) match together; the containment tells them apart.
+headers and full texts.
 
 Defined results: null, empty and short texts match nothing; of several windows
 of a document the one with the highest containment counts, then the first;
@@ -180,7 +184,6 @@ class Library:
 
     def __init__(self, templates: dict[str, str | list[str]]):
         self.names, self.sets, self.bands = [], [], {}
-        self.need: dict[int, int] = {}  # shingles that a match in the class holds at least
         self.phrases: dict[int, dict[int, list[int]]] = {}  # words -> hash -> templates
         known: dict[int, list[np.ndarray]] = {}
         every = [(name, t) for name, texts in templates.items() for t in ([texts] if isinstance(texts, str) else texts)]
@@ -191,15 +194,13 @@ class Library:
             if not len(start):
                 raise ValueError(f"template {name} has no words")
             width = min(WIDTH, len(start))
-            self.sets.append(_word_shingles(flat.tobytes(), start, stop, width))
+            self.sets.append(set(_word_shingles(flat.tobytes(), start, stop, width)))
             shingles = np.unique(_shingles(h, width))
             if width < WIDTH:
                 self.phrases.setdefault(width, {}).setdefault(int(shingles[0]), []).append(i)
                 continue
             c = _class_of(len(shingles))
             known.setdefault(c, []).append(shingles)
-            need = math.ceil(CONTAINMENT * len(self.sets[i]) - 1e-9)
-            self.need[c] = min(self.need.get(c, need), need)
             for band, value in enumerate(_minhash(shingles).tolist()):
                 self.bands.setdefault((c, band, value), []).append(i)
         self.classes = {c: np.unique(np.concatenate(x)) for c, x in sorted(known.items())}
@@ -217,28 +218,25 @@ def _held(shingles: np.ndarray, known: np.ndarray, filt: np.ndarray) -> np.ndarr
     return at[_among(shingles[at], known)] if len(known) else at[:0]
 
 
-def _word_shingles(flat: bytes, start: np.ndarray, stop: np.ndarray, width: int = WIDTH) -> set[tuple[bytes, ...]]:
+def _word_shingles(flat: bytes, start: np.ndarray, stop: np.ndarray, width: int = WIDTH) -> list[tuple[bytes, ...]]:
     words = [flat[a:b] for a, b in zip(start.tolist(), stop.tolist())]
-    return {tuple(words[i:i + width]) for i in range(len(words) - width + 1)}
+    return [tuple(words[i:i + width]) for i in range(len(words) - width + 1)]
 
 
 def _scan_text(library: Library, flat: np.ndarray, start, stop, shingles: np.ndarray) -> Iterator[tuple]:
-    """(template, containment, first word, words) of every verified window of one document."""
+    """(template, containment, first word, past the last, shared shingles) of every verified window of one document."""
     at = _held(shingles, library.known, library.filter)
     if not len(at):
         return
     raw, held = None, shingles[at]
     for c, known in library.classes.items():
         own_at = at[_among(held, known)]
-        if len(own_at) < library.need[c]:
+        if not len(own_at):
             continue
         step, size = 2 << c, 4 << c
         last = own_at // step
-        starts = np.unique(np.concatenate((last, np.maximum(last - 1, 0)))) * step
-        enough = np.searchsorted(own_at, starts + size) - np.searchsorted(own_at, starts) >= library.need[c]
-        for first in starts[enough].tolist():
-            window = shingles[first:first + size]
-            mins = _minhash(window).tolist()
+        for first in (np.unique(np.concatenate((last, np.maximum(last - 1, 0)))) * step).tolist():
+            mins = _minhash(shingles[first:first + size]).tolist()
             hits = {t for band, value in enumerate(mins) for t in library.bands.get((c, band, value), ())}
             if not hits:
                 continue
@@ -246,24 +244,36 @@ def _scan_text(library: Library, flat: np.ndarray, start, stop, shingles: np.nda
             end = min(first + size + WIDTH - 1, len(start))
             own = _word_shingles(raw, start[first:end], stop[first:end])
             for t in hits:
-                share = len(own & library.sets[t]) / len(library.sets[t])
-                if share >= CONTAINMENT:
-                    yield t, share, first, end - first
+                shared = [i for i, s in enumerate(own) if s in library.sets[t]]
+                n = len({own[i] for i in shared})
+                if n >= CONTAINMENT * len(library.sets[t]):
+                    yield t, n / len(library.sets[t]), first + shared[0], first + shared[-1] + WIDTH, n
 
 
 def _find_phrases(library: Library, flat: np.ndarray, start, stop, h: np.ndarray) -> Iterator[tuple]:
-    """(template, 1.0, first word, words) of every short template that occurs."""
+    """(template, 1.0, first word, past the last, 0) of every short template that occurs."""
     for width, (keys, filt) in library.phrase_keys.items():
         shingles = _shingles(h, width)
         for first in _held(shingles, keys, filt).tolist():
             words = tuple(flat[a:b].tobytes() for a, b in zip(start[first:first + width], stop[first:first + width]))
             for t in library.phrases[width][int(shingles[first])]:
                 if words in library.sets[t]:
-                    yield t, 1.0, first, width
+                    yield t, 1.0, first, first + width, 0
+
+
+def _on_their_own(found: list[tuple], names: list[str]) -> Iterator[tuple]:
+    """Matches that do not lie inside one of another licence that shares more shingles."""
+    found = sorted(set(found), key=lambda m: -m[4])
+    first, stop, shared = (np.array([m[i] for m in found], np.int64) for i in (2, 3, 4))
+    licence = np.array([names[m[0]] for m in found])
+    for m in found:
+        n = int(np.searchsorted(-shared, -m[4]))  # those that share more come first
+        if not ((first[:n] <= m[2]) & (stop[:n] >= m[3]) & (licence[:n] != names[m[0]])).any():
+            yield m
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str | list[str]] | None = None) -> DataFrame:
-    """(doc_id, license, containment, first_word, n_words) of the best window per document and license.
+    """(doc_id, license, containment, first_word, n_words) of the best match per document and license.
 
     ``templates`` maps a name to its text or texts; without it the
     :func:`known_templates` are searched.  The library is built once and sent to the tasks (it is the caller's own, bounded list).
@@ -280,11 +290,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str | list[str]] | None
                 flat = _LOWER[np.frombuffer(raw, np.uint8)]
                 start, stop, h = _words(flat)
                 best: dict[str, tuple] = {}
-                for found in (_scan_text(library, flat, start, stop, _shingles(h)),
-                              _find_phrases(library, flat, start, stop, h)):
-                    for t, share, first, n in found:
-                        name = library.names[t]
-                        best[name] = max(best.get(name, (0,)), (share, -first, n))
+                found = [*_scan_text(library, flat, start, stop, _shingles(h)),
+                         *_find_phrases(library, flat, start, stop, h)]
+                for t, share, first, end, _ in _on_their_own(found, library.names):
+                    name = library.names[t]
+                    best[name] = max(best.get(name, (0,)), (share, -first, end - first))
                 for name, (share, first, n) in best.items():
                     for column, v in zip(out, (doc, name, share, -first, n)):
                         column.append(v)

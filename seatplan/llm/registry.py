@@ -33,13 +33,26 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), byte_vocabulary())
 
 
-def finding_labels():
-    """Labels of candidates by published forms: 1 for key formats, 0 for runs of
-    digits, documentation examples, UUIDs, named hashes and versioned or dated
-    names (the latter three not behind a credential word), else null."""
-    found, before = F.col("found"), F.col("before")
-    key = (found.rlike("^AKIA[A-Z0-9]{16}$") | found.rlike("^[0-9a-f]{40}$") & before.endswith('"') & (F.col("after") == '"')
-           | found.rlike("^[0-9a-f]{18}$") & before.endswith("password="))
+# Published forms of keys.
+KEY_FORMS = {
+    "aws": "^AKIA[A-Z0-9]{16}$", "github": "^gh[pousr]_[A-Za-z0-9]{36}$", "gitlab": "^glpat-[A-Za-z0-9_-]{20}$",
+    "slack": "^xox[abprs]-[A-Za-z0-9-]{10,}$", "stripe": "^[sr]k_live_[A-Za-z0-9]{24,}$", "google": "^AIza[A-Za-z0-9_-]{35}$",
+    "npm": "^npm_[A-Za-z0-9]{36}$", "web_token": f"^{secrets.WEB_TOKEN}$"}
+
+
+def finding_labels(forms: dict[str, str] = KEY_FORMS):
+    """Labels of candidates by published forms: 1 for key formats (``forms``, quoted
+    40-digit and assigned 18-digit hexadecimal keys, passwords in URLs, lines
+    of private keys), 0 for runs of digits, documentation examples, UUIDs, named
+    hashes and versioned or dated names (the latter three not behind a
+    credential word), else null."""
+    found, before, after = F.col("found"), F.col("before"), F.col("after")
+    key = (found.rlike("^[0-9a-f]{40}$") & before.endswith('"') & (after == '"')
+           | found.rlike("^[0-9a-f]{18}$") & before.endswith("password=")
+           | before.rlike("://[A-Za-z0-9._-]*:$") & (after == "@")
+           | found.rlike("^[A-Za-z0-9+/]{48,}$") & before.rlike("PRIVATE KEY-----[^A-Za-z0-9]*$"))
+    for form in forms.values():
+        key = key | found.rlike(form)
     hashed = found.rlike("^([0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64})$") & before.rlike(
         r"(?i)(commit|revision|checksum|digest|etag|md5|sha-?[0-9]+)[^A-Za-z0-9]*$")
     name = found.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$") | found.rlike(
@@ -84,7 +97,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the corpus as flat token files (id 50256 ends a document) and counts by separator scan."""
     files = token_counts.flat_files(_table(spark, sf_dir, "documents"), byte_vocabulary(), eod=50256)
-    return token_counts.count_tokens(written(files, "token-files"), eod=50256)
+    return token_counts.named_counts(written(files, "token-files"), eod=50256)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,12 @@ DataFrame functions and Spark's own (JVM) random forest only.  A word falls
 into runs of key characters, wherever in the word they stand (JSON, URLs, lists,
 markup, text without spaces).  A candidate is a run of twelve or more with a
 digit among them, or any run of ``SHORT`` or more that directly follows a
-credential word or an assignment sign.  Its features: length, character
+credential word or an assignment sign.  A web token of three parts joined by dots
+is one run.  Its features: length, character
 transitions (how often neighbouring characters change class, and the share of
 digits, capitals and distinct characters), dictionary coverage (the share of its
-characters in letter runs that are words of the corpus), its path (a column of
+characters in letter runs that are words of the corpus: those of a share of all
+documents, candidates left aside), its path (a column of
 the caller), and what stands around it (a credential word before it, an
 assignment, quotes).  A value with other punctuation inside gives its runs.
 
@@ -32,8 +34,10 @@ from seatplan.plans.lineage import materialize
 
 KEY = r"A-Za-z0-9+/_\-"
 RUN = rf"[{KEY}]{{12,}}"
+#: A signed web token: three parts of base64, the first an object.
+WEB_TOKEN = r"eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+"
 #: Pieces of a word: what stands before a run, and the run.
-PIECE = rf"[^{KEY}]*[{KEY}]*"
+PIECE = rf"[^{KEY}]*(?:{WEB_TOKEN}|[{KEY}]*)"
 CREDENTIAL = r"(?i)(passw|pwd|secret|token|api.?key|access.?key|auth|credential|private)"
 #: Text that ends where a credential's value starts: a credential word or an assignment.
 LEAD = rf"{CREDENTIAL}[{KEY}.]*[^{KEY}]*((is|was)[^{KEY}]+)?$|[=:][^{KEY}]*$"
@@ -42,8 +46,10 @@ SHORT = 4
 #: So many characters before a candidate are looked at.
 NEAR = 100
 HARMLESS_PATH = r"(?i)(test|example|sample|doc|fixture|mock)"
-#: A word of the dictionary occurs this often in the corpus.
-DICTIONARY_COUNT = 3
+#: A word of the dictionary occurs in this share of the documents, and in two at least.
+DICTIONARY_SHARE = 1e-4
+#: What may be a key is no source of words.
+KEY_LIKE = rf"(?=[A-Za-z+/_\-]*[0-9])[{KEY}]{{12,}}"
 TRAIN_ROWS = 20_000
 FEATURES = ["length", "transitions", "digits", "capitals", "distinct", "coverage",
             "harmless_path", "credential_word", "assigned", "quoted"]
@@ -70,7 +76,7 @@ def candidates(docs: DataFrame, path) -> DataFrame:
 
     def run(i):
         piece = F.get(p, i)
-        found = F.regexp_extract(piece, rf"[{KEY}]+$", 0)
+        found = F.regexp_extract(piece, rf"({WEB_TOKEN}|[{KEY}]+)$", 0)
         gap = F.substring(piece, F.lit(1), F.length(piece) - F.length(found))
         before = F.concat(F.when(i < 3, F.col("_near")).otherwise(F.lit("")),
                           *[F.coalesce(F.get(p, i - k), F.lit("")) for k in (3, 2, 1)], gap)
@@ -98,10 +104,12 @@ def candidates(docs: DataFrame, path) -> DataFrame:
 
 
 def _dictionary(docs: DataFrame) -> DataFrame:
-    """(part): lower-case letter runs that occur often enough in all texts."""
-    runs = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[a-z]{4,30}"), F.lit(0))
+    """(part): lower-case letter runs outside of keys that enough documents hold."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), KEY_LIKE, " ")
+    runs = F.array_distinct(F.regexp_extract_all(F.lower(plain), F.lit(r"[a-z]{4,30}"), F.lit(0)))
+    least = max(2.0, DICTIONARY_SHARE * docs.count())
     return (docs.select(F.explode(runs).alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") >= DICTIONARY_COUNT).select("part"))
+            .filter(F.col("n") >= least).select("part"))
 
 
 def _coverage(found: DataFrame, docs: DataFrame) -> DataFrame:

@@ -38,35 +38,53 @@ ID = np.dtype("<u2")
 
 
 def flat_files(docs: DataFrame, vocabulary: Vocabulary, eod: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(file, block, tokens binary): the documents (text) of each partition as one flat token file."""
+    """(file, block, tokens, place, doc_ids): the documents of each partition as one flat token file.
+
+    ``tokens`` alone is the file.  Beside it stand the ids of its documents, in
+    their order from ``place`` on, which no count reads.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, file = vocabulary.encoder(), TaskContext.get().partitionId()
         if max(eod, len(encoder.tokens)) > 0xFFFF:
             raise ValueError("ids don't fit into 16 bits")
-        held, size, block = [], 0, 0
+        held, size, block, place = [], 0, 0, 0
+        names: list[int | None] = []
         end = np.array([eod], ID)
 
         def cut(last: bool):
-            nonlocal held, size, block
+            nonlocal held, size, block, place
             flat = np.concatenate(held) if held else np.empty(0, ID)
             whole = len(flat) if last else len(flat) - len(flat) % block_tokens
             pieces = [flat[i:min(i + block_tokens, whole)].tobytes() for i in range(0, whole, block_tokens)]
             held, size = [flat[whole:]], len(flat) - whole
             if pieces:
-                at = np.arange(block, block + len(pieces))
-                block += len(pieces)
+                at, others = np.arange(block, block + len(pieces)), len(pieces) - 1
                 yield pa.record_batch({"file": pa.array(np.full(len(pieces), file), pa.int64()),
-                                       "block": pa.array(at, pa.int64()), "tokens": pa.array(pieces, pa.binary())})
+                                       "block": pa.array(at, pa.int64()), "tokens": pa.array(pieces, pa.binary()),
+                                       "place": pa.array([place, *[None] * others], pa.int64()),
+                                       "doc_ids": pa.array([names, *[None] * others], pa.list_(pa.int64()))})
+                block, place = block + len(pieces), place + len(names)
+                names.clear()
 
         for batch in batches:
-            for ids in encoder.encode_all([t or "" for t in batch.column(0).to_pylist()]):
+            for ids, doc_id in zip(encoder.encode_all([t or "" for t in batch.column(0).to_pylist()]), batch.column(1).to_pylist()):
+                names.append(doc_id)
                 held += [ids.astype(ID), end]
                 size += len(ids) + 1
                 if size >= 32 * block_tokens:
                     yield from cut(False)
         yield from cut(True)
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "file long, block long, tokens binary")
+    return docs.select(F.col("text").cast("string"), F.col("doc_id").cast("long")).mapInArrow(
+        run, "file long, block long, tokens binary, place long, doc_ids array<long>")
+
+
+def named_counts(files: DataFrame, eod: int) -> DataFrame:
+    """:func:`count_tokens` of written :func:`flat_files` with the ``doc_id`` of each document."""
+    names = (files.select("file", "place", F.posexplode("doc_ids").alias("at", "doc_id"))
+             .select("file", (F.col("place") + F.col("at")).alias("doc"), "doc_id"))
+    return (count_tokens(files, eod).join(names, ["file", "doc"], "left")
+            .select("doc_id", "n_tokens", "closed", "file", "doc"))
 
 
 def _scan(eod: int):

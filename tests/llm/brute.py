@@ -39,3 +39,25 @@ def brute_components(prints, bits):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     return [find(i) for i in range(len(prints))]
+
+
+def brute_cover(texts, length):
+    seen = {}
+    for i, t in enumerate(texts):
+        for j in range(len(t) - length + 1):
+            seen.setdefault(t[j:j + length], []).append((i, j))
+    out = [bytearray(len(t)) for t in texts]
+    for places in seen.values():
+        if len(places) > 1:
+            for i, j in places:
+                out[i][j:j + length] = b"\1" * length
+    return out
+
+
+def brute_cut(texts, length):
+    rows = {}
+    for i, (t, c) in enumerate(zip(texts, brute_cover(texts, length))):
+        spans = sum(1 for k in range(len(c)) if c[k] and not (k and c[k - 1]))
+        left = bytes(b for b, x in zip(t, c) if not x)
+        rows[i] = (len(t), sum(c), spans, hashlib.sha256(left).hexdigest(), left)
+    return rows

@@ -8,13 +8,11 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from brute import brute_components, brute_groups, brute_print
+from brute import brute_components, brute_cut, brute_groups, brute_print
 from seatplan.llm import exact_dedup, simhash, suffix_dedup, suffix_merge
 
 
 # ---------------------------------------------------------------- exact
-
-
 def exact_texts():
     rnd = random.Random(1)
     base = ["A sentence. " * 40, "x" * 5000, "one two three", "", None, " \t\n", "é ü. " * 100, "a.b.c."]
@@ -54,9 +52,6 @@ def test_exact_repeated_rows_and_other_columns(spark, table):
 
 
 # ---------------------------------------------------------------- SimHash
-
-
-
 def test_fingerprints_and_components(docs):
     rnd = random.Random(2)
     words = ["w%d" % i for i in range(60)]
@@ -122,28 +117,6 @@ def test_near_dedup_of_a_hot_group(spark, table):
 
 
 # ---------------------------------------------------------------- suffixes
-def brute_cover(texts, length):
-    seen = {}
-    for i, t in enumerate(texts):
-        for j in range(len(t) - length + 1):
-            seen.setdefault(t[j:j + length], []).append((i, j))
-    out = [bytearray(len(t)) for t in texts]
-    for places in seen.values():
-        if len(places) > 1:
-            for i, j in places:
-                out[i][j:j + length] = b"\1" * length
-    return out
-
-
-def brute_cut(texts, length):
-    rows = {}
-    for i, (t, c) in enumerate(zip(texts, brute_cover(texts, length))):
-        spans = sum(1 for k in range(len(c)) if c[k] and not (k and c[k - 1]))
-        left = bytes(b for b, x in zip(t, c) if not x)
-        rows[i] = (len(t), sum(c), spans, hashlib.sha256(left).hexdigest(), left)
-    return rows
-
-
 def suffix_texts(rnd, alphabet, length):
     phrase = "".join(rnd.choice("xyz") for _ in range(length + 5))
     texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(0, 160))) for _ in range(45)]
