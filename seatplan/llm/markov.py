@@ -222,47 +222,55 @@ def first_model(sample: list[np.ndarray], shares: np.ndarray, states: int) -> Mo
 
 def _expected(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, model: Model,
               emitted: np.ndarray, moved: np.ndarray, started: np.ndarray) -> float:
-    """Adds the stretches' expected counts; returns their log likelihood.  Stretches are sorted, longest first."""
-    states, most, rows = len(model.start), int(sizes[0]), len(sizes)
-    active = np.searchsorted(-sizes, -np.arange(1, most + 1), side="right")
-    ahead = np.empty((most, rows, states))
-    scale = np.ones((most, rows))
-    total = 0.0
-    for t in range(most):
-        n = active[t]
-        a = ahead[t, :n]
+    """Adds the stretches' expected counts; returns their log likelihood.
+
+    Stretches are sorted, longest first, so that those with a token at step t are
+    the first ones; all values lie step by step, and are computed in the type of
+    the model's numbers.
+    """
+    states, most = len(model.start), int(sizes[0])
+    active = np.searchsorted(-sizes, -np.arange(1, most + 1), side="right").tolist()
+    at = np.concatenate(([0], np.cumsum(active))).tolist()
+    number = np.concatenate([flat[starts[:n] + t] for t, n in enumerate(active)])
+    seen = model.emit.take(number, axis=0)
+    ahead, scale = np.empty_like(seen), np.empty(len(seen), seen.dtype)
+    ones, back = np.ones(states, seen.dtype), np.ascontiguousarray(model.move.T)
+    for t, n in enumerate(active):
+        a = ahead[at[t]:at[t] + n]
         if t:
-            np.matmul(ahead[t - 1, :n], model.move, out=a)
+            np.matmul(ahead[at[t - 1]:at[t - 1] + n], model.move, out=a)
         else:
             a[:] = model.start
-        a *= model.emit[flat[starts[:n] + t]]
-        c = a.sum(1)
-        a /= c[:, None]
-        scale[t, :n] = c
-        total += float(np.log(c).sum())
-    behind = np.ones((rows, states))  # rows that end at a step still have 1 there
+        a *= seen[at[t]:at[t] + n]
+        c = a @ ones
+        scale[at[t]:at[t] + n] = c
+        a *= (1 / c)[:, None]
+    total = float(np.log(scale, dtype=np.float64).sum())
+    seen *= (1 / scale)[:, None]
+    behind = np.ones((len(sizes), states), seen.dtype)  # rows that end at a step still have 1 there
     for t in range(most - 1, -1, -1):
+        a = ahead[at[t]:at[t + 1]]
         if t + 1 < most:
             m = active[t + 1]
-            seen = behind[:m] * model.emit[flat[starts[:m] + t + 1]] / scale[t + 1, :m, None]
-            moved += ahead[t, :m].T @ seen
-            behind[:m] = seen @ model.move.T
-        ahead[t, :active[t]] *= behind[:active[t]]  # from here on the states' shares
-    started += ahead[0].sum(0)
-    share = np.concatenate([ahead[t, :active[t]] for t in range(most)])
-    number = np.concatenate([flat[starts[:active[t]] + t] for t in range(most)])
-    for k in range(states):
-        emitted[:, k] += np.bincount(number, share[:, k], minlength=len(emitted))
+            b = seen[at[t + 1]:at[t + 2]]
+            b *= behind[:m]
+            moved += a[:m].T @ b
+            np.matmul(b, back, out=behind[:m])
+        a *= behind[:active[t]]  # from here on the states' shares
+    started += ahead[:active[0]].sum(0)
+    order = np.argsort(number, kind="stable")
+    held, first = np.unique(number[order], return_index=True)
+    emitted[held] += np.add.reduceat(ahead.take(order, axis=0), first, axis=0)
     return total
 
 
 def _baum_welch(model: Model):
     """(ids) to the task's expected counts: per emitted number a row of its counts by state;
     number -1 - k holds moves from state k (over those to it), -1 - states the starts, -2 - states (log likelihood, tokens)."""
-    states = len(model.start)
+    states, short = len(model.start), Model(*(x.astype(np.float32) for x in (model.start, model.move, model.emit)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        emitted, moved, started = np.zeros_like(model.emit), np.zeros((states, states)), np.zeros(states)
+        emitted, moved, started = np.zeros(short.emit.shape), np.zeros((states, states)), np.zeros(states)
         likelihood, tokens = 0.0, 0
         held: list[np.ndarray] = []
 
@@ -270,8 +278,8 @@ def _baum_welch(model: Model):
             nonlocal likelihood, tokens
             held.sort(key=len, reverse=True)
             sizes = np.array([len(s) for s in held])
-            flat = np.concatenate(held).astype(np.int64)
-            likelihood += _expected(flat, np.cumsum(sizes) - sizes, sizes, model, emitted, moved, started)
+            flat = np.concatenate(held)
+            likelihood += _expected(flat, np.cumsum(sizes) - sizes, sizes, short, emitted, moved, started)
             tokens += len(flat)
             held.clear()
 
@@ -289,7 +297,7 @@ def _baum_welch(model: Model):
             last = np.zeros(states)
             last[:2] = likelihood, tokens
             number = np.concatenate((used, -1 - np.arange(states + 2)))
-            values = np.concatenate((emitted[used], moved * model.move, started[None], last[None]))
+            values = np.concatenate((emitted[used], moved * short.move, started[None], last[None]))
             yield pa.record_batch({"number": pa.array(number.astype(np.int32)),
                                    **{f"s{k}": pa.array(values[:, k]) for k in range(states)}})
 
@@ -333,13 +341,13 @@ def trained(texts: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: i
 def _forward(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, prior: np.ndarray, model: Model):
     """Scaled forward recursion of sequences side by side, longest first, each
     with its own distribution of first states: (last states, log of the scale)."""
-    now, log = prior.copy(), np.zeros(len(sizes))
+    now, log, ones = prior.copy(), np.zeros(len(sizes)), np.ones(len(model.start))
     active = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1), side="right")
     for t, n in enumerate(active.tolist()):
         a = now[:n] @ model.move if t else now[:n]
-        a = a * model.emit[flat[starts[:n] + t]]
-        c = a.sum(1)
-        now[:n] = a / c[:, None]
+        a *= model.emit.take(flat[starts[:n] + t], axis=0)
+        c = a @ ones
+        np.multiply(a, (1 / c)[:, None], out=now[:n])
         log[:n] += np.log(c)
     return now, log
 
