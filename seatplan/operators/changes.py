@@ -24,7 +24,7 @@ from seatplan.operators import validate as V
 from seatplan.operators.reports import booking_counts
 from seatplan.plans.lineage import materialize
 from seatplan.plans.numbering import row_numbers
-from seatplan.plans.skew import first_n_per_key
+from seatplan.plans.skew import first_n_per_key, joined_by_parts
 from seatplan.sources.tables import Tables
 
 # The messages raised by the booking procedures and shown by
@@ -150,26 +150,25 @@ def admit_bookings(t: Tables, requests: DataFrame, check_role: bool = True) -> D
             F.coalesce("event_id", F.lit(0)) <= 0, F.lit("INVALID_EVENT"))
     else:
         gate = F.when(F.coalesce("event_id", F.lit(0)) <= 0, F.lit("INVALID_EVENT"))
-    held = t.bookings.select("event_id", "customer_id", F.lit(True).alias("held"))
-    # Checkpointed once: three branches read it (pair minimum, candidates,
-    # final outcome).  It keeps its hash partitioning on (event_id,
-    # customer_id), so the per-pair minimum and its join-back shuffle nothing.
+    # Checkpointed once: the pairs, and the final outcomes read it.
     r = materialize(r.withColumn("_gate", gate)
-                    .withColumn("_valid", F.col("_gate").isNull() & F.col("event_time").isNotNull()
-                                & (F.col("event_time") > F.col("requested_at")))
-                    .join(held, ["event_id", "customer_id"], "left"))
-    first = (r.filter("_valid").groupBy("event_id", "customer_id")
-             .agg(F.min("request_id").alias("first_req")))
-    r = r.join(first, ["event_id", "customer_id"], "left")
-    cands = (r.filter(F.col("_valid") & F.col("held").isNull()
-                      & (F.col("request_id") == F.col("first_req")))
-             .select("event_id", "customer_id", "request_id", "capacity")
-             .join(booking_counts(t), "event_id", "left")
+                    .withColumn("_valid", F.col("_gate").isNull()
+                                & F.coalesce(F.col("event_time") > F.col("requested_at"), F.lit(False))))
+    # Repeats are collapsed first: what is judged is one row per pair, however often it was submitted.
+    pair = ["event_id", "customer_id"]
+    held = t.bookings.select(*pair, F.lit(True).alias("held"))
+    pairs = materialize(r.filter("_valid").groupBy(*pair)
+                        .agg(F.min("request_id").alias("first_req"), F.first("capacity").alias("capacity"))
+                        .join(held, pair, "left"))
+    cands = (pairs.filter(F.col("held").isNull()).withColumnRenamed("first_req", "request_id")
+             .select(*pair, "request_id", "capacity").join(booking_counts(t), "event_id", "left")
              .withColumn("slots", F.greatest(
                  F.col("capacity") - F.coalesce(F.col("booking_total"), F.lit(0)), F.lit(0))))
-    winners = first_n_per_key(cands, "event_id", "request_id", "slots", out="won").select(
-        "event_id", "customer_id", "won")
-    r = r.join(winners, ["event_id", "customer_id"], "left")
+    winners = first_n_per_key(cands, "event_id", "request_id", "slots", out="won").select(*pair, "won")
+    judged = materialize(pairs.drop("capacity").join(winners, pair, "left"))
+    # The rows get their pair's outcome by parts, so that a pair with a share of all rows fills no task.
+    r = (joined_by_parts(r.filter("_valid"), pair, "request_id", judged)
+         .unionByName(r.filter("NOT _valid"), allowMissingColumns=True))
     later = F.col("request_id") > F.col("first_req")
     outcome = (F.when(F.col("_gate").isNotNull(), F.col("_gate"))
                .when(F.col("event_time").isNull(), "MISSING")
