@@ -49,10 +49,15 @@ def q_fill_rate(spark, sf_dir):
     return R.fill_rate(tables(spark, sf_dir))
 
 
-@register("upcoming_events", with_bindings(f"""
-SELECT event_id, event_name, event_time, venue_name, organizer_name, budget FROM cat
-WHERE NOT event_time < {AS_OF_SQL}
-QUALIFY row_number() OVER (ORDER BY event_time, event_id) <= 4""", extra=CAT))
+# The four least (time, id) of the events whose venue and organizer exist, then what is shown of each.
+@register("upcoming_events", with_bindings("""
+SELECT event_id, event_name, event_time,
+       (SELECT venue_name FROM venues v WHERE v.venue_id = e.venue_id) AS venue_name,
+       (SELECT name FROM customers c WHERE c.customer_id = e.customer_id) AS organizer_name, budget
+FROM events_t e WHERE event_id IN (SELECT unnest(ids) FROM first_four)""", extra=f"""
+first_four AS (SELECT arg_min(event_id, {{'t': event_time, 'i': event_id}}, 4) AS ids FROM events_t
+               WHERE event_time - {AS_OF_SQL} >= INTERVAL 0 SECOND
+                 AND venue_id IN (SELECT venue_id FROM venues) AND customer_id IN (SELECT customer_id FROM customers))"""))
 def q_upcoming_events(spark, sf_dir):
     return R.upcoming_events(tables(spark, sf_dir), B.AS_OF, k=4)
 
@@ -112,13 +117,16 @@ def q_customer_itinerary(spark, sf_dir):
     return R.customer_itinerary(tables(spark, sf_dir))
 
 
+# A roster is the list of an event's bookings, shown to its organizer guest by guest.
 @register("attendee_roster", with_bindings("""
-SELECT organizer_id, booking_id, booking_date, event_id, event_name, event_time, attendee_id,
-       attendee_name, email, phone
-FROM held JOIN hosted USING (event_id) JOIN person USING (attendee_id)""", extra="""
-hosted AS (SELECT event_id, event_name, event_time, customer_id AS organizer_id FROM events_t),
-person AS (SELECT customer_id AS attendee_id, name AS attendee_name, email, phone FROM customers),
-held AS (SELECT booking_id, booking_date, event_id, customer_id AS attendee_id FROM bookings)"""))
+SELECT organizer_id, guest.b AS booking_id, guest.d AS booking_date, event_id, event_name, event_time,
+       guest.c AS attendee_id, by_id[guest.c].n AS attendee_name, by_id[guest.c].e AS email, by_id[guest.c].p AS phone
+FROM (SELECT customer_id AS organizer_id, event_id, event_name, event_time, unnest(guests) AS guest FROM events_t, guest_lists
+      WHERE list_event = event_id) r, people
+WHERE list_contains(map_keys(by_id), guest.c)""", extra="""
+guest_lists AS (SELECT event_id AS list_event, list({'b': booking_id, 'd': booking_date, 'c': customer_id}) AS guests
+                FROM bookings GROUP BY event_id),
+people AS (SELECT map_from_entries(list({'k': customer_id, 'v': {'n': name, 'e': email, 'p': phone}})) AS by_id FROM customers)"""))
 def q_attendee_roster(spark, sf_dir):
     return R.attendee_roster(tables(spark, sf_dir))
 
