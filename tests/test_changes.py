@@ -18,14 +18,14 @@ def test_validate_events_edges(spark):
             (2, 1, 1, "x", "2026-05-01T10:00", 0.001, None, None),       # trigger rounds to 0
             (3, 1, 1, "x", "2026-04-20T00:00", 5.0, None, None),         # exactly as_of: past
             (4, 1, 0, "x", "2026-05-01T10:00", 5.0, None, None),         # no venue
-            (5, 1, 1, "x", "next friday", 5.0, None, None),              # unparsable
+            (5, 1, 1, "x", "next friday", 5.0, None, None),              # the page reads it, the table does not
             (6, 1, 1, "x", "2026-05-01T10:00", -1.0, None, None),
             (7, 1, 1, "y" * 151, "2026-05-01T10:00", 1.0, None, None)]
     got = {r["draft_id"]: (r["reason"], r["event_name_n"])
            for r in V.validate_events(drafts(spark, rows), SEED_AS_OF).collect()}
     assert got[1] == (None, "Good name")
     assert [got[i][0] for i in range(2, 8)] == ["BUDGET_NOT_POSITIVE", "NOT_FUTURE", "REQUIRED",
-                                                "NOT_FUTURE", "BAD_BUDGET", "TOO_LONG"]
+                                                "TIME_REFUSED", "BAD_BUDGET", "TOO_LONG"]
 
 
 def test_insert_events_rolls_back_on_bad_link(spark, seed):
