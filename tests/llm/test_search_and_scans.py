@@ -2,10 +2,12 @@
 
 import random
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from brute import brute_identify, brute_ngrams, brute_targets
 from seatplan.llm import bpe, language_id, licenses, mixing, secrets, token_counts, topk
 
 
@@ -70,26 +72,11 @@ def test_language_id(docs):
     got = {r.doc_id: r for r in language_id.predict_documents(docs(texts, lang=lang)).collect()}
     assert all(got[i].lang_pred == lang[i] for i in lang) and all(0 <= r.score <= 1 for r in got.values())
     assert [got[i].lang_pred for i in (120, 121, 122, 123)] == ["und", "und", "und", "aa"]
-    import zlib
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
     kept = {r.doc_id for r in language_id.keep_known(docs(texts, lang=lang)).collect()}
     assert set(lang) <= kept and not kept & {120, 121, 122}
 
 
-def brute_ngrams(text):
-    import unicodedata
-    inside = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower())
-    out = {}
-    for w in inside.split():
-        padded = [None, *w, None]
-        for n in (1, 2, 3):
-            for i in range(len(padded) - n + 1):
-                g = tuple(padded[i:i + n])
-                if not all(c is None for c in g):
-                    out[g] = out.get(g, 0) + 1
-    return out
-
-
 def test_profiles_are_exact_counts(spark, table):
     texts = ["The thin man, the end", "Então é não", "the"]
     t = table([("x", x) for x in texts] + [("x", None)], "lang string, text string")
@@ -103,6 +90,22 @@ def test_profiles_are_exact_counts(spark, table):
     assert got == {c: i for i, c in enumerate(ranked)}
 
 
+def test_predictions_are_least_out_of_place(docs):
+    """Three languages that share most n-grams, ties of distance and of counts included."""
+    rnd = random.Random(7)
+    words = {"aa": ["tion", "ting", "and", "the"], "bb": ["tion", "tung", "und", "the"], "cc": ["ción", "tion", "und", "la"]}
+    texts, lang = [], {}
+    for i in range(150):
+        lang[i] = ("aa", "bb", "cc")[i % 3]
+        texts.append(" ".join(rnd.choice(words[lang[i]]) for _ in range(rnd.randrange(1, 12))))
+    texts += ["the", "tion", "zzz", "", None, "the the", "x" * 3000, "tion " * 2000]
+    for size in (300, 9):
+        got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict_documents(docs(texts, lang=lang), size).collect()}
+        train = [(lang[i], texts[i]) for i in lang if zlib.crc32(str(i).encode()) % 5]
+        for i, (pred, score) in enumerate(brute_identify(train, texts, size)):
+            assert got[i][0] == pred and abs(got[i][1] - score) < 1e-9, (i, texts[i])
+
+
 def test_language_id_without_training_rows(docs):
     t = docs(["hello there", None])
     assert [r.lang_pred for r in language_id.predict_documents(t).collect()] == ["und", "und"]
@@ -398,20 +401,6 @@ def test_token_files_of_awkward_rows(spark, table):
 
 
 # ---------------------------------------------------------------- mixing
-def brute_targets(sizes):
-    names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
-    w = {s: 1 + i % 3 for i, s in enumerate(names)}
-    total, capped = sum(sizes.values()), set()
-    while True:
-        left = total - sum(3 * sizes[s] for s in capped)
-        ws = sum(w[s] for s in names if s not in capped)
-        t = {s: 3 * sizes[s] if s in capped else left * w[s] / ws for s in names}
-        over = {s for s in names if s not in capped and t[s] > 3 * sizes[s]}
-        if not over:
-            return t
-        capped |= over
-
-
 def test_mixing_targets_and_takes(table):
     rnd = random.Random(6)
     rows, i = [], 0
