@@ -141,7 +141,7 @@ def test_suffix_dedup_of_one_hot_passage(docs):
     own = lambda: "".join(rnd.choice("abcdefgh ") for _ in range(rnd.randrange(5, 60)))
     passage = "".join(rnd.choice("klmnop ") for _ in range(33))
     texts = [own() + passage + own() for _ in range(150)]
-    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(docs(texts), 30, whole=False).collect()}
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(docs(texts), 30).collect()}
     want = brute_cut([t.encode() for t in texts], 30)
     assert got == {i: w[1] for i, w in want.items()} and min(got.values()) >= 33
 
