@@ -25,10 +25,10 @@ from seatplan.plans.numbering import fresh_name, keyed_rows
 
 WHITE = r"[\x20\x09-\x0D]+"
 #: Chunk sizes in characters; a chunk ends at the first sentence mark past the minimum,
-#: where there is none at the first of BREAKS (a fixed share of all characters), else at the maximum.
+#: where there is none at the first of BREAKS (a few characters of every script), else at the maximum.
 MIN_CHUNK, MAX_CHUNK = 256, 2048
 SENTENCE_MARKS = "[.!?;:。！？।]"
-BREAKS = "[" + "".join(chr(c) for c in range(0x30, 0xD7A0, 37) if chr(c).isalnum()) + "]"
+BREAKS = "[0Uz\u03b8\u0431\u0448\u0628\u0924\u0e2d\u3042\u30a2\u4e00-\u4f2f\uac00-\uad50]"
 #: Colliding identifiers are broadcast only up to this many rows; beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 10_000
 
