@@ -110,11 +110,16 @@ class Encoder:
 
     def merge(self, rows: list[bytes]) -> list[np.ndarray]:
         """Token ids of each piece; long pieces as blocks that are joined afterwards."""
-        cuts = [[(at, min(len(r), at + BLOCK + OVERLAP)) for at in range(0, len(r) - OVERLAP, BLOCK)]
-                if len(r) > LONG else [(0, len(r))] for r in rows]
-        blocks = iter(self._merge_rows([r[a:b] for r, c in zip(rows, cuts) for a, b in c]))
-        found = [[next(blocks) for _ in c] for c in cuts]
-        return [ids[0] if len(c) == 1 else self._joined(r, c, ids) for r, c, ids in zip(rows, cuts, found)]
+        long = {i: [(at, min(len(r), at + BLOCK + OVERLAP)) for at in range(0, len(r) - OVERLAP, BLOCK)]
+                for i, r in enumerate(rows) if len(r) > LONG}
+        if not long:
+            return self._merge_rows(rows)
+        blocks = [rows[i][a:b] for i, cuts in long.items() for a, b in cuts]
+        out = self._merge_rows([b"" if i in long else r for i, r in enumerate(rows)] + blocks)
+        found = iter(out[len(rows):])
+        for i, cuts in long.items():
+            out[i] = self._joined(rows[i], cuts, [next(found) for _ in cuts])
+        return out[:len(rows)]
 
     def _places(self, ids: np.ndarray, start: int) -> np.ndarray:
         """Where each token starts, and after the last one where it ends."""
