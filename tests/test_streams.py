@@ -5,6 +5,8 @@ import random
 import tempfile
 import time
 
+import pandas as pd
+
 from support import SEED_AS_OF
 
 from seatplan.operators import validate as V
@@ -43,6 +45,43 @@ def test_stream_admissions_equal_batch_and_restart(spark):
     assert len(audit) == sum(1 for g in got if g[1] in ("BOOKED", "CANCELLED"))
 
 
+class _State:
+    """As much of Spark's group state as the fold uses."""
+    exists, get = False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def remove(self):
+        self.exists, self.get = False, None
+
+
+def test_neighbouring_events_share_a_group_and_keep_their_own_ledgers():
+    at, later = pd.Timestamp(2026, 1, 1), pd.Timestamp(2026, 2, 1)
+
+    def fold(state, *commands):
+        rows = [(r, e, c, kind, at, None, later, 1, 0, static, bid, 100 + r)
+                for r, e, c, kind, bid, static in commands]
+        pdf = pd.DataFrame(rows, columns=[
+            "request_id", "event_id", "customer_id", "kind", "requested_at", "gate", "event_time",
+            "capacity", "existing", "static_bid", "booking_id", "new_booking_id"]).astype(
+            {c: "object" for c in ("gate", "static_bid", "booking_id")})
+        out = pd.concat(S._stateful_fold((0,), iter([pdf]), state))
+        return dict(zip(out["request_id"], out["outcome"]))
+
+    state = _State()
+    # Out of order; each event has one seat, customer 7 takes one at both.
+    assert fold(state, (3, 2, 8, "create", None, None), (1, 1, 7, "create", None, None),
+                (2, 2, 7, "create", None, None), (4, 3, 9, "cancel", 50, 50)) == {
+        1: "BOOKED", 2: "BOOKED", 3: "FULL", 4: "CANCELLED"}
+    assert fold(state, (5, 1, 8, "create", None, None), (6, 2, 7, "cancel", 102, None),
+                (7, 2, 8, "create", None, None), (8, 3, 9, "cancel", 50, 50)) == {
+        5: "FULL", 6: "CANCELLED", 7: "BOOKED", 8: "MISSING"}
+    assert sorted(zip(*state.get), key=str) == [(1, 7, 101), (2, 8, 107), (3, 9, None)]
+    fold(state, (9, 1, 7, "cancel", 101, None), (10, 2, 8, "cancel", 107, None))
+    assert list(zip(*state.get)) == [(3, 9, None)]
+
+
 def test_stream_validate_events_equals_batch(spark):
     rows = [(i, 1, 1 + i % 3, " ev  %d " % i if i % 5 else "  ",
              "2026-05-0%dT10:00" % (1 + i % 9) if i % 7 else "2026-04-01T10:00",
