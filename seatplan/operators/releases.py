@@ -71,8 +71,15 @@ def settle_claims(claims: DataFrame, held: DataFrame) -> DataFrame:
     """
     keys = claims.select("ek").distinct()
     asking = claims.select("customer_id").distinct()
-    held = materialize(held.join(keys, "ek", "left_semi").unionByName(held.join(asking, "customer_id", "left_semi")).distinct())
-    claims = materialize(claims.withColumn("state", F.lit("open")))
+    held = held.join(keys, "ek", "left_semi").unionByName(held.join(asking, "customer_id", "left_semi"))
+    # The rounds join numbers in place of collated texts.
+    numbers = materialize(claims.select("ek").unionByName(held.select("ek")).distinct()
+                          .withColumn("_number", F.monotonically_increasing_id()))
+
+    def by_number(rows: DataFrame) -> DataFrame:
+        return rows.join(numbers, "ek", "left").drop("ek").withColumnRenamed("_number", "ek")
+    held = materialize(by_number(held).distinct())
+    claims = materialize(by_number(claims).select("at", "customer_id", "ek", "effect", F.lit("open").alias("state")))
     while True:
         open_ = claims.filter("state = 'open'").drop("state")
         if open_.isEmpty():
