@@ -55,3 +55,12 @@ def test_rounds_join_numbers(spark, monkeypatch):
     want = simulate_profiles(held, [(r, c, k.lower(), fits) for r, c, k, fits in requests])
     assert {r["at"]: r["granted"] for r in got.collect()} == want
     assert types and set(types) == {("bigint", "bigint")}
+
+
+def test_integrity_entries_are_small(spark):
+    report = V.integrity_report(people(spark, 3))
+    plan = plan_of(report)
+    # No call per element, numbers for places, and no counter for each of the eight references.
+    assert "lambdafunction" not in plan and "place#" in plan
+    assert not any(f"AS r{i}#" in plan for i in range(4, 9))
+    assert sum(r["violations"] for r in report.collect()) == 0
